@@ -4,86 +4,101 @@ A document is the set of digests of its paragraphs: its lines, and the first
 24, next 96 and next 384 characters of a line apart, so that an edit in a long
 line leaves its start alone. A sketch has parts of three rows of eight cells; a
 digest belongs to one part and there to one cell of each row. A cell holds the
-exclusive or of its digests and that of their check hashes, so a version is
-subtracted by the same operation, and what both share vanishes. A cell with one
-digest left is told by its check hash; taking that digest out of its other
-cells frees the next, until the sketch is empty. A sketch that does not come
-out empty is built again with twice as many parts.
+exclusive or of its digests, so a version is subtracted by the same operation,
+and what both share vanishes. The low 24 bits of a digest are a check hash of
+the others, by which a cell with one digest left is told. Taking that digest
+out of its other cells frees the next, until the sketch is empty. Sketches
+that do not come out empty are built again with twice as many parts.
 
 All of it is DataFrame and SQL functions. The text crosses the network once,
-to stand beside the next document's.
+to stand beside the next document's; sketches are filled by aggregations that
+keep that distribution.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-CELLS, RETRIES = 24, 8
+ROWS, COLUMNS = 3, 8
+#: Digests a part should hold at the first try; tries before the exact count.
+LOAD, TRIES = 8, 8
+_CHECK = (1 << 24) - 1
 
 
 def paragraphs(text: str) -> str:
-    """SQL for the set of paragraph digests of a text column."""
+    """SQL for the set of paragraph digests of a text column: 40 bits of a
+    hash, and 24 bits of a check hash of these."""
     cut = "array(substr(x, 1, 24), substr(x, 25, 96), substr(x, 121, 384), substr(x, 505))"
-    return f"array_distinct(transform(filter(flatten(transform(split({text}, '\\n'), x -> {cut})), x -> x <> ''), x -> xxhash64(x)))"
-
-
-def _in_cell(x: str, i: str) -> str:
-    """Digest x lies in cell i: three bits of it for each row of eight."""
-    return f"(shiftright({x}, 3 * ({i} div 8)) & 7) = ({i} & 7)"
-
-
-def _xor(items: str) -> str:
-    return f"named_struct('k', aggregate({items}, 0L, (a, x) -> a ^ x), 'g', aggregate({items}, 0L, (a, x) -> a ^ xxhash64(x, 7)))"
-
-
-def sketch(digests: str) -> str:
-    """SQL for the cells {k, g} of an array of digests."""
-    return f"transform(sequence(0, {CELLS - 1}), i -> transform(array(filter({digests}, d -> {_in_cell('d', 'i')})), f -> {_xor('f')})[0])"
-
-
-def subtract(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (u, v) -> named_struct('k', u.k ^ v.k, 'g', u.g ^ v.g))"
-
-
-def peel(cells: str) -> str:
-    """SQL for {cells: what is left, n: digests recovered} of a difference."""
-    pure = "array_distinct(transform(filter(s.cells, c -> c.k <> 0 and c.g = xxhash64(c.k, 7)), c -> c.k))"
-    free = f"transform(s.cells, (c, i) -> transform(array(filter(p, d -> {_in_cell('d', 'i')})), f -> if(size(f) = 0, c, {subtract('array(c)', f'array({_xor("f")})')}[0]))[0])"
-    step = f"transform(array({pure}), p -> if(size(p) = 0, named_struct('cells', s.cells, 'n', s.n, 'end', true), named_struct('cells', {free}, 'n', s.n + size(p), 'end', false)))[0]"
-    return f"aggregate(sequence(1, {CELLS}), named_struct('cells', {cells}, 'n', 0, 'end', false), (s, r) -> if(s.end, s, {step}))"
-
-
-def difference(a: str, b: str) -> str:
-    """SQL for the number of digests in which the sets a and b differ, found by
-    subtracting their sketches and peeling, retried larger until it comes out."""
-    part = "filter({0}, y -> (shiftright(y, 32) & (w - 1)) = q)"
-    one = peel(subtract(sketch(part.format(a)), sketch(part.format(b))))
-    judged = f"transform(array({one}), z -> if(exists(z.cells, c -> c.k <> 0 or c.g <> 0), -1, t + z.n))[0]"
-    whole = f"aggregate(sequence(0, w - 1), 0, (t, q) -> if(t < 0, t, {judged}))"
-    # the first try has a part for every 12 digests, each other one twice as many
-    first = f"cast(pow(2, ceil(log2(greatest(1, (size({a}) + size({b})) / 12)))) as int)"
-    tries = f"aggregate(sequence(0, {RETRIES}), -1, (o, r) -> if(o >= 0, o, transform(array({first} * cast(pow(2, r) as int)), w -> {whole})[0]))"
-    # two digests that share every bit used stay mixed at any size
-    return f"transform(array({tries}), o -> if(o >= 0, o, size(array_except({a}, {b})) + size(array_except({b}, {a}))))[0]"
-
-
-def likeness(a: str, b: str) -> Column:
-    """Shared digests over all, 1 for two empty sets."""
-    n = f"(size({a}) + size({b}))"
-    return F.expr(f"transform(array({difference(a, b)}), d -> if({n} + d = 0, 1D, ({n} - d) / cast({n} + d as double)))[0]")
+    units = f"filter(flatten(transform(split({text}, '\n'), x -> {cut})), x -> x <> '')"
+    return f"array_distinct(transform({units}, x -> transform(array(xxhash64(x) & {~_CHECK}L), h -> h | (xxhash64(h) & {_CHECK}L))[0]))"
+
+
+def cells_of(digests: str) -> str:
+    """SQL for the cells of an array of digests: three bits of a digest choose
+    its cell in each row."""
+    shifts, columns = (f"array({', '.join(map(str, x))})" for x in ([24 + 3 * r for r in range(ROWS)], range(COLUMNS)))
+    return f"flatten(transform({shifts}, j -> transform({columns}, c -> aggregate({digests}, 0L, (a, d) -> if((shiftright(d, j) & 7) = c, a ^ d, a)))))"
+
+
+def sketch(digest: str) -> Column:
+    """The same as an aggregation over a column of digests, compiled."""
+    cells = [F.expr(f"bit_xor(if((shiftright({digest}, {24 + 3 * r}) & 7) = {c}, {digest}, 0L))") for r in range(ROWS) for c in range(COLUMNS)]
+    return F.array(*cells)
+
+
+def peel(cells: str) -> Column:
+    """Number of digests recovered from the cells of a difference, -1 if some
+    stay mixed."""
+    pure = f"array_distinct(filter(s.k, k -> k <> 0 and (k & {_CHECK}L) = (xxhash64(k & {~_CHECK}L) & {_CHECK}L)))"
+    step = f"transform(array({pure}), p -> if(size(p) = 0, named_struct('k', s.k, 'n', s.n, 'end', true), named_struct('k', zip_with(s.k, {cells_of('p')}, (u, v) -> u ^ v), 'n', s.n + size(p), 'end', false)))[0]"
+    left = f"aggregate(sequence(1, {ROWS * COLUMNS + 1}), named_struct('k', {cells}, 'n', 0, 'end', false), (s, r) -> if(s.end, s, {step}))"
+    return F.expr(f"transform(array({left}), z -> if(exists(z.k, k -> k <> 0), -1, z.n))[0]")
+
+
+def differences(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """pairs(keys, a, b) with differ: the number of digests in which the sets a
+    and b differ, by subtracting their sketches and peeling, retried larger
+    until it comes out. pairs is read once for each try."""
+    out, left = [], pairs
+    for t in range(TRIES):
+        n = F.size("a") + F.size("b")
+        parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), n / LOAD)))).cast("long") * (1 << t)
+        # a sketch is linear: what both sides put into a cell is their difference there
+        put = left.select(*keys, parts.alias("_parts"), F.explode(F.concat("a", "b")).alias("d"))
+        put = put.withColumn("_part", F.expr("shiftright(d, 33)").bitwiseAND(F.col("_parts") - 1))
+        filled = put.groupBy(*keys, "_part").agg(sketch("d").alias("cells"))
+        got = filled.select(*keys, peel("cells").alias("n")).groupBy(*keys).agg(F.sum("n").alias("differ"), F.min("n").alias("worst"))
+        got = materialize(got)
+        out.append(got.where("worst >= 0").select(*keys, "differ"))
+        failed = got.where("worst < 0").select(*keys)
+        if failed.isEmpty():
+            break
+        left = left.join(failed, keys, "left_semi")
+    else:  # digests alike in every bit that places them
+        out.append(left.select(*keys, (F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a"))).cast("long").alias("differ")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def likeness(a: str, b: str, differ: str) -> Column:
+    """Shared digests over all; 1 for two empty sets, which have no cells."""
+    n = F.size(a) + F.size(b)
+    d = F.coalesce(F.col(differ), F.lit(0))
+    return F.when(n == 0, 1.0).otherwise((n - d) / (n + d).cast("double"))
 
 
 def fingerprint(digests: str) -> Column:
-    """The cells of one part in hexadecimal, folded to 32 bits each, after the
+    """The cells of one part in hexadecimal, their upper 32 bits, after the
     number of digests; equal texts have equal fingerprints."""
-    return F.expr(f"concat(size({digests}), ':', array_join(transform({sketch(digests)}, c -> lower(lpad(hex((c.k ^ shiftrightunsigned(c.k, 32)) & 4294967295), 8, '0'))), ''))")
+    return F.expr(f"concat(size({digests}), ':', array_join(transform({cells_of(digests)}, k -> lower(lpad(hex(shiftrightunsigned(k, 32)), 8, '0'))), ''))")
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): next is the next lower doc_id, after the last
+    """(range, doc_id, text, next_text): next is the next lower doc_id, after the last
     the first. Rows with equal doc_id are ordered by a hash of their texts; a
     null doc_id comes last. Equal rows have each other or the next as next.
 
@@ -115,23 +130,30 @@ def beside_next(docs: DataFrame) -> DataFrame:
     heads = after.join(heads, F.col("follows") == F.col("range")).select("_range", "head")
     lead = docs.withColumn("next_text", F.lead("text").over(order))
     # one text for each range
-    return lead.join(heads, F.col("range") == F.col("_range")).select("doc_id", "text", F.coalesce("next_text", "head").alias("next_text"))
+    return lead.join(heads, F.col("range") == F.col("_range")).select("range", "doc_id", "text", F.coalesce("next_text", "head").alias("next_text"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_chars, the text with
-    its last third replaced by the start of the next document's (edited_text),
-    both fingerprints, and their likeness to the edited and the next text.
+    """One row per row of docs(doc_id, text): doc_id, n_chars, edited_sha256 of
+    the text with its last third replaced by the start of the next document's,
+    both fingerprints, and the likeness to the edited and to the next text.
     Null texts count as empty."""
     both = beside_next(docs).withColumn("n", F.length("text"))
     k = F.floor(F.col("n") / 3).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - k), F.substring("next_text", F.lit(1), k)))
-    sets = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), "edited", *(F.expr(paragraphs(c)).alias(a) for c, a in (("text", "_a"), ("edited", "_e"), ("next_text", "_x"))))
-    return sets.select(
-        "doc_id", "n_chars", "edited", fingerprint("_a").alias("fingerprint"), fingerprint("_e").alias("edited_fingerprint"),
-        likeness("_a", "_e").alias("near_edited"), likeness("_a", "_x").alias("near_next"),
+    sets = both.select(
+        "range", F.monotonically_increasing_id().alias("row"), "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        *(F.expr(paragraphs(c)).alias(a) for c, a in (("text", "_a"), ("edited", "_e"), ("next_text", "_x"))),
+    )
+    sets = materialize(sets)
+    kinds = sets.selectExpr("range", "row", "explode(array(named_struct('kind', 0, 'a', _a, 'b', _e), named_struct('kind', 1, 'a', _a, 'b', _x))) as p")
+    found = differences(kinds.select("range", "row", "p.*"), ["range", "row", "kind"])
+    found = found.groupBy("range", "row").agg(F.max(F.when(F.col("kind") == 0, F.col("differ"))).alias("_de"), F.max(F.when(F.col("kind") == 1, F.col("differ"))).alias("_dx"))
+    return sets.join(found, ["range", "row"], "left").select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint("_a").alias("fingerprint"), fingerprint("_e").alias("edited_fingerprint"),
+        likeness("_a", "_e", "_de").alias("near_edited"), likeness("_a", "_x", "_dx").alias("near_next"),
     )
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    return fingerprints(docs).withColumn("edited_sha256", F.sha2("edited", 256)).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return fingerprints(docs)
