@@ -198,3 +198,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 def op4(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs, shingle=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def stage(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
+    """docs with one row of each group of near duplicates: the smallest doc_id's.
+
+    Of rows with an equal smallest doc_id one stays; a group without any doc_id
+    keeps one row. Rows meet by doc_id, so only they and their fingerprints
+    move, and the texts once.
+    """
+    found = near_duplicates(docs, shingle, radius)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_id")).agg(F.min("fp").alias("_fp"))
+    own = docs.columns
+    named = docs.join(kept, docs["doc_id"] == F.col("_id"), "left_semi")
+    named = named.dropDuplicates(["doc_id"])
+    # groups in which no row has a doc_id
+    bare = docs.where("doc_id is null")
+    if bare.isEmpty():
+        return named.select(*own)
+    alone = found.where("component_id is null").select("fp").distinct()
+    fps = fingerprints(bare.select(F.lit(0).alias("doc_id"), "text"), shingle).select("fp")
+    return named.select(*own) if fps.join(alone, "fp").isEmpty() else named.select(*own).unionByName(bare.dropDuplicates(["text"]).select(*own))
