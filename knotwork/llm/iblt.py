@@ -121,11 +121,11 @@ def beside_next(docs: DataFrame) -> DataFrame:
         below = F.lit(0)
     docs = docs.withColumn("range", -below)
     order = Window.partitionBy("range").orderBy(F.desc("key"), "tie")
-    firsts = docs.groupBy("range").agg(F.min(F.struct((-F.col("key") - 1).alias("down"), "tie")).alias("one"))
+    firsts = docs.groupBy("range").agg(F.min(F.struct(F.bitwise_not("key").alias("down"), "tie")).alias("one"))
     firsts = materialize(firsts.select("range", "one.*"))  # one row for each range: at most n
     ring = Window.orderBy("range")
     after = firsts.select(F.col("range").alias("_range"), F.coalesce(F.lead("range").over(ring), F.first("range").over(ring)).alias("follows"))
-    heads = docs.join(F.broadcast(firsts.select(F.col("range").alias("_r"), (-F.col("down") - 1).alias("_k"), F.col("tie").alias("_t"))), (F.col("range") == F.col("_r")) & (F.col("key") == F.col("_k")) & (F.col("tie") == F.col("_t")))
+    heads = docs.join(F.broadcast(firsts.select(F.col("range").alias("_r"), F.bitwise_not("down").alias("_k"), F.col("tie").alias("_t"))), (F.col("range") == F.col("_r")) & (F.col("key") == F.col("_k")) & (F.col("tie") == F.col("_t")))
     heads = heads.groupBy("range").agg(F.any_value("text").alias("head"))
     heads = after.join(heads, F.col("follows") == F.col("range")).select("_range", "head")
     lead = docs.withColumn("next_text", F.lead("text").over(order))

@@ -134,8 +134,8 @@ def op6(docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """docs with each row as often as the mix takes it (not at all or repeated)."""
-    copies = mix(docs, weights, most).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
+    copies = mix(docs, weights, most).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").cast("long").alias("_copies"))
     own = docs.columns
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
     taken = docs.withColumn("_words", size_of()).join(copies, same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select(*own)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*own)
