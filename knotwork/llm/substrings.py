@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, materialize
 
-LENGTH, WINDOW, GRAM = 400, 192, 8
+LENGTH, WINDOW, GRAM = 400, 128, 8
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -121,7 +121,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """doc and tie tell rows apart. Rows equal in both doc_id and text share
     them, which is harmless: each counts, and they lose the same bytes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
 
 def parse(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
@@ -143,46 +143,46 @@ def parse(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFr
 
 
 def strings_at(borders: DataFrame, docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(string, ref): the digest of every string that starts in a phrase of
-    borders(class, doc, tie, first, more); ref is 1024 * class + start in it."""
+    """(string, ref, once): the digest of every string that starts in a phrase of
+    borders(class, n, doc, tie, first, more); ref is 1024 * class + start in it,
+    and once tells if the phrase is met once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, 4 << 20):
             data, bounds = _joined(b.column("text").to_pylist())
             dig = Digests(data)
             row, flat = _lists(b.column("at"))
-            ids, first, more = (flat.field(k).to_numpy() for k in ("class", "first", "more"))
+            ids, first, more, met = (flat.field(k).to_numpy() for k in ("class", "first", "more", "n"))
             n = more.astype(np.int64) + 1
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             start = np.repeat(bounds[row] + first, n) + step
-            yield pa.RecordBatch.from_arrays([pa.array(dig(start, start + length).view(np.int64)), pa.array(np.repeat(ids * 1024, n) + step)], ["string", "ref"])
+            yield pa.RecordBatch.from_arrays([pa.array(dig(start, start + length).view(np.int64)), pa.array(np.repeat(ids * 1024, n) + step), pa.array(np.repeat(met == 1, n))], ["string", "ref", "once"])
 
-    by_doc = borders.groupBy("doc", "tie").agg(F.collect_list(F.struct("class", "first", "more")).alias("at"))
-    # rows equal in key and text would emit the same positions twice
-    texts = docs.select("doc", "tie", "text")
-    return texts.join(by_doc, ["doc", "tie"]).select("text", "at").mapInArrow(run, "string long, ref long")
+    by_doc = borders.groupBy("doc", "tie").agg(F.collect_list(F.struct("class", "first", "more", "n")).alias("at"))
+    # the columns of the last join, so that the texts are shuffled once for both
+    return docs.join(by_doc, ["doc", "tie"]).select("doc_id", "text", "at").mapInArrow(run, "string long, ref long, once boolean")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """(doc, tie, first, more): starts first .. first + more of the strings of
     length bytes that also start anywhere else."""
     found = parse(docs, length, window)
-    contexts = found.groupBy("context").agg(F.count("*").alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high"))
-    contexts = contexts.where("n > 1").select("context", (F.col("low") != F.col("high")).alias("mixed"))
+    # small beside the parse, and apart so that the join can split a hot context
+    contexts = materialize(found.groupBy("context").count().where("count > 1").select("context"))
     met = materialize(found.join(contexts, "context"))
-    sure = met.where("not mixed").select("doc", "tie", "first", "more")
-
-    mixed = met.where("mixed")
-    classes = mixed.groupBy("context", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "first", "more")).alias("one"))
+    classes = met.groupBy("context", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "first", "more")).alias("one"))
     classes = materialize(classes.select("context", "phrase", "n", "one.*").withColumn("class", F.monotonically_increasing_id()))
     often = classes.where("n > 1").select("context", "phrase")
-    sure = sure.unionByName(mixed.join(often, ["context", "phrase"]).select("doc", "tie", "first", "more"))
+    sure = met.join(often, ["context", "phrase"]).select("doc", "tie", "first", "more")
 
-    # a repeated phrase keeps one member here, to meet those that occur once
-    strings = strings_at(classes, docs, length)
+    # borders: phrases that share their context with others; of a repeated one
+    # a member is enough, for those met once to find
+    mixed = classes.groupBy("context").count().where("count > 1").select("context")
+    borders = materialize(classes.join(mixed, "context").drop("context", "phrase"))
+    strings = strings_at(borders, docs, length)
     twice = strings.groupBy("string").agg(F.min("ref").alias("low"), F.max("ref").alias("high")).where("low <> high").select("string")
-    single = classes.where("n = 1").select("class", "doc", "tie", "first")
-    hit = strings.join(twice, "string").select(F.expr("ref div 1024").alias("class"), (F.col("ref") % 1024).alias("step"))
+    single = borders.where("n = 1").select("class", "doc", "tie", "first")
+    hit = strings.where("once").join(twice, "string").select(F.expr("ref div 1024").alias("class"), (F.col("ref") % 1024).alias("step"))
     rest = hit.join(single, "class").select("doc", "tie", (F.col("first") + F.col("step")).alias("first"), F.lit(0).alias("more"))
     return sure.unionByName(rest)
 
@@ -231,7 +231,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
                 ["doc_id", "n_bytes", "n_removed", "spans", "kept"],
             )
 
-    joined = docs.join(marks, ["doc", "tie"], "left").select(F.col("doc_id").cast("long"), "text", "at")
+    joined = docs.join(marks, ["doc", "tie"], "left").select("doc_id", "text", "at")
     out = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
     return out.withColumn("n_spans", F.size("spans").cast("long"))
 
