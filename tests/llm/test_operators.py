@@ -305,3 +305,17 @@ def test_pipeline(spark, docs):
     bench = [t for _, t in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
     leaks = {x["doc_id"] for x in docs.collect() if any(t in x["text"] for t in bench)}
     assert leaks and not leaks & kept
+
+
+def test_simhash_stage_by_texts(spark):
+    """Copies at a similarity well above 0.8 go, texts well below it stay."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(20):
+        words = [f"w{x}" for x in rng.integers(0, 100_000, 200)]
+        near = [*words[:100], "changed", *words[101:]]
+        half = [*words[:120], *(f"v{x}" for x in rng.integers(0, 100_000, 80))]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(half))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r[0] for r in simhash.stage(d).select("doc_id").collect()}
+    assert kept == {i for i, _ in rows if i % 3 != 1}
