@@ -293,28 +293,45 @@ def wide_links(reps: DataFrame, radius: int = 1, sure: int = SURE, differ: int =
     return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long, sure boolean")
 
 
-def alike(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs(a, b) of doc_id whose texts have a Jaccard similarity of
-    ``least`` or more over distinct shingles. Of rows with equal doc_id one
-    text is taken."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("text").alias("text"))
-    texts = materialize(texts)
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, grams) of texts(doc_id, text): sorted distinct shingle digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in bounded([b]):
-                keep, last, x = [], None, None
-                for a, s, t in zip(part.column("a").to_pylist(), part.column("s").to_pylist(), part.column("t").to_pylist(), strict=True):
-                    if a != last:
-                        last, x = a, np.unique(_digests(s, shingle))
-                    y = np.unique(_digests(t, shingle))
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both >= least * (len(x) + len(y) - both))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for b in bounded(batches, 1 << 20):
+            sets = [np.unique(_digests(t, shingle).view(np.int64)) for t in b.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["doc_id", "grams"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>")
+
 
-    one, other = texts.toDF("a", "s"), texts.toDF("b", "t")
-    return pairs.select("a", "b").join(other, "b").join(one, "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs(a, b) of doc_id whose sets have a Jaccard similarity of ``least``
+    or more; pairs whose sizes rule that out aren't compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.zeros(b.num_rows, dtype=bool)
+            s, t = b.column("s"), b.column("t")
+            x, at, y, to = s.values.to_numpy(), s.offsets.to_numpy(), t.values.to_numpy(), t.offsets.to_numpy()
+            for k in range(b.num_rows):
+                one, other = sorted((x[at[k] : at[k + 1]], y[to[k] : to[k + 1]]), key=len)
+                found = np.searchsorted(other, one)
+                both = np.count_nonzero(other[np.minimum(found, len(other) - 1)] == one) if len(one) else 0
+                keep[k] = both >= least * (len(one) + len(other) - both)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    one, other = sets.toDF("a", "s"), sets.toDF("b", "t")
+    close = (F.size("s") >= least * F.size("t")) & (F.size("t") >= least * F.size("s"))
+    return pairs.select("a", "b").join(other, "b").join(one, "a").where(close).select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+
+
+def sets_of(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Shingle sets of the documents in pairs(a, b). Of rows with equal doc_id
+    one text is taken."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
+    return materialize(shingle_sets(texts.groupBy("doc_id").agg(F.min("text").alias("text")), shingle))
 
 
 def similar(docs: DataFrame, shingle: int = 5, radius: int = 1, least: float = 0.8) -> DataFrame:
@@ -332,7 +349,7 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = 1, least: float = 0
     open_ = found.where("not sure").join(at("a"), "a", "left").join(at("b"), "b", "left")
     open_ = materialize(open_.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
     if not open_.isEmpty():
-        label = components(sure.unionByName(alike(open_, docs, shingle, least)))
+        label = components(sure.unionByName(alike(open_, sets_of(open_, docs, shingle), least)))
     named = reps.join(label, reps["rep"] == label["node"], "left").select(*names, F.coalesce("label", "rep").alias("component_id"))
     return fps.join(named, names)
 
