@@ -131,11 +131,11 @@ def anchors_of(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.
 def _stars(anchor: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, radius: int, doubt: int = -1, block: int = 1 << 20) -> tuple[np.ndarray, ...]:
     """Links found at whole anchors (rows sorted by anchor), thinned to (node,
     smallest node of its set): the same connection with fewer rows than members.
-    Then, as they are, the pairs (a < b) of more than radius but at most
-    ``doubt`` bits, less those that such links connect anyway."""
+    Then which rows are in doubt: they have a partner at more than radius but at
+    most ``doubt`` bits that the links found so far don't connect with them."""
     ids, at = np.unique(rep, return_inverse=True)
     label = np.arange(len(ids))
-    maybe: list[np.ndarray] = [np.zeros((0, 2), dtype=np.int64)]
+    unsure = np.zeros(len(anchor), dtype=bool)
     begin = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     size = np.diff(np.r_[begin, len(anchor)])
     first, count = np.repeat(begin, size)[home], np.repeat(size, size)[home]
@@ -151,9 +151,6 @@ def _stars(anchor: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray
             bits = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64))
             bits = bits if bits.ndim == 1 else bits.sum(axis=1, dtype=np.uint16)
             near = (bits <= radius) & (i != j)
-            if doubt > radius:
-                far = (bits > radius) & (bits <= doubt) & (rep[i] < rep[j])
-                maybe.append(np.unique(np.stack([at[i[far]], at[j[far]]], axis=1), axis=0))
             x, y = at[i[near]], at[j[near]]
             while True:  # smallest label over each link, then over chains of labels
                 moved = label.copy()
@@ -164,11 +161,14 @@ def _stars(anchor: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray
                 if (moved == label).all():
                     break
                 label = moved
+            if doubt > radius:
+                far = (bits > radius) & (bits <= doubt)
+                i, j = i[far], j[far]
+                apart = label[at[i]] != label[at[j]]
+                unsure[i[apart]] = unsure[j[apart]] = True
         done = upto
     far = label != np.arange(len(ids))
-    pairs = np.unique(np.concatenate(maybe), axis=0)
-    pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
-    return ids[far], ids[label[far]], ids[pairs[:, 0]], ids[pairs[:, 1]]
+    return ids[far], ids[label[far]], unsure
 
 
 def links(reps: DataFrame, radius: int = 2) -> DataFrame:
@@ -185,7 +185,7 @@ def links(reps: DataFrame, radius: int = 2) -> DataFrame:
         held: list[np.ndarray] | None = None
 
         def found(part: list[np.ndarray]) -> pa.RecordBatch:
-            x, y, _, _ = _stars(*part, radius)
+            x, y, _ = _stars(*part, radius)
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
         for b in batches:
@@ -250,9 +250,10 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def wide_links(reps: DataFrame, radius: int = 1, sure: int = SURE, differ: int = DIFFER) -> DataFrame:
-    """Edges (a, b, sure) that connect the distinct fingerprints of reps(f0, ..., rep)
-    that share an anchor and differ in ``sure`` of all bits at most; and, not
-    sure, the pairs of up to ``differ`` bits that need a comparison of the texts.
+    """Edges (a, b, null, ...) that connect the distinct fingerprints of reps(f0,
+    ..., rep) that share an anchor and differ in ``sure`` of all bits at most;
+    and rows (a, null, anchor, f0, ...) of those that have a partner of up to
+    ``differ`` bits at that anchor, which need a comparison of the texts there.
 
     Low and high 46 bits of each word are covered apart, with anchors of their
     own. Pairs within ``radius`` bits in any of these share an anchor for sure,
@@ -272,9 +273,12 @@ def wide_links(reps: DataFrame, radius: int = 1, sure: int = SURE, differ: int =
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
-        def found(anchor: np.ndarray, rep: np.ndarray, *words: np.ndarray) -> pa.RecordBatch:
-            x, y, u, v = _stars(anchor, np.stack(words, axis=1), rep, np.ones(len(anchor), dtype=bool), sure, differ)
-            return pa.RecordBatch.from_arrays([pa.array(np.r_[x, u]), pa.array(np.r_[y, v]), pa.array(np.arange(len(x) + len(u)) < len(x))], ["a", "b", "sure"])
+        def found(anchor: np.ndarray, rep: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
+            x, y, unsure = _stars(anchor, np.stack(words, axis=1), rep, np.ones(len(anchor), dtype=bool), sure, differ)
+            none = lambda n, kind: pa.nulls(n, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), none(len(x), pa.int32()), *(none(len(x), pa.int64()) for _ in names)], ["a", "b", "anchor", *names])
+            n = int(unsure.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(rep[unsure]), none(n, pa.int64()), pa.array(anchor[unsure]), *(pa.array(w[unsure]) for w in words)], ["a", "b", "anchor", *names])
 
         for b in batches:
             if not b.num_rows:
@@ -285,12 +289,12 @@ def wide_links(reps: DataFrame, radius: int = 1, sure: int = SURE, differ: int =
             cut = int(np.searchsorted(part[0], part[0][-1]))  # the last anchor may go on
             held = [x[cut:] for x in part]
             if cut:
-                yield found(*(x[:cut] for x in part))
+                yield from found(*(x[:cut] for x in part))
         if held is not None:
-            yield found(*held)
+            yield from found(*held)
 
     sent = reps.mapInArrow(send, "anchor int, rep long, " + ", ".join(f"{k} long" for k in names))
-    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long, sure boolean")
+    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long, anchor int, " + ", ".join(f"{k} long" for k in names))
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -305,51 +309,96 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>")
 
 
-def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs(a, b) of doc_id whose sets have a Jaccard similarity of ``least``
-    or more; pairs whose sizes rule that out aren't compared."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = np.zeros(b.num_rows, dtype=bool)
-            s, t = b.column("s"), b.column("t")
-            x, at, y, to = s.values.to_numpy(), s.offsets.to_numpy(), t.values.to_numpy(), t.offsets.to_numpy()
-            for k in range(b.num_rows):
-                one, other = sorted((x[at[k] : at[k + 1]], y[to[k] : to[k + 1]]), key=len)
-                found = np.searchsorted(other, one)
-                both = np.count_nonzero(other[np.minimum(found, len(other) - 1)] == one) if len(one) else 0
-                keep[k] = both >= least * (len(one) + len(other) - both)
-            yield b.select(["a", "b"]).filter(pa.array(keep))
-
-    one, other = sets.toDF("a", "s"), sets.toDF("b", "t")
-    close = (F.size("s") >= least * F.size("t")) & (F.size("t") >= least * F.size("s"))
-    return pairs.select("a", "b").join(other, "b").join(one, "a").where(close).select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
-
-
-def sets_of(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Shingle sets of the documents in pairs(a, b). Of rows with equal doc_id
+def sets_of(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Shingle sets of the documents in ids(doc_id). Of rows with equal doc_id
     one text is taken."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
     return materialize(shingle_sets(texts.groupBy("doc_id").agg(F.min("text").alias("text")), shingle))
 
 
+def _merged(label: np.ndarray, side: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], least: float, differ: int) -> list[tuple[int, int]]:
+    """Positions of pairs with sets as similar as ``least`` that join rows of
+    different labels: no more than connect what all such pairs would. Where
+    side has two values, only pairs across are looked at."""
+    size, label, out = np.array([len(x) for x in sets]), label.copy(), []
+    across = (side != side[0]).any()
+    for i in range(len(sets) - 1):
+        near = np.bitwise_count((fp[i] ^ fp[i + 1 :]).view(np.uint64)).sum(axis=1, dtype=np.uint16) <= differ
+        near &= (label[i + 1 :] != label[i]) & (size[i + 1 :] >= least * size[i]) & (size[i] >= least * size[i + 1 :])
+        if across:
+            near &= side[i + 1 :] != side[i]
+        for j in np.flatnonzero(near) + i + 1:
+            if label[i] == label[j]:
+                continue
+            one, other = (sets[i], sets[j]) if size[i] <= size[j] else (sets[j], sets[i])
+            found = np.searchsorted(other, one)
+            both = np.count_nonzero(other[np.minimum(found, len(other) - 1)] == one) if len(one) else 0
+            if both >= least * (len(one) + len(other) - both):
+                out.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def alike(doubtful: DataFrame, sets: DataFrame, least: float, differ: int = DIFFER, block: int = 16 << 20) -> DataFrame:
+    """Edges (a, b) between rows of doubtful(anchor, node, label, f0, ...) of an
+    anchor with different labels, up to ``differ`` bits and shingle sets of a
+    Jaccard similarity of ``least`` or more, as many as connect all of these.
+
+    The sets travel to the anchors, where pairs are compared in place. An anchor
+    with more than ``block`` bytes of sets is dealt over blocks by node, and
+    each two blocks meet in a group of their own, so that none grows with it.
+    """
+    names = [f"f{k}" for k in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def found() -> pa.RecordBatch:
+            node, label, side = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+            pairs = _merged(label, side, np.array([r[3] for r in rows], dtype=np.int64), [r[4] for r in rows], least, differ)
+            return pa.RecordBatch.from_arrays([pa.array(node[[p[k] for p in pairs]], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            grams = b.column("grams")
+            values, at = grams.values.to_numpy(), grams.offsets.to_numpy()
+            fp = np.stack([b.column(k).to_numpy() for k in names], axis=1)
+            for k, (anchor, low, high, node, label, side) in enumerate(zip(*(b.column(c).to_pylist() for c in ("anchor", "low", "high", "node", "label", "side")), strict=True)):
+                if (anchor, low, high) != key:
+                    if len(rows) > 1:
+                        yield found()
+                    key, rows = (anchor, low, high), []
+                rows.append((node, label, side, fp[k], values[at[k] : at[k + 1]].copy()))
+        if len(rows) > 1:
+            yield found()
+
+    size = sets.select(F.col("doc_id").alias("node"), (F.size("grams") * 8 + 100).cast("long").alias("bytes"))
+    anchors = doubtful.join(size, "node").groupBy("anchor").agg(F.sum("bytes").alias("bytes"), F.min("label").alias("least"), F.max("label").alias("most"))
+    anchors = anchors.where("least <> most").select("anchor", F.ceil(F.col("bytes") / block).cast("int").alias("n"))
+    dealt = doubtful.join(anchors, "anchor").withColumn("side", F.pmod(F.xxhash64("node"), "n").cast("int"))
+    # a lone block meets itself; of several, each two meet, and a block's own pairs are looked at in groups (k, k)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
+        "anchor", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "label", "side", *names)
+    keys = ["anchor", "low", "high"]
+    held = dealt.join(sets.withColumnRenamed("doc_id", "node"), "node")
+    return held.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
 def similar(docs: DataFrame, shingle: int = 5, radius: int = 1, least: float = 0.8) -> DataFrame:
     """(doc_id, f0, ..., component_id) for every row of docs: as near_duplicates(),
     but linked at a Jaccard similarity of ``least`` or more. Wide fingerprints
-    tell the pairs far from it; the texts of the others are compared, unless
+    tell the pairs far from it; the others are compared by their shingles, unless
     sure links connect them already."""
     names = [f"f{k}" for k in range(WIDE)]
     fps = materialize(wide_fingerprints(docs, shingle))
     reps = fps.groupBy(*names).agg(F.min("doc_id").alias("rep"))
-    found = materialize(wide_links(reps.where("rep is not null"), radius).distinct())
-    sure = found.where("sure").select("a", "b")
+    found = materialize(wide_links(reps.where("rep is not null"), radius))
+    sure = found.where("b is not null").select("a", "b")
     label = components(sure)
-    at = lambda k: label.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
-    open_ = found.where("not sure").join(at("a"), "a", "left").join(at("b"), "b", "left")
-    open_ = materialize(open_.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
-    if not open_.isEmpty():
-        label = components(sure.unionByName(alike(open_, sets_of(open_, docs, shingle), least)))
+    doubtful = found.where("b is null").select("anchor", F.col("a").alias("node"), *names)
+    if not doubtful.isEmpty():
+        sets = sets_of(doubtful.select(F.col("node").alias("doc_id")).distinct(), docs, shingle)
+        known = doubtful.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        label = components(sure.unionByName(alike(known, sets, least)))
     named = reps.join(label, reps["rep"] == label["node"], "left").select(*names, F.coalesce("label", "rep").alias("component_id"))
     return fps.join(named, names)
 

@@ -319,3 +319,28 @@ def test_simhash_stage_by_texts(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r[0] for r in simhash.stage(d).select("doc_id").collect()}
     assert kept == {i for i, _ in rows if i % 3 != 1}
+
+
+def test_simhash_alike_over_blocks(spark):
+    """Sets dealt over blocks connect the same rows as all pairs do."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(12):
+        words = [f"w{k}x{x}" for x in range(60)]
+        for c in range(5):
+            own = [w if rng.random() > 0.025 else f"e{rng.integers(0, 10**6)}" for w in words]
+            rows.append((5 * k + c, " ".join(own)))
+    d = spark.createDataFrame([*rows, (90, None), (91, "")], "doc_id long, text string")
+    grams = {i: {tuple(w[x : x + 5]) for x in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    want = {i: i for i in grams}
+    for a in grams:
+        for b in grams:
+            if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                want = {i: min(want[a], want[b]) if x in (want[a], want[b]) else x for i, x in want.items()}
+    doubtful = d.where("doc_id < 90").selectExpr("1 AS anchor", "doc_id AS node", "doc_id AS label", *(f"0L AS f{k}" for k in range(simhash.WIDE)))
+    for block in (1 << 20, 3000):
+        edges = simhash.alike(doubtful, simhash.shingle_sets(d, 5), 0.8, block=block).collect()
+        got = {i: i for i in grams}
+        for a, b in edges:
+            got = {i: min(got[a], got[b]) if x in (got[a], got[b]) else x for i, x in got.items()}
+        assert got == want and len(set(want.values())) < len(want)
