@@ -316,6 +316,11 @@ def sets_of(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     return materialize(shingle_sets(texts.groupBy("doc_id").agg(F.min("text").alias("text")), shingle))
 
 
+def set_bytes(sets: DataFrame) -> DataFrame:
+    """(node, bytes): about the memory that a document's set takes."""
+    return sets.select(F.col("doc_id").alias("node"), (F.size("grams") * 8 + 100).cast("long").alias("bytes"))
+
+
 def _merged(label: np.ndarray, side: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], least: float, differ: int) -> list[tuple[int, int]]:
     """Positions of pairs with sets as similar as ``least`` that join rows of
     different labels: no more than connect what all such pairs would. Where
@@ -340,7 +345,7 @@ def _merged(label: np.ndarray, side: np.ndarray, fp: np.ndarray, sets: list[np.n
 
 
 def alike(doubtful: DataFrame, sets: DataFrame, least: float, differ: int = DIFFER, block: int = 16 << 20) -> DataFrame:
-    """Edges (a, b) between rows of doubtful(anchor, node, label, f0, ...) of an
+    """Edges (a, b) between rows of doubtful(anchor, node, label, bytes, f0, ...) of an
     anchor with different labels, up to ``differ`` bits and shingle sets of a
     Jaccard similarity of ``least`` or more, as many as connect all of these.
 
@@ -371,8 +376,7 @@ def alike(doubtful: DataFrame, sets: DataFrame, least: float, differ: int = DIFF
         if len(rows) > 1:
             yield found()
 
-    size = sets.select(F.col("doc_id").alias("node"), (F.size("grams") * 8 + 100).cast("long").alias("bytes"))
-    anchors = doubtful.join(size, "node").groupBy("anchor").agg(F.sum("bytes").alias("bytes"), F.min("label").alias("least"), F.max("label").alias("most"))
+    anchors = doubtful.groupBy("anchor").agg(F.sum("bytes").alias("bytes"), F.min("label").alias("least"), F.max("label").alias("most"))
     anchors = anchors.where("least <> most").select("anchor", F.ceil(F.col("bytes") / block).cast("int").alias("n"))
     dealt = doubtful.join(anchors, "anchor").withColumn("side", F.pmod(F.xxhash64("node"), "n").cast("int"))
     # a lone block meets itself; of several, each two meet, and a block's own pairs are looked at in groups (k, k)
@@ -397,7 +401,8 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = 1, least: float = 0
     doubtful = found.where("b is null").select("anchor", F.col("a").alias("node"), *names)
     if not doubtful.isEmpty():
         sets = sets_of(doubtful.select(F.col("node").alias("doc_id")).distinct(), docs, shingle)
-        known = doubtful.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        about = set_bytes(sets).join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "bytes")
+        known = doubtful.join(about, "node", "left")
         label = components(sure.unionByName(alike(known, sets, least)))
     named = reps.join(label, reps["rep"] == label["node"], "left").select(*names, F.coalesce("label", "rep").alias("component_id"))
     return fps.join(named, names)

@@ -337,7 +337,7 @@ def test_simhash_alike_over_blocks(spark):
         for b in grams:
             if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
                 want = {i: min(want[a], want[b]) if x in (want[a], want[b]) else x for i, x in want.items()}
-    doubtful = d.where("doc_id < 90").selectExpr("1 AS anchor", "doc_id AS node", "doc_id AS label", *(f"0L AS f{k}" for k in range(simhash.WIDE)))
+    doubtful = d.where("doc_id < 90").selectExpr("1 AS anchor", "doc_id AS node", "doc_id AS label", "600L AS bytes", *(f"0L AS f{k}" for k in range(simhash.WIDE)))
     for block in (1 << 20, 3000):
         edges = simhash.alike(doubtful, simhash.shingle_sets(d, 5), 0.8, block=block).collect()
         got = {i: i for i in grams}
