@@ -402,7 +402,7 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = 1, least: float = 0
     if not doubtful.isEmpty():
         sets = sets_of(doubtful.select(F.col("node").alias("doc_id")).distinct(), docs, shingle)
         about = set_bytes(sets).join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "bytes")
-        known = doubtful.join(about, "node", "left")
+        known = materialize(doubtful.join(about, "node", "left"))  # read twice below
         label = components(sure.unionByName(alike(known, sets, least)))
     named = reps.join(label, reps["rep"] == label["node"], "left").select(*names, F.coalesce("label", "rep").alias("component_id"))
     return fps.join(named, names)
