@@ -1,7 +1,8 @@
 """Registered queries over the driver's tables, each with the SQL that DuckDB
 answers it with. Matrices: sp (supplier x part, summed quantity), cp (customer
 x part), op (order x part), ue (user x event type), pp (parts that share an
-order, the first 1,200 orders: a graph with triangles)."""
+order, the first 1,200 orders only: a small graph with triangles), pp_all (the
+same over all orders)."""
 
 from __future__ import annotations
 
@@ -48,8 +49,16 @@ def ue(s: SparkSession, d: str) -> SparseMatrix:
 
 
 def pp(s: SparkSession, d: str) -> SparseMatrix:
-    """The first orders are the graph's definition: all of them make it bigger, not different."""
-    li = _t(s, d, "lineitem").where("l_orderkey < 1200").select("l_orderkey", "l_partkey").distinct()
+    """The first orders only, as the SQL of its five queries says; pp_all() has all of them."""
+    return _part_graph(_t(s, d, "lineitem").where("l_orderkey < 1200"))
+
+
+def pp_all(s: SparkSession, d: str) -> SparseMatrix:
+    return _part_graph(_t(s, d, "lineitem"))
+
+
+def _part_graph(lines: DataFrame) -> SparseMatrix:
+    li = lines.select("l_orderkey", "l_partkey").distinct()
     e = li.alias("x").join(li.alias("y"), "l_orderkey").where("x.l_partkey < y.l_partkey").selectExpr("x.l_partkey as i", "y.l_partkey as j").distinct()
     return SparseMatrix.of(e, "i", "j")
 
@@ -71,6 +80,9 @@ _ROWS = "r AS (SELECT unnest(range(0, (SELECT max(i) + 1 FROM sp))) AS i)"
 _FLOP = f"{_SP}, {_ROWS}, nb AS (SELECT j, COUNT(*) AS n FROM sp GROUP BY j), fl AS (SELECT i, CAST(SUM(n) AS BIGINT) AS flop FROM sp JOIN nb USING (j) GROUP BY i), fr AS (SELECT r.i, COALESCE(flop, 0) AS flop FROM r LEFT JOIN fl USING (i))"
 _CF = f"{_FLOP}, nz AS (SELECT a.i, COUNT(DISTINCT b.i) AS nnz FROM sp a JOIN sp b USING (j) GROUP BY a.i), cf AS (SELECT fr.i, flop, COALESCE(nnz, 0) AS nnz FROM fr LEFT JOIN nz USING (i))"
 _SYM = f"{_PP}, nv AS (SELECT max(greatest(i, j)) + 1 AS n FROM pp), vs AS (SELECT unnest(range(0, (SELECT n FROM nv))) AS i), dg AS (SELECT vs.i, COUNT(pp.i) AS degree FROM vs LEFT JOIN pp USING (i) GROUP BY vs.i), rk AS (SELECT i, degree, row_number() OVER (ORDER BY degree, i) - 1 AS rank FROM dg), sy AS (SELECT i, j FROM pp UNION SELECT j, i FROM pp), pe AS (SELECT x.rank AS i, y.rank AS j FROM sy JOIN rk x ON sy.i = x.i JOIN rk y ON sy.j = y.i)"
+# the same over all orders
+_PP_ALL = "li AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), pp AS (SELECT DISTINCT x.p AS i, y.p AS j FROM li x JOIN li y USING (o) WHERE x.p < y.p)"
+_SYM_ALL = _SYM.replace(_PP, _PP_ALL)
 _PATH = "WITH {0}, d AS (SELECT i, SUM(v * v) AS d FROM ml GROUP BY i), q AS (SELECT j, v FROM ml WHERE i = {1}) SELECT ml.i AS id, round(2 * SUM(ml.v * q.v) / (any_value(d.d) + (SELECT d FROM d WHERE i = {1})), 9) AS score FROM ml JOIN q USING (j) JOIN d ON d.i = ml.i GROUP BY ml.i ORDER BY 2 DESC, 1 LIMIT {2}"
 _WORK = f"{_FLOP}, s AS (SELECT COUNT(*) AS n, SUM(flop) AS total FROM fr), c AS (SELECT flop, row_number() OVER (ORDER BY flop DESC, i) AS k, SUM(flop) OVER (ORDER BY flop DESC, i ROWS UNBOUNDED PRECEDING) AS c, row_number() OVER (ORDER BY flop, i) AS up FROM fr)"
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -118,6 +130,7 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "transpose": (lambda s, d: sp(s, d).transpose().df, f"WITH {_SP} SELECT j AS i, i AS j, v FROM sp"),
         "ones": (lambda s, d: sp(s, d).ones().df, f"WITH {_SP} SELECT i, j, CAST(1 AS DOUBLE) AS v FROM sp"),
         "symmetrize": (lambda s, d: pp(s, d).symmetrize().df, f"WITH {_SYM} SELECT i, j, CAST(1 AS DOUBLE) AS v FROM sy"),
+        "symmetrize_all": (lambda s, d: pp_all(s, d).symmetrize().df, f"WITH {_SYM_ALL} SELECT i, j, CAST(1 AS DOUBLE) AS v FROM sy"),
         "drop_diag": (lambda s, d: sp(s, d).drop_diagonal().df, f"WITH {_SP} SELECT i, j, v FROM sp WHERE i <> j"),
         "tril": (lambda s, d: sp(s, d).tril().df, f"WITH {_SP} SELECT i, j, v FROM sp WHERE i > j"),
         "triu": (lambda s, d: sp(s, d).triu().df, f"WITH {_SP} SELECT i, j, v FROM sp WHERE i < j"),
@@ -165,9 +178,13 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "pathsim_diag": (lambda s, d: H.diagonal(sp(s, d)), f"WITH {_SP} SELECT i, SUM(v * v) AS d FROM sp GROUP BY i"),
         "pathsim_all_topk": (lambda s, d: H.pathsim_all(sp(s, d), 3).withColumn("score", F.round("score", 9)), f"WITH {_SP}, {_SPP}, d AS (SELECT i, SUM(v * v) AS d FROM sp GROUP BY i), x AS (SELECT m.i, m.j, 2 * m.v / (a.d + b.d) AS score FROM spgemm m JOIN d a ON m.i = a.i JOIN d b ON m.j = b.i WHERE m.i <> m.j), y AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS k FROM x) SELECT i, j, round(score, 9) AS score FROM y WHERE k <= 3"),
         "triangle_count": (lambda s, d: G.triangle_count(pp(s, d)), f"WITH {_PP} SELECT COUNT(*) AS triangles FROM pp a JOIN pp b ON a.j = b.i JOIN pp c ON c.i = a.i AND c.j = b.j"),
+        "triangle_count_all": (lambda s, d: G.triangle_count(pp_all(s, d)), f"WITH {_PP_ALL} SELECT COUNT(*) AS triangles FROM pp a JOIN pp b ON a.j = b.i JOIN pp c ON c.i = a.i AND c.j = b.j"),
         "masked_edge_count": (lambda s, d: G.masked_edge_count(pp(s, d)), f"WITH {_SYM}, lo AS (SELECT i, j FROM pe WHERE i > j), h AS (SELECT DISTINCT a.i, b.i AS j FROM lo a JOIN lo b ON a.j = b.j AND a.i > b.i JOIN lo m ON m.i = a.i AND m.j = b.i) SELECT COUNT(*) AS l, COUNT(*) AS u, 2 * COUNT(*) AS total FROM h"),
+        "masked_edge_count_all": (lambda s, d: G.masked_edge_count(pp_all(s, d)), f"WITH {_SYM_ALL}, lo AS (SELECT i, j FROM pe WHERE i > j), h AS (SELECT DISTINCT a.i, b.i AS j FROM lo a JOIN lo b ON a.j = b.j AND a.i > b.i JOIN lo m ON m.i = a.i AND m.j = b.i) SELECT COUNT(*) AS l, COUNT(*) AS u, 2 * COUNT(*) AS total FROM h"),
         "wedge_count": (lambda s, d: s.createDataFrame([(G.wedge_count(pp(s, d)),)], "wedges long"), f"WITH {_SYM} SELECT COUNT(*) AS wedges FROM pe a JOIN pe b ON a.j = b.i WHERE a.i > a.j AND b.i < b.j"),
+        "wedge_count_all": (lambda s, d: s.createDataFrame([(G.wedge_count(pp_all(s, d)),)], "wedges long"), f"WITH {_SYM_ALL} SELECT COUNT(*) AS wedges FROM pe a JOIN pe b ON a.j = b.i WHERE a.i > a.j AND b.i < b.j"),
         "permute_by_degree": (lambda s, d: G.permute_by_degree(pp(s, d)).df, f"WITH {_SYM} SELECT x.rank AS i, y.rank AS j, CAST(1 AS DOUBLE) AS v FROM pp JOIN rk x ON pp.i = x.i JOIN rk y ON pp.j = y.i"),
+        "permute_by_degree_all": (lambda s, d: G.permute_by_degree(pp_all(s, d)).df, f"WITH {_SYM_ALL} SELECT x.rank AS i, y.rank AS j, CAST(1 AS DOUBLE) AS v FROM pp JOIN rk x ON pp.i = x.i JOIN rk y ON pp.j = y.i"),
         "crossover": (lambda s, d: _conc(s, d).select("crossover"), f"WITH {_WORK} SELECT CAST(COUNT(*) FILTER (c <= total / 2.0) + 1 AS BIGINT) AS crossover FROM c, s"),
         "mass_at_top": (lambda s, d: _conc(s, d).select(F.round("mass_at_top", 9).alias("mass")), f"WITH {_WORK} SELECT round(CAST(SUM(flop) FILTER (k <= greatest(1, round_even(n * 0.1, 0))) AS DOUBLE) / any_value(total), 9) AS mass FROM c, s"),
         "rows_for_mass": (lambda s, d: _conc(s, d).select(F.round("rows_for_mass", 9).alias("share")), f"WITH {_WORK} SELECT round((COUNT(*) FILTER (c < 0.5 * total) + 1) / CAST(any_value(n) AS DOUBLE), 9) AS share FROM c, s"),
