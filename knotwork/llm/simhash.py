@@ -13,7 +13,7 @@ the distinct fingerprints (about 60 each), whatever their number.
 At a similarity of 0.8 some ten of 64 bits differ, beyond what a covering can
 promise. For that, stage() takes fingerprints of 256 bits, covers eight parts
 of 46 bits each by such anchors, compares all 256 bits at the anchors, and the
-texts of those pairs that the bits leave in doubt.
+shingle sets of all pairs that the bits don't tell apart. Bits alone link nothing.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ WORD_BITS, CHECK_BITS, COVER = 23, 11, 3
 #: Fixed value: generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the Golay code.
 GENERATOR = 0b110001110101
 MASK = (1 << WORD_BITS) - 1
-#: Words of 64 bits of a wide fingerprint; bits up to which two are alike for sure,
-#: and up to which their texts are compared. At a Jaccard similarity of 0.8 some 39
-#: differ, with a standard deviation of 6.
-WIDE, SURE, DIFFER = 4, 26, 54
+#: Words of 64 bits of a wide fingerprint, and bits up to which two texts are
+#: compared. At a Jaccard similarity of 0.8 some 39 differ, with a standard
+#: deviation of 6.
+WIDE, DIFFER = 4, 54
 
 
 def _digests(text: str | None, shingle: int) -> np.ndarray:
@@ -227,7 +227,10 @@ def op4(docs: DataFrame) -> DataFrame:
 
 def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
     """SimHash of 64 * WIDE bits; the first 64 are those of fingerprint()."""
-    h = _digests(text, shingle)
+    return _wide(_digests(text, shingle))
+
+
+def _wide(h: np.ndarray) -> np.ndarray:
     out = np.zeros(WIDE, dtype=np.uint64)
     for k in range(WIDE if len(h) else 0):
         out[k] = _majority(h)
@@ -238,22 +241,23 @@ def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, f0, f1, ...) as signed longs, one row per row of docs."""
+    """(doc_id, f0, f1, ..., key) as signed longs, one row per row of docs; key
+    is a digest of the set of shingles."""
     names = [f"f{k}" for k in range(WIDE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches):
-            fp = np.array([wide_fingerprint(t, shingle) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WIDE))], ["doc_id", *names])
+            grams = [_digests(t, shingle) for t in b.column("text").to_pylist()]
+            fp = np.array([[*_wide(h), xxhash.xxh64_intdigest(np.unique(h).tobytes())] for h in grams], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WIDE + 1))], ["doc_id", *names, "key"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in names))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in (*names, "key")))
 
 
-def wide_links(reps: DataFrame, radius: int = 1, sure: int = SURE, differ: int = DIFFER) -> DataFrame:
-    """Edges (a, b, null, ...) that connect the distinct fingerprints of reps(f0,
-    ..., rep) that share an anchor and differ in ``sure`` of all bits at most;
-    and rows (a, null, anchor, f0, ...) of those that have a partner of up to
-    ``differ`` bits at that anchor, which need a comparison of the texts there.
+def wide_links(reps: DataFrame, radius: int = 1, differ: int = DIFFER) -> DataFrame:
+    """Rows (anchor, node, f0, ...) of those of reps(f0, ..., rep), with rep as the
+    node, that have a partner of up to ``differ`` bits at that anchor, equal ones
+    included: they need a comparison of the texts there.
 
     Low and high 46 bits of each word are covered apart, with anchors of their
     own. Pairs within ``radius`` bits in any of these share an anchor for sure,
@@ -274,11 +278,9 @@ def wide_links(reps: DataFrame, radius: int = 1, sure: int = SURE, differ: int =
         held: list[np.ndarray] | None = None
 
         def found(anchor: np.ndarray, rep: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
-            x, y, unsure = _stars(anchor, np.stack(words, axis=1), rep, np.ones(len(anchor), dtype=bool), sure, differ)
-            none = lambda n, kind: pa.nulls(n, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), none(len(x), pa.int32()), *(none(len(x), pa.int64()) for _ in names)], ["a", "b", "anchor", *names])
-            n = int(unsure.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(rep[unsure]), none(n, pa.int64()), pa.array(anchor[unsure]), *(pa.array(w[unsure]) for w in words)], ["a", "b", "anchor", *names])
+            # a radius of -1: no bits are a link
+            _, _, unsure = _stars(anchor, np.stack(words, axis=1), rep, np.ones(len(anchor), dtype=bool), -1, differ)
+            yield pa.RecordBatch.from_arrays([pa.array(x[unsure]) for x in (anchor, rep, *words)], ["anchor", "node", *names])
 
         for b in batches:
             if not b.num_rows:
@@ -294,7 +296,7 @@ def wide_links(reps: DataFrame, radius: int = 1, sure: int = SURE, differ: int =
             yield from found(*held)
 
     sent = reps.mapInArrow(send, "anchor int, rep long, " + ", ".join(f"{k} long" for k in names))
-    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long, anchor int, " + ", ".join(f"{k} long" for k in names))
+    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "anchor int, node long, " + ", ".join(f"{k} long" for k in names))
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -389,34 +391,29 @@ def alike(doubtful: DataFrame, sets: DataFrame, least: float, differ: int = DIFF
 
 def similar(docs: DataFrame, shingle: int = 5, radius: int = 1, least: float = 0.8) -> DataFrame:
     """(doc_id, f0, ..., component_id) for every row of docs: as near_duplicates(),
-    but linked at a Jaccard similarity of ``least`` or more. Wide fingerprints
-    tell the pairs far from it; the others are compared by their shingles, unless
-    sure links connect them already."""
+    but linked at a Jaccard similarity of ``least`` or more. Rows with the same
+    shingles are one; of the others, wide fingerprints tell the pairs far from
+    it, and all that are left are compared by their shingles."""
     names = [f"f{k}" for k in range(WIDE)]
     fps = materialize(wide_fingerprints(docs, shingle))
-    reps = fps.groupBy(*names).agg(F.min("doc_id").alias("rep"))
-    found = materialize(wide_links(reps.where("rep is not null"), radius))
-    sure = found.where("b is not null").select("a", "b")
-    label = components(sure)
-    doubtful = found.where("b is null").select("anchor", F.col("a").alias("node"), *names)
-    if not doubtful.isEmpty():
-        sets = sets_of(doubtful.select(F.col("node").alias("doc_id")).distinct(), docs, shingle)
-        about = set_bytes(sets).join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "bytes")
-        known = materialize(doubtful.join(about, "node", "left"))  # read twice below
-        label = components(sure.unionByName(alike(known, sets, least)))
-    named = reps.join(label, reps["rep"] == label["node"], "left").select(*names, F.coalesce("label", "rep").alias("component_id"))
-    return fps.join(named, names)
+    reps = fps.groupBy(*names, "key").agg(F.min("doc_id").alias("rep"))
+    doubtful = materialize(wide_links(reps.where("rep is not null"), radius))
+    sets = sets_of(doubtful.select(F.col("node").alias("doc_id")).distinct(), docs, shingle)
+    known = materialize(doubtful.withColumn("label", F.col("node")).join(set_bytes(sets), "node", "left"))  # read twice below
+    label = components(alike(known, sets, least))
+    named = reps.join(label, reps["rep"] == label["node"], "left").select(*names, "key", F.coalesce("label", "rep").alias("component_id"))
+    return fps.join(named, [*names, "key"])
 
 
 def stage(docs: DataFrame, shingle: int = 5, radius: int = 1, least: float = 0.8) -> DataFrame:
     """docs with one row of each group of near duplicates: the smallest doc_id's.
 
     Of rows with an equal smallest doc_id one stays. Rows without doc_id stay
-    only where no row with one has their fingerprint, one for each fingerprint.
+    only where no row with one has their shingles, one for each set of these.
     Rows meet by doc_id, so only they and their fingerprints move, and the
     texts once.
     """
-    names = [f"f{k}" for k in range(WIDE)]
+    names = [*(f"f{k}" for k in range(WIDE)), "key"]
     found = materialize(similar(docs, shingle, radius, least))
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
     own = docs.columns

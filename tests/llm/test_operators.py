@@ -344,3 +344,14 @@ def test_simhash_alike_over_blocks(spark):
         for a, b in edges:
             got = {i: min(got[a], got[b]) if x in (got[a], got[b]) else x for i, x in got.items()}
         assert got == want and len(set(want.values())) < len(want)
+
+
+def test_simhash_bits_alone_link_nothing(spark):
+    """Different texts under one dominant repeated line stay, whatever their bits say."""
+    rng = np.random.default_rng(7)
+    line = " ".join(f"line{x}" for x in range(21))
+    rows = [(k, " ".join([*(f"w{x}" for x in rng.integers(0, 100_000, 200)), *[line] * 50])) for k in range(12)]
+    d = spark.createDataFrame([*rows, (20, rows[3][1])], "doc_id long, text string")
+    assert sorted(r[0] for r in simhash.stage(d).select("doc_id").collect()) == list(range(12))
+    reps = spark.createDataFrame([(1, 2, 3, 4, 10), (1, 2, 3, 4, 11), (-1, -1, -1, -1, 12)], ", ".join(f"f{k} long" for k in range(simhash.WIDE)) + ", rep long")
+    assert {r["node"] for r in simhash.wide_links(reps).collect()} == {10, 11}
