@@ -226,8 +226,9 @@ def op4(docs: DataFrame) -> DataFrame:
 
 
 def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
-    """SimHash of 64 * WIDE bits; the first 64 are those of fingerprint()."""
-    return _wide(_digests(text, shingle))
+    """SimHash of 64 * WIDE bits over the distinct shingles, so that the bits
+    follow the Jaccard similarity of the sets, whatever is repeated."""
+    return _wide(np.unique(_digests(text, shingle)))
 
 
 def _wide(h: np.ndarray) -> np.ndarray:
@@ -247,8 +248,8 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches):
-            grams = [_digests(t, shingle) for t in b.column("text").to_pylist()]
-            fp = np.array([[*_wide(h), xxhash.xxh64_intdigest(np.unique(h).tobytes())] for h in grams], dtype=np.uint64).view(np.int64)
+            grams = [np.unique(_digests(t, shingle)) for t in b.column("text").to_pylist()]
+            fp = np.array([[*_wide(h), xxhash.xxh64_intdigest(h.tobytes())] for h in grams], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WIDE + 1))], ["doc_id", *names, "key"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in (*names, "key")))

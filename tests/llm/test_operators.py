@@ -355,3 +355,16 @@ def test_simhash_bits_alone_link_nothing(spark):
     assert sorted(r[0] for r in simhash.stage(d).select("doc_id").collect()) == list(range(12))
     reps = spark.createDataFrame([(1, 2, 3, 4, 10), (1, 2, 3, 4, 11), (-1, -1, -1, -1, 12)], ", ".join(f"f{k} long" for k in range(simhash.WIDE)) + ", rep long")
     assert {r["node"] for r in simhash.wide_links(reps).collect()} == {10, 11}
+
+
+def test_simhash_repeats_do_not_hide_copies(spark):
+    """A copy that repeats one line has nearly the same shingles, and goes."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 100_000, 400)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + words[100:115] * (5, 10, 20)[k % 3]))]
+    bits = [sum((int(x) ^ int(y)).bit_count() for x, y in zip(*(simhash.wide_fingerprint(t, 5) for _, t in rows[k : k + 2]), strict=True)) for k in range(0, 24, 2)]
+    assert max(bits) <= simhash.DIFFER
+    kept = sorted(r[0] for r in simhash.stage(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect())
+    assert kept == list(range(0, 24, 2))
