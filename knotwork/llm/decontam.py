@@ -1,6 +1,8 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into overlapping segments. A stretch of a document
+Benchmark items are cut into overlapping segments, each ``edits`` + 1 characters
+after the last, so that of any excerpt of segment - edits characters or more one
+segment lacks no more than ``edits`` characters. A stretch of a document
 within ``edits`` edits of a segment of m characters shares m - q + 1 - q *
 edits character q-grams with it, all on diagonals that lie at most ``edits``
 apart. Shared q-grams are counted in overlapping bands of diagonals, bands
@@ -74,8 +76,7 @@ class Index:
     chars: np.ndarray
     keys: np.ndarray  # sorted distinct gram hashes
     first: np.ndarray  # bounds of each key's entries
-    segment: np.ndarray  # of each entry
-    offset: np.ndarray  # of each entry within its segment
+    position: np.ndarray  # of each entry in chars; the segments that hold it follow from their bounds
     filter: np.ndarray  # which upper hash bits occur
 
     @property
@@ -87,7 +88,8 @@ def build(items: list[tuple[int, str | None]], q: int = Q, segment: int = SEGMEN
     """Items that have fewer than q characters are left out: no q-gram tells
     them. An item of at most ``segment`` characters is one segment."""
     chars, bounds = normal([t for _, t in items])
-    own, start, length = [], [], []
+    own, start, length, spans = [], [], [], []
+    step = min(int(segment * rate), (segment - q) // q) + 1
     for (item, _), lo, hi in zip(items, bounds[:-1], bounds[1:] - 1, strict=True):
         while lo < hi and chars[lo] == 32:
             lo += 1
@@ -95,21 +97,21 @@ def build(items: list[tuple[int, str | None]], q: int = Q, segment: int = SEGMEN
             hi -= 1
         if hi - lo < q:
             continue
-        at = [lo] if hi - lo <= segment else [*range(lo, hi - segment, segment // 2), hi - segment]
+        at = [lo] if hi - lo <= segment else [*range(lo, hi - segment, step), hi - segment]
+        spans.append((lo, hi - lo - q + 1))
         own += [item] * len(at)
         start += at
         length += [min(segment, hi - lo)] * len(at)
     m, s = np.array(length, dtype=np.int64), np.array(start, dtype=np.int64)
     h = grams(chars, q)
-    n = m - q + 1
-    seg = np.repeat(np.arange(len(m)), n)
-    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    key = h[s[seg] + off] if len(seg) else np.zeros(0, dtype=np.uint64)
+    lo, n = np.array(spans, dtype=np.int64).reshape(-1, 2).T
+    at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+    key = h[at] if len(at) else np.zeros(0, dtype=np.uint64)
     order = np.argsort(key, kind="stable")
     keys, first = np.unique(key[order], return_index=True)
     seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
     seen[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Index(q, np.array(own, dtype=np.int64), s, m, np.minimum((m * rate).astype(np.int64), (m - q) // q), chars, keys, np.r_[first, len(key)].astype(np.int64), seg[order], off[order], seen)
+    return Index(q, np.array(own, dtype=np.int64), s, m, np.minimum((m * rate).astype(np.int64), (m - q) // q), chars, keys, np.r_[first, len(key)].astype(np.int64), at[order], seen)
 
 
 def _aligned(cp: np.ndarray, ix: Index, seg: np.ndarray, at: np.ndarray, band: np.ndarray) -> np.ndarray:
@@ -159,7 +161,11 @@ def search(ix: Index, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     p, k = p[exact], k[exact]
     n = ix.first[k + 1] - ix.first[k]
     entry = np.repeat(ix.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    seg, diagonal = ix.segment[entry], np.repeat(p, n) - ix.offset[entry]
+    position, p = ix.position[entry], np.repeat(p, n)
+    low = np.searchsorted(ix.start + ix.length - ix.q, position)
+    n = np.searchsorted(ix.start, position, "right") - low
+    seg = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+    diagonal = np.repeat(p - position, n) + ix.start[seg]
     wide = ix.edits[seg] + 1
     low = np.floor_divide(diagonal, wide)
     # bands of two widths, each starting one width after the last
@@ -197,7 +203,7 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, segment: int = SEGME
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shipped.value
-        for b in bounded(batches, 4 << 20):
+        for b in bounded(batches, 1 << 20):
             doc, seg = search(index, b.column("text").cast(pa.string()).to_pylist())
             hits: dict[int, set[int]] = {}
             for d, s in zip(doc.tolist(), seg.tolist(), strict=True):

@@ -368,3 +368,20 @@ def test_simhash_repeats_do_not_hide_copies(spark):
     assert max(bits) <= simhash.DIFFER
     kept = sorted(r[0] for r in simhash.stage(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect())
     assert kept == list(range(0, 24, 2))
+
+
+def test_decontamination_finds_excerpts_anywhere():
+    """Verbatim excerpts of 59 characters or more, wherever they lie in the item."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    long, short = (" ".join(word() for _ in range(n)) for n in (60, 8))
+    ix = decontam.build([(1, long), (2, short), (3, "tiny"), (4, long[:64])])
+    around = [" ".join(word() for _ in range(40)) for _ in range(2)]
+    for size in (59, 60, 64, 78):
+        texts = [f"{around[0]} {long[at : at + size]} {around[1]}" for at in range(len(long) - size + 1)]
+        doc, seg = decontam.search(ix, texts)
+        lost = set(range(len(texts))) - set(doc[ix.items[seg] == 1].tolist())
+        # an excerpt that begins or ends in a space has a character less
+        assert not {at for at in lost if size > 61 or (long[at] != " " and long[at + size - 1] != " ")}
+    doc, seg = decontam.search(ix, [around[0], f"{around[0]} {short} {around[1]}"])
+    assert {(int(d), int(ix.items[s])) for d, s in zip(doc, seg, strict=True)} == {(1, 2)}
