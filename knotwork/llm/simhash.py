@@ -379,8 +379,12 @@ def alike(doubtful: DataFrame, sets: DataFrame, least: float, differ: int = DIFF
         if len(rows) > 1:
             yield found()
 
-    anchors = doubtful.groupBy("anchor").agg(F.sum("bytes").alias("bytes"), F.min("label").alias("least"), F.max("label").alias("most"))
-    anchors = anchors.where("least <> most").select("anchor", F.ceil(F.col("bytes") / block).cast("int").alias("n"))
+    # near rows share many anchors: of those with the very same rows one is enough
+    hashed = F.xxhash64("node")
+    same = [F.count("*").alias("rows"), F.min("node").alias("first"), F.bit_xor(hashed).alias("digest"), F.sum(F.pmod(hashed, F.lit(1 << 40))).alias("total")]
+    anchors = doubtful.groupBy("anchor").agg(F.sum("bytes").alias("bytes"), F.min("label").alias("least"), F.max("label").alias("most"), *same)
+    anchors = anchors.where("least <> most").groupBy("rows", "first", "digest", "total").agg(F.min("anchor").alias("anchor"), F.max("bytes").alias("bytes"))
+    anchors = anchors.select("anchor", F.ceil(F.col("bytes") / block).cast("int").alias("n"))
     dealt = doubtful.join(anchors, "anchor").withColumn("side", F.pmod(F.xxhash64("node"), "n").cast("int"))
     # a lone block meets itself; of several, each two meet, and a block's own pairs are looked at in groups (k, k)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(

@@ -355,6 +355,12 @@ def test_simhash_bits_alone_link_nothing(spark):
     assert sorted(r[0] for r in simhash.stage(d).select("doc_id").collect()) == list(range(12))
     reps = spark.createDataFrame([(1, 2, 3, 4, 10), (1, 2, 3, 4, 11), (-1, -1, -1, -1, 12)], ", ".join(f"f{k} long" for k in range(simhash.WIDE)) + ", rep long")
     assert {r["node"] for r in simhash.wide_links(reps).collect()} == {10, 11}
+    # two of three anchors hold the same rows, and the third one more
+    fps = [f"0L AS f{k}" for k in range(simhash.WIDE)]
+    doubtful = spark.createDataFrame([(1, 0), (1, 20), (2, 0), (2, 20), (3, 0), (3, 3), (3, 20)], "anchor int, node long").selectExpr("*", "node AS label", "600L AS bytes", *fps)
+    d = spark.createDataFrame([(0, rows[3][1]), rows[3], (20, rows[3][1])], d.schema)
+    edges = [set(e) for e in simhash.alike(doubtful, simhash.shingle_sets(d, 5), 0.8).collect()]
+    assert len(edges) == 3 and {0, 20} in edges and set.union(*edges) == {0, 3, 20}
 
 
 def test_simhash_repeats_do_not_hide_copies(spark):
