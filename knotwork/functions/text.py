@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: common English words left out of vocabularies.
-STOP_WORDS = "a an and are as at be by for from has in is it its of on or that the this to was were will with we our using via based".split()
+from ..operators.layout import global_rank
+from ..storage import materialize
+
+#: English words left out of vocabularies.
+STOP_WORDS = (
+    "a an the of in on at to for with by from as and or but is are was were be been being this that these those it its we "
+    "our you your they their he she his her not no so than then if into via using based towards toward"
+).split()
 
 
 def tokenize(text: Column, stop_words: list[str] | None = None) -> Column:
@@ -28,16 +34,17 @@ def document_frequency(docs: DataFrame, text: str, least: int = 2) -> DataFrame:
 
 def vocabulary(docs: DataFrame, text: str, least: int = 2) -> DataFrame:
     """(term, term_id): 1-based ids in the order of terms."""
-    from ..operators.layout import global_rank
-
     terms = document_frequency(docs, text, least).select("term")
     return global_rank(terms, [F.col("term")], "r").select("term", (F.col("r") + 1).alias("term_id"))
 
 
 def document_terms(docs: DataFrame, key: str, text: str, least: int = 2) -> DataFrame:
-    """(key, term_id) edges over the vocabulary."""
-    words = docs.select(key, F.explode(tokenize(F.col(text))).alias("term"))
-    return words.join(vocabulary(docs, text, least), "term").select(key, "term_id")
+    """(key, term_id) edges over the vocabulary. Tokens are made once: their counts
+    and ids come from the same written rows."""
+    words = materialize(docs.select(key, F.explode(tokenize(F.col(text))).alias("term")))
+    kept = words.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least).select("term")
+    ids = global_rank(kept, [F.col("term")], "r").select("term", (F.col("r") + 1).alias("term_id"))
+    return words.join(ids, "term").select(key, "term_id")
 
 
 def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:

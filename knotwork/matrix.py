@@ -6,29 +6,61 @@ add up. Ids are 0-based longs and values doubles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COO = "i long, j long, v double"
 
 
+class Extent:
+    """A number of rows or columns that is found when it is first asked for."""
+
+    def __init__(self, find: Callable[[], int]):
+        self._find, self._value = find, None
+
+    def __int__(self) -> int:
+        if self._value is None:
+            self._value = int(self._find())
+        return self._value
+
+
+def larger(*extents: int | Extent) -> int | Extent:
+    if all(isinstance(x, int) for x in extents):
+        return max(extents)
+    return extents[0] if all(x is extents[0] for x in extents) else Extent(lambda: max(map(int, extents)))
+
+
 @dataclass(frozen=True)
 class SparseMatrix:
     df: DataFrame
-    n_rows: int
-    n_cols: int
+    rows: int | Extent
+    cols: int | Extent
+
+    @property
+    def n_rows(self) -> int:
+        return int(self.rows)
+
+    @property
+    def n_cols(self) -> int:
+        return int(self.cols)
 
     @staticmethod
-    def of(df: DataFrame, i: str, j: str, v: str | None = None, n_rows: int | None = None, n_cols: int | None = None) -> SparseMatrix:
+    def of(df: DataFrame, i: str, j: str, v: str | None = None, n_rows: int | None = None, n_cols: int | None = None, bounds: DataFrame | None = None) -> SparseMatrix:
         """Entries from columns of any DataFrame; without a shape, one past the
-        largest ids (a single aggregation)."""
+        largest ids, found by one aggregation when a shape is first needed. bounds
+        is a frame with the same largest ids that is cheaper to read, if there is one."""
         coo = df.select(F.col(i).cast("long").alias("i"), F.col(j).cast("long").alias("j"), (F.col(v).cast("double") if v else F.lit(1.0)).alias("v"))
-        if n_rows is None or n_cols is None:
-            a, b = coo.agg(F.coalesce(F.max("i") + 1, F.lit(0)), F.coalesce(F.max("j") + 1, F.lit(0))).first()
-            n_rows, n_cols = (a if n_rows is None else n_rows), (b if n_cols is None else n_cols)
-        return SparseMatrix(coo, n_rows, n_cols)
+        frame, held = df if bounds is None else bounds, []
+
+        def end(k: int) -> int:
+            if not held:
+                held.append(frame.agg(*(F.coalesce(F.max(F.col(c).cast("long")) + 1, F.lit(0)) for c in (i, j))).first())
+            return held[0][k]
+
+        return SparseMatrix(coo, Extent(lambda: end(0)) if n_rows is None else n_rows, Extent(lambda: end(1)) if n_cols is None else n_cols)
 
     @staticmethod
     def from_entries(spark: SparkSession, entries: list[tuple], n_rows: int, n_cols: int) -> SparseMatrix:
@@ -43,7 +75,7 @@ class SparseMatrix:
         return self.with_df(self.df.select("i", "j", F.lit(1.0).alias("v")))
 
     def transpose(self) -> SparseMatrix:
-        return SparseMatrix(self.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), self.n_cols, self.n_rows)
+        return SparseMatrix(self.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), self.cols, self.rows)
 
     def drop_zeros(self) -> SparseMatrix:
         return self.with_df(self.df.where("v <> 0"))
@@ -71,7 +103,7 @@ class SparseMatrix:
     def symmetrize(self) -> SparseMatrix:
         """Pattern of the matrix and its transpose together, no diagonal."""
         both = self.df.select("i", "j").union(self.df.select("j", "i")).where("i <> j").distinct()
-        n = max(self.n_rows, self.n_cols)
+        n = larger(self.rows, self.cols)
         return SparseMatrix(both.withColumn("v", F.lit(1.0)), n, n)
 
     def to_csr(self) -> DataFrame:
@@ -104,19 +136,23 @@ class SparseMatrix:
         per = -(-self.n_rows // parts) if self.n_rows else 1
         return self.df.withColumn("part", F.floor(F.col("i") / per))
 
-    def ref(self, rows: DataFrame | None = None, cols: DataFrame | None = None, renumber: str = "both") -> SparseMatrix:
+    def ref(self, rows: DataFrame | None = None, cols: DataFrame | None = None, renumber: str = "both", repeats: bool = False) -> SparseMatrix:
         """Submatrix of rows(id) and cols(id). renumber: none, cols or both; ids
-        are then ranks in ascending order. Repeated ids count once."""
-        df, shape = self.df, [self.n_rows, self.n_cols]
+        are then ranks in ascending order. Repeated ids count once, or with
+        repeats as often as they are given."""
+        df, shape = self.df, [self.rows, self.cols]
         for axis, (name, ids) in enumerate((("i", rows), ("j", cols))):
             if ids is None:
                 continue
+            given = ids.select(F.col("id").alias(name))
             if renumber == "both" or (renumber == "cols" and name == "j"):
                 own = dense_ids(ids, "id").select(F.col("id").alias(name), "rank")
-                df = df.join(own, name).withColumn(name, F.col("rank")).drop("rank").select("i", "j", "v")
-                shape[axis] = own.count()
+                df = df.join(own if not repeats else own.join(given, name), name).withColumn(name, F.col("rank")).drop("rank").select("i", "j", "v")
+                shape[axis] = Extent(own.count)
+            elif repeats:
+                df = df.join(given, name).select("i", "j", "v")
             else:
-                df = df.join(ids.select(F.col("id").alias(name)).distinct(), name, "left_semi").select("i", "j", "v")
+                df = df.join(given.distinct(), name, "left_semi").select("i", "j", "v")
         return SparseMatrix(df, *shape)
 
     def checksum(self) -> DataFrame:
@@ -127,10 +163,10 @@ class SparseMatrix:
         """Entries outside the shape; none in a valid matrix."""
         return self.df.where((F.col("i") < 0) | (F.col("i") >= self.n_rows) | (F.col("j") < 0) | (F.col("j") >= self.n_cols))
 
-    def unsorted(self) -> DataFrame:
-        """Rows of the row view whose columns aren't strictly ascending; only repeats can cause them."""
-        w = Window.partitionBy("i").orderBy("j")
-        return self.df.withColumn("before", F.lag("j").over(w)).where("before >= j")
+    @staticmethod
+    def unsorted(csr: DataFrame) -> DataFrame:
+        """Rows of a row view whose entries, as they stand, aren't in ascending order."""
+        return csr.where(F.col("entries") != F.array_sort("entries"))
 
 
 def dense_ids(df: DataFrame, column: str) -> DataFrame:

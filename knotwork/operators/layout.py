@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to this many rows a scan may use one window; beyond it goes by two levels.
-ONE_WINDOW = 1_000_000
+from ..storage import materialize
+
+#: Thresholds, of 8 bytes each, up to which they are broadcast.
+FEW = 100_000
 
 
 def _ordered_parts(df: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
-    """df dealt by ranges of order, with the range's number as _part."""
+    """df dealt by ranges of order, with the range's number as _part. Written
+    once, so that a row's range never changes between two looks at it."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    return materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
 
 
 def _offsets(parts: DataFrame, value: Column) -> DataFrame:
@@ -27,7 +30,7 @@ def exclusive_scan(df: DataFrame, order: str, value: str, name: str = "prefix")
     Two levels: sums within ranges of the order, and sums of ranges (one row
     for each), so no task sees more than its range.
     """
-    held = _ordered_parts(df, [F.col(order)]).persist()
+    held = _ordered_parts(df, [F.col(order)])
     w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inner = held.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0)))
     return inner.join(F.broadcast(_offsets(held, F.sum(value))), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
@@ -35,14 +38,34 @@ def exclusive_scan(df: DataFrame, order: str, value: str, name: str = "prefix")
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with 0-based places in the given order, ties broken arbitrarily."""
-    held = _ordered_parts(df, order).persist()
+    held = _ordered_parts(df, order)
     inner = held.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     return inner.join(F.broadcast(_offsets(held, F.count("*"))), "_part").withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before")
 
 
+def magnitude_scan(hist: DataFrame, x: str, descending: bool, **sums: Column) -> DataFrame:
+    """hist (one row for each value of x >= 0) with sums over the rows before, in
+    the order of x. Values are dealt by magnitude, 32 ranges for each doubling, so
+    no window holds all of them and no sample is taken; ranges are some thousands
+    at most, and their totals are broadcast."""
+    part = F.when(F.col(x) > 0, F.floor(F.log2(F.col(x).cast("double")) * 32)).otherwise(-1_000_000)
+    hist = hist.withColumn("_part", part)
+    way = F.desc if descending else F.asc
+    inside = Window.partitionBy("_part").orderBy(way(x)).rowsBetween(Window.unboundedPreceding, -1)
+    total = hist.groupBy("_part").agg(*(F.sum(c).alias(f"_t_{k}") for k, c in sums.items()))
+    across = Window.orderBy(way("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select("_part", *(F.coalesce(F.sum(f"_t_{k}").over(across), F.lit(0)).alias(f"_t_{k}") for k in sums))
+    hist = hist.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{k}") for k, c in sums.items()))
+    hist = hist.join(F.broadcast(total), "_part")
+    drop = ["_part", *(f"_t_{k}" for k in sums), *(f"_i_{k}" for k in sums)]
+    return hist.withColumns({k: F.col(f"_i_{k}") + F.col(f"_t_{k}") for k in sums}).drop(*drop)
+
+
 def lower_bound(scanned: DataFrame, order: str, value: str, thresholds: DataFrame) -> DataFrame:
     """(t, at): for each of few thresholds(t) the first place whose value is at
     least t, null if there is none. The values ascend with order."""
+    if thresholds.limit(FEW + 1).count() > FEW:
+        raise ValueError(f"more than {FEW} thresholds; join them as ranges instead")
     hit = scanned.join(F.broadcast(thresholds), F.col(value) >= F.col("t"))
     return thresholds.join(hit.groupBy("t").agg(F.min(order).alias("at")), "t", "left")
 
@@ -52,11 +75,28 @@ def balanced_ranges(work: DataFrame, parts: int, weight: str = "flop") -> DataFr
     of about equal weight. A row belongs to the part in which the weight
     before it falls."""
     total = work.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    share = max(-(-total // parts) if isinstance(total, int) else total / parts, 1e-12)
+    share = max(-(-total // parts) if isinstance(total, int) else (total + parts - 1) / parts, 1e-12)
     scanned = exclusive_scan(work, "i", weight, "prefix")
     return scanned.withColumn("part", F.least(F.floor(F.col("prefix") / F.lit(share)), F.lit(parts - 1)).cast("long"))
 
 
+def greedy_blocks(work: DataFrame, blocks: int, weight: str = "flop") -> DataFrame:
+    """work(i, weight) with the block that each row falls in: a block takes rows in
+    order until its weight is more than the whole part of an even share, and the
+    row that does it is its last. Each block's end is found by one pass over the
+    running sums; at most ``blocks`` rows reach the driver."""
+    held = materialize(exclusive_scan(work, "i", weight, "prefix").withColumn("upto", F.col("prefix") + F.col(weight)))
+    total = held.agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]
+    share, ends, start = total // blocks, [], 0
+    while (last := held.where(F.col("upto") > start + share).agg(F.min(F.struct("i", "upto"))).first()[0]) is not None:
+        ends.append(last["i"])
+        start = last["upto"]
+    block = F.lit(0)
+    if ends:
+        block = F.size(F.filter(F.lit(ends), lambda e: e < F.col("i")))
+    return held.withColumn("block", block.cast("long")).drop("prefix", "upto")
+
+
 def bin_id(flop: Column, n_cols: int, smallest: int = 8) -> Column:
     """0 for an empty row, else 1 + the least t with min(flop, n_cols) <= smallest * 2^t."""
     size = F.least(flop, F.lit(n_cols))
@@ -92,3 +132,16 @@ def remap_dense(df: DataFrame, *columns: str) -> DataFrame:
 def top_k(df: DataFrame, k: int, by: str, tie: str) -> DataFrame:
     """The k rows with the largest values, ties to the smaller tie column."""
     return df.orderBy(F.desc(by), tie).limit(k)
+
+
+def ordered(df: DataFrame, *columns: str, descending: bool = False) -> DataFrame:
+    """df in the order of columns, ties by all others: triples by (i, j), pairs of key
+    and value by either, up or down."""
+    way = F.desc if descending else F.asc
+    return df.orderBy(*(way(c) for c in columns), *(c for c in df.columns if c not in columns))
+
+
+def sort_dedup(df: DataFrame, *columns: str) -> tuple[DataFrame, int]:
+    """The distinct rows of columns in their order, and how many others were dropped."""
+    kept = df.select(*columns).distinct()
+    return ordered(kept, *columns), df.count() - kept.count()

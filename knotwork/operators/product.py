@@ -28,15 +28,25 @@ def flop_total(a: SparseMatrix, b: SparseMatrix) -> int:
     return da.join(db, "k").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0))).first()[0]
 
 
-def guard_flop(a: SparseMatrix, b: SparseMatrix, most: int) -> int:
+#: Multiplications from which a guarded product is refused.
+MOST_FLOP = 200_000_000
+
+
+def guard_flop(a: SparseMatrix, b: SparseMatrix, most: int = MOST_FLOP) -> int:
     n = flop_total(a, b)
     if n > most:
         raise ValueError(f"the product takes {n} multiplications; the limit is {most}")
     return n
 
 
+def get_flop(a: SparseMatrix, b: SparseMatrix) -> int:
+    """Multiplications and additions: twice the rows of the join."""
+    return 2 * flop_total(a, b)
+
+
 def _joined(a: SparseMatrix, b: SparseMatrix, hint: str | None) -> DataFrame:
-    if a.n_cols != b.n_rows:
+    # the same extent, known or not, always fits
+    if a.cols is not b.rows and a.n_cols != b.n_rows:
         raise ValueError(f"shapes {a.n_rows}x{a.n_cols} and {b.n_rows}x{b.n_cols} don't fit")
     left = a.df.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
     right = b.df.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
@@ -53,10 +63,10 @@ def spgemm(a: SparseMatrix, b: SparseMatrix, mul: Callable = times, add: Callabl
     if most is not None:
         guard_flop(a, b, most)
     df = _joined(a, b, hint).groupBy("i", "j").agg(add(mul(F.col("x"), F.col("y"))).cast("double").alias("v"))
-    return SparseMatrix(df, a.n_rows, b.n_cols)
+    return SparseMatrix(df, a.rows, b.cols)
 
 
-def salted_spgemm(a: SparseMatrix, b: SparseMatrix, salts: int = 16, hot: float = 1e-3) -> SparseMatrix:
+def salted_spgemm(a: SparseMatrix, b: SparseMatrix, salts: int = 16, hot: float = 1e-3, mul: Callable = times, add: Callable = F.sum) -> SparseMatrix:
     """a * b for skewed inner ids: entries of a at ids that hold more than the
     share hot of them are dealt over salts, and b's rows of these ids copied."""
     n = a.df.count()
@@ -66,16 +76,17 @@ def salted_spgemm(a: SparseMatrix, b: SparseMatrix, salts: int = 16, hot: float
     left = left.withColumn("s", F.when(F.col("_hot"), F.pmod(F.xxhash64("i"), F.lit(salts))).otherwise(0)).drop("_hot")
     right = b.df.select(F.col("i").alias("k"), "j", F.col("v").alias("y")).join(busy, "k", "left")
     right = right.withColumn("s", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("_hot")
-    df = left.join(right, ["k", "s"]).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-    return SparseMatrix(df, a.n_rows, b.n_cols)
+    df = left.join(right, ["k", "s"]).groupBy("i", "j").agg(add(mul(F.col("x"), F.col("y"))).cast("double").alias("v"))
+    return SparseMatrix(df, a.rows, b.cols)
 
 
-def gram(a: SparseMatrix, upper_only: bool = False) -> SparseMatrix:
-    """a * transpose(a). Only i <= j is computed, and mirrored unless upper_only."""
-    df = _joined(a, a.transpose(), None).where("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+def gram(a: SparseMatrix, upper_only: bool = False, mul: Callable = times, add: Callable = F.sum) -> SparseMatrix:
+    """a * transpose(a) for a mul that doesn't care for sides. Only i <= j is
+    computed, and mirrored unless upper_only."""
+    df = _joined(a, a.transpose(), None).where("i <= j").groupBy("i", "j").agg(add(mul(F.col("x"), F.col("y"))).cast("double").alias("v"))
     if not upper_only:
         df = df.select(F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))).alias("p"), "v").select("p.*", "v")
-    return SparseMatrix(df, a.n_rows, a.n_rows)
+    return SparseMatrix(df, a.rows, a.rows)
 
 
 def join_project(a: SparseMatrix, b: SparseMatrix, hint: str | None = None) -> DataFrame:
@@ -90,18 +101,22 @@ def join_aggregate(a: SparseMatrix, b: SparseMatrix, partitioned: bool = True) -
     return spgemm(a, b, hint="shuffle_hash" if partitioned else "broadcast")
 
 
-def masked_product(a: SparseMatrix, b: SparseMatrix, mask: SparseMatrix) -> SparseMatrix:
-    """Entries of a * b at places of mask; the mask cuts the join's rows before they are added."""
+def masked_product(a: SparseMatrix, b: SparseMatrix, mask: SparseMatrix, mul: Callable = times, add: Callable = F.sum) -> SparseMatrix:
+    """Entries of a * b at places of mask. Each place takes its row of a, and that
+    meets its column of b on both ids, so the work is that of the places' rows
+    and not of the whole product."""
     wanted = mask.df.select("i", "j").distinct()
-    df = _joined(a, b, None).join(wanted, ["i", "j"], "left_semi").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-    return SparseMatrix(df, a.n_rows, b.n_cols)
+    left = wanted.join(a.df.select("i", F.col("j").alias("k"), F.col("v").alias("x")), "i")
+    right = b.df.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
+    df = left.join(right, ["k", "j"]).groupBy("i", "j").agg(add(mul(F.col("x"), F.col("y"))).cast("double").alias("v"))
+    return SparseMatrix(df, a.rows, b.cols)
 
 
 def spmv(a: SparseMatrix, x: DataFrame | float, dense: bool = False) -> DataFrame:
     """(i, v) of a * x for x(j, v) or a constant vector. dense adds rows that come out empty."""
     if isinstance(x, DataFrame):
         x = x.select("j", F.col("v").alias("x"))
-        if a.n_cols <= SMALL:
+        if x.limit(SMALL + 1).count() <= SMALL:
             x = F.broadcast(x)
         got = a.df.join(x, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
     else:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
-from .layout import bin_id, global_rank
+from ..storage import materialize
+from .layout import bin_id, global_rank, magnitude_scan
 
 
 def flop_per_row(a: SparseMatrix, b: SparseMatrix) -> DataFrame:
@@ -24,8 +25,12 @@ def nnz_per_row(a: SparseMatrix, b: SparseMatrix, exact: bool = True) -> DataFra
 
 
 def compression_factor(a: SparseMatrix, b: SparseMatrix) -> DataFrame:
-    """(i, flop, nnz, cf) for all rows of a; cf is flop / nnz, 0 for empty rows."""
-    both = flop_per_row(a, b).join(nnz_per_row(a, b), "i", "left").fillna(0, ["nnz"])
+    """(i, flop, nnz, cf) for all rows of a; cf is flop / nnz, 0 for empty rows.
+    One join gives both numbers: its rows, and its places."""
+    pairs = a.df.select("i", F.col("j").alias("k")).join(b.df.select(F.col("i").alias("k"), "j"), "k")
+    row = pairs.groupBy("i", "j").agg(F.count("*").alias("n")).groupBy("i").agg(F.sum("n").alias("flop"), F.count("*").alias("nnz"))
+    every = a.df.sparkSession.range(a.n_rows).select(F.col("id").alias("i"))
+    both = every.join(row, "i", "left").fillna(0, ["flop", "nnz"])
     return both.withColumn("cf", F.coalesce(F.try_divide("flop", "nnz"), F.lit(0.0)))
 
 
@@ -66,17 +71,73 @@ def row_hotness(a: SparseMatrix, b: SparseMatrix, threshold: float = 1e-4) -> Da
     return hot.join(own, "k", "left").select("k", "refs", "freq", F.coalesce("nnz", F.lit(0)).alias("nnz"))
 
 
+def by_hotness(a: SparseMatrix, b: SparseMatrix, threshold: float = 1e-4) -> DataFrame:
+    """row_hotness() in its order: the most referred to first, then the longest."""
+    return row_hotness(a, b, threshold).orderBy(F.desc("freq"), F.desc("nnz"), "k")
+
+
+def degrees(a: SparseMatrix, axis: str = "i", weighted: bool = False) -> DataFrame:
+    """(axis, degree) for all rows (or columns), 0 where nothing is; weighted adds values."""
+    size = a.n_rows if axis == "i" else a.n_cols
+    every = a.df.sparkSession.range(size).select(F.col("id").alias(axis))
+    own = a.df.groupBy(axis).agg((F.sum("v") if weighted else F.count("*")).alias("degree"))
+    return every.join(own, axis, "left").fillna(0, ["degree"])
+
+
+def shape_report(a: SparseMatrix) -> DataFrame:
+    """One row: shape, entries, entries for each row, multiplications of a times its
+    transpose, largest degrees."""
+    rows = a.df.groupBy("i").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nnz"), F.coalesce(F.max("n"), F.lit(0)).alias("row_deg_max"))
+    cols = a.df.groupBy("j").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("flops_aat"), F.coalesce(F.max("n"), F.lit(0)).alias("col_deg_max"))
+    shape = [F.lit(n).cast("long").alias(k) for n, k in ((a.n_rows, "num_row"), (a.n_cols, "num_col"))]
+    per_row = F.coalesce(F.try_divide("nnz", F.lit(a.n_rows)), F.lit(0.0))
+    return rows.join(F.broadcast(cols)).select(*shape, "nnz", per_row.alias("nnz_per_row"), "flops_aat", "row_deg_max", "col_deg_max")
+
+
 def geomean(value: Column) -> Column:
     return F.exp(F.avg(F.log(value)))
 
 
 # concentration of work(i, x)
-def _ranked(work: DataFrame, x: str) -> DataFrame:
-    """work with its place by x descending (0-based) and the sum up to it."""
+def _skew(work: DataFrame, x: str, heads: tuple[float, ...], masses: tuple[float, ...]) -> DataFrame:
+    """One row: n, total, max, mean, nonzero, crossover, row_frac, mass_frac, gini, and
+    arrays share (mass of the largest rows, by heads) and rows (share of rows
+    for a mass, by masses). Computed on the histogram of x, in ranges of it."""
     hist = work.groupBy(F.col(x).alias("x")).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("x"))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return hist.select("x", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum(F.col("x") * F.col("n")).over(before), F.lit(0)).alias("sum_before"))
+    h = magnitude_scan(hist, "x", True, rows_before=F.col("n"), sum_before=F.col("x") * F.col("n"))
+    s = work.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(x), F.lit(0)).alias("total"), F.max(x).alias("largest"), F.count_if(F.col(x) > 0).alias("nonzero"))
+    h = h.join(F.broadcast(s))
+
+    def prefixes(limit: Column, strict: bool) -> Column:
+        """Rows whose sum up to and with them is at most (below) the limit."""
+        room = (limit - F.col("sum_before")) / F.when(F.col("x") > 0, F.col("x"))
+        whole = (F.ceil(room) - 1) if strict else F.floor(room)
+        inside = F.when(F.col("x") > 0, whole).otherwise(F.when(F.col("sum_before") < limit if strict else F.col("sum_before") <= limit, F.col("n")).otherwise(0))
+        return F.coalesce(F.sum(F.least(F.col("n"), F.greatest(F.lit(0), inside))), F.lit(0))
+
+    def first_rows(k: Column) -> Column:
+        """Sum of the k largest rows."""
+        return F.coalesce(F.sum(F.greatest(F.lit(0), F.least(F.col("n"), k - F.col("rows_before"))) * F.col("x")), F.lit(0))
+
+    total = F.col("total").cast("double")
+    rank_sum = F.col("n") * (F.col("n_rows") - F.col("rows_before")) - F.col("n") * (F.col("n") - 1) / 2  # of ascending places
+    got = h.agg(
+        prefixes(total / 2, False).alias("half"), F.coalesce(F.sum(rank_sum * F.col("x")), F.lit(0.0)).alias("weighted"),
+        F.array(*(first_rows(F.greatest(F.lit(1), F.bround(F.col("n_rows") * f)).cast("long")) for f in heads)).alias("tops"),
+        F.array(*(prefixes(total * m, True) for m in masses)).alias("parts"),
+    )
+    got = s.join(F.broadcast(got))
+    some = F.col("total") > 0
+    k = F.least(F.col("half") + 1, F.col("n_rows"))
+    got = got.select(
+        F.col("n_rows").alias("n"), "total", F.coalesce("largest", F.lit(0)).alias("max"), F.coalesce(F.try_divide("total", "n_rows"), F.lit(0.0)).alias("mean"), "nonzero",
+        F.when(some, k).cast("long").alias("crossover"), F.when(some, k / F.col("n_rows")).alias("row_frac"),
+        F.when(some, F.transform("tops", lambda t: t / F.col("total"))).otherwise(F.array(*(F.lit(0.0) for _ in heads))).alias("share"),
+        F.when(some, F.transform("parts", lambda p: F.least(p + 1, F.col("n_rows")) / F.col("n_rows"))).otherwise(F.array(*(F.lit(0.0) for _ in masses))).alias("rows"),
+        F.when(some, 2 * F.col("weighted") / (F.col("n_rows") * F.col("total")) - (F.col("n_rows") + 1) / F.col("n_rows")).otherwise(0.0).alias("gini"),
+    )
+    # what the crossover's rows hold
+    return got.join(F.broadcast(h.join(F.broadcast(got.select("crossover"))).agg(first_rows(F.col("crossover")).alias("_held")))).withColumn("mass_frac", F.when(F.col("crossover").isNotNull(), F.col("_held") / F.col("total"))).drop("_held")
 
 
 def concentration(work: DataFrame, x: str = "flop", top: float = 0.1, mass: float = 0.5, threads: int = 64) -> DataFrame:
@@ -86,36 +147,35 @@ def concentration(work: DataFrame, x: str = "flop", top: float = 0.1, mass: floa
     more than half, null if nothing); mass_at_top (share of the largest
     max(1, round(n * top)) rows); rows_for_mass (least share of rows with the
     mass); gini; hot (largest row against a fair share of threads);
-    thread_rows (share of rows with 1 / threads of all). Computed on the
-    histogram of x, whose rows are its distinct values.
+    thread_rows (share of rows with 1 / threads of all). All but the crossover
+    are 0 if there is nothing.
     """
-    h = _ranked(work, x)
-    s = work.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(x), F.lit(0)).alias("total"), F.max(x).alias("largest"), F.count_if(F.col(x) > 0).alias("nonzero"))
-    h = h.join(F.broadcast(s))
-    k = F.greatest(F.lit(1), F.bround(F.col("n_rows") * top)).cast("long")
+    got = _skew(work, x, (top,), (mass, 1.0 / threads))
+    hot = F.when(F.col("total") > 0, F.col("max") / (F.col("total") / threads)).otherwise(0.0)
+    return got.select("n", "total", "max", "mean", "nonzero", "crossover", F.col("share")[0].alias("mass_at_top"), F.col("rows")[0].alias("rows_for_mass"), "gini", hot.alias("hot"), F.col("rows")[1].alias("thread_rows"))
 
-    def prefixes(limit: Column, strict: bool) -> Column:
-        """Rows whose sum up to and with them is at most (below) the limit."""
-        room = (limit - F.col("sum_before")) / F.when(F.col("x") > 0, F.col("x"))
-        whole = (F.ceil(room) - 1) if strict else F.floor(room)
-        inside = F.when(F.col("x") > 0, whole).otherwise(F.when(F.col("sum_before") < limit if strict else F.col("sum_before") <= limit, F.col("n")).otherwise(0))
-        return F.sum(F.least(F.col("n"), F.greatest(F.lit(0), inside)))
 
-    taken = F.greatest(F.lit(0), F.least(F.col("n"), k - F.col("rows_before")))
-    rank_sum = F.col("n") * (F.col("n_rows") - F.col("rows_before")) - F.col("n") * (F.col("n") - 1) / 2  # of ascending places
-    total = F.col("total").cast("double")
-    got = h.groupBy("n_rows", "total", "largest", "nonzero").agg(
-        prefixes(total / 2, False).alias("half"), F.sum(taken * F.col("x")).alias("top_sum"), prefixes(total * mass, True).alias("mass_rows"),
-        prefixes(total / threads, True).alias("fair_rows"), F.sum(rank_sum * F.col("x")).alias("weighted"),
-    )
+#: Head shares and masses that analyse() reports.
+HEADS, MASSES = (0.001, 0.01, 0.05, 0.1, 0.2), (0.5, 0.8, 0.9, 0.99)
+
+
+def analyse(work: DataFrame, x: str = "flop", threads: int = 64, heads: tuple[float, ...] = HEADS, masses: tuple[float, ...] = MASSES) -> DataFrame:
+    """One row with all of it: n, sum, max, mean, nonzero, gini, crossover_k (0 if
+    there is nothing) with its shares of rows and mass, top{f}pct_share for each
+    head, rows_for_{m}pct for each mass, the bound by threads, and the power
+    law's alpha, alpha_xmin, alpha_ks and alpha_ntail (null without a fit)."""
+    got = _skew(work, x, heads, (*masses, 1.0 / threads))
     some = F.col("total") > 0
-    upto = lambda c: F.least(F.col(c) + 1, F.col("n_rows"))
+    fit = powerlaw_fit(work, x) or {}
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
     return got.select(
-        F.col("n_rows").alias("n"), "total", F.col("largest").alias("max"), (F.col("total") / F.col("n_rows")).alias("mean"), "nonzero",
-        F.when(some, upto("half")).cast("long").alias("crossover"), F.when(some, F.col("top_sum") / F.col("total")).alias("mass_at_top"),
-        F.when(some, upto("mass_rows") / F.col("n_rows")).alias("rows_for_mass"),
-        F.when(some, 2 * F.col("weighted") / (F.col("n_rows") * F.col("total")) - (F.col("n_rows") + 1) / F.col("n_rows")).otherwise(0.0).alias("gini"),
-        F.when(some, F.col("largest") / (F.col("total") / threads)).alias("hot"), F.when(some, upto("fair_rows") / F.col("n_rows")).alias("thread_rows"),
+        "n", F.col("total").cast("double").alias("sum"), "max", "mean", "nonzero", "gini", F.coalesce("crossover", F.lit(0)).alias("crossover_k"),
+        zero("row_frac").alias("crossover_row_frac"), zero("mass_frac").alias("crossover_mass_frac"),
+        *(F.col("share")[k].alias(f"top{f * 100:g}pct_share".replace(".", "_")) for k, f in enumerate(heads)),
+        *(F.col("rows")[k].alias(f"rows_for_{int(m * 100)}pct") for k, m in enumerate(masses)),
+        F.when(some, F.col("total") / threads).otherwise(0.0).alias("thread_fair_share"), F.when(some, F.col("max") / (F.col("total") / threads)).otherwise(0.0).alias("hot_row_vs_thread"),
+        F.col("rows")[len(masses)].alias("rows_for_one_thread"),
+        *(F.lit(fit.get(k)).cast("long" if k == "tail" else "double").alias(name) for k, name in (("alpha", "alpha"), ("xmin", "alpha_xmin"), ("ks", "alpha_ks"), ("tail", "alpha_ntail"))),
     )
 
 
@@ -126,30 +186,38 @@ def heaviest_rows(work: DataFrame, k: int, x: str = "flop") -> DataFrame:
 
 
 def powerlaw_fit(work: DataFrame, x: str = "flop", candidates: int = 200, least_tail: int = 50) -> dict[str, float] | None:
-    """{alpha, xmin, ks, tail} of the discrete power law whose tail fits best.
-
-    Candidates for xmin are the distinct values from 1 on, or if there are
-    more, evenly spaced percentiles up to the 95th. alpha = 1 + n / sum ln(x /
-    (xmin - 0.5)); the fit with the smallest Kolmogorov distance among tails of
-    at least least_tail rows wins. Per candidate one pass over the histogram;
-    the driver sees at most ``candidates`` rows.
+    """{alpha, xmin, ks, tail} of the power law whose tail fits best, or None.
+
+    Candidates for xmin are the distinct positive values, or if there are more,
+    evenly spaced percentiles of these up to the 95th; those below 1 are left
+    out. alpha = 1 + n / sum ln(x / (xmin - 0.5)) over the n >= least_tail rows
+    from xmin on, and the model is 1 - (x / xmin)^(1 - alpha). The smallest
+    Kolmogorov distance wins, of equal ones the smallest xmin. It is taken at the
+    first and the last of equal values. Everything comes from the histogram and
+    its sums in ranges; the driver sees at most ``candidates`` values.
     """
-    pos = work.where(F.col(x) >= 1).select(F.col(x).cast("double").alias("x"))
-    hist = pos.groupBy("x").agg(F.count("*").alias("n"))
+    pos = work.where(F.col(x) > 0).select(F.col(x).cast("double").alias("x"))
+    hist = materialize(magnitude_scan(pos.groupBy("x").agg(F.count("*").alias("n")), "x", True, above=F.col("n")))
     if hist.limit(candidates + 1).count() > candidates:
-        marks = pos.agg(F.percentile("x", [0.95 * k / (candidates - 1) for k in range(candidates)])).first()[0]
-        cand = work.sparkSession.createDataFrame([(float(m),) for m in sorted(set(marks))], "xmin double")
+        marks = hist.agg(F.percentile("x", [0.95 * k / (candidates - 1) for k in range(candidates)])).first()[0]
     else:
-        cand = hist.select(F.col("x").alias("xmin"))
-    # candidates are few, so each histogram row meets at most 200 of them
-    tail = hist.join(F.broadcast(cand), F.col("x") >= F.col("xmin"))
-    fit = tail.groupBy("xmin").agg(F.sum("n").alias("tail"), F.sum(F.col("n") * F.log(F.col("x") / (F.col("xmin") - 0.5))).alias("logs")).where(F.col("tail") >= least_tail)
-    fit = fit.withColumn("alpha", 1 + F.col("tail") / F.col("logs"))
-    w = Window.partitionBy("xmin").orderBy("x")
-    cdf = tail.join(F.broadcast(fit), "xmin").withColumn("seen", F.sum("n").over(w) / F.col("tail"))
-    gap = F.abs(F.col("seen") - (1 - F.pow((F.col("x") + 0.5) / (F.col("xmin") - 0.5), 1 - F.col("alpha"))))
-    best = cdf.groupBy("xmin", "alpha", "tail").agg(F.max(gap).alias("ks")).orderBy("ks", "xmin").first()
-    return None if best is None else {"alpha": best["alpha"], "xmin": best["xmin"], "ks": best["ks"], "tail": best["tail"]}
+        marks = [r[0] for r in hist.select("x").collect()]
+    marks = sorted({float(m) for m in marks if m >= 1})
+    if not marks:
+        return None
+    spark = work.sparkSession
+    # candidates are few, so a row of the histogram meets at most so many of them, and is added up at once
+    meet = lambda c: hist.join(F.broadcast(c), F.col("x") >= F.col("xmin"))
+    sums = meet(spark.createDataFrame([(m,) for m in marks], "xmin double")).groupBy("xmin").agg(F.sum("n").alias("tail"), F.sum(F.col("n") * F.log(F.col("x") / (F.col("xmin") - 0.5))).alias("logs"))
+    fits = [(r["xmin"], 1 + r["tail"] / r["logs"], r["tail"]) for r in sums.collect() if r["tail"] >= least_tail and r["logs"] > 0]
+    fits = [f for f in fits if f[1] > 1]
+    if not fits:
+        return None
+    last = F.col("tail") - F.col("above")
+    model = 1 - F.pow(F.col("x") / F.col("xmin"), 1 - F.col("alpha"))
+    gap = F.greatest(F.abs(last / F.col("tail") - model), F.abs((last - F.col("n") + 1) / F.col("tail") - model))
+    best = meet(spark.createDataFrame(fits, "xmin double, alpha double, tail long")).groupBy("xmin", "alpha", "tail").agg(F.max(gap).alias("ks")).orderBy("ks", "xmin").first()
+    return {k: best[k] for k in ("alpha", "xmin", "ks", "tail")}
 
 
 def degree_ranks(a: SparseMatrix) -> DataFrame:
