@@ -46,15 +46,32 @@ def count_lines(spark: SparkSession, path: str) -> int:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with _file for the order of shards; blank and bad lines are skipped."""
-    return spark.read.schema(schema).json(path, mode="DROPMALFORMED").withColumn("_file", F.col("_metadata.file_name"))
+    """JSON lines with _line, which orders them by file and place; blank and bad lines are skipped."""
+    df = spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+    return df.withColumn("_line", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
 
 
-def read_principals(spark: SparkSession, path: str, categories: list[str]) -> DataFrame:
-    """(title, person) from a gzipped table with header; ids lose their two-letter prefix."""
+def split_json(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """Fields of JSON lines as strings, found by a pattern without a schema: quoted
+    values, numbers and literals; null where a line lacks the field."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    one = lambda f: F.coalesce(*(F.nullif(F.regexp_extract("value", rf'"{re.escape(f)}"\s*:\s*{p}', 1), F.lit("")) for p in (r'"((?:[^"\\]|\\.)*)"', r"([^\s,\"\[{}\]]+)")))
+    return lines.select(*(one(f).alias(f) for f in fields))
+
+
+def read_title_types(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
+    """(title) of the wanted types, from a gzipped table with header."""
+    t = spark.read.csv(path, sep="\t", header=True, quote="")
+    return t.where(F.col("titleType").isin(wanted)).select(F.substring("tconst", 3, 20).cast("long").alias("title"))
+
+
+def read_principals(spark: SparkSession, path: str, categories: list[str] | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """(title, person) from a gzipped table with header, of the given categories and
+    titles(title); ids lose their two-letter prefix."""
     t = spark.read.csv(path, sep="\t", header=True, quote="")
-    t = t.where(F.col("category").isin(categories))
-    return t.select(F.substring("tconst", 3, 20).cast("long").alias("title"), F.substring("nconst", 3, 20).cast("long").alias("person"))
+    t = t.where(F.col("category").isin(categories)) if categories else t
+    t = t.select(F.substring("tconst", 3, 20).cast("long").alias("title"), F.substring("nconst", 3, 20).cast("long").alias("person"))
+    return t if titles is None else t.join(titles.select("title"), "title", "left_semi")
 
 
 def read_ratings(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:

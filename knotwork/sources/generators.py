@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
@@ -24,16 +24,27 @@ def _axis(scale: int, p: float, seed: int, side: int) -> Column:
 
 
 def _joint(scale: int, a: float, b: float, c: float, seed: int, noise: float) -> tuple[Column, Column]:
-    """Quadrants drawn jointly, their probabilities disturbed by up to noise at each level."""
-    i = j = F.lit(0).cast("long")
-    for level in range(scale):
-        f = [1 + noise * (2 * unit(F.col("id"), seed, 7 + k, level) - 1) for k in range(4)]
-        pa, pb, pc, pd = a * f[0], b * f[1], c * f[2], (1 - a - b - c) * f[3]
-        u = unit(F.col("id"), seed, 3, level) * (pa + pb + pc + pd)
-        bit = 1 << (scale - 1 - level)
-        i = i + (u >= pa + pb).cast("long") * bit
-        j = j + (((u >= pa) & (u < pa + pb)) | (u >= pa + pb + pc)).cast("long") * bit
-    return i, j
+    """Quadrants drawn jointly. After each level every probability moves by up to the
+    share noise of itself and all are scaled to one again; the next level goes on
+    from there."""
+    state = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), *(F.lit(float(p)).alias(k) for k, p in zip("abcd", (a, b, c, 1 - a - b - c), strict=True)))
+
+    def level(s: Column, k: Column) -> Column:
+        u = unit(F.col("id"), seed, 3, k)
+        bit = F.pow(F.lit(2.0), F.lit(scale - 1) - k).cast("long")
+        down = u >= s["a"] + s["b"]
+        right = ((u >= s["a"]) & ~down) | (u >= s["a"] + s["b"] + s["c"])
+        moved = [s[x] * (1 + noise * (2 * unit(F.col("id"), seed, 7 + n, k) - 1)) for n, x in enumerate("abcd")]
+        total = sum(moved[1:], moved[0])
+        return F.struct((s["i"] + down.cast("long") * bit).alias("i"), (s["j"] + right.cast("long") * bit).alias("j"), *((m / total).alias(x) for m, x in zip(moved, "abcd", strict=True)))
+
+    end = F.aggregate(F.sequence(F.lit(0), F.lit(scale - 1)), state, level)
+    return end["i"], end["j"]
+
+
+def weights(m: SparseMatrix, low: float = 0.0, high: float = 1.0, seed: int = 0) -> SparseMatrix:
+    """m with uniform values from low to high, by a hash of the place."""
+    return m.with_df(m.df.select("i", "j", (F.lit(float(low)) + (high - low) * unit(F.col("i"), F.col("j"), seed, 11)).alias("v")))
 
 
 def rmat(spark: SparkSession, scale: int, edges: int, preset: str | tuple[float, float, float] = "default", seed: int = 0, self_loops: bool = False, duplicates: bool = False, undirected: bool = False, joint: bool = False, noise: float = 0.05) -> SparseMatrix:
@@ -81,11 +92,12 @@ def gnp(spark: SparkSession, n: int, p: float, seed: int = 0) -> SparseMatrix:
     columns taken, so work follows the edges and not the pairs."""
     if not 0 < p < 1:
         raise ValueError("p must lie between 0 and 1")
-    # enough gaps to pass n columns but for a chance below 1e-12
+    # enough gaps to pass n columns but for a chance below 1e-12; a gap is a row, and a column their sum so far
     draws = min(n, int(n * p + 8 * math.sqrt(n * p) + 40))
-    gap = lambda k: (F.floor(F.log(1 - unit(F.col("id"), F.lit(seed), k)) / math.log(1 - p)) + 1).cast("long")
-    cols = F.aggregate(F.sequence(F.lit(1), F.lit(draws)), F.array(F.lit(-1).cast("long")), lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + gap(k))))
-    e = spark.range(n).select(F.col("id").alias("i"), F.explode(F.filter(cols, lambda x: (x >= 0) & (x < n))).alias("j"))
+    gaps = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("k"))
+    gaps = gaps.withColumn("gap", (F.floor(F.log(1 - unit(F.col("i"), F.lit(seed), F.col("k"))) / math.log(1 - p)) + 1).cast("long"))
+    upto = Window.partitionBy("i").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    e = gaps.select("i", (F.sum("gap").over(upto) - 1).alias("j")).where(F.col("j") < n)
     return SparseMatrix(e.withColumn("v", F.lit(1.0)), n, n)
 
 

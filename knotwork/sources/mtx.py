@@ -8,16 +8,17 @@ machines.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..matrix import COO, SparseMatrix
+from ..storage import materialize
 
 #: Fixed value: one record is row, column and value; the first one holds the shape.
 RECORD = np.dtype([("i", "<i8"), ("j", "<i8"), ("v", "<f8")])
@@ -30,24 +31,25 @@ class Header:
     n_cols: int
     nnz: int
     symmetric: bool
+    general: bool
     data: int  # where the first data line starts
 
 
 def read_header(path: str) -> Header:
     with open(path, "rb") as f:
-        symmetric, first = False, True
+        symmetric, general, first = False, False, True
         while line := f.readline():
             if line.startswith(b"%"):
                 if first and line.startswith(b"%%MatrixMarket"):
                     words = line.lower().split()
                     if {b"skew-symmetric", b"hermitian"} & set(words):
                         raise ValueError("only general and symmetric matrices can be read")
-                    symmetric = b"symmetric" in words
+                    symmetric, general = b"symmetric" in words, b"general" in words
                 first = False
                 continue
             if line.strip():
                 a, b, n = (int(x) for x in line.split()[:3])
-                return Header(a, b, n, symmetric, f.tell())
+                return Header(a, b, n, symmetric, general, f.tell())
     raise ValueError(f"{path} has no size line")
 
 
@@ -132,13 +134,15 @@ class BinSource(DataSource):
         return BinReader(dict(self.options))
 
 
-def read_mtx(spark: SparkSession, path: str, values: str = "keep", range_bytes: int = RANGE_BYTES) -> SparseMatrix:
+def read_mtx(spark: SparkSession, path: str, values: str = "keep", range_bytes: int = RANGE_BYTES, unless_general: bool = False) -> SparseMatrix:
     """values: keep, or ones for a pattern. Zeros are dropped, repeats kept, a
-    symmetric file's entries off the diagonal mirrored."""
+    symmetric file's entries off the diagonal mirrored. unless_general mirrors
+    all files whose banner doesn't say general, those without one included."""
     spark.dataSource.register(MtxSource)
     h = read_header(path)
+    mirror = unless_general and not h.general
     df = spark.read.format("mtx").option("path", path).option("rangeBytes", str(range_bytes)).load().where("v <> 0")
-    if h.symmetric:
+    if h.symmetric or mirror:
         df = df.unionByName(df.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
     m = SparseMatrix(df, h.n_rows, h.n_cols)
     return m.ones() if values == "ones" else m
@@ -151,13 +155,40 @@ def read_bin(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) ->
     return SparseMatrix(df, int(head["i"]), int(head["j"]))
 
 
-def read_columns(spark: SparkSession, path: str) -> SparseMatrix:
+class ColumnsReader(DataSourceReader):
+    """Ranges of entries of a file that holds its rows, columns and values one after the other."""
+
+    def __init__(self, options: dict):
+        self.path = options["path"]
+        self.step = max(1, int(options.get("rangebytes", RANGE_BYTES)) // RECORD.itemsize)
+        self.nnz = int(np.fromfile(self.path, "<i8", 3)[2])
+
+    def partitions(self) -> list[Range]:
+        return _ranges(0, self.nnz, self.step)
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        for at in range(partition.start, partition.end, 1 << 18):
+            n = min(1 << 18, partition.end - at)
+            yield _batch(*(np.fromfile(self.path, kind, n, offset=24 + 8 * (k * self.nnz + at)) for k, kind in enumerate(("<i8", "<i8", "<f8"))))
+
+
+class ColumnsSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "coocolumns"
+
+    def schema(self) -> str:
+        return COO
+
+    def reader(self, schema) -> ColumnsReader:  # noqa: ANN001
+        return ColumnsReader(dict(self.options))
+
+
+def read_columns(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> SparseMatrix:
     """The layout of a header m, n, nnz followed by whole arrays of rows, columns and values."""
-    m, n, nnz = (int(x) for x in np.fromfile(path, "<i8", 3))
-    i = np.memmap(path, "<i8", "r", 24, (nnz,))
-    j = np.memmap(path, "<i8", "r", 24 + 8 * nnz, (nnz,))
-    v = np.memmap(path, "<f8", "r", 24 + 16 * nnz, (nnz,))
-    return SparseMatrix(spark.createDataFrame(pa.table({"i": np.array(i), "j": np.array(j), "v": np.array(v)})), m, n)
+    spark.dataSource.register(ColumnsSource)
+    m, n, _ = (int(x) for x in np.fromfile(path, "<i8", 3))
+    return SparseMatrix(spark.read.format("coocolumns").option("path", path).option("rangeBytes", str(range_bytes)).load(), m, n)
 
 
 def read_matrix(spark: SparkSession, path: str, **options) -> SparseMatrix:
@@ -172,35 +203,60 @@ def load_pair(spark: SparkSession, name: str, folder: str = ".") -> tuple[Sparse
     return a, (read_mtx(spark, other) if os.path.exists(other) else a.transpose())
 
 
-def _lines(m: SparseMatrix, values: str, symmetric: bool, dedup: bool) -> DataFrame:
-    df = m.df.where("i <= j") if symmetric else m.df
-    df = df.dropDuplicates(["i", "j"]) if dedup else df
-    kinds = {"keep": "v", "ones": "1.0D", "none": None}
-    tail = [] if kinds[values] is None else [F.expr(kinds[values]).cast("string")]
-    return df.select("i", "j", F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, *tail).alias("value"))
+def _write_ranges(rows: DataFrame, size: Column, render: Callable[[pa.RecordBatch], bytes], path: str, head: bytes) -> None:
+    """One file: head, then what render makes of rows in the order of i and j.
+
+    Rows are dealt by ranges and written once, so the bytes of each range are
+    known before any goes to the file, and every task writes at its own place; a
+    task done again writes the same bytes. Only a number for each range reaches
+    the driver.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = materialize(rows.repartitionByRange(n, "i", "j").sortWithinPartitions("i", "j").withColumn("_part", F.spark_partition_id()))
+    at, offsets = len(head), {}
+    for part, own in sorted(map(tuple, held.groupBy("_part").agg(F.sum(size)).collect())):
+        offsets[part], at = at, at + own
+    with open(path, "wb") as f:
+        f.write(head)
+        f.truncate(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, done = None, 0
+        with open(path, "r+b") as f:
+            for b in batches:
+                if b.num_rows:
+                    place = offsets[b.column("_part")[0].as_py()] if place is None else place
+                    f.seek(place)
+                    place += f.write(render(b))
+                    done += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([done])], ["n"])
+
+    held.mapInArrow(run, "n long").agg(F.sum("n")).first()
 
 
 def write_mtx(m: SparseMatrix, path: str, values: str = "keep", symmetric: bool = False, dedup: bool = False) -> None:
-    """One file, ordered, 1-based. values: keep, ones or none (pattern);
-    symmetric writes i <= j only. Streamed through the driver in batches."""
-    lines = _lines(m, values, symmetric, dedup).orderBy("i", "j").select("value")
-    n = lines.count()
-    kind = "pattern" if values == "none" else "real"
-    with open(path, "w") as f:
-        f.write(f"%%MatrixMarket matrix coordinate {kind} {'symmetric' if symmetric else 'general'}\n{m.n_rows} {m.n_cols} {n}\n")
-        f.writelines(f"{r[0]}\n" for r in lines.toLocalIterator())
+    """One file, ordered, 1-based, written by all tasks at their places. values:
+    keep, ones or none (pattern); symmetric writes i <= j only; dedup keeps the
+    smallest value of each place."""
+    df = m.df.where("i <= j") if symmetric else m.df
+    df = df.groupBy("i", "j").agg(F.min("v").alias("v")) if dedup else df
+    tail = {"keep": [F.col("v").cast("string")], "ones": [F.lit("1.000000")], "none": []}[values]
+    lines = df.select("i", "j", F.concat(F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, *tail), F.lit("\n")).alias("value"))
+    kind, shape = "pattern" if values == "none" else "real", "symmetric" if symmetric else "general"
+    head = f"%%MatrixMarket matrix coordinate {kind} {shape}\n{m.n_rows} {m.n_cols} {df.count()}\n"
+    _write_ranges(lines, F.octet_length("value"), lambda b: "".join(b.column("value").to_pylist()).encode(), path, head.encode())
 
 
 def write_bin(m: SparseMatrix, path: str) -> None:
-    with open(path, "wb") as f:
-        f.write(np.array([(m.n_rows, m.n_cols, m.df.count())], RECORD).tobytes())
-        rows: list[tuple] = []
-        for r in m.df.orderBy("i", "j").toLocalIterator():
-            rows.append(tuple(r))
-            if len(rows) == 65_536:
-                f.write(np.array(rows, RECORD).tobytes())
-                rows = []
-        f.write(np.array(rows, RECORD).tobytes())
+    """The record of the shape, then a record for each entry, in order."""
+
+    def render(b: pa.RecordBatch) -> bytes:
+        out = np.empty(b.num_rows, RECORD)
+        for k in "ijv":
+            out[k] = b.column(k).to_numpy()
+        return out.tobytes()
+
+    _write_ranges(m.df.select("i", "j", "v"), F.lit(RECORD.itemsize), render, path, np.array([(m.n_rows, m.n_cols, m.df.count())], RECORD).tobytes())
 
 
 def transpose_file(spark: SparkSession, source: str, org: str, trs: str) -> None:
