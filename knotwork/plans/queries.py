@@ -1,24 +1,26 @@
 """Registered queries over the driver's tables, each with the SQL that DuckDB
 answers it with. Matrices: sp (supplier x part, summed quantity), cp (customer
 x part), op (order x part), ue (user x event type), pp (parts that share an
-order, the first 1,200 orders only: a small graph with triangles), pp_all (the
-same over all orders)."""
+order). All take their whole tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..matrix import SparseMatrix
+from ..matrix import Extent, SparseMatrix, larger
 from ..operators import graph as G
 from ..operators import layout as L
 from ..operators import metapath as H
 from ..operators import product as P
 from ..operators import stats as S
+from ..sources import files, hin as B, mtx
 from ..sources import generators as N
+from ..storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,17 +30,19 @@ def _t(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def sp(s: SparkSession, d: str) -> SparseMatrix:
-    li = _t(s, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
-    return SparseMatrix.of(li, "l_suppkey", "l_partkey", "q")
+    lines = _t(s, d, "lineitem")
+    li = lines.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
+    return SparseMatrix.of(li, "l_suppkey", "l_partkey", "q", bounds=lines)
 
 
 def cp(s: SparkSession, d: str) -> SparseMatrix:
-    j = _t(s, d, "orders").join(_t(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").distinct()
-    return SparseMatrix.of(j, "o_custkey", "l_partkey")
+    j = _t(s, d, "orders").join(_t(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey")
+    return SparseMatrix.of(j.distinct(), "o_custkey", "l_partkey", bounds=j)
 
 
 def op(s: SparkSession, d: str) -> SparseMatrix:
-    return SparseMatrix.of(_t(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct(), "l_orderkey", "l_partkey")
+    lines = _t(s, d, "lineitem").select("l_orderkey", "l_partkey")
+    return SparseMatrix.of(lines.distinct(), "l_orderkey", "l_partkey", bounds=lines)
 
 
 def ue(s: SparkSession, d: str) -> SparseMatrix:
@@ -49,44 +53,52 @@ def ue(s: SparkSession, d: str) -> SparseMatrix:
 
 
 def pp(s: SparkSession, d: str) -> SparseMatrix:
-    """The first orders only, as the SQL of its five queries says; pp_all() has all of them."""
-    return _part_graph(_t(s, d, "lineitem").where("l_orderkey < 1200"))
+    """Pairs of parts of an order, over all orders; an order has a few parts."""
+    li = _t(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    e = li.alias("x").join(li.alias("y"), "l_orderkey").where("x.l_partkey < y.l_partkey").selectExpr("x.l_partkey as i", "y.l_partkey as j")
+    return SparseMatrix.of(e.distinct(), "i", "j", bounds=e)
 
 
-def pp_all(s: SparkSession, d: str) -> SparseMatrix:
-    return _part_graph(_t(s, d, "lineitem"))
+def hin(s: SparkSession, d: str) -> H.TypedGraph:
+    """Relations of suppliers, customers, orders and parts; each is made when a path asks for it."""
+    orders, lines = _t(s, d, "orders"), _t(s, d, "lineitem")
+    largest = lambda df, c: Extent(lambda: df.agg(F.coalesce(F.max(c) + 1, F.lit(0))).first()[0])
+    n = {"S": largest(lines, "l_suppkey"), "P": largest(lines, "l_partkey"), "C": largest(orders, "o_custkey")}
+    n["O"] = larger(largest(orders, "o_orderkey"), largest(lines, "l_orderkey"))
+    of = lambda pair, df: SparseMatrix(df, n[pair[0]], n[pair[1]])
+    return H.TypedGraph({
+        ("S", "P"): lambda: of("SP", lines.selectExpr("l_suppkey AS i", "l_partkey AS j").distinct().withColumn("v", F.lit(1.0))),
+        ("C", "O"): lambda: of("CO", SparseMatrix.of(orders, "o_custkey", "o_orderkey").df),
+        ("O", "P"): lambda: of("OP", op(s, d).df),
+        ("C", "P"): lambda: of("CP", cp(s, d).df),
+    })
 
 
-def _part_graph(lines: DataFrame) -> SparseMatrix:
-    li = lines.select("l_orderkey", "l_partkey").distinct()
-    e = li.alias("x").join(li.alias("y"), "l_orderkey").where("x.l_partkey < y.l_partkey").selectExpr("x.l_partkey as i", "y.l_partkey as j").distinct()
-    return SparseMatrix.of(e, "i", "j")
+def papers(s: SparkSession, d: str) -> DataFrame:
+    """Documents as publication records: the text's first 100 characters are the
+    title, the language and the source the authors, and the source the venue."""
+    docs = _t(s, d, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 100).alias("title"), F.array("lang", "source", "lang").alias("authors"), F.col("source").alias("venue"), F.col("doc_id").alias("_line"))
 
 
-def hin(s: SparkSession, d: str) -> H.TypedGraph:
-    orders = _t(s, d, "orders")
-    co = SparseMatrix.of(orders, "o_custkey", "o_orderkey")
-    o, p, q, c = op(s, d), sp(s, d), cp(s, d), co
-    n_o, n_p, n_c = max(o.n_rows, c.n_cols), max(o.n_cols, p.n_cols, q.n_cols), max(c.n_rows, q.n_rows)
-    return H.TypedGraph({("S", "P"): SparseMatrix(p.ones().df, p.n_rows, n_p), ("C", "O"): SparseMatrix(c.df, n_c, n_o), ("O", "P"): SparseMatrix(o.df, n_o, n_p), ("C", "P"): SparseMatrix(q.df, n_c, n_p)})
+def _folder(s: SparkSession) -> str:
+    """A new path in the shared folder, as the system's files see it."""
+    return f"{shared_folder(s).removeprefix('file://')}/round-trip-{uuid.uuid4().hex}"
 
 
 _SP = "sp AS (SELECT l_suppkey AS i, l_partkey AS j, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
 _CP = "cp AS (SELECT DISTINCT o_custkey AS i, l_partkey AS j FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 _OP = "op AS (SELECT DISTINCT l_orderkey AS i, l_partkey AS j FROM lineitem)"
 _UE = "ue AS (SELECT DISTINCT user_id AS i, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS BIGINT) AS j FROM events)"
-_PP = "li AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey < 1200), pp AS (SELECT DISTINCT x.p AS i, y.p AS j FROM li x JOIN li y USING (o) WHERE x.p < y.p)"
+_PP = "li AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), pp AS (SELECT DISTINCT x.p AS i, y.p AS j FROM li x JOIN li y USING (o) WHERE x.p < y.p)"
 _ROWS = "r AS (SELECT unnest(range(0, (SELECT max(i) + 1 FROM sp))) AS i)"
 _FLOP = f"{_SP}, {_ROWS}, nb AS (SELECT j, COUNT(*) AS n FROM sp GROUP BY j), fl AS (SELECT i, CAST(SUM(n) AS BIGINT) AS flop FROM sp JOIN nb USING (j) GROUP BY i), fr AS (SELECT r.i, COALESCE(flop, 0) AS flop FROM r LEFT JOIN fl USING (i))"
 _CF = f"{_FLOP}, nz AS (SELECT a.i, COUNT(DISTINCT b.i) AS nnz FROM sp a JOIN sp b USING (j) GROUP BY a.i), cf AS (SELECT fr.i, flop, COALESCE(nnz, 0) AS nnz FROM fr LEFT JOIN nz USING (i))"
 _SYM = f"{_PP}, nv AS (SELECT max(greatest(i, j)) + 1 AS n FROM pp), vs AS (SELECT unnest(range(0, (SELECT n FROM nv))) AS i), dg AS (SELECT vs.i, COUNT(pp.i) AS degree FROM vs LEFT JOIN pp USING (i) GROUP BY vs.i), rk AS (SELECT i, degree, row_number() OVER (ORDER BY degree, i) - 1 AS rank FROM dg), sy AS (SELECT i, j FROM pp UNION SELECT j, i FROM pp), pe AS (SELECT x.rank AS i, y.rank AS j FROM sy JOIN rk x ON sy.i = x.i JOIN rk y ON sy.j = y.i)"
-# the same over all orders
-_PP_ALL = "li AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), pp AS (SELECT DISTINCT x.p AS i, y.p AS j FROM li x JOIN li y USING (o) WHERE x.p < y.p)"
-_SYM_ALL = _SYM.replace(_PP, _PP_ALL)
 _PATH = "WITH {0}, d AS (SELECT i, SUM(v * v) AS d FROM ml GROUP BY i), q AS (SELECT j, v FROM ml WHERE i = {1}) SELECT ml.i AS id, round(2 * SUM(ml.v * q.v) / (any_value(d.d) + (SELECT d FROM d WHERE i = {1})), 9) AS score FROM ml JOIN q USING (j) JOIN d ON d.i = ml.i GROUP BY ml.i ORDER BY 2 DESC, 1 LIMIT {2}"
 _WORK = f"{_FLOP}, s AS (SELECT COUNT(*) AS n, SUM(flop) AS total FROM fr), c AS (SELECT flop, row_number() OVER (ORDER BY flop DESC, i) AS k, SUM(flop) OVER (ORDER BY flop DESC, i ROWS UNBOUNDED PRECEDING) AS c, row_number() OVER (ORDER BY flop, i) AS up FROM fr)"
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-_TERMS = f"w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '([a-z]+)', 1)) AS term FROM documents), tf AS (SELECT term, COUNT(*) AS df FROM w WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2)"
+_TERMS = f"w AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '([a-z]+)', 1)) AS term FROM documents), tf AS (SELECT term, COUNT(*) AS df FROM w WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2)"
 _SPP = "spgemm AS (SELECT a.i, b.i AS j, SUM(a.v * b.v) AS v FROM sp a JOIN sp b USING (j) GROUP BY 1, 2)"
 
 
@@ -109,9 +121,69 @@ def _minplus(s: SparkSession, d: str) -> DataFrame:
 
 
 def _fit(s: SparkSession, d: str) -> DataFrame:
-    a = cp(s, d)
-    fit = S.powerlaw_fit(a.row_counts(), "nnz") or {"alpha": None, "xmin": None, "ks": None, "tail": None}
-    return s.createDataFrame([tuple(fit[k] for k in ("alpha", "xmin", "ks", "tail"))], "alpha double, xmin double, ks double, tail long")
+    fit = S.powerlaw_fit(cp(s, d).row_counts(), "nnz") or {"alpha": None, "xmin": None, "ks": None, "tail": None}
+    return s.createDataFrame([tuple(fit[k] if k == "tail" or fit[k] is None else round(fit[k], 9) for k in ("alpha", "xmin", "ks", "tail"))], "alpha double, xmin double, ks double, tail long")
+
+
+_FIT = f"""WITH {_CP}, h AS (SELECT x, COUNT(*) AS n FROM (SELECT CAST(COUNT(*) AS DOUBLE) AS x FROM cp GROUP BY i) GROUP BY x),
+q AS (SELECT CASE WHEN (SELECT COUNT(*) FROM h) > 200 THEN quantile_cont(x, list_transform(range(200), lambda k: 0.95 * k / 199)) ELSE list(x) END AS xs FROM h),
+cand AS (SELECT DISTINCT unnest(xs) AS xm FROM q),
+f AS (SELECT xm, SUM(n) AS tail, SUM(n * ln(x / (xm - 0.5))) AS logs FROM cand JOIN h ON x >= xm WHERE xm >= 1 GROUP BY xm HAVING SUM(n) >= 50),
+g AS (SELECT xm, tail, 1 + tail / logs AS alpha FROM f WHERE logs > 0),
+c AS (SELECT xm, alpha, tail, n, SUM(n) OVER (PARTITION BY xm ORDER BY x) AS seen, 1 - pow(x / xm, 1 - alpha) AS m FROM g JOIN h ON x >= xm WHERE alpha > 1),
+k AS (SELECT xm, alpha, tail, MAX(greatest(abs(seen / tail - m), abs((seen - n + 1) / tail - m))) AS ks FROM c GROUP BY 1, 2, 3)
+SELECT round(alpha, 9) AS alpha, round(xm, 9) AS xmin, round(ks, 9) AS ks, CAST(tail AS BIGINT) AS tail FROM k ORDER BY k.ks, xm LIMIT 1"""
+
+
+def _analyse(s: SparkSession, d: str) -> DataFrame:
+    a = sp(s, d)
+    got = S.analyse(S.flop_per_row(a, a.transpose()))
+    whole = ["n", "max", "nonzero", "crossover_k"]
+    parts = ["sum", "mean", "crossover_row_frac", "crossover_mass_frac", "top10pct_share", "rows_for_90pct", "thread_fair_share", "rows_for_one_thread"]
+    return got.select(*whole, *(F.round(c, 9).alias(c) for c in parts))
+
+
+_ANALYSE = """SELECT any_value(n) AS n, CAST(any_value(mx) AS BIGINT) AS max, CAST(any_value(nz) AS BIGINT) AS nonzero, CAST(any_value(x) AS BIGINT) AS crossover_k, CAST(any_value(total) AS DOUBLE) AS sum,
+round(any_value(total) / CAST(any_value(n) AS DOUBLE), 9) AS mean, round(any_value(x) / CAST(any_value(n) AS DOUBLE), 9) AS crossover_row_frac, round(MAX(c) FILTER (k = x) / CAST(any_value(total) AS DOUBLE), 9) AS crossover_mass_frac,
+round(MAX(c) FILTER (k = greatest(1, round_even(n * 0.1, 0))) / CAST(any_value(total) AS DOUBLE), 9) AS top10pct_share, round((COUNT(*) FILTER (c < 0.9 * total) + 1) / CAST(any_value(n) AS DOUBLE), 9) AS rows_for_90pct,
+round(any_value(total) / 64.0, 9) AS thread_fair_share, round((COUNT(*) FILTER (c < total / 64.0) + 1) / CAST(any_value(n) AS DOUBLE), 9) AS rows_for_one_thread
+FROM c, s, (SELECT COUNT(*) FILTER (c <= total / 2.0) + 1 AS x, MAX(flop) AS mx, COUNT(*) FILTER (flop > 0) AS nz FROM c, s)"""
+
+
+def _round_trip(kind: str) -> Query:
+    """The supplier x part matrix, or the part graph, written and read again."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        path = _folder(s)
+        if kind == "edges":
+            g = pp(s, d)
+            files.write_edges(g, path)
+            return files.read_edges(s, path, both=True, n=g.n_rows).df
+        a = sp(s, d)
+        if kind == "bin":
+            mtx.write_bin(a, f"{path}.bin")
+            return mtx.read_matrix(s, f"{path}.bin").df
+        if kind == "pair":
+            mtx.write_mtx(a, f"{path}.org", "ones")
+            mtx.write_mtx(a.transpose(), f"{path}.trs", "ones")
+            return mtx.load_pair(s, path.rsplit("/", 1)[1], path.rsplit("/", 1)[0])[1].df
+        mtx.write_mtx(a, f"{path}.mtx")
+        return mtx.read_matrix(s, f"{path}.mtx").df
+
+    return run
+
+
+def _json(s: SparkSession, d: str) -> DataFrame:
+    """Author edges of the graph read from JSON lines."""
+    path = _folder(s)
+    papers(s, d).orderBy("_line").drop("_line").write.json(path)
+    p = B.from_json(s, path)
+    return p.ap.join(p.authors, "aid").join(p.papers, "pid").select(F.col("name"), F.col("id").cast("long").alias("id"), "pid")
+
+
+def _subset_matrices(s: SparkSession, d: str) -> DataFrame:
+    matrices, _, _ = B.subset(B.build(papers(s, d)), 5, 2, None, 3)
+    return matrices["pt"].df.groupBy("i").agg(F.count("*").alias("n"), F.sum("j").alias("terms"))
 
 
 def _subset(s: SparkSession, d: str) -> DataFrame:
@@ -130,7 +202,6 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "transpose": (lambda s, d: sp(s, d).transpose().df, f"WITH {_SP} SELECT j AS i, i AS j, v FROM sp"),
         "ones": (lambda s, d: sp(s, d).ones().df, f"WITH {_SP} SELECT i, j, CAST(1 AS DOUBLE) AS v FROM sp"),
         "symmetrize": (lambda s, d: pp(s, d).symmetrize().df, f"WITH {_SYM} SELECT i, j, CAST(1 AS DOUBLE) AS v FROM sy"),
-        "symmetrize_all": (lambda s, d: pp_all(s, d).symmetrize().df, f"WITH {_SYM_ALL} SELECT i, j, CAST(1 AS DOUBLE) AS v FROM sy"),
         "drop_diag": (lambda s, d: sp(s, d).drop_diagonal().df, f"WITH {_SP} SELECT i, j, v FROM sp WHERE i <> j"),
         "tril": (lambda s, d: sp(s, d).tril().df, f"WITH {_SP} SELECT i, j, v FROM sp WHERE i > j"),
         "triu": (lambda s, d: sp(s, d).triu().df, f"WITH {_SP} SELECT i, j, v FROM sp WHERE i < j"),
@@ -157,13 +228,13 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "matrix_stats": (lambda s, d: S.matrix_stats(*sq(s, d)).withColumn("flop_per_nnz", F.round("flop_per_nnz", 9)), f"WITH {_CF} SELECT (SELECT max(i) + 1 FROM sp) AS n_rows, (SELECT max(j) + 1 FROM sp) AS n_cols, (SELECT COUNT(*) FROM sp) AS nnz_a, CAST(SUM(nnz) AS BIGINT) AS nnz_c, CAST(SUM(flop) AS BIGINT) AS flop, round(CAST(SUM(flop) AS DOUBLE) / SUM(nnz), 9) AS flop_per_nnz FROM cf"),
         "checksum": (lambda s, d: P.spgemm(*sq(s, d)).checksum(), f"WITH {_SP}, {_SPP} SELECT COUNT(*) AS nnz, CAST(SUM(j) AS BIGINT) AS sum_col, SUM(v) AS sum_val FROM spgemm"),
         "spgemm_supp_part": (lambda s, d: P.spgemm(*sq(s, d)).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm"),
-        "spgemm_salted": (lambda s, d: P.salted_spgemm(ue(s, d), ue(s, d).transpose()).df.groupBy("i").agg(F.sum("v").alias("v")), f"WITH {_UE} SELECT a.i, CAST(COUNT(*) AS DOUBLE) AS v FROM ue a JOIN ue b USING (j) GROUP BY a.i"),
+        "spgemm_salted": (lambda s, d: (lambda a: P.salted_spgemm(a, a.transpose()).df)(ue(s, d)), f"WITH {_UE} SELECT a.i, b.i AS j, CAST(COUNT(*) AS DOUBLE) AS v FROM ue a JOIN ue b USING (j) GROUP BY 1, 2"),
         "spgemm_minplus": (_minplus, f"WITH {_SP} SELECT a.i, b.i AS j, MIN(a.v + b.v) AS v FROM sp a JOIN sp b USING (j) GROUP BY 1, 2"),
         "spgemm_maxmin": (lambda s, d: P.spgemm(*sq(s, d), mul=F.least, add=F.max).df, f"WITH {_SP} SELECT a.i, b.i AS j, MAX(least(a.v, b.v)) AS v FROM sp a JOIN sp b USING (j) GROUP BY 1, 2"),
         "spgemm_bool": (lambda s, d: P.spgemm(*sq(s, d), mul=lambda x, y: F.lit(1.0), add=F.max).df, f"WITH {_SP} SELECT DISTINCT a.i, b.i AS j, CAST(1 AS DOUBLE) AS v FROM sp a JOIN sp b USING (j)"),
         "gram_upper": (lambda s, d: P.gram(sp(s, d), True).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm WHERE i <= j"),
         "gram": (lambda s, d: P.gram(sp(s, d)).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm"),
-        "join_project": (lambda s, d: (lambda a: P.join_project(a, a.transpose()))(cp(s, d)).groupBy("i").agg(F.count("*").alias("n")), f"WITH {_CP} SELECT a.i, COUNT(DISTINCT b.i) AS n FROM cp a JOIN cp b USING (j) GROUP BY a.i"),
+        "join_project": (lambda s, d: (lambda a: P.join_project(a, a.transpose()))(cp(s, d)).groupBy("i").agg(F.count("*").alias("n"), F.sum("j").alias("sum_j")), f"WITH {_CP} SELECT a.i, COUNT(DISTINCT b.i) AS n, CAST(SUM(DISTINCT b.i) AS BIGINT) AS sum_j FROM cp a JOIN cp b USING (j) GROUP BY a.i"),
         "join_aggregate_partitioned": (lambda s, d: P.join_aggregate(*sq(s, d)).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm"),
         "join_aggregate_broadcast": (lambda s, d: P.join_aggregate(*sq(s, d), partitioned=False).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm"),
         "masked_product": (lambda s, d: (lambda a: P.masked_product(a, a.transpose(), SparseMatrix(s.range(a.n_rows).select(F.col("id").alias("i"), ((F.col("id") * 7 + 3) % a.n_rows).alias("j"), F.lit(1.0).alias("v")), a.n_rows, a.n_rows)).df)(sp(s, d)), f"WITH {_SP}, {_SPP}, n AS (SELECT max(i) + 1 AS n FROM sp) SELECT i, j, v FROM spgemm, n WHERE j = (i * 7 + 3) % n"),
@@ -178,19 +249,15 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "pathsim_diag": (lambda s, d: H.diagonal(sp(s, d)), f"WITH {_SP} SELECT i, SUM(v * v) AS d FROM sp GROUP BY i"),
         "pathsim_all_topk": (lambda s, d: H.pathsim_all(sp(s, d), 3).withColumn("score", F.round("score", 9)), f"WITH {_SP}, {_SPP}, d AS (SELECT i, SUM(v * v) AS d FROM sp GROUP BY i), x AS (SELECT m.i, m.j, 2 * m.v / (a.d + b.d) AS score FROM spgemm m JOIN d a ON m.i = a.i JOIN d b ON m.j = b.i WHERE m.i <> m.j), y AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS k FROM x) SELECT i, j, round(score, 9) AS score FROM y WHERE k <= 3"),
         "triangle_count": (lambda s, d: G.triangle_count(pp(s, d)), f"WITH {_PP} SELECT COUNT(*) AS triangles FROM pp a JOIN pp b ON a.j = b.i JOIN pp c ON c.i = a.i AND c.j = b.j"),
-        "triangle_count_all": (lambda s, d: G.triangle_count(pp_all(s, d)), f"WITH {_PP_ALL} SELECT COUNT(*) AS triangles FROM pp a JOIN pp b ON a.j = b.i JOIN pp c ON c.i = a.i AND c.j = b.j"),
         "masked_edge_count": (lambda s, d: G.masked_edge_count(pp(s, d)), f"WITH {_SYM}, lo AS (SELECT i, j FROM pe WHERE i > j), h AS (SELECT DISTINCT a.i, b.i AS j FROM lo a JOIN lo b ON a.j = b.j AND a.i > b.i JOIN lo m ON m.i = a.i AND m.j = b.i) SELECT COUNT(*) AS l, COUNT(*) AS u, 2 * COUNT(*) AS total FROM h"),
-        "masked_edge_count_all": (lambda s, d: G.masked_edge_count(pp_all(s, d)), f"WITH {_SYM_ALL}, lo AS (SELECT i, j FROM pe WHERE i > j), h AS (SELECT DISTINCT a.i, b.i AS j FROM lo a JOIN lo b ON a.j = b.j AND a.i > b.i JOIN lo m ON m.i = a.i AND m.j = b.i) SELECT COUNT(*) AS l, COUNT(*) AS u, 2 * COUNT(*) AS total FROM h"),
         "wedge_count": (lambda s, d: s.createDataFrame([(G.wedge_count(pp(s, d)),)], "wedges long"), f"WITH {_SYM} SELECT COUNT(*) AS wedges FROM pe a JOIN pe b ON a.j = b.i WHERE a.i > a.j AND b.i < b.j"),
-        "wedge_count_all": (lambda s, d: s.createDataFrame([(G.wedge_count(pp_all(s, d)),)], "wedges long"), f"WITH {_SYM_ALL} SELECT COUNT(*) AS wedges FROM pe a JOIN pe b ON a.j = b.i WHERE a.i > a.j AND b.i < b.j"),
         "permute_by_degree": (lambda s, d: G.permute_by_degree(pp(s, d)).df, f"WITH {_SYM} SELECT x.rank AS i, y.rank AS j, CAST(1 AS DOUBLE) AS v FROM pp JOIN rk x ON pp.i = x.i JOIN rk y ON pp.j = y.i"),
-        "permute_by_degree_all": (lambda s, d: G.permute_by_degree(pp_all(s, d)).df, f"WITH {_SYM_ALL} SELECT x.rank AS i, y.rank AS j, CAST(1 AS DOUBLE) AS v FROM pp JOIN rk x ON pp.i = x.i JOIN rk y ON pp.j = y.i"),
         "crossover": (lambda s, d: _conc(s, d).select("crossover"), f"WITH {_WORK} SELECT CAST(COUNT(*) FILTER (c <= total / 2.0) + 1 AS BIGINT) AS crossover FROM c, s"),
         "mass_at_top": (lambda s, d: _conc(s, d).select(F.round("mass_at_top", 9).alias("mass")), f"WITH {_WORK} SELECT round(CAST(SUM(flop) FILTER (k <= greatest(1, round_even(n * 0.1, 0))) AS DOUBLE) / any_value(total), 9) AS mass FROM c, s"),
         "rows_for_mass": (lambda s, d: _conc(s, d).select(F.round("rows_for_mass", 9).alias("share")), f"WITH {_WORK} SELECT round((COUNT(*) FILTER (c < 0.5 * total) + 1) / CAST(any_value(n) AS DOUBLE), 9) AS share FROM c, s"),
         "gini": (lambda s, d: _conc(s, d).select(F.round("gini", 9).alias("gini")), f"WITH {_WORK} SELECT round(2.0 * SUM(up * flop) / (any_value(n) * CAST(any_value(total) AS DOUBLE)) - (any_value(n) + 1.0) / any_value(n), 9) AS gini FROM c, s"),
         "thread_bound": (lambda s, d: _conc(s, d).select(F.round("hot", 9).alias("hot"), F.round("thread_rows", 9).alias("thread_rows")), f"WITH {_WORK} SELECT round(MAX(flop) / (any_value(total) / 64.0), 9) AS hot, round((COUNT(*) FILTER (c < total / 64.0) + 1) / CAST(any_value(n) AS DOUBLE), 9) AS thread_rows FROM c, s"),
-        "powerlaw_fit": (_fit, None),
+        "powerlaw_fit": (_fit, _FIT),
         "top_by_degree": (lambda s, d: L.top_k(sp(s, d).row_counts(), 10, "nnz", "i"), f"WITH {_SP} SELECT i, COUNT(*) AS nnz FROM sp GROUP BY i ORDER BY 2 DESC, 1 LIMIT 10"),
         "heaviest_rows_share": (lambda s, d: S.heaviest_rows(S.flop_per_row(*sq(s, d)), 10).withColumn("share", F.round("share", 9)), f"WITH {_WORK} SELECT i, flop, round(CAST(flop AS DOUBLE) / total, 9) AS share FROM fr, s ORDER BY flop DESC, i LIMIT 10"),
         "degree_filter": (lambda s, d: H.degree_filter(cp(s, d), 5, 60).df.select("i", "j"), f"WITH {_CP} SELECT i, j FROM cp WHERE i IN (SELECT i FROM cp GROUP BY i HAVING COUNT(*) BETWEEN 5 AND 60)"),
@@ -204,7 +271,24 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "sanitize": (lambda s, d: _t(s, d, "documents").select("doc_id", T.sanitize(F.col("text")).alias("clean")), r"SELECT doc_id, trim(translate(text, chr(9) || chr(10) || chr(13), '   '), ' ') AS clean FROM documents"),
         "sample_top_users": (lambda s, d: T.sample_top(_t(s, d, "events").select("user_id", "event_id"), "user_id", 20), "SELECT user_id, event_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id ORDER BY COUNT(*) DESC, user_id LIMIT 20)"),
         "sample_uniform": (lambda s, d: T.sample_uniform(_t(s, d, "events").select("user_id", "event_id"), "user_id", 20), None),
-        "index_range_check": (lambda s, d: sp(s, d).out_of_range().agg(F.count("*").alias("bad")), "SELECT CAST(0 AS BIGINT) AS bad"),
+        "index_range_check": (lambda s, d: SparseMatrix(sp(s, d).df, 7, 1500).out_of_range(), f"WITH {_SP} SELECT i, j, v FROM sp WHERE i >= 7 OR j >= 1500"),
+        "sortedness_check": (lambda s, d: (lambda a: SparseMatrix.unsorted(a.to_csr()).agg(F.count("*").alias("unsorted")).join(a.df.agg(F.count("*").alias("nnz"))))(sp(s, d)), f"WITH {_SP} SELECT CAST(0 AS BIGINT) AS unsorted, COUNT(*) AS nnz FROM sp"),
+        "spref_repeats": (lambda s, d: sp(s, d).ref(s.range(0, 60, 3).union(s.range(0, 60, 6)), s.range(0, 1000, 7), "none", repeats=True).df, f"WITH {_SP}, ids AS (SELECT unnest(range(0, 60, 3)) AS i UNION ALL SELECT unnest(range(0, 60, 6))) SELECT i, j, v FROM sp JOIN ids USING (i) WHERE j % 7 = 0 AND j < 1000"),
+        "get_flop": (lambda s, d: s.createDataFrame([(P.get_flop(*sq(s, d)),)], "flop long"), f"WITH {_FLOP} SELECT CAST(2 * SUM(flop) AS BIGINT) AS flop FROM fr"),
+        "degree_col_filled": (lambda s, d: S.degrees(op(s, d), "j"), f"WITH {_OP}, c AS (SELECT unnest(range(0, (SELECT max(j) + 1 FROM op))) AS j) SELECT c.j, COUNT(op.j) AS degree FROM c LEFT JOIN op USING (j) GROUP BY c.j"),
+        "degree_weighted": (lambda s, d: S.degrees(sp(s, d), "j", weighted=True), f"WITH {_SP}, c AS (SELECT unnest(range(0, (SELECT max(j) + 1 FROM sp))) AS j) SELECT c.j, COALESCE(SUM(v), 0.0) AS degree FROM c LEFT JOIN sp USING (j) GROUP BY c.j"),
+        "shape_report": (lambda s, d: S.shape_report(sp(s, d)).withColumn("nnz_per_row", F.round("nnz_per_row", 9)), f"WITH {_SP}, rd AS (SELECT COUNT(*) AS n FROM sp GROUP BY i), cd AS (SELECT COUNT(*) AS n FROM sp GROUP BY j) SELECT (SELECT max(i) + 1 FROM sp) AS num_row, (SELECT max(j) + 1 FROM sp) AS num_col, (SELECT COUNT(*) FROM sp) AS nnz, round((SELECT COUNT(*) FROM sp) / CAST((SELECT max(i) + 1 FROM sp) AS DOUBLE), 9) AS nnz_per_row, CAST((SELECT SUM(n * n) FROM cd) AS BIGINT) AS flops_aat, (SELECT MAX(n) FROM rd) AS row_deg_max, (SELECT MAX(n) FROM cd) AS col_deg_max"),
+        "greedy_blocks": (lambda s, d: L.greedy_blocks(S.flop_per_row(*sq(s, d)), 8), f"WITH RECURSIVE {_FLOP}, m AS (SELECT CAST(SUM(flop) AS BIGINT) // 8 AS share FROM fr), g AS (SELECT CAST(0 AS BIGINT) AS i, flop, flop AS cur, CAST(0 AS BIGINT) AS block FROM fr WHERE i = 0 UNION ALL SELECT fr.i, fr.flop, CASE WHEN g.cur > m.share THEN fr.flop ELSE g.cur + fr.flop END, g.block + CASE WHEN g.cur > m.share THEN 1 ELSE 0 END FROM g JOIN fr ON fr.i = g.i + 1, m) SELECT i, flop, block FROM g"),
+        "analyse": (_analyse, f"WITH {_WORK} {_ANALYSE}"),
+        "mtx_round_trip": (_round_trip("mtx"), f"WITH {_SP} SELECT i, j, v FROM sp"),
+        "bin_round_trip": (_round_trip("bin"), f"WITH {_SP} SELECT i, j, v FROM sp"),
+        "org_trs_pair": (_round_trip("pair"), f"WITH {_SP} SELECT j AS i, i AS j, CAST(1 AS DOUBLE) AS v FROM sp"),
+        "edges_round_trip": (_round_trip("edges"), f"WITH {_PP} SELECT i, j, CAST(1 AS DOUBLE) AS v FROM pp UNION ALL SELECT j, i, CAST(1 AS DOUBLE) FROM pp"),
+        "hin_from_json": (_json, "WITH x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pid, lang, source FROM documents) SELECT name, doc_id AS id, pid FROM (SELECT DISTINCT doc_id, pid, unnest([lang, source]) AS name FROM x) WHERE name <> ''"),
+        "hin_author_ids": (lambda s, d: B.build(papers(s, d)).authors, "WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, lang, source FROM documents), w AS (SELECT 2 * pid AS place, lang AS name FROM x UNION ALL SELECT 2 * pid + 1, source FROM x) SELECT row_number() OVER (ORDER BY MIN(place)) AS aid, name FROM w WHERE name <> '' GROUP BY name"),
+        "hin_terms": (lambda s, d: B.build(papers(s, d)).pt, f"WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, lower(substr(text, 1, 100)) AS t FROM documents), w AS MATERIALIZED (SELECT DISTINCT pid, unnest(regexp_extract_all(t, '([a-z]+)', 1)) AS term FROM x), tf AS (SELECT term FROM w WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2), ids AS (SELECT term, row_number() OVER (ORDER BY term) AS tid FROM tf) SELECT pid, tid FROM w JOIN ids USING (term)"),
+        "hin_subset_matrices": (_subset_matrices, f"WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, lang, source, lower(substr(text, 1, 100)) AS t FROM documents), v AS (SELECT source FROM x GROUP BY source ORDER BY COUNT(*) DESC, MIN(pid) LIMIT 5), kp AS (SELECT * FROM x WHERE source IN (SELECT source FROM v)), ap AS (SELECT DISTINCT pid, unnest([lang, source]) AS name FROM kp), ka AS (SELECT pid FROM ap WHERE name IN (SELECT name FROM ap GROUP BY name HAVING COUNT(*) >= 2)), w0 AS MATERIALIZED (SELECT DISTINCT pid, unnest(regexp_extract_all(t, '([a-z]+)', 1)) AS term FROM x), tf AS (SELECT term FROM w0 WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2), w1 AS (SELECT pid, term FROM w0 JOIN tf USING (term) WHERE pid IN (SELECT pid FROM ka)), w AS (SELECT pid, term FROM w1 WHERE term IN (SELECT term FROM w1 GROUP BY term HAVING COUNT(*) >= 3)), ps AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS i FROM (SELECT DISTINCT pid FROM ka)), ts AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS j FROM (SELECT DISTINCT term FROM w)) SELECT i, COUNT(*) AS n, CAST(SUM(j) AS BIGINT) AS terms FROM w JOIN ps USING (pid) JOIN ts USING (term) GROUP BY i"),
+        "sort_dedup": (lambda s, d: (lambda r: r[0].withColumn("dropped", F.lit(r[1]).cast("long")))(L.sort_dedup(_t(s, d, "lineitem"), "l_suppkey", "l_partkey")), "SELECT DISTINCT l_suppkey, l_partkey, (SELECT COUNT(*) FROM lineitem) - (SELECT COUNT(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) AS dropped FROM lineitem"),
         "geomean": (lambda s, d: _t(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(S.geomean(F.col("l_quantity")), 6).alias("g")), "SELECT l_returnflag, round(exp(avg(ln(l_quantity))), 6) AS g FROM lineitem GROUP BY 1"),
         "rmat": (lambda s, d: N.rmat(s, 10, 4000, "g500", seed=1).df, None),
         "gnm": (lambda s, d: N.gnm(s, 1000, 5000, seed=1).df, None),
