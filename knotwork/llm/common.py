@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, shared_folder
+
+__all__ = ["MAX_SHIPPED_BYTES", "bounded", "check_shipped", "components", "held_out", "materialize", "quoted", "remove_folder", "shared_folder", "table", "texts_of", "unused"]
+
 #: Largest object, in bytes, that an operator of this package ships to every executor.
 MAX_SHIPPED_BYTES = 256 << 20
 
@@ -17,21 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share, as spark.checkpoint.dir names it.
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-    Only where that is unset (tests) a temporary folder is used.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that none of the frames has, whatever its case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
