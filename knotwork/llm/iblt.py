@@ -1,100 +1,111 @@
 """Document fingerprints as invertible Bloom lookup sketches.
 
 A document is the set of digests of its paragraphs: its lines, and the first
-24, next 96 and next 384 characters of a line apart, so that an edit in a long
-line leaves its start alone. A sketch has parts of three rows of eight cells; a
-digest belongs to one part and there to one cell of each row. A cell holds the
-exclusive or of its digests, so a version is subtracted by the same operation,
-and what both share vanishes. The low 24 bits of a digest are a check hash of
-the others, by which a cell with one digest left is told. Taking that digest
-out of its other cells frees the next, until the sketch is empty. Sketches
-that do not come out empty are built again with twice as many parts.
+24, next 96, next 384 and then each 1,536 characters of a line apart, so that an
+edit in a long line leaves the rest alone. A sketch has 2^k parts of three rows
+of sixteen cells; the upper bits of a digest choose its part, twelve others its
+cell in each row. A cell holds the exclusive or of its digests, so a version
+is subtracted by the same operation, and what both share vanishes. The low 24
+bits of a digest are a check hash of the others, by which a cell with one digest
+left is told. Taking that digest out of its other cells frees the next, until
+the sketch is empty: what was taken out are the digests in which the versions
+differ. Sketches that do not come out empty are built again twice as large.
+
+The returned fingerprint is the sketch at the size that the number of digests
+asks for, all cells with all bits, so two of equal size can be subtracted and
+peeled by whoever holds them.
 
 All of it is DataFrame and SQL functions. The text crosses the network once,
-to stand beside the next document's; sketches are filled by aggregations that
-keep that distribution.
+to stand beside the next document's; the rest happens within a row, in time
+that grows as n log n with its digests, and leaves nothing on disk.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-ROWS, COLUMNS = 3, 8
-#: Digests a part should hold at the first try; tries before the exact count.
-LOAD, TRIES = 8, 8
+ROWS, COLUMNS = 3, 16
+CELLS = ROWS * COLUMNS
+#: Digests a part should hold; tries, each twice as large, before the exact difference; most bits of a part's number.
+LOAD, TRIES, BITS = 16, 8, 24
+#: Most ranges that rows are dealt over to find the next document.
+RANGES = 20_000
 _CHECK = (1 << 24) - 1
 
 
 def paragraphs(text: str) -> str:
-    """SQL for the set of paragraph digests of a text column: 40 bits of a
+    """SQL for the sorted set of paragraph digests of a text column: 40 bits of a
     hash, and 24 bits of a check hash of these."""
-    cut = "array(substr(x, 1, 24), substr(x, 25, 96), substr(x, 121, 384), substr(x, 505))"
+    rest = "if(length(x) > 504, regexp_extract_all(substr(x, 505), '(?s)(.{1,1536})', 1), array())"
+    cut = f"concat(array(substr(x, 1, 24), substr(x, 25, 96), substr(x, 121, 384)), {rest})"
     units = f"filter(flatten(transform(split({text}, '\n'), x -> {cut})), x -> x <> '')"
-    return f"array_distinct(transform({units}, x -> transform(array(xxhash64(x) & {~_CHECK}L), h -> h | (xxhash64(h) & {_CHECK}L))[0]))"
-
-
-def cells_of(digests: str) -> str:
-    """SQL for the cells of an array of digests: three bits of a digest choose
-    its cell in each row."""
-    shifts, columns = (f"array({', '.join(map(str, x))})" for x in ([24 + 3 * r for r in range(ROWS)], range(COLUMNS)))
-    return f"flatten(transform({shifts}, j -> transform({columns}, c -> aggregate({digests}, 0L, (a, d) -> if((shiftright(d, j) & 7) = c, a ^ d, a)))))"
+    return f"array_sort(array_distinct(transform({units}, x -> transform(array(xxhash64(x) & {~_CHECK}L), h -> h | (xxhash64(h) & {_CHECK}L))[0])))"
 
 
-def sketch(digest: str) -> Column:
-    """The same as an aggregation over a column of digests, compiled."""
-    cells = [F.expr(f"bit_xor(if((shiftright({digest}, {24 + 3 * r}) & 7) = {c}, {digest}, 0L))") for r in range(ROWS) for c in range(COLUMNS)]
-    return F.array(*cells)
+def bits_of(digests: str) -> str:
+    """SQL for the bits that number the parts of an array's sketch."""
+    return f"if(size({digests}) <= {LOAD}, 0, least({BITS}, cast(ceil(log2(size({digests}) / {LOAD}.0)) as int)))"
 
 
-def peel(cells: str) -> Column:
-    """Number of digests recovered from the cells of a difference, -1 if some
-    stay mixed."""
+def cells_of(digests: str) -> str:
+    """SQL for the cells of an array of digests of one part: four bits of a
+    digest choose its cell in each row."""
+    shifts, columns = (f"array({', '.join(map(str, x))})" for x in ([24 + 4 * r for r in range(ROWS)], range(COLUMNS)))
+    return f"flatten(transform({shifts}, j -> transform({columns}, c -> aggregate({digests}, 0L, (a, d) -> if((shiftright(d, j) & {COLUMNS - 1}) = c, a ^ d, a)))))"
+
+
+def sketch(digests: str, bits: str) -> str:
+    """SQL for the cells of a sorted array of digests, part after part. Upper
+    bits number the parts, so each is a slice, found by halving."""
+    part = "cast(shiftright(get(y.s, at + w - 1), 64 - y.b) as int) + shiftleft(1, y.b - 1)"
+    below = f"aggregate(y.w, 0, (at, w) -> if(at + w <= size(y.s) and {part} < {{}}, at + w, at))"
+    slices = f"transform(sequence(0, shiftleft(1, y.b) - 1), q -> slice(y.s, {below.format('q')} + 1, {below.format('q + 1')} - {below.format('q')}))"
+    steps = f"filter(transform(sequence(30, 0, -1), i -> shiftleft(1, i)), i -> i <= size({digests}))"
+    many = f"transform(array(named_struct('s', {digests}, 'b', {bits}, 'w', {steps})), y -> flatten(transform({slices}, g -> {cells_of('g')})))[0]"
+    return f"if({bits} = 0, {cells_of(digests)}, {many})"
+
+
+def peel(cells: str) -> str:
+    """SQL for the digests recovered from one part's cells of a difference, null
+    if some stay mixed."""
     pure = f"array_distinct(filter(s.k, k -> k <> 0 and (k & {_CHECK}L) = (xxhash64(k & {~_CHECK}L) & {_CHECK}L)))"
-    step = f"transform(array({pure}), p -> if(size(p) = 0, named_struct('k', s.k, 'n', s.n, 'end', true), named_struct('k', zip_with(s.k, {cells_of('p')}, (u, v) -> u ^ v), 'n', s.n + size(p), 'end', false)))[0]"
-    left = f"aggregate(sequence(1, {ROWS * COLUMNS + 1}), named_struct('k', {cells}, 'n', 0, 'end', false), (s, r) -> if(s.end, s, {step}))"
-    return F.expr(f"transform(array({left}), z -> if(exists(z.k, k -> k <> 0), -1, z.n))[0]")
-
-
-def differences(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """pairs(keys, a, b) with differ: the number of digests in which the sets a
-    and b differ, by subtracting their sketches and peeling, retried larger
-    until it comes out. pairs is read once for each try."""
-    out, left = [], pairs
-    for t in range(TRIES):
-        n = F.size("a") + F.size("b")
-        parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), n / LOAD)))).cast("long") * (1 << t)
-        # a sketch is linear: what both sides put into a cell is their difference there
-        put = left.select(*keys, parts.alias("_parts"), F.explode(F.concat("a", "b")).alias("d"))
-        put = put.withColumn("_part", F.expr("shiftright(d, 33)").bitwiseAND(F.col("_parts") - 1))
-        filled = put.groupBy(*keys, "_part").agg(sketch("d").alias("cells"))
-        got = filled.select(*keys, peel("cells").alias("n")).groupBy(*keys).agg(F.sum("n").alias("differ"), F.min("n").alias("worst"))
-        got = materialize(got)
-        out.append(got.where("worst >= 0").select(*keys, "differ"))
-        failed = got.where("worst < 0").select(*keys)
-        if failed.isEmpty():
-            break
-        left = left.join(failed, keys, "left_semi")
-    else:  # digests alike in every bit that places them
-        out.append(left.select(*keys, (F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a"))).cast("long").alias("differ")))
-    return reduce(DataFrame.unionByName, out)
+    state = "struct<k:array<bigint>,out:array<bigint>,done:boolean>"
+    step = f"transform(array({pure}), p -> if(size(p) = 0, named_struct('k', s.k, 'out', s.out, 'done', true), named_struct('k', zip_with(s.k, {cells_of('p')}, (u, v) -> u ^ v), 'out', concat(s.out, p), 'done', false)))[0]"
+    start = f"cast(named_struct('k', {cells}, 'out', array(), 'done', false) as {state})"
+    left = f"aggregate(sequence(1, {CELLS + 1}), {start}, (s, r) -> if(s.done, s, cast({step} as {state})))"
+    return f"transform(array({left}), z -> if(exists(z.k, k -> k <> 0), null, z.out))[0]"
+
+
+def differing(a: str, b: str, sketch_a: str, sketch_b: str) -> str:
+    """SQL for the digests in which the sorted sets a and b differ: their sketches
+    are subtracted and peeled, at the size of the larger one and then twice as
+    large again and again, until they come out. The given sketches have the size
+    of their own sets, and are taken as they are where that is the size asked for."""
+    state = "struct<ok:boolean,d:array<bigint>>"
+    both = f"greatest({bits_of(a)}, {bits_of(b)})"
+    at = [f"if(t = 0 and y2.m = {bits_of(x)}, {held}, {sketch(x, 'least(30, y2.m + t)')})" for x, held in ((a, sketch_a), (b, sketch_b))]
+    parts = f"transform(sequence(0, cast(size(k0) / {CELLS} as int) - 1), i -> {peel(f'slice(k0, i * {CELLS} + 1, {CELLS})')})"
+    once = f"transform(array(zip_with({at[0]}, {at[1]}, (u, v) -> u ^ v)), k0 -> transform(array({parts}), f -> if(exists(f, o -> o is null), named_struct('ok', false, 'd', array()), named_struct('ok', true, 'd', flatten(f))))[0])[0]"
+    tries = f"aggregate(sequence(0, {TRIES - 1}), cast(named_struct('ok', false, 'd', array()) as {state}), (v0, t) -> if(v0.ok, v0, cast({once} as {state})))"
+    # digests alike in every bit that places them
+    exact = f"concat(array_except({a}, {b}), array_except({b}, {a}))"
+    return f"transform(array(named_struct('m', {both})), y2 -> transform(array({tries}), e -> if(e.ok, e.d, {exact}))[0])[0]"
 
 
 def likeness(a: str, b: str, differ: str) -> Column:
     """Shared digests over all; 1 for two empty sets, which have no cells."""
     n = F.size(a) + F.size(b)
-    d = F.coalesce(F.col(differ), F.lit(0))
+    d = F.size(differ)
     return F.when(n == 0, 1.0).otherwise((n - d) / (n + d).cast("double"))
 
 
-def fingerprint(digests: str) -> Column:
-    """The cells of one part in hexadecimal, their upper 32 bits, after the
-    number of digests; equal texts have equal fingerprints."""
-    return F.expr(f"concat(size({digests}), ':', array_join(transform({cells_of(digests)}, k -> lower(lpad(hex(shiftrightunsigned(k, 32)), 8, '0'))), ''))")
+def fingerprint(digests: str, cells: str) -> Column:
+    """The number of digests and the list of all cells; equal texts have equal
+    fingerprints, and sketches of equal size are subtracted cell by cell."""
+    return F.concat(F.size(digests), F.lit(":"), F.translate(F.col(cells).cast("string"), "[] ", ""))
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
@@ -103,26 +114,34 @@ def beside_next(docs: DataFrame) -> DataFrame:
     null doc_id comes last. Equal rows have each other or the next as next.
 
     Rows are dealt by ranges of doc_id taken from approximate quantiles, so
-    neighbours meet in one shuffle of the texts; the first row of every range
+    neighbours meet in one shuffle of the texts; a doc_id that several quantiles
+    fall on has so many ranges, by the hashes. The first row of every range
     follows the last of the range before.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("tie", F.xxhash64("text"))
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select(F.percentile_approx("key", [k / n for k in range(1, n)], F.lit(20 * n))).first()[0] or []
-    cuts = sorted(set(cuts))
-    # the number of cuts below key, by halving
-    widths = [1 << k for k in reversed(range(len(cuts).bit_length()))]
-    table = F.array(*map(F.lit, cuts))
+    n = min(RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    marks = docs.select(F.percentile_approx("key", [k / n for k in range(1, n)], F.lit(20 * n))).first()[0] or []
+    cuts = sorted(set(marks))
     if cuts:
-        below = F.aggregate(F.array(*map(F.lit, widths)), F.lit(0), lambda at, w: F.when(F.coalesce(F.get(table, at + w - 1) < F.col("key"), F.lit(False)), at + w).otherwise(at))
+        # one literal each, and the number of cuts below key by halving
+        listed = lambda x: F.expr(f"cast(split('{','.join(map(str, x))}', ',') as array<bigint>)")
+        times = {c: marks.count(c) for c in cuts}
+        most = max(times.values()) + 1
+        widths = listed([1 << k for k in reversed(range(len(cuts).bit_length()))])
+        table, often = listed(cuts), listed([times[c] for c in cuts])
+        below = F.aggregate(widths, F.lit(0).cast("long"), lambda at, w: F.when(F.coalesce(F.get(table, (at + w - 1).cast("int")) < F.col("key"), F.lit(False)), at + w).otherwise(at))
+        docs = docs.withColumn("below", below.cast("int"))
+        hot = F.coalesce((F.get(table, F.col("below")) == F.col("key")) & (F.get(often, F.col("below")) > 1), F.lit(False))
+        sub = F.expr("shiftright(tie, 33) + 1073741824L") * F.get(often, F.col("below"))
+        place = ((F.lit(len(cuts)) - F.col("below")) * 2 + F.when(hot, 0).otherwise(1)) * most + F.when(hot, F.shiftright(sub, 31)).otherwise(0)
+        docs = docs.withColumn("range", place.cast("long")).drop("below")
     else:
-        below = F.lit(0)
-    docs = docs.withColumn("range", -below)
+        docs = docs.withColumn("range", F.lit(0).cast("long"))
     order = Window.partitionBy("range").orderBy(F.desc("key"), "tie")
     firsts = docs.groupBy("range").agg(F.min(F.struct(F.bitwise_not("key").alias("down"), "tie")).alias("one"))
-    firsts = materialize(firsts.select("range", "one.*"))  # one row for each range: at most n
+    firsts = materialize(firsts.select("range", "one.*"))  # one row for each range: some 2 * n at most
     ring = Window.orderBy("range")
     after = firsts.select(F.col("range").alias("_range"), F.coalesce(F.lead("range").over(ring), F.first("range").over(ring)).alias("follows"))
     heads = docs.join(F.broadcast(firsts.select(F.col("range").alias("_r"), F.bitwise_not("down").alias("_k"), F.col("tie").alias("_t"))), (F.col("range") == F.col("_r")) & (F.col("key") == F.col("_k")) & (F.col("tie") == F.col("_t")))
@@ -136,24 +155,28 @@ def beside_next(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_chars, edited_sha256 of
     the text with its last third replaced by the start of the next document's,
-    both fingerprints, and the likeness to the edited and to the next text.
+    both fingerprints, the likeness to the edited and to the next text, and
+    edited_digests, the paragraph digests in which text and edited text differ.
     Null texts count as empty."""
     both = beside_next(docs).withColumn("n", F.length("text"))
     k = F.floor(F.col("n") / 3).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - k), F.substring("next_text", F.lit(1), k)))
-    sets = both.select(
-        "range", F.monotonically_increasing_id().alias("row"), "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        *(F.expr(paragraphs(c)).alias(a) for c, a in (("text", "_a"), ("edited", "_e"), ("next_text", "_x"))),
-    )
-    sets = materialize(sets)
-    kinds = sets.selectExpr("range", "row", "explode(array(named_struct('kind', 0, 'a', _a, 'b', _e), named_struct('kind', 1, 'a', _a, 'b', _x))) as p")
-    found = differences(kinds.select("range", "row", "p.*"), ["range", "row", "kind"])
-    found = found.groupBy("range", "row").agg(F.max(F.when(F.col("kind") == 0, F.col("differ"))).alias("_de"), F.max(F.when(F.col("kind") == 1, F.col("differ"))).alias("_dx"))
-    return sets.join(found, ["range", "row"], "left").select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint("_a").alias("fingerprint"), fingerprint("_e").alias("edited_fingerprint"),
-        likeness("_a", "_e", "_de").alias("near_edited"), likeness("_a", "_x", "_dx").alias("near_next"),
+    sets = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(F.expr(paragraphs(c)).alias(a) for c, a in (("text", "_a"), ("edited", "_e"), ("next_text", "_x"))))
+    held = sets.select("*", *(F.expr(sketch(c, bits_of(c))).alias(f"_s{c}") for c in ("_a", "_e", "_x")))
+    found = held.select("*", *(F.expr(differing("_a", c, "_s_a", f"_s{c}")).alias(f"_d{c}") for c in ("_e", "_x")))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint("_a", "_s_a").alias("fingerprint"), fingerprint("_e", "_s_e").alias("edited_fingerprint"),
+        likeness("_a", "_e", "_d_e").alias("near_edited"), likeness("_a", "_x", "_d_x").alias("near_next"), F.col("_d_e").alias("edited_digests"),
     )
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    return fingerprints(docs)
+    """Fingerprints of every document and its edited text, and their likeness.
+
+    Null counts as empty; two empty texts are alike (1.0). Texts count whole,
+    however long. Rows with equal doc_id follow each other by a hash of their
+    texts, rows without doc_id come last; repeated rows get a row each and stand
+    beside each other. A lone row is its own next. An empty table gives no rows;
+    other columns aren't looked at.
+    """
+    return fingerprints(docs).drop("edited_digests")
