@@ -13,6 +13,7 @@ digits as one space.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, check_shipped
+from .common import MAX_SHIPPED_BYTES, bounded, check_shipped, materialize, quoted, unused
 
 Q, SEGMENT, RATE = 8, 64, 0.08
 _FILTER_BITS = 22
+#: Characters searched together.
+PIECE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,14 +44,19 @@ def _plain() -> np.ndarray:
     return out
 
 
-def normal(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(characters of all texts, their bounds), one space after each text."""
-    raw = [(t or "").encode("utf-32-le", "surrogatepass") + b" \0\0\0" for t in texts]
+def normal(texts: list[str | None], gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(characters of all texts, their bounds). A space follows each text, and
+    after that ``gap`` times code point 0, which no text has then."""
+    tail = b" \0\0\0" + b"\0\0\0\0" * gap
+    raw = [(t or "").encode("utf-32-le", "surrogatepass") + tail for t in texts]
     cp = _plain()[np.frombuffer(b"".join(raw), dtype=np.uint32)] if raw else np.zeros(0, dtype=np.uint32)
     ends = np.cumsum([len(r) // 4 for r in raw], dtype=np.int64)
     keep = np.r_[True, (cp[1:] != 32) | (cp[:-1] != 32)] if len(cp) else np.zeros(0, dtype=bool)
-    if len(ends):
-        keep[ends - 1] = True
+    keep[(ends - [len(r) // 4 for r in raw]).astype(np.int64)] = True  # a text's own first space
+    for k in range(gap + 1 if len(ends) else 0):
+        keep[ends - 1 - k] = True
+    for k in range(gap if len(ends) else 0):
+        cp[ends - 1 - k] = 0
     return cp[keep], np.r_[np.int64(0), np.cumsum(keep)[ends - 1]] if len(ends) else np.zeros(1, dtype=np.int64)
 
 
@@ -137,8 +145,28 @@ def _aligned(cp: np.ndarray, ix: Index, seg: np.ndarray, at: np.ndarray, band: n
 
 
 def search(ix: Index, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, segment) of all segments that have a match."""
-    cp, bounds = normal(texts)
+    """(text, segment) of all segments that have a match within one text.
+
+    Between texts lie more foreign characters than any segment may have edits,
+    so no alignment reaches from one into another.
+    """
+    return _search(ix, *normal(texts, int(ix.edits.max(initial=0)) + 1))
+
+
+def search_long(ix: Index, text: str, piece: int) -> set[int]:
+    """Segments that have a match in a long text, of which a piece at a time is
+    looked at, after the end of the one before."""
+    held, found = np.zeros(0, dtype=np.uint32), set()
+    for at in range(0, len(text), piece):
+        cp = normal([text[at : at + piece]])[0][:-1]
+        cp = cp[1:] if len(held) and len(cp) and held[-1] == cp[0] == 32 else cp
+        cp = np.concatenate([held, cp])
+        found.update(_search(ix, cp, np.array([0, len(cp)]))[1].tolist())
+        held = cp[max(0, len(cp) - 2 * int((ix.length + ix.edits).max(initial=1))) :]
+    return found
+
+
+def _search(ix: Index, cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     if len(cp) < ix.q or not len(ix.keys):
         return none
@@ -185,41 +213,81 @@ def search(ix: Index, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return doc, seg
 
 
-def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, segment: int = SEGMENT, rate: float = RATE) -> DataFrame:
-    """docs with item_ids (sorted ids of benchmark items of which a segment has
-    a match in the text) and n_segments, one row per row of docs.
-
-    The benchmark is read by the driver and its index sent to the executors,
-    after a check of its size. Null texts match nothing; null item ids are
-    ignored. Columns of docs with these names are replaced.
-    """
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    check_shipped(total * 48, "the benchmark's index")
-    ix = build(sorted(map(tuple, items.distinct().collect())), q, segment, rate)
+def _marked(docs: DataFrame, ix: Index, name: str) -> DataFrame:
+    """docs with the items and segments found in the text as a struct column of that name."""
     shipped = docs.sparkSession.sparkContext.broadcast(ix)
-    own = [c for c in docs.columns if c.lower() not in ("item_ids", "n_segments")]
-    schema = docs.select(*own).schema.add("item_ids", T.ArrayType(T.LongType())).add("n_segments", T.IntegerType())
+    own = docs.columns
+    kind = T.StructType([T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("segments", T.ArrayType(T.LongType()))])
+    text = next(c for c in own if c.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shipped.value
-        for b in bounded(batches, 1 << 20):
-            doc, seg = search(index, b.column("text").cast(pa.string()).to_pylist())
-            hits: dict[int, set[int]] = {}
-            for d, s in zip(doc.tolist(), seg.tolist(), strict=True):
+        for b in bounded(batches, PIECE):
+            texts = b.column(own.index(text)).cast(pa.string()).to_pylist()
+            long = {k: t for k, t in enumerate(texts) if t and len(t) > PIECE}
+            hits: dict[int, set[int]] = {k: search_long(index, t, PIECE) for k, t in long.items()}
+            for d, s in zip(*(x.tolist() for x in search(index, [None if k in long else t for k, t in enumerate(texts)])), strict=True):
                 hits.setdefault(d, set()).add(s)
-            found = [sorted({int(index.items[s]) for s in hits.get(k, ())}) for k in range(b.num_rows)]
-            n = [len(hits.get(k, ())) for k in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int64())), pa.array(n, pa.int32())], [*own, "item_ids", "n_segments"])
+            items = pa.array([sorted({int(index.items[s]) for s in hits.get(k, ())}) for k in range(b.num_rows)], pa.list_(pa.int64()))
+            segments = pa.array([sorted(hits.get(k, ())) for k in range(b.num_rows)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays([items, segments], ["item_ids", "segments"])], [*own, name])
 
-    return docs.select(*own).mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, q: int, segment: int, rate: float, most: int) -> tuple[DataFrame, str]:
+    """docs with a struct column (item_ids, n_segments), and its name."""
+    name = unused("found", docs)
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    step = min(int(segment * rate), (segment - q) // q) + 1
+    # an index takes some 48 bytes a character, and its segments 32 each
+    cost = 48 + 32 // step + 1
+    n = max(1, math.ceil(total * cost / most * (1 if total * cost <= most else 1.5)))
+    if n == 1:
+        found = _marked(docs, build(sorted(map(tuple, items.distinct().collect())), q, segment, rate), name)
+        return found.withColumn(name, F.struct(F.col(name)["item_ids"].alias("item_ids"), F.size(F.col(name)["segments"]).alias("n_segments"))), name
+    # a benchmark beyond the bound goes in slices: each is a pass over the texts, written before the next
+    out = docs.withColumn(name, F.struct(F.array().cast("array<long>").alias("item_ids"), F.lit(0).alias("n_segments")))
+    for k in range(n):
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        size = part.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+        check_shipped(size * cost, "a slice of the benchmark's index")
+        new = unused("more", out)
+        more = _marked(out, build(sorted(map(tuple, part.distinct().collect())), q, segment, rate), new)
+        both = F.struct(F.array_sort(F.array_union(F.col(name)["item_ids"], F.col(new)["item_ids"])).alias("item_ids"), (F.col(name)["n_segments"] + F.size(F.col(new)["segments"])).alias("n_segments"))
+        out = materialize(more.withColumn(name, both).drop(new))
+    return out, name
+
+
+def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, segment: int = SEGMENT, rate: float = RATE, most: int = MAX_SHIPPED_BYTES) -> DataFrame:
+    """docs with item_ids (sorted ids of benchmark items of which a segment has
+    a match in the text) and n_segments, one row per row of docs.
+
+    The benchmark's index is sent to the executors if it takes ``most`` bytes at
+    most. Beyond that the items are dealt over slices by a hash of their ids,
+    and the texts are searched slice by slice. Null texts match nothing; null
+    item ids are ignored. Columns of docs with these names are replaced.
+    """
+    found, name = _found(docs, benchmark, q, segment, rate, most)
+    return found.select(*(quoted(c) for c in docs.columns if c.lower() not in ("item_ids", "n_segments")), f"{name}.*")
 
 
 def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Benchmark items found in every document.
+
+    A null or empty text holds none. Very long texts are searched whole, in
+    pieces that overlap by more than a segment. Repeated rows get a row each,
+    an item found twice counts once, items with equal text are all reported, an
+    empty benchmark finds nothing, an empty table gives no rows, and other
+    columns aren't looked at.
+    """
     found = find(docs.select("doc_id", "text"), benchmark)
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "n_segments")
 
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a passage of the benchmark."""
-    return find(docs, benchmark).where(F.size("item_ids") == 0).select(*docs.columns)
+    """docs without those that hold a passage of the benchmark. Rows without
+    text or doc_id, repeated rows and columns of any name are treated alike."""
+    found, name = _found(docs, benchmark, Q, SEGMENT, RATE, MAX_SHIPPED_BYTES)
+    return found.where(F.size(F.col(name)["item_ids"]) == 0).select(*map(quoted, docs.columns))
