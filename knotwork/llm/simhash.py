@@ -24,10 +24,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, materialize
+from .common import bounded, components, materialize, quoted, unused
 
 WORD_BITS, CHECK_BITS, COVER = 23, 11, 3
 #: Fixed value: generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the Golay code.
@@ -37,6 +37,8 @@ MASK = (1 << WORD_BITS) - 1
 #: compared. At a Jaccard similarity of 0.8 some 39 differ, with a standard
 #: deviation of 6.
 WIDE, DIFFER = 4, 54
+#: Rows, of 20 bytes each, up to which a list of rows is broadcast.
+FEW = 1_000_000
 
 
 def _digests(text: str | None, shingle: int) -> np.ndarray:
@@ -171,37 +173,37 @@ def _stars(anchor: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray
     return ids[far], ids[label[far]], unsure
 
 
-def links(reps: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints of reps(fp, rep)
-    exactly as all links at ``radius`` or fewer differing bits would."""
+def links(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """Edges (a, b) that connect the distinct fingerprints in fps(fp) exactly as
+    all links at ``radius`` or fewer differing bits would."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, 64 << 10):
-            fp, rep = b.column("fp").to_numpy(), b.column("rep").to_numpy()
+            fp = b.column("fp").to_numpy()
             row, anchor, home = anchors_of(fp, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(fp[row]), pa.array(rep[row]), pa.array(home)], ["anchor", "fp", "rep", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(fp[row]), pa.array(home)], ["anchor", "fp", "home"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
-        def found(part: list[np.ndarray]) -> pa.RecordBatch:
-            x, y, _ = _stars(*part, radius)
+        def found(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
+            x, y, _ = _stars(anchor, fp, fp, home, radius)
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            part = [b.column(k).to_numpy(zero_copy_only=False) for k in ("anchor", "fp", "rep", "home")]
+            part = [b.column(k).to_numpy(zero_copy_only=False) for k in ("anchor", "fp", "home")]
             if held is not None:
                 part = [np.concatenate(x) for x in zip(held, part, strict=True)]
             cut = int(np.searchsorted(part[0], part[0][-1]))  # the last anchor may go on
             held = [x[cut:] for x in part]
             if cut:
-                yield found([x[:cut] for x in part])
+                yield found(*(x[:cut] for x in part))
         if held is not None:
-            yield found(held)
+            yield found(*held)
 
-    sent = reps.mapInArrow(send, "anchor int, fp long, rep long, home boolean")
+    sent = fps.select("fp").mapInArrow(send, "anchor int, fp long, home boolean")
     return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
 
@@ -210,17 +212,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
     component_id is the smallest doc_id reachable over links of fingerprints
     that differ in ``radius`` bits at most. Null or empty texts have the
-    fingerprint 0 and link like any other. Repeated rows are kept. A null
-    doc_id gets its fingerprint's component and never names one by itself.
+    fingerprint 0 and link like any other. Repeated rows are kept. Rows without
+    doc_id link, too, and others are reached through them; only a component of
+    such rows alone has no component_id.
     """
     fps = materialize(fingerprints(docs, shingle))
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    label = components(links(reps.where("rep is not null"), radius))
-    named = reps.join(label, reps["rep"] == label["node"], "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    # a fingerprint is the node, so rows of any doc_id, or none, take part
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    label = components(links(reps, radius)).withColumnRenamed("node", "fp")
+    named = reps.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    return fps.join(named.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op4(docs: DataFrame) -> DataFrame:
+    """Fingerprint and component of every document, by three-word shingles and 2 bits.
+
+    Null and empty texts have the fingerprint 0 and link like any other. Texts
+    are read whole, however long. Ties: the smallest doc_id names a component.
+    Repeated rows get a row each; rows without doc_id link and are named like
+    others, null only if no doc_id can be reached. An empty table gives no rows;
+    other columns aren't looked at.
+    """
     found = near_duplicates(docs, shingle=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -241,18 +254,23 @@ def _wide(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def tie_of(docs: DataFrame) -> Column:
+    """Digest of the text, which with doc_id tells rows apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, f0, f1, ..., key) as signed longs, one row per row of docs; key
-    is a digest of the set of shingles."""
+    """(doc_id, tie, f0, f1, ..., key) as signed longs, one row per row of docs;
+    tie is a digest of the text and key one of the set of shingles."""
     names = [f"f{k}" for k in range(WIDE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches):
             grams = [np.unique(_digests(t, shingle)) for t in b.column("text").to_pylist()]
             fp = np.array([[*_wide(h), xxhash.xxh64_intdigest(h.tobytes())] for h in grams], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WIDE + 1))], ["doc_id", *names, "key"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WIDE + 1))], ["doc_id", "tie", *names, "key"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in (*names, "key")))
+    return docs.select(F.col("doc_id").cast("long"), tie_of(docs).alias("tie"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tie long, " + ", ".join(f"{k} long" for k in (*names, "key")))
 
 
 def wide_links(reps: DataFrame, radius: int = 1, differ: int = DIFFER) -> DataFrame:
@@ -301,27 +319,28 @@ def wide_links(reps: DataFrame, radius: int = 1, differ: int = DIFFER) -> DataFr
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, grams) of texts(doc_id, text): sorted distinct shingle digests."""
+    """(node, grams) of texts(node, text): sorted distinct shingle digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, 1 << 20):
             sets = [np.unique(_digests(t, shingle).view(np.int64)) for t in b.column("text").to_pylist()]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "grams"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, grams array<long>")
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Shingle sets of the documents in ids(doc_id). Of rows with equal doc_id
-    one text is taken."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
-    return materialize(shingle_sets(texts.groupBy("doc_id").agg(F.min("text").alias("text")), shingle))
+def sets_of(rows: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Shingle sets of the documents in rows(node, doc_id, tie), by node."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("own"), tie_of(docs).alias("tie"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(rows, (texts["tie"] == rows["tie"]) & texts["own"].eqNullSafe(rows["doc_id"])).select("node", "text")
+    # rows equal in doc_id and text are one
+    return materialize(shingle_sets(texts.groupBy("node").agg(F.min("text").alias("text")), shingle))
 
 
 def set_bytes(sets: DataFrame) -> DataFrame:
     """(node, bytes): about the memory that a document's set takes."""
-    return sets.select(F.col("doc_id").alias("node"), (F.size("grams") * 8 + 100).cast("long").alias("bytes"))
+    return sets.select("node", (F.size("grams") * 8 + 100).cast("long").alias("bytes"))
 
 
 def _merged(label: np.ndarray, side: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], least: float, differ: int) -> list[tuple[int, int]]:
@@ -390,42 +409,55 @@ def alike(doubtful: DataFrame, sets: DataFrame, least: float, differ: int = DIFF
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
         "anchor", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "label", "side", *names)
     keys = ["anchor", "low", "high"]
-    held = dealt.join(sets.withColumnRenamed("doc_id", "node"), "node")
+    held = dealt.join(sets, "node")
     return held.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def similar(docs: DataFrame, shingle: int = 5, radius: int = 1, least: float = 0.8) -> DataFrame:
-    """(doc_id, f0, ..., component_id) for every row of docs: as near_duplicates(),
+    """(doc_id, tie, node, label) for every different (doc_id, text) of docs: as near_duplicates(),
     but linked at a Jaccard similarity of ``least`` or more. Rows with the same
-    shingles are one; of the others, wide fingerprints tell the pairs far from
-    it, and all that are left are compared by their shingles."""
-    names = [f"f{k}" for k in range(WIDE)]
+    shingles are one node; of the others, wide fingerprints tell the pairs far from
+    it, and all that are left are compared by their shingles. label is a node
+    of the row's group, the same for all of the group."""
+    names = [*(f"f{k}" for k in range(WIDE)), "key"]
     fps = materialize(wide_fingerprints(docs, shingle))
-    reps = fps.groupBy(*names, "key").agg(F.min("doc_id").alias("rep"))
-    doubtful = materialize(wide_links(reps.where("rep is not null"), radius))
-    sets = sets_of(doubtful.select(F.col("node").alias("doc_id")).distinct(), docs, shingle)
+    one = F.min_by(F.struct("doc_id", "tie"), F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("one")
+    nodes = materialize(fps.groupBy(*names).agg(one).withColumn("node", F.monotonically_increasing_id()))
+    doubtful = materialize(wide_links(nodes.withColumnRenamed("node", "rep"), radius))
+    wanted = nodes.join(doubtful.select("node").distinct(), "node", "left_semi").select("node", "one.*")
+    sets = sets_of(wanted, docs, shingle)
     known = materialize(doubtful.withColumn("label", F.col("node")).join(set_bytes(sets), "node", "left"))  # read twice below
     label = components(alike(known, sets, least))
-    named = reps.join(label, reps["rep"] == label["node"], "left").select(*names, "key", F.coalesce("label", "rep").alias("component_id"))
-    return fps.join(named, [*names, "key"])
+    named = nodes.join(label, "node", "left").select(*names, "node", F.coalesce("label", "node").alias("label"))
+    return fps.join(named, names).select("doc_id", "tie", "node", "label")
 
 
 def stage(docs: DataFrame, shingle: int = 5, radius: int = 1, least: float = 0.8) -> DataFrame:
     """docs with one row of each group of near duplicates: the smallest doc_id's.
 
-    Of rows with an equal smallest doc_id one stays. Rows without doc_id stay
-    only where no row with one has their shingles, one for each set of these.
-    Rows meet by doc_id, so only they and their fingerprints move, and the
-    texts once.
+    A row is told by doc_id and text: rows of one doc_id with different texts are
+    different documents. Among rows of a group with the same smallest doc_id, the
+    one with the smallest digest of its text stays, and of rows equal in both,
+    one (which of them, if other columns differ, is open). Rows without doc_id
+    come last, so they stay only in groups of their own. Null and empty texts are
+    one group. Columns of docs may have any name; an empty table stays empty.
     """
-    names = [*(f"f{k}" for k in range(WIDE)), "key"]
     found = materialize(similar(docs, shingle, radius, least))
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    own = docs.columns
-    named = docs.join(kept, docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    alone = found.where("component_id is null").select(*names).distinct()
-    if alone.isEmpty():
-        return named.select(*own)
-    bare = docs.where("doc_id is null").withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    one = wide_fingerprints(bare.select(F.col("_key").alias("doc_id"), "text"), shingle).join(alone, names).groupBy(*names).agg(F.min("doc_id").alias("_key"))
-    return named.select(*own).unionByName(bare.join(one.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*own))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "tie")
+    kept = found.groupBy("label").agg(F.min(first).alias("one"), F.count("*").alias("rows"))
+    kept = kept.select(F.col("one.doc_id").alias("id"), F.col("one.tie").alias("tie"))
+    often = found.groupBy("doc_id", "tie").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id2"), F.col("tie").alias("tie2"))
+    kept = materialize(kept.join(often, (F.col("tie") == F.col("tie2")) & F.col("id").eqNullSafe(F.col("id2")), "left").select("id", "tie", F.col("tie2").isNotNull().alias("repeated")))
+    id_, tie, n = unused("id", docs, kept), unused("tie", docs, kept), unused("repeated", docs)
+    chosen = kept.select(F.col("id").alias(id_), F.col("tie").alias(tie), F.col("repeated").alias(n))
+    row = unused("row", docs)
+    with_tie = docs.withColumn(row, tie_of(docs))
+    same = (F.col(row) == F.col(tie)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
+    own = [quoted(c) for c in docs.columns]
+    single = with_tie.join(chosen.where(~F.col(n)), same, "left_semi").select(*own)
+    repeated = chosen.where(F.col(n))
+    if repeated.isEmpty():
+        return single
+    few = repeated.limit(FEW + 1).count() <= FEW
+    several = with_tie.join(F.broadcast(repeated) if few else repeated, same, "left_semi").dropDuplicates(["doc_id", row])
+    return single.unionByName(several.select(*own))
