@@ -7,17 +7,22 @@ document's expectation, and the other goes on. A bucket of about ``fan``
 documents is folded in one task to one residual; the residuals of ``fan``
 buckets are folded the same way, and so on up to one for each source. Words
 are conserved by each trade, so a source misses its target by less than one
-document; large documents trade first, which leaves a small one as a rule. All of it is DataFrame and SQL functions.
+document; large documents trade first, which leaves a small one as a rule.
+
+Rows equal in doc_id, source and text are a unit of n rows: of n fractions p,
+the whole part of n * p is taken at once, and what is left is one fraction that
+trades like any other document's. All of it is DataFrame and SQL functions.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, quoted, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Number of sources up to which their table (24 bytes each) is broadcast.
@@ -33,33 +38,41 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: floa
     weights repeating over sources by code point with null last. A target stops
     at ``most`` times its source, and the excess goes to the others by weight.
 
-    The level at which sources fill is found from running sums over sources in
-    the order in which they fill up; one task sees one row for each source.
+    The level at which sources fill rises pass by pass: with it, those full are
+    known, and what they leave raises it for the others, until no more fill. A
+    pass is an aggregation whose four numbers reach the driver; the one window
+    numbers the sources where they are few, and two-level ranks do beyond that.
     """
-    rank = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.row_number().over(rank) - 1) % len(weights) + 1)
-    df = sizes.select("source", "source_size", w.alias("w"), (F.col("source_size") * most).alias("cap"))
-    everyone = Window.partitionBy(F.lit(0))
-    full = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = full.rowsBetween(Window.unboundedPreceding, -1)
-    total, weight = F.sum("source_size").over(everyone), F.sum("w").over(everyone)
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (weight - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    df = df.withColumn("level", F.when(level * F.col("w") <= F.col("cap"), level))
-    # the first level that its source can hold; none only if nothing has words
-    df = df.withColumn("level", F.first("level", ignorenulls=True).over(full.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return df.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
+    order = F.col("source").asc_nulls_last()
+    if sizes.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
+        ranked = sizes.withColumn("place", F.row_number().over(Window.orderBy(order)) - 1)
+    else:
+        from ..operators.layout import global_rank
+
+        ranked = global_rank(sizes, [order], "place")
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    df = materialize(ranked.select("source", "source_size", w.alias("w"), (F.col("source_size") * most).alias("cap")))
+    level = 0.0
+    while True:
+        full = F.col("cap") <= F.col("w") * level
+        n, total, held, weight = df.agg(F.count_if(~full), F.sum("source_size"), F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w")))).first()
+        after = max(level, (total - held) / weight) if n and weight else level
+        if after <= level * (1 + 1e-15):
+            break
+        level = after
+    return df.select("source", "source_size", F.least("cap", F.col("w") * level).alias("target"))
 
 
 _EPS = "1e-9"
-_UNIT = "named_struct('w', {0}.w, 'doc_id', {0}.doc_id, 'size', {0}.size, 'rows', {0}.rows, 'p', {1})"
-_STATE = "struct<has:boolean,c:struct<w:double,doc_id:bigint,size:bigint,rows:bigint,p:double>,out:array<struct<w:double,doc_id:bigint,size:bigint,rows:bigint,p:double>>>"
+_UNIT = "named_struct('w', {0}.w, 'doc_id', {0}.doc_id, 'tie', {0}.tie, 'p', {1})"
+_STATE = "struct<has:boolean,c:struct<w:double,doc_id:bigint,tie:bigint,p:double>,out:array<struct<w:double,doc_id:bigint,tie:bigint,p:double>>>"
 
 
 def _fold(units: str, seed: int) -> str:
     """SQL that folds an array of units to {has, c: residual, out: decided}."""
     a = "least(x.w * (1 - x.p), s.c.w * s.c.p)"
     b = "least(s.c.w * (1 - s.c.p), x.w * x.p)"
-    draw = f"(pmod(xxhash64(s.c.doc_id, s.c.size, x.doc_id, x.size, {seed}), 4503599627370496) / 4503599627370496D)"
+    draw = f"(pmod(xxhash64(s.c.doc_id, s.c.tie, x.doc_id, x.tie, {seed}), 4503599627370496) / 4503599627370496D)"
     trade = f"transform(array(named_struct('a', {a}, 'b', {b})), t -> named_struct('t', t, 'up', {draw} * (t.a + t.b) < t.b))[0]"
     # up: the new one gains what the carried one gives
     after = f"transform(array({trade}), z -> named_struct('pc', if(z.up, s.c.p - z.t.a / s.c.w, s.c.p + z.t.b / s.c.w), 'px', if(z.up, x.p + z.t.a / x.w, x.p - z.t.b / x.w)))"
@@ -76,66 +89,112 @@ def _fold(units: str, seed: int) -> str:
 
 
 def decide(units: DataFrame, seed: int = 0, fan: int = 128) -> DataFrame:
-    """units(doc_id, source, size, rows, source_size, target) with copies: how
-    often the mix takes each of the rows of a unit (equal doc_id, source and
-    size). Reruns agree; seed chooses another draw."""
+    """units(doc_id, tie, source, size, rows, source_size, target) with copies: how
+    often the mix takes the rows of a unit, all together. Reruns agree; seed
+    chooses another draw."""
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     near = F.round(factor)
     factor = F.when(F.abs(factor - near) < 1e-12, near).otherwise(factor)
-    units = units.withColumn("whole", F.floor(factor)).withColumn("p", factor - F.floor(factor))
-    open_ = (F.col("p") > 0) & (F.col("size") > 0)
-    shut = units.where(~open_).select("doc_id", "source", "size", "rows", "source_size", "target", F.col("whole").alias("copies"))
+    wanted = factor * F.col("rows")
+    whole = F.floor(wanted + F.lit(float(_EPS)))
+    units = units.withColumn("whole", whole).withColumn("p", F.greatest(F.lit(0.0), wanted - whole))
+    # without words a document has nothing to trade
+    open_ = (F.col("p") > float(_EPS)) & (F.col("size") > 0)
+    keys = ["doc_id", "tie", "source", "size", "rows", "source_size", "target"]
+    shut = units.where(~open_).select(*keys, F.when(F.col("size") > 0, F.col("whole")).otherwise(F.floor(factor) * F.col("rows")).cast("long").alias("copies"))
 
     wide = units.where(open_)
     n = wide.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("n"))
     most = n.agg(F.max("n")).first()[0]
     if not most:
         return shut
-    if n.count() <= FEW_SOURCES:
+    if n.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
         n = F.broadcast(n)
     same = F.col("source").eqNullSafe(F.col("_source"))
-    bucket = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.ceil(F.col("n") / fan))
-    level = wide.join(n, same).select(
-        "source", "source_size", "target", "whole", bucket.alias("bucket"),
-        F.struct((F.col("size") * F.col("rows")).cast("double").alias("w"), "doc_id", "size", "rows", "p").alias("unit"),
-    )
+    bucket = F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.ceil(F.col("n") / fan))
+    level = wide.join(n, same).select("source", bucket.alias("bucket"), F.struct(F.col("size").cast("double").alias("w"), "doc_id", "tie", "p").alias("unit"))
     decided = []
     for depth in range(1 + max(0, math.ceil(math.log(max(1, math.ceil(most / fan)), fan) - 1e-9))):
-        folded = level.groupBy("source", "source_size", "target", "whole", "bucket").agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units"))
-        folded = materialize(folded.select("source", "source_size", "target", "whole", "bucket", F.expr(_fold("units", seed + depth)).alias("f")))
-        decided.append(folded.select("source", "source_size", "target", "whole", F.explode("f.out").alias("unit")))
-        level = folded.where("f.has").select("source", "source_size", "target", "whole", F.floor(F.col("bucket") / fan).alias("bucket"), F.col("f.c").alias("unit"))
-    draw = F.pmod(F.xxhash64("unit.doc_id", "unit.size", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    decided.append(level.select("source", "source_size", "target", "whole", F.expr("unit").withField("p", F.when(draw < F.col("unit.p"), 1.0).otherwise(0.0)).alias("unit")))
-    for d in decided:
-        shut = shut.unionByName(d.select("unit.doc_id", "source", "unit.size", "unit.rows", "source_size", "target", (F.col("whole") + F.round("unit.p")).cast("long").alias("copies")))
-    return shut
+        folded = level.groupBy("source", "bucket").agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units"))
+        folded = materialize(folded.select("source", "bucket", F.expr(_fold("units", seed + depth)).alias("f")))
+        decided.append(folded.select("source", F.explode("f.out").alias("unit")))
+        level = folded.where("f.has").select("source", F.floor(F.col("bucket") / fan).alias("bucket"), F.col("f.c").alias("unit"))
+    draw = F.pmod(F.xxhash64("unit.doc_id", "unit.tie", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    decided.append(level.select("source", F.expr("unit").withField("p", F.when(draw < F.col("unit.p"), 1.0).otherwise(0.0)).alias("unit")))
+    more = reduce(DataFrame.unionByName, (d.select(F.col("source").alias("s2"), F.col("unit.doc_id").alias("d2"), F.col("unit.tie").alias("t2"), F.round("unit.p").cast("long").alias("extra")) for d in decided))
+    mine = (F.col("tie") == F.col("t2")) & F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("source").eqNullSafe(F.col("s2"))
+    return shut.unionByName(wide.join(more, mine).select(*keys, (F.col("whole") + F.col("extra")).cast("long").alias("copies")))
+
+
+def tie_of(docs: DataFrame) -> Column:
+    """Digest of the text, which with doc_id and source tells rows apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 0) -> DataFrame:
-    """(doc_id, source, size, rows, source_size, target, copies), one row for
-    each distinct doc_id, source and size of docs; ``rows`` counts its rows,
-    which share their fate. Null or blank texts have size 0 and are taken as
-    often as the whole part of their source's factor says."""
-    units = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of().alias("size"))
-    units = materialize(units.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")))
+    """(doc_id, tie, source, size, rows, source_size, target, copies), one row for
+    each different doc_id, source and text of docs; ``rows`` counts its rows, and
+    copies is for all of them together. Null or blank texts have size 0 and are
+    taken as often as the whole part of their source's factor says."""
+    units = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of().alias("size"), tie_of(docs).alias("tie"))
+    units = materialize(units.groupBy("doc_id", "tie", "source", "size").agg(F.count("*").alias("rows")))
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
-    goal = materialize(targets(sizes, weights, most).withColumnRenamed("source", "_source"))
-    if goal.count() <= FEW_SOURCES:
+    goal = targets(sizes, weights, most).withColumnRenamed("source", "_source")
+    if goal.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
         goal = F.broadcast(goal)
     units = units.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     return decide(units, seed)
 
 
+def _share(copies: Column, rows: Column, k: Column) -> Column:
+    """What the k-th of equal rows (from 0) gets of their copies."""
+    return F.floor(copies / rows).cast("long") + (k < copies % rows).cast("long")
+
+
 def op6(docs: DataFrame) -> DataFrame:
-    each = mix(docs).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    """Words that the mix takes of every document.
+
+    Null, empty and blank texts have size 0 and nothing is taken. Texts count
+    whole, however long. Repeated rows are rounded as one unit and get a row each,
+    whose copies differ by one at most. Rows without doc_id are told apart by
+    their texts, those without source are a source of their own, the last. Ties
+    between documents are settled by hashes, so reruns agree. An empty table
+    gives no rows; other columns aren't looked at.
+    """
+    each = mix(docs).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * _share(F.col("copies"), F.col("rows"), F.col("k"))).alias("taken"))
 
 
 def stage(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """docs with each row as often as the mix takes it (not at all or repeated)."""
-    copies = mix(docs, weights, most).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").cast("long").alias("_copies"))
-    own = docs.columns
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    taken = docs.withColumn("_words", size_of()).join(copies, same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*own)
+    """docs with each row as often as the mix takes it (not at all or repeated).
+
+    Of rows equal in doc_id, source and text, which one is taken once more than
+    the others is open. Null and blank texts are kept as op6 counts them. Columns
+    of docs may have any name; an empty table stays empty.
+    """
+    row, words = unused("tie", docs), unused("copies", docs)
+    taken = mix(docs, weights, most).where("copies > 0").select("doc_id", "tie", "source", "copies", "rows")
+    d, t, s, c, n = (unused(x, docs, taken) for x in ("d", "t", "s", "c", "n"))
+    taken = taken.select(F.col("doc_id").alias(d), F.col("tie").alias(t), F.col("source").alias(s), F.col("copies").alias(c), F.col("rows").alias(n))
+    same = (F.col(row) == F.col(t)) & F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & F.col("source").cast("string").eqNullSafe(F.col(s))
+    found = docs.withColumn(row, tie_of(docs)).join(taken, same)
+    own = [quoted(x) for x in docs.columns]
+    repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col(words)))
+    single = found.where(F.col(n) == 1).withColumn(words, F.col(c))
+    out = single.withColumn(row, repeat).select(*own)
+    several = taken.where(F.col(n) > 1)
+    if several.isEmpty():
+        return out
+    # equal rows are numbered range by range, so that no task has all of a large unit
+    several = materialize(found.where(F.col(n) > 1)).withColumn(s, F.spark_partition_id())
+    unit = [row, F.col("doc_id"), F.col("source")]
+    counts = several.groupBy(*unit, s).agg(F.count("*").alias(words))
+    before = Window.partitionBy(*unit).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(F.col(row).alias("u0"), F.col("doc_id").alias("u1"), F.col("source").alias("u2"), F.col(s).alias("u3"), F.coalesce(F.sum(words).over(before), F.lit(0)).alias("u4"))
+    held = [c2 for c2 in first.columns if c2 in {x.lower() for x in several.columns}]
+    first = first.withColumnsRenamed({x: unused(f"u{x}", several) for x in held})
+    u0, u1, u2, u3, u4 = (F.col(x) for x in first.columns)
+    numbered = several.withColumn(t, F.row_number().over(Window.partitionBy(*unit, s).orderBy(F.lit(0))) - 1)
+    numbered = numbered.join(first, (F.col(row) == u0) & F.col("doc_id").eqNullSafe(u1) & F.col("source").eqNullSafe(u2) & (F.col(s) == u3))
+    numbered = numbered.withColumn(words, _share(F.col(c), F.col(n), F.col(t) + u4)).where(F.col(words) > 0)
+    return out.unionByName(numbered.withColumn(row, repeat).select(*own))
