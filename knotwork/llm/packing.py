@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import importlib.util
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from .common import bounded
 
 LENGTH, WINDOW = 2048, 4_000_000
+#: Characters that are encoded at once, and where a longer text is cut.
+PIECE = 1 << 20
+_CUT = re.compile(r"[A-Za-z](?= [A-Za-z])")
 
 
 def default_vocabulary() -> str:
@@ -56,7 +60,17 @@ class Encoder:
         return cls._open[path]
 
     def __call__(self, text: str) -> np.ndarray:
-        return np.array(self.bpe.encode_ordinary(text), dtype="<i4")
+        """Ids of a text. A long one is encoded in pieces that end between a letter and
+        a space with a letter after it, where byte-level vocabularies never join;
+        without such a place in a piece it is cut anyhow, which loses nothing."""
+        out, at = [], 0
+        while len(text) - at > 2 * PIECE:
+            m = _CUT.search(text, at + PIECE, at + 2 * PIECE)
+            upto = m.start() + 1 if m else at + PIECE
+            out.append(np.array(self.bpe.encode_ordinary(text[at:upto]), dtype="<i4"))
+            at = upto
+        out.append(np.array(self.bpe.encode_ordinary(text[at:] if at else text), dtype="<i4"))
+        return np.concatenate(out) if at else out[0]
 
 
 class Rooms:
@@ -179,17 +193,37 @@ def pack(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, vocabulary
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def write_binary(packs: DataFrame, path: str) -> None:
-    """Packs as Parquet with ids, cumulative lengths and positions as
-    little-endian 32-bit integers in binary columns, one file for each task."""
+def binary(packs: DataFrame) -> DataFrame:
+    """packs with ids, cumulative and positions as little-endian 32-bit integers in
+    binary columns, and n_ids: a row of the id matrix is filled with padding by
+    whoever reads it, at no cost on disk."""
+    lists = ("ids", "cumulative", "positions")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [pa.array([np.asarray(x, dtype="<i4").tobytes() for x in b.column(c).to_pylist()], pa.binary()) for c in ("ids", "cumulative", "positions")]
-            yield pa.RecordBatch.from_arrays([b.column("pack_id"), *raw], ["pack_id", "ids", "cumulative", "positions"])
+            raw = []
+            for c in lists:
+                x = b.column(c)
+                flat, at = np.ascontiguousarray(x.values.to_numpy(), dtype="<i4"), x.offsets.to_numpy().astype(np.int64)
+                # the same bytes, seen as a binary column
+                raw.append(pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((4 * at).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())]))
+            yield pa.RecordBatch.from_arrays([b.column("pack_id"), b.column("doc_ids"), b.column("segments"), pa.array(np.diff(b.column("ids").offsets.to_numpy()).astype(np.int32)), *raw], ["pack_id", "doc_ids", "segments", "n_ids", *lists])
+
+    return packs.mapInArrow(run, "pack_id long, doc_ids array<long>, segments array<int>, n_ids int, ids binary, cumulative binary, positions binary")
+
 
-    packs.select("pack_id", "ids", "cumulative", "positions").mapInArrow(run, "pack_id long, ids binary, cumulative binary, positions binary").write.mode("errorifexists").parquet(path)
+def write_binary(packs: DataFrame, path: str) -> None:
+    """binary() as Parquet, one file for each task."""
+    binary(packs).write.mode("errorifexists").parquet(path)
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    return pack(docs)
+    """All documents as packed rows of 2,048 ids, in binary columns.
+
+    A null or empty text is its end id alone. Long texts are split without loss.
+    Repeated rows are packed each, rows without doc_id have null in doc_ids. Of
+    segments of equal length the earlier goes first, and of rows with equal room
+    the one that got it last is filled. An empty table gives no rows; other
+    columns aren't looked at.
+    """
+    return binary(pack(docs))
