@@ -11,6 +11,7 @@ is the candidate itself.
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -59,8 +60,10 @@ class DigestArray:
 
     @staticmethod
     def write(rules: Iterable[tuple[str, str]], folder: str, prefix: str, salt=key_of) -> int:  # noqa: ANN001
-        """Write the files; a rule given twice keeps its last verdict. Bytes written."""
-        last = {r: v for v, r in rules}
+        """Write the files; a rule given with both verdicts blocks. Bytes written."""
+        last: dict[str, str] = {}
+        for v, r in rules:
+            last[r] = max(v, last.get(r, v))
         items = sorted((salt(r), r.encode("utf-8", "surrogatepass"), v) for r, v in last.items())
         if bad := {v for *_, v in items} - {"allow", "block"}:
             raise ValueError(f"unknown verdicts {sorted(bad)}")
@@ -109,7 +112,9 @@ class DigestArray:
 
 def ship(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> str:
     """Send the array to all executors, also those that join later; its prefix."""
+    # the driver serves the files from here until it ends
     folder, prefix = tempfile.mkdtemp(prefix="rules-"), f"rules-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     n = DigestArray.write(rules, folder, prefix)
     if n > MAX_SHIPPED_BYTES:
         shutil.rmtree(folder)
@@ -146,7 +151,7 @@ def match_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
     the rules in a shuffled join on their digest and are then compared."""
     host, path = split_url(F.col("url").cast("string"))
     pages = pages.select(F.monotonically_increasing_id().alias("_row"), F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
-    keyed = rules.groupBy("rule").agg(F.max_by("verdict", F.col("verdict")).alias("own")).withColumn("key", F.xxhash64("rule"))
+    keyed = rules.groupBy("rule").agg(F.max("verdict").alias("own")).withColumn("key", F.xxhash64("rule"))
     ends = [r[0] for r in keyed.select((F.length("rule") - F.instr("rule", "/") + 1).alias("n")).distinct().orderBy("n").collect()]  # lengths of paths, few
     labels = F.split("host", r"\.", -1)
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
@@ -159,4 +164,12 @@ def match_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
 
 
 def op3(pages: DataFrame) -> DataFrame:
+    """Host, path, rule and verdict of every url by RULES.
+
+    A null url, or one without ://, has an empty host and path, no rule and the
+    verdict allow. Urls are read whole, however long. Of fitting rules the longest
+    decides; a rule given with both verdicts blocks. Repeated rows and rows
+    without page_id get a row each, an empty table gives none, and other columns
+    aren't looked at.
+    """
     return filter_urls(pages.select("page_id", "url"), RULES)
