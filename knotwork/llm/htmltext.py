@@ -1,11 +1,19 @@
 """Main text of web pages by consensus paths of their host.
 
-Each page's containers are scored by the text in their blocks, less links and
-markup that tells of page furniture. Every container votes with its score for
-its generalised path (tags and classes, numbers left out), and Spark adds the
-votes of all pages of a host. Pages are then extracted again from the
-container with the host's winning path; a page that lacks it uses its own
-best container.
+Each page's containers are scored by the text in their blocks that is no link.
+Every container votes with its score for its generalised path (tags and classes,
+numbers left out), and Spark adds the votes of all pages of a host. Pages are
+then extracted again from the container with the host's winning path; a page
+that lacks it uses its own best container.
+
+What goes inside the winner is decided by elements, not by names: elements that
+never hold an article's text, the header of a page (one in an article stays),
+hidden parts, standard roles of page furniture, and lists or boxes that are links for the most part. A
+box whose class or id has a word of page furniture is only a suspect: it goes if
+the same path stands on most pages of the host that have the winner, so that it is
+part of the template. Where a host has one page, words that mean nothing but
+furniture settle it. Headings, paragraphs, quotations and boxes with most of
+the winner's text never go by their names.
 """
 
 from __future__ import annotations
@@ -16,6 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,24 +39,34 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noembed iframe noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINER = frozenset("article body div main section td blockquote".split())
-DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form head header iframe input map menu meter nav noembed noframes noscript object optgroup option output progress script select style svg template textarea title video math".split())
+DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form head iframe input map menu meter nav noembed noframes noscript object optgroup option output progress script select style svg template textarea title video math".split())
+#: Boxes that may be furniture; headings, paragraphs, quotations, code and the like are not.
+BOX = frozenset("div section ul ol dl table header details figure".split())
 CLOSES_P = BLOCK - {"html", "body"}
-#: Words in class, id or role of page furniture.
-FURNITURE = frozenset(
-    "ad ads advert adverts advertisement advertising adbox banner banners sponsor sponsored promo promotion promoted menu menus nav navbar navigation navigator breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent notice notices gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond reply replies disqus widget widgets toolbar pagination pager search copyright disclaimer hidden complementary contentinfo teaser outbrain taboola rail".split()
-)
+#: Roles of page furniture in the ARIA standard.
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+#: Words in class or id that make a box a suspect, and those of them that settle it where a host has a single page.
+SUSPECT = frozenset("banner header masthead search related recommended social teaser copyright disclaimer menu menus notice notices alert promo promotion widget rail login signup subscribe toolbar".split())
+CLEAR = frozenset("ad ads advert adverts advertisement advertising sponsored nav navbar breadcrumb breadcrumbs sidebar cookie cookies gdpr popup modal newsletter share sharing comments comment replies disqus pagination pager footer".split())
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 _DIGITS = re.compile(r"\d+")
+#: Share of link text from which a box counts as links, and share of a host's pages from which a suspect is template.
+LINKS, TEMPLATE = 0.6, 0.5
+#: Hosts up to which their winners (some hundred bytes each) are broadcast.
+MANY = 200_000
 
 
 class Node:
-    __slots__ = ("tag", "mark", "path", "drop", "own", "link", "children", "parent")
+    __slots__ = ("tag", "mark", "path", "drop", "suspect", "children", "parent", "stop", "text", "link")
 
-    def __init__(self, tag: str, mark: str, parent: Node | None, drop: bool):
-        self.tag, self.mark, self.parent, self.drop = tag, mark, parent, drop
-        self.path = f"{parent.path}/{mark}" if parent else mark
+    def __init__(self, tag: str, mark: str, parent: Node | None, drop: bool, suspect: int = 0):
+        self.tag, self.parent, self.drop, self.suspect = tag, parent, drop, suspect
+        # a digest of the path, so that depth costs nothing
+        self.path = xxhash.xxh64_intdigest(mark, parent.path if parent else 0) >> 1
         self.children: list[Node | str] = []
-        self.own = self.link = 0
+        #: The nearest node, itself included, that ends the search for an open p.
+        self.stop = self if parent is None or tag in CONTAINER or tag == "p" else parent.stop
+        self.text = self.link = 0
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -57,24 +76,42 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _furniture(attrs: dict[str, str]) -> bool:
+def _hidden(attrs: dict[str, str]) -> bool:
     if "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
     style = attrs.get("style", "").replace(" ", "").lower()
-    if "display:none" in style or "visibility:hidden" in style:
-        return True
-    for k in ("class", "id", "role"):
-        for word in _WORD.findall(attrs.get(k, "")):
-            if word.lower() in FURNITURE:
-                return True
-    return False
+    return "display:none" in style or "visibility:hidden" in style
+
+
+def _suspicion(attrs: dict[str, str]) -> int:
+    """0, or 1 for a suspect, 2 for a clear one, by the words of class and id."""
+    words = {w.lower() for k in ("class", "id") for w in _WORD.findall(attrs.get(k, ""))}
+    return 2 if words & CLEAR else 1 if words & SUSPECT else 0
+
+
+#: What an item's start closes, and where the search for it ends.
+_ITEMS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_ENDS = frozenset("ul ol dl table select #".split())
 
 
 def parse(source: str) -> Node:
     """A tree of the page. Wrong nesting, missing ends and truncated tags are
     taken as browsers would roughly take them; nothing is dropped here."""
     root = here = Node("#", "", None, False)
-    at, n, size = 0, 0, len(source)
+    open_: dict[str, int] = {}
+    articles = 0
+
+    def leave(node: Node) -> Node:
+        """Close everything up to node and node itself; its parent."""
+        nonlocal here, articles
+        while True:
+            open_[here.tag] -= 1
+            articles -= here.tag in ("article", "main")
+            done, here = here is node, here.parent
+            if done:
+                return here
+
+    at, size = 0, len(source)
     while at < size:
         m = _TAG.search(source, at)
         if not m:
@@ -89,37 +126,35 @@ def parse(source: str) -> Node:
                 here.children.append(m[0][9:].removesuffix("]]>"))
             continue
         if m[1]:  # an end: close up to its start, if there is one
-            node: Node | None = here
-            while node and node.tag != tag:
-                node = node.parent
-            if node and node.parent:
-                here = node.parent
+            if open_.get(tag):
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                leave(node)
             continue
         attrs = _attributes(m[3]) if m[3] and not m[3].isspace() else {}
-        if tag in CLOSES_P:
-            node = here
-            while node and node.tag not in CONTAINER and node.tag not in ("p", "#"):
-                node = node.parent
-            if node and node.tag == "p" and node.parent:
-                here = node.parent
-        if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-            node = here
-            while node and node.tag not in (*same, "ul", "ol", "dl", "table", "tr" if tag in ("td", "th") else "table", "select", "#"):
+        if tag in CLOSES_P and here.stop.tag == "p":
+            leave(here.stop)
+        if tag in _ITEMS and any(open_.get(x) for x in _ITEMS[tag]):
+            node, ends = here, _ENDS | {"tr"} if tag in ("td", "th") else _ENDS
+            while node.tag not in _ITEMS[tag] and node.tag not in ends:
                 node = node.parent
-            if node and node.tag in same and node.parent:
-                here = node.parent
+            if node.tag in _ITEMS[tag]:
+                leave(node)
         names = sorted(_DIGITS.sub("", c) for c in attrs.get("class", "").split())
         mark = ".".join([tag, *(c for c in names if c)])
-        new = Node(tag, mark, here, tag in DROPPED or (bool(attrs) and tag not in ("html", "body", "article", "main") and _furniture(attrs)))
+        whole = tag in ("html", "body", "article", "main")
+        drop = tag in DROPPED or (tag == "header" and not articles) or bool(attrs) and (_hidden(attrs) or (not whole and attrs.get("role", "").lower() in ROLES and tag in BOX))
+        new = Node(tag, mark, here, drop, _suspicion(attrs) if attrs and tag in BOX else 0)
         here.children.append(new)
-        n += 1
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*(?:/[^>]*)?>", re.I).search(source, at)
             new.children.append(source[at : end.start() if end else size])
             at = end.end() if end else size
         elif tag not in VOID and not m[3].endswith("/"):
             here = new
+            open_[tag] = open_.get(tag, 0) + 1
+            articles += tag in ("article", "main")
     return root
 
 
@@ -156,79 +191,142 @@ def blocks(top: Node) -> list[str]:
     return out
 
 
+def ordered(root: Node) -> list[tuple[Node, bool]]:
+    """Nodes that aren't dropped, each before its children, and whether in a link."""
+    out: list[tuple[Node, bool]] = []
+    stack = [(root, False)]
+    while stack:
+        node, linked = stack.pop()
+        linked = linked or node.tag == "a"
+        out.append((node, linked))
+        stack += [(c, linked) for c in reversed(node.children) if not isinstance(c, str) and not c.drop]
+    return out
+
+
 def containers(root: Node) -> list[tuple[Node, float]]:
     """Containers with their scores: the square root of each block's text that
     isn't links counts fully for its container, less for those farther out.
 
-    Square roots favour many blocks over one; article and main elements, and
-    itemprop-like names, weigh more than body and div."""
+    Square roots favour many blocks over one; article and main elements weigh
+    more than body and div. Added up from the leaves, and so are the lengths of
+    text and link text by which boxes of links are dropped first.
+    """
+    nodes = ordered(root)
+    for node, linked in reversed(nodes):
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        inner = [c for c in node.children if not isinstance(c, str) and not c.drop]
+        node.text = own + sum(c.text for c in inner)
+        node.link = node.text if linked else sum(c.link for c in inner)
+        if node.tag in BOX and node.text and node.link >= LINKS * node.text and sum(c.tag == "li" or c.tag == "a" for c in inner) > 1:
+            node.drop = True
     score: dict[int, float] = {}
-    seen: dict[int, Node] = {}
-    stack: list[tuple[Node, int]] = [(root, 0)]
-    while stack:
-        node, linked = stack.pop()
-        text = 0
-        for child in node.children:
-            if isinstance(child, str):
-                text += len(child.strip())
-            elif not child.drop:
-                stack.append((child, linked or child.tag == "a"))
-        if text and not linked:
-            share, up = math.sqrt(text), node
-            while up:
-                if up.tag in CONTAINER:
-                    weight = 1.5 if up.tag in ("article", "main") else 0.6 if up.tag == "body" else 1.0
-                    score[id(up)] = score.get(id(up), 0.0) + share * weight
-                    seen[id(up)] = up
-                    share *= 0.9
-                up = up.parent
-    return [(seen[k], s) for k, s in score.items()]
-
-
-def extract(source: str, winner: str | None) -> str:
-    """Text of the containers with the winning path, or else of the best one.
-
-    Several of that path: all, if none lies in another (a page of sections)."""
-    root = parse(source)
+    found = []
+    nodes = ordered(root)
+    for node, linked in reversed(nodes):
+        text = 0 if linked else sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        got = math.sqrt(text) + sum(score.pop(id(c)) for c in node.children if not isinstance(c, str) and not c.drop)
+        if node.tag in CONTAINER:
+            if got:
+                found.append((node, got * (1.5 if node.tag in ("article", "main") else 0.6 if node.tag == "body" else 1.0)))
+            got *= 0.9
+        score[id(node)] = got
+    return found[::-1]
+
+
+def suspects(own: list[Node]) -> Iterator[Node]:
+    """Boxes within the containers that may be furniture, by their names and size."""
+    for top in own:
+        for node, _ in ordered(top):
+            if node.suspect and node is not top and 2 * node.text <= top.text:
+                yield node
+
+
+def chosen(root: Node, winner: int | None) -> list[Node]:
+    """The containers with the winning path, or else the best one (of equal ones
+    the first of the page), in page order, none within another."""
     found = containers(root)
-    if not found:
-        return "\n".join(blocks(root))
-    own = [node for node, _ in found if node.path == winner]
-    if not own:
-        own = [max(found, key=lambda x: x[1])[0]]
-    ids = {id(x) for x in own}
-    order = []
-    stack = [root]
+    own = {id(node) for node, _ in found if node.path == winner}
+    if not own and found:
+        own = {id(max(found, key=lambda x: x[1])[0])}
+    order, stack = [], [root]
     while stack:
         node = stack.pop()
-        if id(node) in ids:
+        if id(node) in own:
             order.append(node)
         else:
             stack += [c for c in reversed(node.children) if not isinstance(c, str) and not c.drop]
-    return "\n".join(b for node in order for b in blocks(node))
+    return order
+
+
+def extract(source: str, winner: int | None, template: frozenset[int] | None) -> str:
+    """Text of the containers with the winning path, or else of the best one,
+    without the suspects whose path is in the host's template, or the clear
+    ones where nothing is known of other pages (None)."""
+    root = parse(source)
+    own = chosen(root, winner)
+    if not own:
+        return "\n".join(blocks(root))
+    for node in suspects(own):
+        node.drop = node.suspect == 2 if template is None else node.path in template
+    return "\n".join(b for node in own for b in blocks(node))
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, winner): the path with the most votes of a host's pages, ties to
-    the smaller path. Votes are added up before they are shuffled."""
+    """(host, winner, pages): the path with the most votes of a host's pages, ties
+    to the smaller digest. Votes are added up before they are shuffled."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches):
-            votes: dict[tuple[str, str], float] = {}
+        for b in bounded(batches, 1 << 20):
+            votes: dict[tuple[str, int], float] = {}
+            count: dict[str, int] = {}
             for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                best: dict[str, float] = {}
+                best: dict[int, float] = {}
                 for node, s in containers(parse(source)):
                     best[node.path] = max(best.get(node.path, 0.0), s)
                 total = sum(best.values())
                 for path, s in best.items():
                     votes[host, path] = votes.get((host, path), 0.0) + s / total
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array([int(v * 1e6) for v in votes.values()], pa.int64())],
-                ["host", "path", "votes"],
-            )
-
-    votes = pages.select("host", "html").mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("winner"))
+                count[host] = count.get(host, 0) + 1
+            keys = [*votes, *((h, None) for h in count)]
+            values = [*(int(v * 1e6) for v in votes.values()), *count.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.int64()), pa.array(values, pa.int64())], ["host", "path", "votes"])
+
+    votes = pages.select("host", "html").mapInArrow(vote, "host string, path long, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    one = F.min_by("path", F.when(F.col("path").isNotNull(), F.struct(-F.col("votes"), "path")))
+    return votes.groupBy("host").agg(one.alias("winner"), F.max(F.when(F.col("path").isNull(), F.col("votes"))).alias("pages"))
+
+
+def beside_host(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """pages with the columns of hosts(host, pages, ...). Many hosts come by a join
+    on host, except those with many pages, which are few and broadcast."""
+    if hosts.limit(MANY + 1).count() <= MANY:
+        return pages.join(F.broadcast(hosts), "host", "left")
+    large = hosts.agg(F.sum("pages")).first()[0] // MANY
+    often = hosts.where(F.col("pages") > large)
+    marked = pages.join(F.broadcast(often.select("host", F.lit(True).alias("often"))), "host", "left")
+    rest = marked.where("often is null").drop("often").join(hosts, "host", "left")
+    return marked.where("often").drop("often").join(F.broadcast(often), "host", "left").unionByName(rest)
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, template) of pages(host, html, winner, pages): paths of suspects on
+    more than half of a host's pages, null where it has a single page. Paths are
+    counted before they are shuffled, and no more of them are kept for a host
+    than twice what a page has on average."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches, 1 << 20):
+            seen: dict[tuple[str, int], int] = {}
+            for host, source, winner in zip(*(b.column(k).to_pylist() for k in ("host", "html", "winner")), strict=True):
+                for path in {node.path for node in suspects(chosen(parse(source), winner))}:
+                    seen[host, path] = seen.get((host, path), 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([p for _, p in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "path", "n"])
+
+    # without a word of furniture in the page there is no suspect to parse for
+    words = "|".join(sorted(SUSPECT | CLEAR))
+    some = pages.where(F.col("pages") > 1).where(F.col("html").rlike(rf"(?i)(?:class|id)\s*=[^>]*?(?:{words})"))
+    found = some.select("host", "html", "winner").mapInArrow(count, "host string, path long, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
+    return found
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -238,17 +336,30 @@ def main_text(pages: DataFrame) -> DataFrame:
     the votes of the empty host.
     """
     host, _ = split_url(F.col("url").cast("string"))
-    pages = pages.select("page_id", "url", host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    winners = materialize(host_paths(pages))
+    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    hosts = materialize(host_paths(pages))
+    marked = beside_host(pages, hosts)
+    found = templates(marked).join(hosts.select("host", "pages"), "host").where(F.col("n") > TEMPLATE * F.col("pages"))
+    found = found.groupBy("host").agg(F.collect_list("path").alias("template"))
+    hosts = materialize(hosts.join(found, "host", "left").select("host", "winner", "pages", F.when(F.col("pages") > 1, F.coalesce("template", F.array().cast("array<long>"))).alias("template")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches):
-            text = [extract(s, w) for s, w in zip(b.column("html").to_pylist(), b.column("winner").to_pylist(), strict=True)]
+        for b in bounded(batches, 1 << 20):
+            rows = zip(*(b.column(k).to_pylist() for k in ("html", "winner", "template")), strict=True)
+            text = [extract(s, w, None if t is None else frozenset(t)) for s, w, t in rows]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = pages.join(winners, "host", "left").select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", "winner")
+    joined = beside_host(pages, hosts).select("page_id", "url", "html", "winner", "template")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op10(pages: DataFrame) -> DataFrame:
+    """Main text of every page.
+
+    Null or empty html gives empty text. Pages are read whole, however long or
+    deep. Ties: votes go to the smaller path digest, a page's own best container
+    is the first of equal ones. Repeated rows vote and get a row each; rows
+    without url share the empty host. An empty table gives no rows; other columns
+    aren't looked at.
+    """
     return main_text(pages)
