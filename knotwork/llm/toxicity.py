@@ -2,15 +2,17 @@
 
 The kernel of two words sums lambda^(span) over all their common subsequences
 of three characters, gaps allowed, so a word with inserted or repeated
-characters stays close to the word it hides. Landmark words give the Nystroem
-features of a word; a linear support vector machine on them tells insulting
-from plain words. Since kernel, features and machine are linear in the
-subsequences, the trained model folds into one weight for each of them.
-
-Training takes sentences of documents labelled as a whole: a word is an example
-for the toxic class if nearly all of the (distinct) labelled documents that
-hold it are toxic, for the other class if it is common in clean ones. A
-document's score comes from its most insulting words by a logistic model.
+characters stays close to the word it hides; that of two sentences sums the
+normalised kernels of their words. Landmark sentences give the Nystroem features
+of a sentence, and a linear support vector machine on them tells sentences of
+toxic documents from those of clean ones. Since kernel, features and machine are
+linear in the subsequences, the trained model folds into one weight for each of
+them, and a sentence's decision into a sum over its words.
+
+A label holds for a document, and most sentences of a toxic one are clean. So
+the machine is trained again with the sentences of each toxic document that the
+machine before found worst, and the worst ones of clean documents against them. A
+document's score comes from its sentences' decisions by a logistic model.
 """
 
 from __future__ import annotations
@@ -27,24 +29,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, held_out
+from .common import bounded, held_out, materialize, quoted
 
 DECAY, SPAN, LONGEST = 0.6, 9, 24
+#: Longest sentence in words; longer ones are cut.
+WORDS = 5
+#: Characters of texts that are scored together.
+PIECE = 1 << 20
 _SPELLED = re.compile(r"(?<!\S)\w(?:[\s.\-_*]+\w(?!\w)){2,}(?!\w)")
 _ALIEN = re.compile(r"[\W_]+")
 
 
-def tokens(text: str | None) -> set[str]:
-    """Distinct lower-cased words, and words spelled out in single letters."""
+_END = re.compile(r"[.!?:;]+\s+|[\r\n]+")
+
+
+def sentences(text: str | None) -> list[frozenset[str]]:
+    """Distinct lower-cased words of each sentence; words spelled out in single
+    letters count as one."""
     if not text:
-        return set()
-    low = text.lower()
-    out = set(low.split())
-    for m in _SPELLED.finditer(low):
-        out.add(_ALIEN.sub("", m.group()))
+        return []
+    low = _SPELLED.sub(lambda m: _ALIEN.sub("", m.group()), text.lower())
+    out = []
+    for line in _END.split(low):
+        words = line.split()
+        out += [frozenset(words[k : k + WORDS]) for k in range(0, len(words), WORDS)]
     return out
 
 
+def tokens(text: str | None) -> set[str]:
+    """Distinct words of all sentences."""
+    return set().union(*sentences(text))
+
+
 @lru_cache(maxsize=64)
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Index triples of a word of n characters, and their decayed weights."""
@@ -89,11 +105,11 @@ class Model:
     codes: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -1.0
-    logistic: np.ndarray = field(default_factory=lambda: np.array([-2.0, 0.0, 0.0]))
+    logistic: np.ndarray = field(default_factory=lambda: np.array([-2.0, 0.0, 0.0, 0.0, 0.0]))
 
-    def words(self, tokens: list[str]) -> np.ndarray:
-        """The machine's decision for each token; the largest of its windows."""
-        out = np.full(len(tokens), self.bias)
+    def weigh(self, tokens: list[str]) -> np.ndarray:
+        """What each token adds to the decision of a sentence."""
+        out = np.zeros(len(tokens))
         parts, of = [], []
         for k, t in enumerate(tokens):
             for p in pieces(t):
@@ -104,77 +120,92 @@ class Model:
         value = np.empty(len(parts))
         for own, code, weight, norm in subsequences(parts):
             place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            value[own] = (np.where(self.codes[place] == code, self.weights[place], 0.0) @ weight) / norm + self.bias
-        np.maximum.at(out, np.array(of), value)
+            value[own] = (np.where(self.codes[place] == code, self.weights[place], 0.0) @ weight) / norm
+        np.add.at(out, np.array(of), value)
         return out
 
-    def features(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
-        """(largest decision, log of 1 + number of insulting words) by text."""
-        sets = [tokens(t) for t in texts]
-        new = list(set().union(*sets).difference(known)) if sets else []
-        if len(known) > 400_000:  # only a cache: forgotten words are scored again
+    def words(self, tokens: list[str]) -> np.ndarray:
+        """The machine's decision for each token as a sentence of its own."""
+        return self.weigh(tokens) + self.bias
+
+    def decisions(self, texts: list[str | None], known: dict[str, float]) -> Iterator[tuple[list[frozenset[str]], np.ndarray]]:
+        """Sentences of each text and the machine's decisions for them."""
+        found = [sentences(t) for t in texts]
+        new = list(set().union(*(s for own in found for s in own)).difference(known))
+        if len(known) + len(new) > 400_000:  # only a cache: forgotten words are scored again
             known.clear()
-            new = list(set().union(*sets))
-        known.update(zip(new, self.words(new).tolist(), strict=True))
-        out = np.zeros((len(texts), 2))
-        for k, s in enumerate(sets):
-            values = [known[t] for t in s]
-            out[k] = max(values, default=self.bias), np.log1p(sum(v > 0 for v in values))
-        return out
+            new = list(set().union(*(s for own in found for s in own)))
+        known.update(zip(new, self.weigh(new).tolist(), strict=True))
+        for own in found:
+            yield own, np.array([sum(map(known.__getitem__, s)) for s in own]) + self.bias
+
+    def summary(self, own: list[frozenset[str]], value: np.ndarray, known: dict[str, float]) -> tuple[float, float, float, float]:
+        """What the logistic model sees of a document: the largest decision for a
+        sentence and the log of 1 + number of toxic ones; the same for its
+        distinct words, each as a sentence of its own."""
+        alone = np.fromiter(map(known.__getitem__, set().union(*own)), dtype=np.float64) + self.bias
+        return float(value.max(initial=self.bias)), float(np.log1p(np.count_nonzero(value > 0))), float(alone.max(initial=self.bias)), float(np.log1p(np.count_nonzero(alone > 0)))
+
+    def features(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
+        """summary() of each text."""
+        return np.array([self.summary(own, value, known) for own, value in self.decisions(texts, known)]).reshape(-1, 4)
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         x = np.c_[np.ones(len(features)), features] @ self.logistic
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_words(positive: list[str], negative: list[str], landmarks: int = 400, cost: float = 30.0, plain: int = 3000) -> Model:
-    """Nystroem features from the first words of both classes, then a
-    linear machine with squared hinge loss, folded into subsequence weights.
-
-    The first ``plain`` negative words train a first machine; those of the rest
-    that it finds most insulting join them for the second.
-    """
-    first = _fit_words(positive, negative[:plain], landmarks, cost)
-    if len(negative) <= plain or not len(first.codes):
-        return first
-    rest = negative[plain:]
-    hard = [rest[k] for k in np.argsort(-first.words(rest), kind="stable")[:plain]]
-    return _fit_words(positive, hard[: landmarks // 4] + negative[:plain] + hard[landmarks // 4 :], landmarks, cost)
+def fit_words(positive: list[str], negative: list[str], landmarks: int = 400, cost: float = 30.0) -> Model:
+    """The machine for sentences of one word each."""
+    return fit([frozenset([w]) for w in positive], [frozenset([w]) for w in negative], landmarks, cost)
 
 
-def _fit_words(positive: list[str], negative: list[str], landmarks: int, cost: float) -> Model:
-    positive, negative = ([p for w in words for p in pieces(w)[:1]] for words in (positive, negative))
+def fit(positive: list[frozenset[str]], negative: list[frozenset[str]], landmarks: int = 400, cost: float = 30.0) -> Model:
+    """Nystroem features from the first sentences of both classes, then a
+    linear machine with squared hinge loss, folded into subsequence weights."""
+    split = lambda many: [x for s in many if (x := sorted({p for w in s for p in pieces(w)}))]
+    positive, negative = split(positive), split(negative)
     if not positive or not negative:
         return Model()
-    marks = positive[: landmarks // 2] + negative[: landmarks // 2]
-    rows: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for own, code, weight, norm in subsequences(marks):
-        rows += [(int(k), code[i], weight / norm[i]) for i, k in enumerate(own)]
-    codes = np.unique(np.concatenate([c for _, c, _ in rows]))
-    table = np.zeros((len(codes), len(marks)))
-    for k, c, w in rows:
-        np.add.at(table[:, k], np.searchsorted(codes, c), w)
-
-    def kernel(words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(marks)))
-        for own, code, weight, norm in subsequences(words):
-            place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-            hit = np.where(codes[place] == code, weight, 0.0)
-            for i, k in enumerate(own):
-                out[k] = hit[i] @ table[place[i]] / norm[i]
-        return out
+    every, marks = positive + negative, positive[: landmarks // 2] + negative[: landmarks // 2]
+    words = sorted({p for s in every for p in s})
+    at = {w: k for k, w in enumerate(words)}
+    own_marks: dict[int, list[int]] = {}
+    for k, s in enumerate(marks):
+        for w in s:
+            own_marks.setdefault(at[w], []).append(k)
+    codes = np.unique(np.concatenate([np.unique(code) for _, code, _, _ in subsequences([words[k] for k in own_marks])]))
+    table = np.zeros((len(codes), len(marks)), dtype=np.float32)
+    ids = list(own_marks)
+    for own, code, weight, norm in subsequences([words[k] for k in ids]):
+        for i, k in enumerate(own):
+            place = np.searchsorted(codes, code[i])
+            for mark in own_marks[ids[k]]:
+                np.add.at(table[:, mark], place, (weight / norm[i]).astype(np.float32))
+    rows = np.zeros((len(words), len(marks)), dtype=np.float32)
+    for own, code, weight, norm in subsequences(words):
+        place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        met = codes[place] == code
+        for i, k in enumerate(own):
+            rows[k] = (weight[met[i]] / norm[i]).astype(np.float32) @ table[place[i][met[i]]]
+
+    def kernel(many: list[list[str]]) -> np.ndarray:
+        flat = np.array([at[w] for s in many for w in s])
+        begin = np.cumsum([0, *(len(s) for s in many[:-1])])
+        return np.add.reduceat(rows[flat], begin, axis=0).astype(np.float64)
 
     value, vector = np.linalg.eigh(kernel(marks) + 1e-6 * np.eye(len(marks)))
     root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
-    x = np.c_[kernel(positive + negative) @ root, np.ones(len(positive) + len(negative))]
+    x = np.c_[kernel(every) @ root, np.ones(len(every))]
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     each = np.where(y > 0, len(y) / (2 * len(positive)), len(y) / (2 * len(negative)))
     w = np.zeros(x.shape[1])
     ridge = np.diag(np.r_[np.ones(x.shape[1] - 1), 1e-3]) / cost
     for _ in range(30):
         on = y * (x @ w) < 1
-        new = np.linalg.solve(ridge + (x[on] * each[on, None]).T @ x[on], (x[on] * each[on, None]).T @ y[on])
-        if np.abs(new - w).max() < 1e-9:
+        part = x[on] * each[on, None]
+        new = np.linalg.solve(ridge + part.T @ x[on], part.T @ y[on])
+        if np.abs(new - w).max() < 1e-6:
             break
         w = new
     return Model(codes, table @ (root @ w[:-1]), float(w[-1]))
@@ -192,55 +223,75 @@ def fit_documents(model: Model, features: np.ndarray, toxic: np.ndarray) -> None
     model.logistic = b
 
 
-def learn(docs: DataFrame, labels: DataFrame, toxic_docs: int = 3000, clean_docs: int = 6000, plain_words: int = 30_000) -> Model:
+def _scored(sample: DataFrame, model: Model, run, schema: str):  # noqa: ANN001, ANN202
+    """Rows that run(text's sentences, decisions, label) gives over sample(text, toxic), at the driver."""
+    shipped = sample.sparkSession.sparkContext.broadcast(model)
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, float] = {}
+        for b in bounded(batches, PIECE):
+            texts, labels = b.column("text").to_pylist(), b.column("toxic").to_pylist()
+            rows = [r for (own, value), label in zip(shipped.value.decisions(texts, cache), labels, strict=True) for r in run(own, value, label, cache)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(columns, schema.split(", "), strict=True)], names)
+
+    return sample.mapInArrow(go, schema).toPandas()
+
+
+def learn(docs: DataFrame, labels: DataFrame, toxic_docs: int = 3000, clean_docs: int = 6000, each: int = 4, most: int = 4000, rounds: int = 3) -> Model:
     """Learn from docs(doc_id, text) and labels(doc_id, toxic).
 
     The sample is bounded: about ``toxic_docs`` and ``clean_docs`` labelled
-    rows, drawn by a hash of doc_id, are joined to the texts; 4,000 toxic
-    and ``plain_words`` plain example words reach the driver. With no toxic or
-    no clean label, every document gets the score of the only class or 0.
+    rows, drawn by a hash of doc_id, are joined to the texts. ``each`` sentences of
+    each of these, drawn by hash (more where labels are few), train the first machine, and ``rounds`` times
+    more the worst ones of each do; at most ``most`` of a class train at once.
+    With no toxic or no clean label, every document gets the score of the only
+    class or 0. Of several labels of a document the largest counts.
     """
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = {int(k): c for k, c in known.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
         model = Model()
-        model.logistic = np.array([30.0 if n.get(1) else -30.0, 0.0, 0.0])
+        model.logistic = np.array([30.0 if n.get(1) else -30.0, 0.0, 0.0, 0.0, 0.0])
         return model
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
-    most = F.when(F.col("toxic") == 1, toxic_docs / n[1]).otherwise(clean_docs / n[0])
-    # at most about 9,000 rows of two numbers, by the draw above
-    sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known.where(draw < most).select(F.col("doc_id").cast("long"), "toxic")), "doc_id").select("text", "toxic")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches):
-            word, toxic, kin = [], [], []
-            for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                own = tokens(text)
-                # near copies share the smallest hash of their words; they count as one
-                least = min((xxhash.xxh64_intdigest(t) for t in own), default=0) & 0x7FFFFFFFFFFFFFFF
-                word += own
-                toxic += [label] * len(own)
-                kin += [least] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(toxic, pa.int32()), pa.array(kin, pa.int64())], ["word", "toxic", "kin"])
-
-    sample = sample.select(F.col("text").cast("string"), F.col("toxic").cast("int"))
-    met = sample.mapInArrow(spread, "word string, toxic int, kin long").distinct().groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
-    nt, nc = min(n[1], toxic_docs), min(n[0], clean_docs)
-    rate = (F.col("bad") / nt) / (F.col("bad") / nt + F.col("good") / nc)
-    met = met.where(F.length("word") > 2).withColumn("rate", rate).where("bad + good > 2")
-    order = F.xxhash64("word")
-    bad = [r[0] for r in met.where(F.col("bad") >= max(3, nt // 200)).where("rate > 0.95").orderBy(F.desc("bad"), order).limit(4000).select("word").collect()]
-    good = [r[0] for r in met.where("good > 2 and rate < 0.7").orderBy(order).limit(plain_words).select("word").collect()]
-    model = fit_words(bad, good)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
-        for b in bounded(batches):
-            f = model.features(b.column("text").to_pylist(), cache)
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(f[:, 0]), pa.array(f[:, 1])], ["toxic", "top", "many"])
-
-    got = sample.mapInArrow(measure, "toxic int, top double, many double").toPandas()
-    fit_documents(model, got[["top", "many"]].to_numpy(), got["toxic"].to_numpy().astype(float))
+    share = F.when(F.col("toxic") == 1, toxic_docs / n[1]).otherwise(clean_docs / n[0])
+    # at most about 9,000 rows of two numbers, by the draw above; of rows with equal doc_id and text one
+    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known.where(draw < share)), "doc_id")
+    sample = materialize(sample.dropDuplicates(["doc_id", "text"]).select("text", "toxic"))
+
+    few = {k: max(each, most // max(1, n[k])) for k in (0, 1)}
+
+    def drawn(own: list[frozenset[str]], value: np.ndarray, label: int, known: dict[str, float]) -> list[tuple]:
+        keyed = sorted((xxhash.xxh64_intdigest(t), t) for t in {" ".join(sorted(s)) for s in own})
+        return [(label, t, 0.0) for _, t in keyed[: few[label]]]
+
+    def worst(own: list[frozenset[str]], value: np.ndarray, label: int, known: dict[str, float]) -> list[tuple]:
+        order = sorted(range(len(own)), key=lambda k: (-value[k], " ".join(sorted(own[k]))))
+        return [(label, " ".join(sorted(own[k])), float(value[k])) for k in order[: 2 if label == 1 else 1]]
+
+    def parted(rows) -> tuple[list, list]:  # noqa: ANN001
+        """Distinct sentences of toxic and of clean documents, each with its
+        largest decision; a sentence that clean documents have, too, is clean."""
+        best = rows.groupby(["toxic", "text"])["value"].max().reset_index()
+        clean = best[best["toxic"] == 0]
+        bad = best[(best["toxic"] == 1) & ~best["text"].isin(clean["text"])]
+        return [sorted(zip(x["value"], x["text"], strict=True), key=lambda r: (-r[0], xxhash.xxh64_intdigest(r[1]))) for x in (bad, clean)]
+
+    schema = "toxic int, text string, value double"
+    as_set = lambda rows: [frozenset(t.split()) for _, t in rows]
+    bad, plain = parted(_scored(sample, Model(), drawn, schema))
+    plain = plain[:most]
+    model = fit(as_set(bad[:most]), as_set(plain))
+    for _ in range(rounds):
+        seen, hard = parted(_scored(sample, model, worst, schema))
+        # witnesses by hash, so that landmarks are spread over all of them
+        seen = sorted((x for x in seen if x[0] > -0.5), key=lambda r: xxhash.xxh64_intdigest(r[1])) or seen
+        model = fit(as_set(seen[:most]), as_set(hard[:100] + plain[: most // 2] + hard[100 : most // 2]))
+    got = _scored(sample, model, lambda own, value, label, known: [(label, *model.summary(own, value, known))], "toxic int, top double, many double, word double, words double")
+    fit_documents(model, got[["top", "many", "word", "words"]].to_numpy(), got["toxic"].to_numpy().astype(float))
     # the sample holds the classes at other rates than the labels do
     prior = np.log(n[1] / n[0]) - np.log(max(1, (got["toxic"] == 1).sum()) / max(1, (got["toxic"] == 0).sum()))
     model.logistic[0] += prior
@@ -254,7 +305,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score (0 to 1), one row per row; null and empty texts get the
     score of a text without insults. A column named score is replaced."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c.lower() != "score"]
+    own = [quoted(c) for c in docs.columns if c.lower() != "score"]
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -262,7 +313,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for s in batches:
             texts, out, at, size = [t if isinstance(t, str) else None for t in s], [], 0, 0
             for k in range(len(texts) + 1):
-                if k == len(texts) or size > 4_000_000:
+                if k == len(texts) or size > PIECE:
                     out.append(m.probability(m.features(texts[at:k], cache)))
                     at, size = k, 0
                 if k < len(texts):
@@ -273,6 +324,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op8(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Score of every document, learned from the labelled rows that aren't held out.
+
+    Null and empty texts score as a text without any toxic sentence. Texts are
+    read whole, however long. Repeated rows get a row each, all of the same
+    score; rows without doc_id are never held out. Without labels of both classes
+    all scores are alike. An empty table gives no rows; other columns aren't
+    looked at. Ties at the threshold count as toxic.
+    """
     model = learn(docs.where(~held_out()), labels.where(~held_out()))
     found = score(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
