@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from knotwork.llm import decontam, htmltext, iblt, langid, mixing, packing, simhash, substrings, toxicity, urlfilter
@@ -24,7 +25,7 @@ def test_language_held_out(docs):
 def test_language_mixture_and_odd_rows(docs, odd, empty):
     m = langid.learn(docs)
     one = {r["lang"]: r["text"] for r in docs.where("length(text) > 1500").select("lang", "text").collect()}
-    _, _, share = m.infer([one["en"][:1500] + " " + one["de"][:700]])
+    _, _, share, _ = m.infer([one["en"][:1500] + " " + one["de"][:700]])
     got = dict(zip(m.langs, share[0], strict=True))
     assert got["en"] > got["de"] > 0.1 and got["fr"] == 0
     r = {(x["doc_id"], x["lang_pred"]) for x in langid.op1(odd).collect()}
@@ -87,6 +88,28 @@ def removal(texts, n):
     return out
 
 
+def test_substrings_at_production_parameters(spark):
+    """400 bytes and windows of 128, over texts that share long passages."""
+    random.seed(9)
+    pool = ["".join(random.choice("abcdefgh é") for _ in range(random.randrange(200, 900))) for _ in range(12)]
+    texts = ["".join(random.choice(pool) + random.choice(["", "", str(random.random())]) for _ in range(random.randrange(1, 6))) for _ in range(40)] + ["z" * 401, "z" * 400, "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.op7(d).collect()}
+    want = removal(texts, 400)
+    assert [got[k] for k in range(len(texts))] == want and sum(x[1] for x in want) > 0
+
+
+def test_substrings_in_pieces(spark):
+    """Texts longer than a piece are parsed as if they were whole."""
+    random.seed(4)
+    pool = ["".join(random.choice("abé ") for _ in range(random.randrange(30, 200))) for _ in range(12)]
+    texts = ["".join(random.choice(pool) for _ in range(random.randrange(1, 30))) + str(k) for k in range(20)] + ["x" * 2500, "ab" * 900]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for piece in (200, 700):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in substrings.remove_repeats(d, 64, 24, piece).collect()}
+        assert [got[k] for k in range(len(texts))] == removal(texts, 64)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_substrings_brute_force(spark, seed):
     random.seed(seed)
@@ -142,7 +165,7 @@ def test_mixing(spark, docs, odd, empty):
     assert mixing.op6(docs).exceptAll(mixing.op6(docs)).count() == 0
     assert mixing.op6(odd).count() == odd.count() and mixing.op6(empty).count() == 0
     assert mixing.stage(odd).columns == odd.columns
-    copies = mixing.mix(docs).agg(F.sum(F.col("copies") * F.col("rows"))).first()[0]
+    copies = mixing.mix(docs).agg(F.sum("copies")).first()[0]
     assert mixing.stage(docs).count() == copies
 
 
@@ -154,12 +177,31 @@ def test_mixing_keeps_expectation(spark):
 
 
 def units(x):
-    return {y for line in x.split("\n") for y in (line[:24], line[24:120], line[120:504], line[504:]) if y}
+    return {y for line in x.split("\n") for y in (line[:24], line[24:120], line[120:504], *(line[k : k + 1536] for k in range(504, len(line), 1536))) if y}
+
+
+def peeled(one, other):
+    """Likeness of two fingerprints of equal size from the strings alone, None if they don't peel."""
+    (n, a), (m, b) = ((int(x.split(":")[0]), [int(v) for v in x.split(":")[1].split(",")]) for x in (one, other))
+    low, wide = (1 << 24) - 1, 1 << 64
+    check = lambda h: xxhash.xxh64_intdigest((h % wide).to_bytes(8, "little"), 42) & low
+    total = 0
+    for part in range(len(a) // iblt.CELLS):
+        k = [x ^ y for x, y in zip(a[part * iblt.CELLS : (part + 1) * iblt.CELLS], b[part * iblt.CELLS : (part + 1) * iblt.CELLS], strict=True)]
+        while any(k):
+            pure = next((v for v in k if v and v & low == check(v & ~low)), None)
+            if pure is None:
+                return None
+            total += 1
+            for r in range(iblt.ROWS):
+                k[r * iblt.COLUMNS + (pure >> (24 + 4 * r) & 15)] ^= pure
+    return (n + m - total) / (n + m + total) if n + m else 1.0
 
 
 def test_sketch_fingerprints(spark, docs, odd, empty):
     r = iblt.op9(docs).toPandas().set_index("doc_id").sort_index(ascending=False)
     texts = docs.toPandas().set_index("doc_id")["text"].sort_index(ascending=False)
+    again = {"near_edited": 0, "near_next": 0}
     for k, (doc, x) in enumerate(texts.items()):
         y = texts.iloc[(k + 1) % len(texts)]
         n = len(x) // 3
@@ -167,21 +209,40 @@ def test_sketch_fingerprints(spark, docs, odd, empty):
         assert r["edited_sha256"][doc] == hashlib.sha256(e.encode()).hexdigest() and r["n_chars"][doc] == len(x)
         a, b, c = units(x), units(e), units(y)
         assert r["near_edited"][doc] == pytest.approx(len(a & b) / len(a | b)) and r["near_next"][doc] == pytest.approx(len(a & c) / len(a | c))
+        # the returned sketches, subtracted and peeled by hand, say the same
+        for name, other in (("near_edited", r["edited_fingerprint"][doc]), ("near_next", r["fingerprint"].iloc[(k + 1) % len(texts)])):
+            if r["fingerprint"][doc].count(",") == other.count(",") and (got := peeled(r["fingerprint"][doc], other)) is not None:
+                assert got == pytest.approx(r[name][doc])
+                again[name] += 1
+    assert again["near_edited"] > 0.8 * len(texts) and again["near_next"] > 0.2 * len(texts)
     q = iblt.op9(odd)
     assert q.count() == odd.count() and q.where("near_next is null or near_edited is null").count() == 0
     assert q.where("doc_id in (6, 7)").select("fingerprint").distinct().count() == 1
     assert iblt.op9(empty).count() == 0
 
 
-def test_sketch_retries(spark):
+def test_sketch_retries_and_digests(spark):
+    """Crowded sketches come out after tries twice as large, and give the digests themselves."""
     a, b = list(range(0, 300 << 34, 1 << 34)), list(range(150 << 34, 450 << 34, 1 << 34))
     h = lambda x: f"transform(array({','.join(str(v) + 'L' for v in x)}), h -> (xxhash64(h) & -16777216L))"
-    pair = spark.range(1).selectExpr("id", f"{h(a)} as a", f"{h(b)} as b").selectExpr("id", *(f"transform({c}, h -> h | (xxhash64(h) & 16777215L)) as {c}" for c in "ab"))
+    pair = spark.range(1).selectExpr(f"{h(a)} as a", f"{h(b)} as b").selectExpr(*(f"array_sort(transform({c}, h -> h | (xxhash64(h) & 16777215L))) as {c}" for c in "ab"))
     load, iblt.LOAD = iblt.LOAD, 100
     try:
-        assert iblt.differences(pair, ["id"]).first()["differ"] == 300
+        df = pair.selectExpr("*", *(f"{iblt.sketch(c, iblt.bits_of(c))} as s{c}" for c in "ab")).selectExpr("a", "b", f"{iblt.differing('a', 'b', 'sa', 'sb')} as d")
+        r = df.first()
     finally:
         iblt.LOAD = load
+    assert len(r["d"]) == 300 and set(r["d"]) == set(r["a"]) ^ set(r["b"])
+
+
+def test_next_document_with_a_hot_id(spark):
+    rows = [(7 if k % 3 else k, f"text {k}") for k in range(600)] + [(None, f"n {k}") for k in range(100)] + [(8, "same")] * 30
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    ranked = sorted((-(2**63) * -1 if r[0] is None else -r[0], r[2], r[1]) for r in d.select("doc_id", "text", F.xxhash64("text")).collect())
+    want = Counter((ranked[k][2], ranked[(k + 1) % len(ranked)][2]) for k in range(len(ranked)))
+    got = iblt.beside_next(d)
+    assert Counter((r["text"], r["next_text"]) for r in got.collect()) == want
+    assert got.groupBy("range").count().agg(F.max("count")).first()[0] < 200
 
 
 PAGE = """<html><head><title>no</title></head><body><header><h1>Site</h1></header><nav><a href=/>menu</a></nav><div class="cookie-notice">We use cookies</div>
@@ -339,7 +400,7 @@ def test_simhash_alike_over_blocks(spark):
                 want = {i: min(want[a], want[b]) if x in (want[a], want[b]) else x for i, x in want.items()}
     doubtful = d.where("doc_id < 90").selectExpr("1 AS anchor", "doc_id AS node", "doc_id AS label", "600L AS bytes", *(f"0L AS f{k}" for k in range(simhash.WIDE)))
     for block in (1 << 20, 3000):
-        edges = simhash.alike(doubtful, simhash.shingle_sets(d, 5), 0.8, block=block).collect()
+        edges = simhash.alike(doubtful, simhash.shingle_sets(d.withColumnRenamed("doc_id", "node"), 5), 0.8, block=block).collect()
         got = {i: i for i in grams}
         for a, b in edges:
             got = {i: min(got[a], got[b]) if x in (got[a], got[b]) else x for i, x in got.items()}
@@ -359,7 +420,7 @@ def test_simhash_bits_alone_link_nothing(spark):
     fps = [f"0L AS f{k}" for k in range(simhash.WIDE)]
     doubtful = spark.createDataFrame([(1, 0), (1, 20), (2, 0), (2, 20), (3, 0), (3, 3), (3, 20)], "anchor int, node long").selectExpr("*", "node AS label", "600L AS bytes", *fps)
     d = spark.createDataFrame([(0, rows[3][1]), rows[3], (20, rows[3][1])], d.schema)
-    edges = [set(e) for e in simhash.alike(doubtful, simhash.shingle_sets(d, 5), 0.8).collect()]
+    edges = [set(e) for e in simhash.alike(doubtful, simhash.shingle_sets(d.withColumnRenamed("doc_id", "node"), 5), 0.8).collect()]
     assert len(edges) == 3 and {0, 20} in edges and set.union(*edges) == {0, 3, 20}
 
 
@@ -391,3 +452,252 @@ def test_decontamination_finds_excerpts_anywhere():
         assert not {at for at in lost if size > 61 or (long[at] != " " and long[at + size - 1] != " ")}
     doc, seg = decontam.search(ix, [around[0], f"{around[0]} {short} {around[1]}"])
     assert {(int(d), int(ix.items[s])) for d, s in zip(doc, seg, strict=True)} == {(1, 2)}
+
+
+def clashing(df):
+    """df with columns of the names that operators use on the way."""
+    for k, name in enumerate(("_id", "_key", "_size", "_source", "_copies", "_words", "_copy", "_row", "tie", "row", "copies", "found", "found_", "id", "d", "t", "s", "c", "n", "u0", "repeated", "label", "node")):
+        df = df.withColumn(name, F.lit(k))
+    return df
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark, odd, empty):
+    bench = spark.createDataFrame([(1, "the rain in spain falls mainly on the plain")], "item_id long, text string")
+    for stage in (langid.stage, simhash.stage, lambda d: decontam.stage(d, bench), mixing.stage):
+        wide = clashing(odd)
+        assert stage(wide).columns == wide.columns
+        assert stage(wide).count() == stage(odd).count()
+        assert stage(clashing(empty)).count() == 0
+
+
+def test_language_stage_rejects_what_no_language_explains(spark, docs):
+    strange = spark.createDataFrame([(-1, "\u0436\u0449\u044a " * 30), (-2, "12 34"), (-3, None)], "doc_id long, text string")
+    both = docs.unionByName(strange, allowMissingColumns=True)
+    kept = {r[0] for r in langid.stage(both).select("doc_id").collect()}
+    assert kept == {r[0] for r in docs.select("doc_id").collect()}
+
+
+def test_language_of_long_texts_in_pieces(spark):
+    text = "the house and the garden " * 200 + "\u00e9t\u00e9 " * 50
+    whole = langid.grams([text, None, "a", text])
+    piece, langid.PIECE = langid.PIECE, 700
+    try:
+        parts = langid.grams([text, None, "a", text])
+    finally:
+        langid.PIECE = piece
+    assert all((x == y).all() for x, y in zip(whole, parts, strict=True))
+    low = [c if c.isalpha() else " " for c in " " + text + " "]
+    assert whole[2][whole[0] == 0].sum() == sum(c != " " for c in low) == whole[2][whole[0] == 3].sum()
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rows = [(1, "one text of some eight words or so here"), (1, "quite another one that shares nothing with it at all"), (2, "a third that is as different as the others are")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.stage(d).collect()) == sorted(t for _, t in rows)
+    # repeated rows and copies under another id go, the smallest id stays
+    more = d.union(d).union(spark.createDataFrame([(0, rows[1][1]), (None, rows[2][1])], d.schema))
+    assert sorted(r["doc_id"] for r in simhash.stage(more).collect()) == [0, 1, 2]
+
+
+def test_fingerprints_without_id_link_others(spark):
+    """A row without doc_id between two others makes one component of them."""
+    words = [f"w{k}" for k in range(400)]
+    texts, bits = [" ".join(words)], [simhash.fingerprint(" ".join(words), 3)]
+    random.seed(3)
+    while len(texts) < 3:  # a chain of texts at one or two bits each, the ends farther apart
+        t = texts[-1].split()
+        t[random.randrange(len(t))] = f"e{random.random()}"
+        fp = simhash.fingerprint(" ".join(t), 3)
+        if 1 <= (fp ^ bits[-1]).bit_count() <= 2 and (len(texts) < 2 or (fp ^ bits[0]).bit_count() > 2):
+            texts.append(" ".join(t))
+            bits.append(fp)
+    d = spark.createDataFrame([(5, texts[0]), (None, texts[1]), (9, texts[2])], "doc_id long, text string")
+    assert {r["component_id"] for r in simhash.op4(d).collect()} == {5}
+
+
+def test_mixing_rounds_equal_sizes_singly(spark):
+    """Rows that share a null id, source and size don't share their fate."""
+    rows = [(None, "w " * 10 + f"x{k}", "abc"[k % 3]) for k in range(300)] + [(1, "same words in all", "a")] * 40
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    r = mixing.op6(d).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(r) == 3 and all(abs(x["taken"] - x["target"]) <= 11 for x in r)
+    taken = mixing.op6(d).agg(F.sum("taken")).first()[0]
+    assert mixing.stage(d).select(mixing.size_of().alias("n")).agg(F.sum("n")).first()[0] == taken
+
+
+def test_mixing_targets_by_definition(spark):
+    """Targets against a loop that shares the excess out again and again."""
+    sizes = {"a": 10, "b": 1000, "c": 5, "d": 400, "é": 0, "z": 77}
+    df = spark.createDataFrame([*sizes.items(), (None, 30)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
+    order = [*sorted(sizes), None]
+    size = {**sizes, None: 30}
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}
+    full, total = set(), sum(size.values())
+    while True:
+        rest = [s for s in order if s not in full]
+        level = (total - sum(3 * size[s] for s in full)) / sum(weight[s] for s in rest) if rest else 0
+        over = {s for s in rest if level * weight[s] > 3 * size[s]}
+        if not over:
+            break
+        full |= over
+    for s in order:
+        assert got[s] == pytest.approx(3 * size[s] if s in full else level * weight[s])
+
+
+def windows_of(ix, text):
+    """Segments that some stretch of a text is within their edits of, by dynamic programming."""
+    cp, _ = decontam.normal([text])
+    out = set()
+    for s in range(len(ix.items)):
+        p = ix.chars[ix.start[s] : ix.start[s] + ix.length[s]]
+        d, best, slope = np.arange(len(p) + 1), len(p), np.arange(len(p) + 1)
+        for c in cp:
+            row = np.concatenate([[0], np.minimum(d[:-1] + (p != c), d[1:] + 1)])
+            d = np.minimum.accumulate(row - slope) + slope
+            best = min(best, d[-1])
+        if best <= ix.edits[s]:
+            out.add(s)
+    return out
+
+
+def test_decontamination_search_by_brute_force(spark):
+    """search() against all stretches of all texts, with edits and items split over neighbours."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    items = [(k, " ".join(word() for _ in range(rng.choice([2, 8, 30])))) for k in range(12)]
+    ix = decontam.build(items)
+    texts = []
+    for _ in range(25):
+        base, t = " ".join(word() for _ in range(rng.randint(1, 30))), rng.choice(items)[1]
+        lo = rng.randrange(len(t))
+        x = list(t[lo : rng.randint(lo, len(t))])
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            if x:
+                x[rng.randrange(len(x))] = rng.choice(["", "z", "qq"])
+        texts.append(rng.choice([base + " ", " "]) + "".join(x) + rng.choice([" " + base, ""]))
+    for _, t in items:
+        texts += [t[: len(t) // 2], t[len(t) // 2 :]]
+    texts += [None, "", "a"]
+    doc, seg = decontam.search(ix, texts)
+    assert set(zip(doc.tolist(), seg.tolist(), strict=True)) == {(k, s) for k, t in enumerate(texts) for s in windows_of(ix, t)}
+    long = " ".join(texts[k] or "" for k in range(20))
+    for piece in (64, 300, 5000):
+        assert decontam.search_long(ix, long, piece) == set(decontam.search(ix, [long])[1].tolist())
+    # neither the partition nor the slicing of the benchmark matters
+    d, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontam.find(d.repartition(1), bench).drop("text").collect()))
+    assert one == sorted(map(tuple, decontam.find(d.repartition(7), bench).drop("text").collect()))
+    assert one == sorted(map(tuple, decontam.find(d, bench, most=60_000).drop("text").collect()))
+
+
+def test_packing_of_repeated_rows_and_binary(spark, odd, tmp_path):
+    """The binary columns hold all rows' ids, repeated rows included."""
+    enc = packing.Encoder.of(packing.default_vocabulary())
+    path = str(tmp_path / "packs")
+    packing.write_binary(packing.pack(odd, 64), path)
+    found = []
+    for r in spark.read.parquet(path).collect():
+        ids, cum, pos = (np.frombuffer(r[k], dtype="<i4") for k in ("ids", "cumulative", "positions"))
+        assert r["n_ids"] == len(ids) == cum[-1] == len(pos) <= 64
+        for k, (doc, seg) in enumerate(zip(r["doc_ids"], r["segments"], strict=True)):
+            part = ids[cum[k] : cum[k + 1]]
+            assert (pos[cum[k] : cum[k + 1]] == np.arange(len(part))).all()
+            found.append((doc, seg, part.tobytes()))
+    want = []
+    for r in odd.collect():
+        ids = np.concatenate([enc(r["text"] or ""), [enc.end]]).astype("<i4")
+        want += [(r["doc_id"], k, ids[at : at + 64].tobytes()) for k, at in enumerate(range(0, len(ids), 64))]
+    assert Counter(found) == Counter(want)
+    assert packing.op2(odd).columns == ["pack_id", "doc_ids", "segments", "n_ids", "ids", "cumulative", "positions"]
+
+
+def test_packing_of_long_texts_in_pieces(docs):
+    enc = packing.Encoder.of(packing.default_vocabulary())
+    text = " ".join(r["text"] for r in docs.limit(20).collect())
+    whole, piece = enc(text), packing.PIECE
+    packing.PIECE = 1000
+    try:
+        assert (enc(text) == whole).all() and enc.bpe.decode(enc("é\n" * 3000).tolist()) == "é\n" * 3000
+    finally:
+        packing.PIECE = piece
+
+
+def test_url_rules_twice_repeated_and_long(spark):
+    rules = [("block", "a.com/"), ("allow", "a.com/"), ("allow", "b.com/x/")]
+    d = spark.createDataFrame([(1, "http://q.a.com/" + "z" * 100_000), (2, "http://b.com/x/y"), (2, "http://b.com/x/y"), (None, None)], "page_id long, url string").selectExpr("*", "1 AS host", "2 AS rule", "3 AS _row")
+    got = sorted(map(str, urlfilter.filter_urls(d, rules).select("page_id", "rule", "verdict").collect()))
+    table = spark.createDataFrame([(b, a) for a, b in rules], "rule string, verdict string")
+    assert got == sorted(map(str, urlfilter.match_by_join(d, table).select("page_id", "rule", "verdict").collect()))
+    assert len(got) == 4 and "block" in got[0]
+
+
+def test_main_text_keeps_titles_and_paragraphs(spark):
+    """Names of classes alone remove no heading, paragraph or lone section of an article."""
+    page = "<body><header>site</header>{}<footer>f</footer></body>"
+    bodies = [
+        ("<article><h1 class='article-header'>Real title</h1><p>and some text</p></article>", "Real title\nand some text"),
+        ("<article><p class='related-work'>first</p><section class='search'><p>on searching</p></section><p>last of them all</p></article>", "first\non searching\nlast of them all"),
+        ("<article><header><h1>Title</h1></header><p>text of it</p></article>", "Title\ntext of it"),
+    ]
+    d = spark.createDataFrame([(k, f"http://h{k}.org/", page.format(b)) for k, (b, _) in enumerate(bodies)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in htmltext.op10(d).collect()} == {k: t for k, (_, t) in enumerate(bodies)}
+
+
+def test_main_text_drops_the_template_of_a_host(spark):
+    """A suspect box on most pages of a host goes, one on a single page of many stays."""
+    page = "<body><article><p>{}</p><div class='related'><p>see {}</p></div>{}</article></body>"
+    rows = [(k, "http://t.org/x", page.format(f"the text of page {k} as it is", k, "<section class='notice'><p>only here</p></section>" if k == 3 else "")) for k in range(6)]
+    d = clashing(spark.createDataFrame(rows, "page_id long, url string, html string")).withColumn("host", F.lit(1)).withColumn("winner", F.lit(2))
+    got = {r["page_id"]: r["text"] for r in htmltext.op10(d.union(d.where("page_id = 0"))).collect()}
+    assert got == {k: f"the text of page {k} as it is" + ("\nonly here" if k == 3 else "") for k in range(6)}
+
+
+def test_main_text_of_deep_and_long_pages(spark):
+    import time
+
+    began = time.time()
+    assert htmltext.extract("<div>" * 10_000 + "deep" + "</div>" * 10_000, None, None) == "deep"
+    assert len(htmltext.extract("<article>" + "<p>text of a block</p>" * 20_000 + "</article>", None, None).split("\n")) == 20_000
+    assert time.time() - began < 10
+
+
+def test_hosts_beyond_the_broadcast(spark):
+    """Winners come by a join, or broadcast for large hosts, with the same result."""
+    rows = [(k, f"http://h{k % 5 if k < 40 else k}.org/", f"<article><p>page {k}</p></article>") for k in range(60)]
+    d = spark.createDataFrame([*rows, (None, None, "<p>x</p>")], "page_id long, url string, html string")
+    want = sorted(map(str, htmltext.op10(d).collect()))
+    many, htmltext.MANY = htmltext.MANY, 10
+    try:
+        assert sorted(map(str, htmltext.op10(d).collect())) == want
+    finally:
+        htmltext.MANY = many
+
+
+def test_sentence_kernel_by_definition():
+    """Features and decisions of the machine against a kernel computed word by word."""
+
+    def phi(word):
+        out = Counter()
+        for p in toxicity.pieces(word):
+            own = Counter()
+            for i in range(len(p)):
+                for j in range(i + 1, len(p)):
+                    for k in range(j + 1, min(len(p), i + toxicity.SPAN)):
+                        own[p[i] + p[j] + p[k]] += toxicity.DECAY ** (k - i + 1)
+            norm = sum(v * v for v in own.values()) ** 0.5
+            for g, v in own.items():
+                out[g] += v / norm
+        return out
+
+    bad = [frozenset(["you", "stupid", "fellow"]), frozenset(["what", "idiots"]), frozenset(["stupidity", "again"])]
+    plain = [frozenset(["fair", "weather", "today"]), frozenset(["what", "garden"]), frozenset(["again", "some", "water"])]
+    m = toxicity.fit(bad, plain)
+    weight = {}
+    for c, w in zip(m.codes.tolist(), m.weights.tolist(), strict=True):
+        weight["".join(chr(c >> s & 0x1FFFFF) for s in (42, 21, 0))] = w
+    text = "You stupid fellow! What a garden. st u p i d"
+    (own, value), = m.decisions([text], {})
+    for s, v in zip(own, value, strict=True):
+        assert v == pytest.approx(m.bias + sum(c * weight.get(g, 0.0) for word in s for g, c in phi(word).items()), abs=1e-5)
+    assert (next(m.decisions([" ".join(s) for s in bad], {}))[1] > 0).all() and value[0] > 0 > value[1]
