@@ -105,11 +105,19 @@ def test_substrings_in_pieces(spark):
     pool = ["".join(random.choice("abé ") for _ in range(random.randrange(30, 200))) for _ in range(12)]
     texts = ["".join(random.choice(pool) for _ in range(random.randrange(1, 30))) + str(k) for k in range(20)] + ["x" * 2500, "ab" * 900]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for piece in (200, 700):
-        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in substrings.remove_repeats(d, 64, 24, piece).collect()}
+    for piece, group in ((200, 256), (700, 3)):  # and suffixes in order, or digests where a context has many phrases
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in substrings.remove_repeats(d, 64, 24, piece, group).collect()}
         assert [got[k] for k in range(len(texts))] == removal(texts, 64)
 
 
+def test_order_of_suffixes_by_definition():
+    random.seed(2)
+    contents = ["".join(random.choice("ab") for _ in range(n)).encode() for n in (40, 35, 60, 16)] + [b"\0" * 30, b"\0" * 17]
+    starts = [len(c) - 15 for c in contents]
+    strings = [c[k : k + 16] for c, n in zip(contents, starts, strict=True) for k in range(n)]
+    assert substrings.repeated_starts(contents, starts, 16).tolist() == [strings.count(x) > 1 for x in strings]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_substrings_brute_force(spark, seed):
     random.seed(seed)
