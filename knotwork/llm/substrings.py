@@ -27,8 +27,8 @@ row of each task.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,30 +38,37 @@ from pyspark.sql import functions as F
 from .common import bounded, materialize
 
 LENGTH, WINDOW, GRAM = 400, 128, 8
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of text that are looked at together.
+PIECE = 1 << 19
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def _power(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+@lru_cache(maxsize=4)
+def _held_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _power(base, n), _power(pow(base, -1, 1 << 64), n)
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = _held_powers(base, max(PIECE + (1 << 16), 1 << (n.bit_length() if n > PIECE + (1 << 16) else 0)))
+    return up[:n], down[:n]
+
+
 class Digests:
-    """64-bit digests of any substring of a buffer, each in constant time.
+    """128-bit digests of any substring of a buffer, each in constant time.
 
-    A sum over mixed 8-byte grams times powers of an odd base, modulo 2^64.
+    Two sums over mixed 8-byte grams times powers of odd bases, modulo 2^64.
+    Buffers have no more than a piece and its overlap.
     """
 
-    _up = _powers(_BASE, 1 << 16)
-    _down = _powers(_INVERSE, 1 << 16)
-
     def __init__(self, data: np.ndarray):
         n = len(data)
-        if len(Digests._up) < n + 1:
-            Digests._up, Digests._down = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
         x = np.zeros(n, dtype=np.uint64)
         padded = np.concatenate([data, np.zeros(GRAM, dtype=np.uint8)])
         for k in range(GRAM):
@@ -71,21 +78,44 @@ class Digests:
         x *= _MIX
         x ^= x >> np.uint64(29)
         self.grams = x
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(x * Digests._up[:n], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Digests of data[start:end], at least GRAM bytes each."""
-        out = (self.sums[end - GRAM + 1] - self.sums[start]) * Digests._down[start]
+        self.down, self.sums = [], []
+        for k, base in enumerate(_BASES):
+            if k:
+                x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            up, down = _powers(base, n)
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(x * up, out=sums[1:])
+            self.down.append(down)
+            self.sums.append(sums)
+
+    def __call__(self, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+        """One half of the digests of data[start:end], at least GRAM bytes each."""
+        sums = self.sums[which]
+        out = (sums[end - GRAM + 1] - sums[start]) * self.down[which][start]
         out ^= out >> np.uint64(31)
         out *= _MIX
         return out ^ out >> np.uint64(33)
 
 
-def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
-    return np.frombuffer(b"".join(raw), dtype=np.uint8), np.r_[np.int64(0), ends]
+def encoded(texts: list[str | None]) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+def joined(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.cumsum([len(r) for r in raws], dtype=np.int64)
+    return np.frombuffer(b"".join(raws), dtype=np.uint8), np.r_[np.int64(0), ends]
+
+
+def groups(raws: list[bytes], size: int) -> Iterator[tuple[int, int]]:
+    """Bounds of neighbours that have about size bytes together, one at least."""
+    at = 0
+    while at < len(raws):
+        upto, held = at, 0
+        while upto < len(raws) and (upto == at or held + len(raws[upto]) <= size):
+            held += len(raws[upto])
+            upto += 1
+        yield at, upto
+        at = upto
 
 
 def phrases(data: np.ndarray, bounds: np.ndarray, length: int, window: int) -> tuple[Digests, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,66 +154,110 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
 
-def parse(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """(context, phrase, doc, tie, first, more): the parse of every document of
-    keyed(), with positions in bytes from the document's start."""
+def parse(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
+    """(context, phrase, more_phrase, doc, tie, at): the parse of every document of
+    keyed(). at is 1024 * first start + number of further starts, in bytes from
+    the document's start; phrase and more_phrase are the halves of its digest.
+
+    A long text is parsed piece by piece: the next piece begins with the last
+    phrase of the one before, which may go on.
+    """
+    names = ["context", "phrase", "more_phrase", "doc", "tie", "at"]
+
+    def rows(doc: pa.Array, tie: pa.Array, raws: list[bytes], offset: int, more: bool) -> tuple[pa.RecordBatch, int]:
+        """The phrases of some texts, or of a piece without its last phrase, and where that starts."""
+        data, bounds = joined(raws)
+        dig, own, first, last, at = phrases(data, bounds, length, window)
+        rest = 0
+        if more:
+            rest = int(first[-1])
+            own, first, last, at = (x[:-1] for x in (own, first, last, at))
+        shape = (at - first).astype(np.uint64) * _MIX ^ (last - first).astype(np.uint64)
+        whole = [(dig(first, last + length, k) + shape).view(np.int64) for k in (0, 1)]
+        where = (first - bounds[own] + offset) << 10 | (last - first)
+        own = pa.array(own)
+        return pa.RecordBatch.from_arrays([pa.array(dig(at, at + (length - window + 1), 0).view(np.int64)), *map(pa.array, whole), doc.take(own), tie.take(own), pa.array(where)], names), rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, 4 << 20):
-            data, bounds = _joined(b.column("text").to_pylist())
-            dig, doc, first, last, at = phrases(data, bounds, length, window)
-            context = dig(at, at + (length - window + 1))
-            whole = dig(first, last + length) + (at - first).astype(np.uint64) * _MIX ^ (last - first).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(context.view(np.int64)), pa.array(whole.view(np.int64)), b.column("doc").take(pa.array(doc)), b.column("tie").take(pa.array(doc)), pa.array((first - bounds[doc])), pa.array((last - first).astype(np.int32))],
-                ["context", "phrase", "doc", "tie", "first", "more"],
-            )
+        for b in bounded(batches, PIECE):
+            raws = encoded(b.column("text").to_pylist())
+            for lo, hi in groups(raws, piece):
+                doc, tie = b.column("doc").slice(lo, hi - lo), b.column("tie").slice(lo, hi - lo)
+                at, raw = 0, raws[lo]
+                while hi == lo + 1 and len(raw) - at > 2 * piece:
+                    found, rest = rows(doc, tie, [raw[at : at + piece + length]], at, True)
+                    yield found
+                    at += rest
+                yield rows(doc, tie, [raw[at:]] if at else raws[lo:hi], at, False)[0]
 
-    return docs.select("doc", "tie", "text").where(F.octet_length("text") >= length).mapInArrow(run, "context long, phrase long, doc long, tie long, first long, more int")
+    return docs.select("doc", "tie", "text").where(F.octet_length("text") >= length).mapInArrow(run, "context long, phrase long, more_phrase long, doc long, tie long, at long")
 
 
-def strings_at(borders: DataFrame, docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(string, ref, once): the digest of every string that starts in a phrase of
-    borders(class, n, doc, tie, first, more); ref is 1024 * class + start in it,
-    and once tells if the phrase is met once."""
+def strings_at(borders: DataFrame, docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
+    """(string, more_string, ref): the digest of every string that starts in a phrase of
+    borders(class, n, doc, tie, at); ref is 2048 * class + 2 * start in it, and 1
+    more if the phrase is met once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, 4 << 20):
-            data, bounds = _joined(b.column("text").to_pylist())
-            dig = Digests(data)
+        for b in bounded(batches, PIECE):
+            raws = encoded(b.column("text").to_pylist())
             row, flat = _lists(b.column("at"))
-            ids, first, more, met = (flat.field(k).to_numpy() for k in ("class", "first", "more", "n"))
-            n = more.astype(np.int64) + 1
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = np.repeat(bounds[row] + first, n) + step
-            yield pa.RecordBatch.from_arrays([pa.array(dig(start, start + length).view(np.int64)), pa.array(np.repeat(ids * 1024, n) + step), pa.array(np.repeat(met == 1, n))], ["string", "ref", "once"])
+            edges = np.searchsorted(row, np.arange(len(raws) + 1))
+            ids, at, met = (flat.field(k).to_numpy() for k in ("class", "at", "n"))
+
+            def found(part: list[bytes], own: np.ndarray, start: np.ndarray, ref: np.ndarray) -> Iterator[pa.RecordBatch]:
+                data, bounds = joined(part)
+                dig, begin = Digests(data), bounds[own] + start
+                for k in range(0, len(begin), 1 << 16):
+                    x = begin[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(dig(x, x + length, h).view(np.int64)) for h in (0, 1)), pa.array(ref[k : k + (1 << 16)])], ["string", "more_string", "ref"])
+
+            for lo, hi in groups(raws, piece):
+                some = slice(edges[lo], edges[hi])
+                n = (at[some] & 1023) + 1
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                own, start = np.repeat(row[some] - lo, n), np.repeat(at[some] >> 10, n) + step
+                ref = np.repeat(ids[some] * 2048 + (met[some] == 1), n) + 2 * step
+                if hi > lo + 1 or len(raws[lo]) <= 2 * piece:
+                    yield from found(raws[lo:hi], own, start, ref)
+                    continue
+                for k in range(0, len(raws[lo]), piece):
+                    here = (start >= k) & (start < k + piece)
+                    if here.any():
+                        yield from found([raws[lo][k : k + piece + length]], own[here], start[here] - k, ref[here])
 
-    by_doc = borders.groupBy("doc", "tie").agg(F.collect_list(F.struct("class", "first", "more", "n")).alias("at"))
+    by_doc = borders.groupBy("doc", "tie").agg(F.collect_list(F.struct("class", "at", "n")).alias("at"))
     # the columns of the last join, so that the texts are shuffled once for both
-    return docs.join(by_doc, ["doc", "tie"]).select("doc_id", "text", "at").mapInArrow(run, "string long, ref long, once boolean")
+    return docs.join(by_doc, ["doc", "tie"]).select("doc_id", "text", "at").mapInArrow(run, "string long, more_string long, ref long")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """(doc, tie, first, more): starts first .. first + more of the strings of
-    length bytes that also start anywhere else."""
-    found = parse(docs, length, window)
+def repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
+    """(doc, tie, at): starts (first and number of more, as parse() packs them) of
+    the strings of length bytes that also start anywhere else.
+
+    The parse is made twice, since it is cheaper to hash the texts again than to
+    write its rows, of which there is one for some sixty bytes of text.
+    """
+    found = parse(docs, length, window, piece)
     # small beside the parse, and apart so that the join can split a hot context
     contexts = materialize(found.groupBy("context").count().where("count > 1").select("context"))
     met = materialize(found.join(contexts, "context"))
-    classes = met.groupBy("context", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "first", "more")).alias("one"))
-    classes = materialize(classes.select("context", "phrase", "n", "one.*").withColumn("class", F.monotonically_increasing_id()))
-    often = classes.where("n > 1").select("context", "phrase")
-    sure = met.join(often, ["context", "phrase"]).select("doc", "tie", "first", "more")
+    keys = ["context", "phrase", "more_phrase"]
+    classes = met.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "at")).alias("one"))
+    classes = materialize(classes.select(*keys, "n", "one.*").withColumn("class", F.monotonically_increasing_id()))
+    often = classes.where("n > 1").select(*keys)
+    sure = met.join(often, keys).select("doc", "tie", "at")
 
     # borders: phrases that share their context with others; of a repeated one
     # a member is enough, for those met once to find
     mixed = classes.groupBy("context").count().where("count > 1").select("context")
-    borders = materialize(classes.join(mixed, "context").drop("context", "phrase"))
-    strings = strings_at(borders, docs, length)
-    twice = strings.groupBy("string").agg(F.min("ref").alias("low"), F.max("ref").alias("high")).where("low <> high").select("string")
-    single = borders.where("n = 1").select("class", "doc", "tie", "first")
-    hit = strings.where("once").join(twice, "string").select(F.expr("ref div 1024").alias("class"), (F.col("ref") % 1024).alias("step"))
-    rest = hit.join(single, "class").select("doc", "tie", (F.col("first") + F.col("step")).alias("first"), F.lit(0).alias("more"))
+    borders = materialize(classes.join(mixed, "context").drop(*keys))
+    strings = strings_at(borders, docs, length, piece)
+    twice = strings.groupBy("string", "more_string").agg(F.min("ref").alias("low"), F.max("ref").alias("high"), F.max(F.col("ref") % 2).alias("once"))
+    twice = twice.where("low <> high and once = 1").select("string", "more_string")
+    single = borders.where("n = 1").select("class", "doc", "tie", "at")
+    hit = strings.where("ref % 2 = 1").join(twice, ["string", "more_string"]).select(F.expr("ref div 2048").alias("class"), F.expr("ref % 2048 div 2").alias("step"))
+    rest = hit.join(single, "class").select("doc", "tie", (F.expr("(at div 1024 + step) * 1024")).alias("at"))
     return sure.unionByName(rest)
 
 
@@ -195,46 +269,50 @@ def removed_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     return s[new], e[np.r_[np.flatnonzero(new)[1:], len(s)] - 1]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_bytes, n_removed,
     spans (array of removed byte ranges), n_spans, kept (the rest as binary).
 
     Null text counts as empty. Texts shorter than ``length`` bytes lose
     nothing. Rows equal in doc_id and text count as two documents.
     """
-    if not GRAM + window <= length or window > 1024:
-        raise ValueError("window + 8 may not exceed length, nor window 1024")
+    if not GRAM + window <= length or window > 1024 or piece < length + 2 * window:
+        raise ValueError("window + 8 may not exceed length, nor window 1024, and a piece holds length + 2 * window")
     docs = keyed(docs)
-    marks = repeats(docs, length, window).groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "more")).alias("at"))
+    marks = repeats(docs, length, window, piece).groupBy("doc", "tie").agg(F.collect_list("at").alias("at"))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches):
+        for b in bounded(batches, 1 << 20):
             row, flat = _lists(b.column("at"))
-            edges = np.searchsorted(row, np.arange(b.num_rows + 1))
-            first, more = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("first", "more"))
+            edges, at = np.searchsorted(row, np.arange(b.num_rows + 1)), flat.to_numpy(zero_copy_only=False)
             spans, removed, kept, size = [], [], [], []
-            for k, text in enumerate(b.column("text").to_pylist()):
-                raw = text.encode("utf-8", "surrogatepass")
+            for k, raw in enumerate(encoded(b.column("text").to_pylist())):
                 size.append(len(raw))
-                lo, hi = edges[k], edges[k + 1]
-                if lo == hi:
+                own = at[edges[k] : edges[k + 1]]
+                if not len(own):
                     spans.append([])
                     removed.append(0)
                     kept.append(raw)
                     continue
-                s, e = removed_spans(first[lo:hi], first[lo:hi] + more[lo:hi] + length)
+                first = own >> 10
+                s, e = removed_spans(first, first + (own & 1023) + length)
                 removed.append(int((e - s).sum()))
                 spans.append([{"start": int(x), "end": int(y)} for x, y in zip(s, e, strict=True)])
                 kept.append(b"".join(raw[x:y] for x, y in zip(np.r_[0, e], np.r_[s, len(raw)], strict=True)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "spans", "kept"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    joined = docs.join(marks, ["doc", "tie"], "left").select("doc_id", "text", "at")
-    out = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    joined_ = docs.join(marks, ["doc", "tie"], "left").select("doc_id", "text", "at")
+    out = joined_.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
     return out.withColumn("n_spans", F.size("spans").cast("long"))
 
 
 def op7(docs: DataFrame) -> DataFrame:
+    """What is left of every document without its repeated strings of 400 bytes.
+
+    Null counts as empty. Texts are read whole, in pieces, however long. Repeated
+    rows count each as a document, so both lose all that fills 400 bytes; rows
+    without doc_id are told apart by their texts. There are no ties: all copies
+    go. An empty table gives no rows; other columns aren't looked at.
+    """
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
