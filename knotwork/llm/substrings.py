@@ -17,17 +17,20 @@ the list of phrases by document. A start position repeats exactly if
   from the trigger. Only such phrases, at the borders of repeated passages,
   are resolved position by position.
 
-Suffix arrays order dictionary and parse to bring equal suffixes together.
-Since suffixes matter here up to ``length`` bytes only, digests of that many
-bytes bring the same suffixes together as the order would, by aggregations
-that combine before they shuffle; there is no global sort, no array that one
-machine must hold, and a phrase that occurs in a third of all documents is one
-row of each task.
+The suffixes of the dictionary's border phrases are put in order, context by
+context, by their bytes: a suffix array, in which a string repeats if it has
+``length`` bytes in common with its neighbour. Phrases of different contexts
+have no string in common, so these arrays together are the order of all of
+them, and no machine holds more than one context of at most ``GROUP`` phrases.
+The phrases of larger contexts (passages that thousands of texts quote, each in
+other words) have the digest of each string instead, which are brought together
+by aggregations that combine before they shuffle. Whole phrases are told by
+digests, too, of 96 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,8 +43,8 @@ from .common import bounded, materialize
 LENGTH, WINDOW, GRAM = 400, 128, 8
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-#: Bytes of text that are looked at together.
-PIECE = 1 << 19
+#: Bytes of text that are looked at together, and border phrases of a context whose suffixes are put in order.
+PIECE, GROUP = 1 << 19, 256
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -61,7 +64,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Digests:
-    """128-bit digests of any substring of a buffer, each in constant time.
+    """96-bit digests of any substring of a buffer, each in constant time.
 
     Two sums over mixed 8-byte grams times powers of odd bases, modulo 2^64.
     Buffers have no more than a piece and its overlap.
@@ -89,7 +92,8 @@ class Digests:
             self.sums.append(sums)
 
     def __call__(self, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-        """One half of the digests of data[start:end], at least GRAM bytes each."""
+        """The first 64 bits of the digests of data[start:end], at least GRAM bytes
+        each, or 64 bits of which upper() takes the other 32."""
         sums = self.sums[which]
         out = (sums[end - GRAM + 1] - sums[start]) * self.down[which][start]
         out ^= out >> np.uint64(31)
@@ -97,6 +101,10 @@ class Digests:
         return out ^ out >> np.uint64(33)
 
 
+def upper(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def encoded(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
@@ -157,7 +165,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def parse(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
     """(context, phrase, more_phrase, doc, tie, at): the parse of every document of
     keyed(). at is 1024 * first start + number of further starts, in bytes from
-    the document's start; phrase and more_phrase are the halves of its digest.
+    the document's start; phrase and more_phrase are its digest.
 
     A long text is parsed piece by piece: the next piece begins with the last
     phrase of the one before, which may go on.
@@ -173,7 +181,7 @@ def parse(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, piece: in
             rest = int(first[-1])
             own, first, last, at = (x[:-1] for x in (own, first, last, at))
         shape = (at - first).astype(np.uint64) * _MIX ^ (last - first).astype(np.uint64)
-        whole = [(dig(first, last + length, k) + shape).view(np.int64) for k in (0, 1)]
+        whole = [(dig(first, last + length, 0) + shape).view(np.int64), upper(dig(first, last + length, 1) + shape)]
         where = (first - bounds[own] + offset) << 10 | (last - first)
         own = pa.array(own)
         return pa.RecordBatch.from_arrays([pa.array(dig(at, at + (length - window + 1), 0).view(np.int64)), *map(pa.array, whole), doc.take(own), tie.take(own), pa.array(where)], names), rest
@@ -190,48 +198,124 @@ def parse(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, piece: in
                     at += rest
                 yield rows(doc, tie, [raw[at:]] if at else raws[lo:hi], at, False)[0]
 
-    return docs.select("doc", "tie", "text").where(F.octet_length("text") >= length).mapInArrow(run, "context long, phrase long, more_phrase long, doc long, tie long, at long")
+    return docs.select("doc", "tie", "text").where(F.octet_length("text") >= length).mapInArrow(run, "context long, phrase long, more_phrase int, doc long, tie long, at long")
 
 
-def strings_at(borders: DataFrame, docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
-    """(string, more_string, ref): the digest of every string that starts in a phrase of
-    borders(class, n, doc, tie, at); ref is 2048 * class + 2 * start in it, and 1
-    more if the phrase is met once."""
+def _picked(by_doc: DataFrame, docs: DataFrame, found: Callable, schema: str, piece: int) -> DataFrame:
+    """What found(texts, owner of each pick, its start, the picks) gives for the texts of
+    docs with picks by_doc(doc, tie, at). Texts are handed out in groups, a long one
+    by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, PIECE):
             raws = encoded(b.column("text").to_pylist())
             row, flat = _lists(b.column("at"))
             edges = np.searchsorted(row, np.arange(len(raws) + 1))
-            ids, at, met = (flat.field(k).to_numpy() for k in ("class", "at", "n"))
+            for lo, hi in groups(raws, piece):
+                some = slice(int(edges[lo]), int(edges[hi]))
+                yield from found(raws[lo:hi], row[some] - lo, flat.slice(some.start, some.stop - some.start), b.column("doc").slice(lo, hi - lo), b.column("tie").slice(lo, hi - lo))
 
-            def found(part: list[bytes], own: np.ndarray, start: np.ndarray, ref: np.ndarray) -> Iterator[pa.RecordBatch]:
-                data, bounds = joined(part)
-                dig, begin = Digests(data), bounds[own] + start
-                for k in range(0, len(begin), 1 << 16):
-                    x = begin[k : k + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(dig(x, x + length, h).view(np.int64)) for h in (0, 1)), pa.array(ref[k : k + (1 << 16)])], ["string", "more_string", "ref"])
+    # the columns of the last join, so that the texts are shuffled once for all
+    return docs.join(by_doc, ["doc", "tie"]).select("doc", "tie", "doc_id", "text", "at").mapInArrow(run, schema)
 
-            for lo, hi in groups(raws, piece):
-                some = slice(edges[lo], edges[hi])
-                n = (at[some] & 1023) + 1
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                own, start = np.repeat(row[some] - lo, n), np.repeat(at[some] >> 10, n) + step
-                ref = np.repeat(ids[some] * 2048 + (met[some] == 1), n) + 2 * step
-                if hi > lo + 1 or len(raws[lo]) <= 2 * piece:
-                    yield from found(raws[lo:hi], own, start, ref)
-                    continue
-                for k in range(0, len(raws[lo]), piece):
-                    here = (start >= k) & (start < k + piece)
-                    if here.any():
-                        yield from found([raws[lo][k : k + piece + length]], own[here], start[here] - k, ref[here])
+
+def strings_at(borders: DataFrame, docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
+    """(string, more_string, ref): the digest of every string that starts in a phrase of
+    borders(class, n, doc, tie, at); ref is 2048 * class + 2 * start in it, and 1
+    more if the phrase is met once."""
+
+    def digests(part: list[bytes], own: np.ndarray, start: np.ndarray, ref: np.ndarray) -> Iterator[pa.RecordBatch]:
+        data, bounds = joined(part)
+        dig, begin = Digests(data), bounds[own] + start
+        for k in range(0, len(begin), 1 << 16):
+            x = begin[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(dig(x, x + length, 0).view(np.int64)), pa.array(upper(dig(x, x + length, 1))), pa.array(ref[k : k + (1 << 16)])], ["string", "more_string", "ref"])
+
+    def found(raws: list[bytes], row: np.ndarray, picks: pa.StructArray, doc: pa.Array, tie: pa.Array) -> Iterator[pa.RecordBatch]:
+        ids, at, met = (picks.field(k).to_numpy() for k in ("class", "at", "n"))
+        n = (at & 1023) + 1
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        own, start, ref = np.repeat(row, n), np.repeat(at >> 10, n) + step, np.repeat(ids * 2048 + (met == 1), n) + 2 * step
+        if len(raws) > 1 or len(raws[0]) <= 2 * piece:
+            yield from digests(raws, own, start, ref)
+            return
+        for k in range(0, len(raws[0]), piece):
+            here = (start >= k) & (start < k + piece)
+            if here.any():
+                yield from digests([raws[0][k : k + piece + length]], own[here], start[here] - k, ref[here])
 
     by_doc = borders.groupBy("doc", "tie").agg(F.collect_list(F.struct("class", "at", "n")).alias("at"))
-    # the columns of the last join, so that the texts are shuffled once for both
-    return docs.join(by_doc, ["doc", "tie"]).select("doc_id", "text", "at").mapInArrow(run, "string long, more_string long, ref long")
+    return _picked(by_doc, docs, found, "string long, more_string int, ref long", piece)
+
+
+def repeated_starts(contents: list[bytes], starts: list[int], length: int) -> np.ndarray:
+    """Which of the first starts[k] positions of each content begin a string of
+    length bytes that begins at another of all these positions, too: all suffixes,
+    as far as length bytes, in order, and compared with their neighbours."""
+    rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(c, dtype=np.uint8), length)[:n] for c, n in zip(contents, starts, strict=True)])
+    suffix = rows.view(np.dtype((np.void, length))).ravel()
+    order = np.argsort(suffix, kind="stable")
+    equal = np.empty(len(order) + 1, dtype=bool)
+    equal[0] = equal[-1] = False
+    for k in range(0, len(order) - 1, 1 << 14):
+        upto = min(len(order) - 1, k + (1 << 14))
+        equal[k + 1 : upto + 1] = (rows[order[k + 1 : upto + 1]] == rows[order[k:upto]]).all(axis=1)
+    out = np.empty(len(order), dtype=bool)
+    out[order] = equal[1:] | equal[:-1]
+    return out
+
+
+def resolved(borders: DataFrame, docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
+    """(doc, tie, at): starts in phrases met once of borders(context, n, doc, tie, at) of
+    strings that another phrase of the context has, or the phrase itself elsewhere."""
+    names = ["context", "doc", "tie", "at", "once", "content"]
+
+    def cut(raws: list[bytes], row: np.ndarray, picks: pa.StructArray, doc: pa.Array, tie: pa.Array) -> Iterator[pa.RecordBatch]:
+        at = picks.field("at").to_numpy()
+        for k in range(0, len(at), 1024):
+            some = slice(k, k + 1024)
+            content = [raws[r][x >> 10 : (x >> 10) + (x & 1023) + length] for r, x in zip(row[some].tolist(), at[some].tolist(), strict=True)]
+            own = pa.array(row[some])
+            yield pa.RecordBatch.from_arrays([picks.field("context").slice(k, 1024), doc.take(own), tie.take(own), pa.array(at[some]), pa.array(picks.field("n").to_numpy()[some] == 1), pa.array(content, pa.binary())], names)
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[list[int]] = [[], [], []]
+
+        def done() -> None:
+            starts = [(r[3] & 1023) + 1 for r in held]
+            repeat, at = repeated_starts([r[5] for r in held], starts, length), 0
+            for (_, doc, tie, first, once, _), n in zip(held, starts, strict=True):
+                if once:
+                    for step in np.flatnonzero(repeat[at : at + n]).tolist():
+                        out[0].append(doc)
+                        out[1].append(tie)
+                        out[2].append(((first >> 10) + step) << 10)
+                at += n
+            held.clear()
+
+        def written() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc", "tie", "at"])
+            for x in out:
+                x.clear()
+            return batch
+
+        for b in bounded(batches, PIECE):
+            for r in zip(*(b.column(k).to_pylist() for k in names), strict=True):
+                if held and held[0][0] != r[0]:
+                    done()
+                held.append(r)
+            yield written()
+        if held:
+            done()
+        yield written()
+
+    by_doc = borders.groupBy("doc", "tie").agg(F.collect_list(F.struct("context", "at", "n")).alias("at"))
+    contents = _picked(by_doc, docs, cut, "context long, doc long, tie long, at long, once boolean, content binary", piece)
+    return contents.repartition("context").sortWithinPartitions("context").mapInArrow(order, "doc long, tie long, at long")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, piece: int = PIECE, group: int = GROUP) -> DataFrame:
     """(doc, tie, at): starts (first and number of more, as parse() packs them) of
     the strings of length bytes that also start anywhere else.
 
@@ -246,19 +330,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, piece:
     classes = met.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "at")).alias("one"))
     classes = materialize(classes.select(*keys, "n", "one.*").withColumn("class", F.monotonically_increasing_id()))
     often = classes.where("n > 1").select(*keys)
-    sure = met.join(often, keys).select("doc", "tie", "at")
+    out = met.join(often, keys).select("doc", "tie", "at")
 
     # borders: phrases that share their context with others; of a repeated one
     # a member is enough, for those met once to find
-    mixed = classes.groupBy("context").count().where("count > 1").select("context")
-    borders = materialize(classes.join(mixed, "context").drop(*keys))
-    strings = strings_at(borders, docs, length, piece)
-    twice = strings.groupBy("string", "more_string").agg(F.min("ref").alias("low"), F.max("ref").alias("high"), F.max(F.col("ref") % 2).alias("once"))
-    twice = twice.where("low <> high and once = 1").select("string", "more_string")
-    single = borders.where("n = 1").select("class", "doc", "tie", "at")
+    mixed = classes.groupBy("context").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1")
+    borders = materialize(classes.join(mixed.select("context", "size"), "context").drop("phrase", "more_phrase"))
+    out = out.unionByName(resolved(borders.where(F.col("size") <= group), docs, length, piece))
+    large = borders.where(F.col("size") > group)
+    if large.isEmpty():
+        return out
+    strings = strings_at(large, docs, length, piece)
+    twice = strings.groupBy("string", "more_string").agg(F.min("ref").alias("low"), F.max("ref").alias("high")).where("low <> high").select("string", "more_string")
     hit = strings.where("ref % 2 = 1").join(twice, ["string", "more_string"]).select(F.expr("ref div 2048").alias("class"), F.expr("ref % 2048 div 2").alias("step"))
-    rest = hit.join(single, "class").select("doc", "tie", (F.expr("(at div 1024 + step) * 1024")).alias("at"))
-    return sure.unionByName(rest)
+    single = large.where("n = 1").select("class", "doc", "tie", "at")
+    return out.unionByName(hit.join(single, "class").select("doc", "tie", (F.expr("(at div 1024 + step) * 1024")).alias("at")))
 
 
 def removed_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +355,7 @@ def removed_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     return s[new], e[np.r_[np.flatnonzero(new)[1:], len(s)] - 1]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, piece: int = PIECE, group: int = GROUP) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_bytes, n_removed,
     spans (array of removed byte ranges), n_spans, kept (the rest as binary).
 
@@ -279,7 +365,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     if not GRAM + window <= length or window > 1024 or piece < length + 2 * window:
         raise ValueError("window + 8 may not exceed length, nor window 1024, and a piece holds length + 2 * window")
     docs = keyed(docs)
-    marks = repeats(docs, length, window, piece).groupBy("doc", "tie").agg(F.collect_list("at").alias("at"))
+    marks = repeats(docs, length, window, piece, group).groupBy("doc", "tie").agg(F.collect_list("at").alias("at"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
