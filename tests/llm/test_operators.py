@@ -105,7 +105,7 @@ def test_substrings_in_pieces(spark):
     pool = ["".join(random.choice("abé ") for _ in range(random.randrange(30, 200))) for _ in range(12)]
     texts = ["".join(random.choice(pool) for _ in range(random.randrange(1, 30))) + str(k) for k in range(20)] + ["x" * 2500, "ab" * 900]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for piece, group in ((200, 256), (700, 3)):  # and suffixes in order, or digests where a context has many phrases
+    for piece, group in ((200, 1 << 17), (700, 40)):  # and suffixes in order, or digests where a context has many
         got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in substrings.remove_repeats(d, 64, 24, piece, group).collect()}
         assert [got[k] for k in range(len(texts))] == removal(texts, 64)
 
