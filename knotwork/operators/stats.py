@@ -99,13 +99,14 @@ def geomean(value: Column) -> Column:
 
 
 # concentration of work(i, x)
-def _skew(work: DataFrame, x: str, heads: tuple[float, ...], masses: tuple[float, ...]) -> DataFrame:
-    """One row: n, total, max, mean, nonzero, crossover, row_frac, mass_frac, gini, and
-    arrays share (mass of the largest rows, by heads) and rows (share of rows
+def _skew(work: DataFrame, x: str, heads: tuple[float, ...], masses: tuple[float, ...], held: bool = False) -> DataFrame:
+    """One row: n, total, max, mean, nonzero, crossover, row_frac, gini, mass_frac (of the
+    crossover's rows, if held), and arrays share (mass of the largest rows, by heads) and rows (share of rows
     for a mass, by masses). Computed on the histogram of x, in ranges of it."""
     hist = work.groupBy(F.col(x).alias("x")).agg(F.count("*").alias("n"))
     h = magnitude_scan(hist, "x", True, rows_before=F.col("n"), sum_before=F.col("x") * F.col("n"))
-    s = work.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(x), F.lit(0)).alias("total"), F.max(x).alias("largest"), F.count_if(F.col(x) > 0).alias("nonzero"))
+    # from the histogram as well, so that work is looked at once
+    s = hist.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("x") * F.col("n")), F.lit(0)).alias("total"), F.max("x").alias("largest"), F.coalesce(F.sum(F.when(F.col("x") > 0, F.col("n")).otherwise(0)), F.lit(0)).alias("nonzero"))
     h = h.join(F.broadcast(s))
 
     def prefixes(limit: Column, strict: bool) -> Column:
@@ -136,6 +137,8 @@ def _skew(work: DataFrame, x: str, heads: tuple[float, ...], masses: tuple[float
         F.when(some, F.transform("parts", lambda p: F.least(p + 1, F.col("n_rows")) / F.col("n_rows"))).otherwise(F.array(*(F.lit(0.0) for _ in masses))).alias("rows"),
         F.when(some, 2 * F.col("weighted") / (F.col("n_rows") * F.col("total")) - (F.col("n_rows") + 1) / F.col("n_rows")).otherwise(0.0).alias("gini"),
     )
+    if not held:
+        return got
     # what the crossover's rows hold
     return got.join(F.broadcast(h.join(F.broadcast(got.select("crossover"))).agg(first_rows(F.col("crossover")).alias("_held")))).withColumn("mass_frac", F.when(F.col("crossover").isNotNull(), F.col("_held") / F.col("total"))).drop("_held")
 
@@ -164,7 +167,7 @@ def analyse(work: DataFrame, x: str = "flop", threads: int = 64, heads: tuple[fl
     there is nothing) with its shares of rows and mass, top{f}pct_share for each
     head, rows_for_{m}pct for each mass, the bound by threads, and the power
     law's alpha, alpha_xmin, alpha_ks and alpha_ntail (null without a fit)."""
-    got = _skew(work, x, heads, (*masses, 1.0 / threads))
+    got = _skew(work, x, heads, (*masses, 1.0 / threads), held=True)
     some = F.col("total") > 0
     fit = powerlaw_fit(work, x) or {}
     zero = lambda c: F.coalesce(c, F.lit(0.0))
