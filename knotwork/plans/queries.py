@@ -5,6 +5,10 @@ order). All take their whole tables."""
 
 from __future__ import annotations
 
+import atexit
+import glob
+import os
+import shutil
 import uuid
 from collections.abc import Callable
 
@@ -82,8 +86,16 @@ def papers(s: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(s: SparkSession) -> str:
-    """A new path in the shared folder, as the system's files see it."""
-    return f"{shared_folder(s).removeprefix('file://')}/round-trip-{uuid.uuid4().hex}"
+    """A new path in the shared folder, as the system's files see it. What lies there
+    is read when the result is, so it goes when the driver ends."""
+    path = f"{shared_folder(s).removeprefix('file://')}/round-trip-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        for x in glob.glob(f"{path}*"):
+            shutil.rmtree(x) if os.path.isdir(x) else os.remove(x)
+
+    atexit.register(remove)
+    return path
 
 
 _SP = "sp AS (SELECT l_suppkey AS i, l_partkey AS j, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"

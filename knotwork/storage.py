@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        if not named:
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(named or folder)
     return named or sc.getCheckpointDir()
 
 

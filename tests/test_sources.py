@@ -257,3 +257,12 @@ def test_stream_of_pairs(spark, tmp_path):
     q.awaitTermination()
     got = {(r["i"], r["j"]): r["v"] for r in spark.read.parquet(out).where("i < 9").groupBy("i", "j").agg({"v": "sum"}).withColumnRenamed("sum(v)", "v").collect()}
     assert got == {(1, 1): 4, (1, 2): 2, (2, 2): 2, (3, 3): 1, (2, 3): 1}
+
+
+def test_samples(spark):
+    df = spark.createDataFrame([(u % 30, u) for u in range(200)], "user long, x long")
+    got = T.sample_uniform(df, "user", 7)
+    assert got.select("user").distinct().count() == 7 and sorted(map(tuple, got.collect())) == sorted(map(tuple, T.sample_uniform(df.repartition(5), "user", 7).collect()))
+    users = {r[0] for r in got.collect()}
+    assert got.count() == sum(u % 30 in users for u in range(200))
+    assert {r[0] for r in T.sample_top(df, "user", 3).collect()} == {0, 1, 2}
