@@ -709,3 +709,27 @@ def test_sentence_kernel_by_definition():
     for s, v in zip(own, value, strict=True):
         assert v == pytest.approx(m.bias + sum(c * weight.get(g, 0.0) for word in s for g, c in phi(word).items()), abs=1e-5)
     assert (next(m.decisions([" ".join(s) for s in bad], {}))[1] > 0).all() and value[0] > 0 > value[1]
+
+
+def test_pipeline_on_odd_rows_and_the_empty_table(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    for k, docs in enumerate((clashing(odd), empty)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            out = f"{tmp_path}/{k}-{name}"
+            stage(spark, docs, "/root/testdata/sf0.001").write.parquet(out)
+            docs = spark.read.parquet(out)
+            assert name == "token_packs" or docs.columns == columns
+            assert not (k and docs.count())
+        if not k:
+            kept = [d for r in docs.collect() for d in r["doc_ids"]]
+            # null, empty, blank and letterless texts go, and the copies of 6
+            assert kept and not {1, 2, 3, 4, 7} & set(kept)
+
+
+def test_labels_given_twice_or_missing(spark, docs):
+    """Of several labels of a document the largest counts; null ids and labels are ignored."""
+    labels = spark.createDataFrame([(k, 0) for k in range(40)] + [(3, 1), (3, 1), (5, None), (None, 1), (9, 1)], "doc_id long, toxic int")
+    r = toxicity.op8(docs, labels).collect()
+    assert len(r) == docs.count() and all(0 <= x["score"] <= 1 for x in r)
