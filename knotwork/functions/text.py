@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.layout import global_rank
+from ..matrix import SparseMatrix
+from ..operators.layout import global_rank, remap_dense
 from ..storage import materialize
 
 #: English words left out of vocabularies.
@@ -59,7 +60,15 @@ def sample_uniform(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame
     return df.join(keys, key, "left_semi")
 
 
-def sample_top(df: DataFrame, key: str, n: int) -> DataFrame:
-    """Rows of the n keys with the most rows, ties to the smaller key."""
-    keys = df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(n).select(key)
+def sample_top(df: DataFrame, key: str, n: int, line: str | None = None) -> DataFrame:
+    """Rows of the n keys with the most rows, ties to the smaller key, or to the one
+    that appears first by line."""
+    tie = F.min(line) if line else F.first(F.col(key))
+    keys = df.groupBy(key).agg(F.count("*").alias("_n"), tie.alias("_tie")).orderBy(F.desc("_n"), "_tie", key).limit(n).select(key)
     return df.join(keys, key, "left_semi")
+
+
+def dense_sample(df: DataFrame, user: str, item: str) -> SparseMatrix:
+    """A sample as a matrix: users and items renumbered in ascending order."""
+    dense = remap_dense(df.select(user, item).distinct(), user, item)
+    return SparseMatrix.of(dense, user, item)

@@ -114,6 +114,14 @@ class SparseMatrix:
     def from_csr(csr: DataFrame, n_rows: int, n_cols: int) -> SparseMatrix:
         return SparseMatrix(csr.select("i", F.inline("entries")), n_rows, n_cols)
 
+    def to_csc(self) -> DataFrame:
+        """(j, entries): the entries (i, v) of each non-empty column by row."""
+        return self.df.groupBy("j").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("entries"))
+
+    @staticmethod
+    def from_csc(csc: DataFrame, n_rows: int, n_cols: int) -> SparseMatrix:
+        return SparseMatrix(csc.select("j", F.inline("entries")).select("i", "j", "v"), n_rows, n_cols)
+
     def shuffle_ids(self, seed: int = 0) -> DataFrame:
         """The row view with each row's entries in random order (by hash, so reruns agree)."""
         key = F.xxhash64("i", "j", F.lit(seed))
@@ -177,6 +185,17 @@ def dense_ids(df: DataFrame, column: str) -> DataFrame:
     return global_rank(df.select(column).where(F.col(column).isNotNull()).distinct(), [F.col(column)], "rank")
 
 
+def intersect(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """The values that both frames have, each once, in ascending order."""
+    return a.select(column).distinct().join(b.select(column), column, "left_semi").orderBy(column)
+
+
+def keep_mask(df: DataFrame, column: str, keep: DataFrame) -> DataFrame:
+    """df with kept: whether the column's value is among those of keep(column)."""
+    mark = keep.select(column).distinct().withColumn("kept", F.lit(True))
+    return df.join(mark, column, "left").fillna(False, ["kept"])
+
+
 def same(a: DataFrame, b: DataFrame, eps: float = 1e-3) -> DataFrame:
     """Places in which two coordinate DataFrames differ by more than eps,
     absolutely and relatively."""

@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import matrix as M
 from ..functions import text as T
 from ..matrix import Extent, SparseMatrix, larger
 from ..operators import graph as G
@@ -221,6 +222,10 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "merge_duplicates": (lambda s, d: SparseMatrix.of(_t(s, d, "lineitem"), "l_suppkey", "l_partkey", "l_quantity").merge_duplicates(F.max).df, "SELECT l_suppkey AS i, l_partkey AS j, MAX(l_quantity) AS v FROM lineitem GROUP BY 1, 2"),
         "csr_view_rowptr": (lambda s, d: sp(s, d).row_pointers(), f"WITH {_SP}, {_ROWS}, n AS (SELECT r.i, COUNT(sp.i) AS n FROM r LEFT JOIN sp USING (i) GROUP BY r.i) SELECT i, CAST(COALESCE(SUM(n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS row_ptr FROM n"),
         "csr_round_trip": (lambda s, d: (lambda a: SparseMatrix.from_csr(a.to_csr(), a.n_rows, a.n_cols).df)(sp(s, d)), f"WITH {_SP} SELECT i, j, v FROM sp"),
+        "csc_round_trip": (lambda s, d: (lambda a: SparseMatrix.from_csc(a.to_csc(), a.n_rows, a.n_cols).df)(sp(s, d)), f"WITH {_SP} SELECT i, j, v FROM sp"),
+        "intersect_ids": (lambda s, d: M.intersect(_t(s, d, "orders").selectExpr("o_custkey AS id"), _t(s, d, "lineitem").selectExpr("l_suppkey * 2 AS id"), "id"), "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey IN (SELECT l_suppkey * 2 FROM lineitem)"),
+        "keep_mask": (lambda s, d: M.keep_mask(sp(s, d).df, "j", s.range(0, 1000, 3).toDF("j")).groupBy("i", "kept").agg(F.count("*").alias("n")), f"WITH {_SP} SELECT i, j % 3 = 0 AND j < 1000 AS kept, COUNT(*) AS n FROM sp GROUP BY 1, 2"),
+        "dense_sample": (lambda s, d: T.dense_sample(T.sample_top(_t(s, d, "events"), "user_id", 20, "event_id"), "user_id", "event_type").df, "WITH u AS (SELECT user_id FROM events GROUP BY user_id ORDER BY COUNT(*) DESC, MIN(event_id), user_id LIMIT 20), e AS (SELECT DISTINCT user_id, event_type FROM events WHERE user_id IN (SELECT user_id FROM u)) SELECT dense_rank() OVER (ORDER BY user_id) - 1 AS i, dense_rank() OVER (ORDER BY event_type) - 1 AS j, CAST(1 AS DOUBLE) AS v FROM e"),
         "spref": (lambda s, d: sp(s, d).ref(s.range(0, 1000, 3), s.range(0, 1000, 7)).df, f"WITH {_SP} SELECT i // 3 AS i, j // 7 AS j, v FROM sp WHERE i % 3 = 0 AND j % 7 = 0 AND i < 1000 AND j < 1000"),
         "spref_keep_ids": (lambda s, d: sp(s, d).ref(s.range(0, 1000, 3), None, "none").df, f"WITH {_SP} SELECT i, j, v FROM sp WHERE i % 3 = 0 AND i < 1000"),
         "row_split": (lambda s, d: sp(s, d).split_rows(7).groupBy("part").agg(F.count("*").alias("nnz")), f"WITH {_SP}, m AS (SELECT CAST(ceil((max(i) + 1) / 7.0) AS BIGINT) AS per FROM sp) SELECT i // per AS part, COUNT(*) AS nnz FROM sp, m GROUP BY 1"),
