@@ -21,7 +21,7 @@ The suffixes of the dictionary's border phrases are put in order, context by
 context, by their bytes: a suffix array, in which a string repeats if it has
 ``length`` bytes in common with its neighbour. Phrases of different contexts
 have no string in common, so these arrays together are the order of all of
-them, and no machine holds more than one context of at most ``GROUP`` phrases.
+them, and no task holds more than one context of at most ``GROUP`` suffixes.
 The phrases of larger contexts (passages that thousands of texts quote, each in
 other words) have the digest of each string instead, which are brought together
 by aggregations that combine before they shuffle. Whole phrases are told by
@@ -43,8 +43,8 @@ from .common import bounded, materialize
 LENGTH, WINDOW, GRAM = 400, 128, 8
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-#: Bytes of text that are looked at together, and border phrases of a context whose suffixes are put in order.
-PIECE, GROUP = 1 << 19, 256
+#: Bytes of text that are looked at together, and most suffixes of a context that one task puts in order (52 MB at 400 bytes each).
+PIECE, GROUP = 1 << 19, 1 << 17
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -334,7 +334,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, piece:
 
     # borders: phrases that share their context with others; of a repeated one
     # a member is enough, for those met once to find
-    mixed = classes.groupBy("context").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1")
+    mixed = classes.groupBy("context").agg(F.count("*").alias("phrases"), F.min("n").alias("least"), F.sum(F.col("at") % 1024 + 1).alias("size")).where("phrases > 1 and least = 1")
     borders = materialize(classes.join(mixed.select("context", "size"), "context").drop("phrase", "more_phrase"))
     out = out.unionByName(resolved(borders.where(F.col("size") <= group), docs, length, piece))
     large = borders.where(F.col("size") > group)
