@@ -271,29 +271,42 @@ def extract(source: str, winner: int | None, template: frozenset[int] | None) ->
     return "\n".join(b for node in own for b in blocks(node))
 
 
-def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, winner, pages): the path with the most votes of a host's pages, ties
-    to the smaller digest. Votes are added up before they are shuffled."""
+def host_votes(pages: DataFrame) -> DataFrame:
+    """(host, kind, path, n): the votes for each container's path, the number of pages
+    that have a suspect of a path, and the number of all pages. Added up before
+    they are shuffled."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, 1 << 20):
-            votes: dict[tuple[str, int], float] = {}
-            count: dict[str, int] = {}
+            found: dict[tuple[str, str, int | None], float] = {}
             for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                best: dict[int, float] = {}
-                for node, s in containers(parse(source)):
+                root, best = parse(source), {}
+                for node, s in containers(root):
                     best[node.path] = max(best.get(node.path, 0.0), s)
                 total = sum(best.values())
-                for path, s in best.items():
-                    votes[host, path] = votes.get((host, path), 0.0) + s / total
-                count[host] = count.get(host, 0) + 1
-            keys = [*votes, *((h, None) for h in count)]
-            values = [*(int(v * 1e6) for v in votes.values()), *count.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.int64()), pa.array(values, pa.int64())], ["host", "path", "votes"])
+                marks = [(("vote", path), s / total * 1e6) for path, s in best.items()]
+                marks += [(("suspect", path), 1) for path in {node.path for node, _ in ordered(root) if node.suspect}]
+                for (kind, path), n in [*marks, (("pages", None), 1)]:
+                    found[host, kind, path] = found.get((host, kind, path), 0) + n
+            columns = [*zip(*found, strict=True), map(int, found.values())] if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "kind", "path", "n"])
+
+    return pages.select("host", "html").mapInArrow(vote, "host string, kind string, path long, n long").groupBy("host", "kind", "path").agg(F.sum("n").alias("n"))
 
-    votes = pages.select("host", "html").mapInArrow(vote, "host string, path long, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    one = F.min_by("path", F.when(F.col("path").isNotNull(), F.struct(-F.col("votes"), "path")))
-    return votes.groupBy("host").agg(one.alias("winner"), F.max(F.when(F.col("path").isNull(), F.col("votes"))).alias("pages"))
+
+def host_paths(pages: DataFrame) -> DataFrame:
+    """(host, winner, pages, template): the path with the most votes of a host's
+    pages, ties to the smaller digest; and the paths of suspects on more than half
+    of its pages, no more than twice what a page has on average, null where it
+    has a single page."""
+    votes = materialize(host_votes(pages))
+    # a vote that rounds to nothing still is one
+    one = F.min_by("path", F.when(F.col("kind") == "vote", F.struct(-F.col("n"), "path")))
+    hosts = votes.where("kind <> 'suspect'").groupBy("host").agg(one.alias("winner"), F.max(F.when(F.col("kind") == "pages", F.col("n"))).alias("pages"))
+    often = votes.where("kind = 'suspect'").join(hosts.select("host", "pages"), "host").where(F.col("n") > TEMPLATE * F.col("pages"))
+    often = often.groupBy("host").agg(F.collect_list("path").alias("template"))
+    template = F.when(F.col("pages") > 1, F.coalesce("template", F.array().cast("array<long>")))
+    return hosts.join(often, "host", "left").select("host", "winner", "pages", template.alias("template"))
 
 
 def beside_host(pages: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -308,27 +321,6 @@ def beside_host(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return marked.where("often").drop("often").join(F.broadcast(often), "host", "left").unionByName(rest)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, template) of pages(host, html, winner, pages): paths of suspects on
-    more than half of a host's pages, null where it has a single page. Paths are
-    counted before they are shuffled, and no more of them are kept for a host
-    than twice what a page has on average."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, 1 << 20):
-            seen: dict[tuple[str, int], int] = {}
-            for host, source, winner in zip(*(b.column(k).to_pylist() for k in ("host", "html", "winner")), strict=True):
-                for path in {node.path for node in suspects(chosen(parse(source), winner))}:
-                    seen[host, path] = seen.get((host, path), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([p for _, p in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "path", "n"])
-
-    # without a word of furniture in the page there is no suspect to parse for
-    words = "|".join(sorted(SUSPECT | CLEAR))
-    some = pages.where(F.col("pages") > 1).where(F.col("html").rlike(rf"(?i)(?:class|id)\s*=[^>]*?(?:{words})"))
-    found = some.select("host", "html", "winner").mapInArrow(count, "host string, path long, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
-    return found
-
-
 def main_text(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) with text and n_chars, one row per row.
 
@@ -338,10 +330,6 @@ def main_text(pages: DataFrame) -> DataFrame:
     host, _ = split_url(F.col("url").cast("string"))
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     hosts = materialize(host_paths(pages))
-    marked = beside_host(pages, hosts)
-    found = templates(marked).join(hosts.select("host", "pages"), "host").where(F.col("n") > TEMPLATE * F.col("pages"))
-    found = found.groupBy("host").agg(F.collect_list("path").alias("template"))
-    hosts = materialize(hosts.join(found, "host", "left").select("host", "winner", "pages", F.when(F.col("pages") > 1, F.coalesce("template", F.array().cast("array<long>"))).alias("template")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, 1 << 20):
