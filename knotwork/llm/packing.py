@@ -125,20 +125,29 @@ def best_fit_decreasing(sizes: np.ndarray, length: int) -> list[list[int]]:
     return rows
 
 
-def pack(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, vocabulary: str | None = None) -> DataFrame:
+def _binary(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Little-endian 32-bit integers, cut at bounds, as a binary column."""
+    raw = np.ascontiguousarray(flat, dtype="<i4")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((4 * bounds.astype(np.int64)).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+def pack(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, vocabulary: str | None = None, binary: bool = False) -> DataFrame:
     """Packed rows of docs(doc_id, text): pack_id, doc_ids and segments (which
     segment of its document) in row order, ids, cumulative lengths (from 0 to
     the number of ids), positions.
 
     Each document is its ids and an end id; a null or empty text is the end id
     alone. A document longer than ``length`` is split into segments, all full
-    but the last. pack_id is unique and depends on how the input is split.
+    but the last. pack_id is unique and depends on how the input is split. With
+    binary, ids, cumulative and positions are little-endian 32-bit integers in
+    binary columns, after n_ids: a row of the id matrix is filled with padding by
+    whoever reads it, at no cost on disk.
     """
     path = vocabulary or default_vocabulary()
     if length < 1:
         raise ValueError("length must be positive")
     lists = pa.list_(pa.int32())
-    names = ["pack_id", "doc_ids", "segments", "ids", "cumulative", "positions"]
+    names = ["pack_id", "doc_ids", "segments", *(["n_ids"] if binary else []), "ids", "cumulative", "positions"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.of(path)
@@ -162,14 +171,12 @@ def pack(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, vocabulary
                 cumulative = [np.r_[0, np.cumsum(sizes[row])].astype(np.int32) for row in part]
                 each = np.concatenate([sizes[row] for row in part])
                 positions = (np.arange(len(flat)) - np.repeat(np.cumsum(each) - each, each)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(made + lo, made + lo + len(part))), pa.array([[owner[k] for k in row] for row in part], pa.list_(pa.int64())),
-                        pa.array([[number[k] for k in row] for row in part], lists), pa.ListArray.from_arrays(bounds, pa.array(flat)),
-                        pa.array(cumulative, lists), pa.ListArray.from_arrays(bounds, pa.array(positions)),
-                    ],
-                    names,
-                )
+                first = [pa.array(np.arange(made + lo, made + lo + len(part))), pa.array([[owner[k] for k in row] for row in part], pa.list_(pa.int64())), pa.array([[number[k] for k in row] for row in part], lists)]
+                if binary:
+                    ends = np.r_[0, np.cumsum([len(c) for c in cumulative])]
+                    yield pa.RecordBatch.from_arrays([*first, pa.array(n.astype(np.int32)), _binary(flat, bounds), _binary(np.concatenate(cumulative), ends), _binary(positions, bounds)], names)
+                    continue
+                yield pa.RecordBatch.from_arrays([*first, pa.ListArray.from_arrays(bounds, pa.array(flat)), pa.array(cumulative, lists), pa.ListArray.from_arrays(bounds, pa.array(positions))], names)
             made += len(rows)
             segments.clear()
             owner.clear()
@@ -189,32 +196,14 @@ def pack(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, vocabulary
         if segments:
             yield from packed()
 
-    schema = "pack_id long, doc_ids array<long>, segments array<int>, ids array<int>, cumulative array<int>, positions array<int>"
+    kind = "binary" if binary else "array<int>"
+    schema = f"pack_id long, doc_ids array<long>, segments array<int>, {'n_ids int, ' if binary else ''}ids {kind}, cumulative {kind}, positions {kind}"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def binary(packs: DataFrame) -> DataFrame:
-    """packs with ids, cumulative and positions as little-endian 32-bit integers in
-    binary columns, and n_ids: a row of the id matrix is filled with padding by
-    whoever reads it, at no cost on disk."""
-    lists = ("ids", "cumulative", "positions")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = []
-            for c in lists:
-                x = b.column(c)
-                flat, at = np.ascontiguousarray(x.values.to_numpy(), dtype="<i4"), x.offsets.to_numpy().astype(np.int64)
-                # the same bytes, seen as a binary column
-                raw.append(pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((4 * at).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())]))
-            yield pa.RecordBatch.from_arrays([b.column("pack_id"), b.column("doc_ids"), b.column("segments"), pa.array(np.diff(b.column("ids").offsets.to_numpy()).astype(np.int32)), *raw], ["pack_id", "doc_ids", "segments", "n_ids", *lists])
-
-    return packs.mapInArrow(run, "pack_id long, doc_ids array<long>, segments array<int>, n_ids int, ids binary, cumulative binary, positions binary")
-
-
-def write_binary(packs: DataFrame, path: str) -> None:
-    """binary() as Parquet, one file for each task."""
-    binary(packs).write.mode("errorifexists").parquet(path)
+def write_binary(docs: DataFrame, path: str, **options) -> None:
+    """The packs of docs in binary columns as Parquet, one file for each task."""
+    pack(docs, binary=True, **options).write.mode("errorifexists").parquet(path)
 
 
 def op2(docs: DataFrame) -> DataFrame:
@@ -226,4 +215,4 @@ def op2(docs: DataFrame) -> DataFrame:
     the one that got it last is filled. An empty table gives no rows; other
     columns aren't looked at.
     """
-    return binary(pack(docs))
+    return pack(docs, binary=True)

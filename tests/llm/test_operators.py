@@ -603,7 +603,7 @@ def test_packing_of_repeated_rows_and_binary(spark, odd, tmp_path):
     """The binary columns hold all rows' ids, repeated rows included."""
     enc = packing.Encoder.of(packing.default_vocabulary())
     path = str(tmp_path / "packs")
-    packing.write_binary(packing.pack(odd, 64), path)
+    packing.write_binary(odd, path, length=64)
     found = []
     for r in spark.read.parquet(path).collect():
         ids, cum, pos = (np.frombuffer(r[k], dtype="<i4") for k in ("ids", "cumulative", "positions"))
