@@ -95,9 +95,9 @@ def join_project(a: SparseMatrix, b: SparseMatrix, hint: str | None = None) -> D
 
 
 def join_aggregate(a: SparseMatrix, b: SparseMatrix, partitioned: bool = True) -> SparseMatrix:
-    """a * b with a partitioned or a broadcast hash join; broadcast only if b is small."""
-    if not partitioned and b.df.limit(SMALL + 1).count() > SMALL:
-        raise ValueError(f"the right side has more than {SMALL} entries; use partitioned=True")
+    """a * b with a partitioned or a broadcast hash join. A right side of more than
+    SMALL entries is not broadcast; the join is then partitioned, too."""
+    partitioned = partitioned or b.df.limit(SMALL + 1).count() > SMALL
     return spgemm(a, b, hint="shuffle_hash" if partitioned else "broadcast")
 
 

@@ -266,3 +266,12 @@ def test_samples(spark):
     users = {r[0] for r in got.collect()}
     assert got.count() == sum(u % 30 in users for u in range(200))
     assert {r[0] for r in T.sample_top(df, "user", 3).collect()} == {0, 1, 2}
+
+
+def test_a_right_side_too_large_to_broadcast(spark, monkeypatch):
+    """The product is made whole by a partitioned join instead of being refused."""
+    a = SparseMatrix.from_entries(spark, [(0, 0, 1), (0, 1, 5), (1, 1, 2), (2, 0, 4), (2, 1, 1)], 3, 2)
+    want = entries(P.spgemm(a, a.transpose()))
+    assert entries(P.join_aggregate(a, a.transpose(), partitioned=False)) == want
+    monkeypatch.setattr(P, "SMALL", 4)
+    assert entries(P.join_aggregate(a, a.transpose(), partitioned=False)) == want
