@@ -5,6 +5,8 @@ from itertools import combinations
 
 import pytest
 
+from knotwork.matrix import SparseMatrix
+from knotwork.operators import graph as G
 from knotwork.plans import queries as catalogue
 
 
@@ -36,3 +38,23 @@ def test_part_graph_of_all_orders(spark, tables):
     assert run("wedge_count")[0]["wedges"] == sum(j == j2 for _, j in low for _, j2 in low)
     hit = {(a, b) for a, b in low if any((a, k) in low and (b, k) in low for k in rank)}
     assert tuple(run("masked_edge_count")[0]) == (len(hit), len(hit), 2 * len(hit))
+
+
+def test_wedges_by_passes(spark, monkeypatch):
+    """Counts of triangles and masked edges don't depend on how many passes take the
+    edges or how many wedges go together, and no stage gets a row for each wedge."""
+    rng = random.Random(7)
+    edges = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(250)} | {(0, k) for k in range(1, 40)})
+    a = SparseMatrix.from_entries(spark, [*edges, *((j, i) for i, j in edges[:50]), (3, 3), *edges[:9]], 40, 40)
+    known = set(edges)
+    want = sum((x, y) in known and (y, z) in known and (x, z) in known for x, y, z in combinations(range(40), 3))
+    hit = {(x, y) for x, y in known if any((k, x) in known and (k, y) in known for k in range(x))}
+    for most, chunk in ((1 << 23, 1 << 15), (60, 5), (25, 1)):
+        monkeypatch.setattr(G, "CHUNK", chunk)
+        assert G.closed_wedges(G.ordered_lists(a, "both"), False, most) == want
+        assert G.closed_wedges(G.ordered_lists(a, None), True, most) == len(hit)
+        if most == 60:
+            monkeypatch.setattr(G, "VERTICES", 3)
+    assert G.masked_edge_count(a, order=False).first()["l"] == len(hit)
+    none = SparseMatrix.from_entries(spark, [(1, 1)], 3, 3)
+    assert G.triangle_count(none).first()[0] == 0 == G.masked_edge_count(none).first()["l"]
