@@ -58,3 +58,10 @@ def test_wedges_by_passes(spark, monkeypatch):
     assert G.masked_edge_count(a, order=False).first()["l"] == len(hit)
     none = SparseMatrix.from_entries(spark, [(1, 1)], 3, 3)
     assert G.triangle_count(none).first()[0] == 0 == G.masked_edge_count(none).first()["l"]
+
+
+def test_triangles_without_joined_wedges(spark, monkeypatch):
+    """A row for each wedge is too much to shuffle, so none is made."""
+    monkeypatch.setattr(G, "_wedges", lambda edges: pytest.fail("wedges are joined"))
+    full = SparseMatrix.from_entries(spark, list(combinations(range(20), 2)), 20, 20)
+    assert G.triangle_count(full).first()["triangles"] == 20 * 19 * 18 // 6
