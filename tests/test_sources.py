@@ -302,3 +302,24 @@ def test_all_pairs_by_passes(spark, monkeypatch):
         got = H.pathsim_all(a, 3, most).collect()
         assert sorted((r["i"], r["j"], r["score"] and round(r["score"], 9)) for r in got) == sorted(want)
     assert H.pathsim_all(SparseMatrix.from_entries(spark, [], 3, 3), 3).collect() == []
+
+
+def test_salted_product_of_rows_that_are_alike(spark, monkeypatch):
+    """Rows with the same entries are multiplied once and stand for all of them, whatever
+    the semiring; entries that repeat, without value or id included."""
+    import pyspark.sql.functions as F
+
+    rows = [(i, j, float(1 + j)) for i in range(30) for j in range(1 + i % 3)] + [(40, 5, None), (41, 5, None), (42, 5, 2.0), (43, 5, 2.0), (None, 0, 1.0), (44, None, 1.0), (45, 0, 1.0), (45, 0, 1.0)]
+    a = SparseMatrix(spark.createDataFrame(rows, "i long, j long, v double"), 50, 50)
+    key = lambda m: sorted(((r["i"], r["j"], r["v"]) for r in m.df.collect()), key=repr)
+    for mul, add in ((P.times, F.sum), (P.plus, F.min)):
+        want = key(P.spgemm(a, a.transpose(), mul, add))
+        assert key(P.salted_spgemm(a, a.transpose(), salts=3, hot=0.1, mul=mul, add=add)) == want
+    made = []
+    salted = P._salted
+    monkeypatch.setattr(P, "_salted", lambda x, y, *rest: made.append(x.select("i").distinct().count()) or salted(x, y, *rest))
+    assert key(P.salted_spgemm(a, a.transpose())) == key(P.spgemm(a, a.transpose())) and made == [6]
+    apart = SparseMatrix.from_entries(spark, [(i, j) for i in range(6) for j in range(i + 1)], 6, 6)
+    assert entries(P.salted_spgemm(apart, apart.transpose())) == entries(P.spgemm(apart, apart.transpose()))
+    none = SparseMatrix.from_entries(spark, [], 3, 3)
+    assert entries(P.salted_spgemm(none, none)) == []
