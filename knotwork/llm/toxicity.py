@@ -43,14 +43,17 @@ _ALIEN = re.compile(r"[\W_]+")
 _END = re.compile(r"[.!?:;]+\s+|[\r\n]+")
 
 
+def split_lines(text: str | None) -> list[str]:
+    """Lower-cased text at the ends of sentences and lines; words spelled out in
+    single letters are put together."""
+    return _END.split(_SPELLED.sub(lambda m: _ALIEN.sub("", m.group()), text.lower())) if text else []
+
+
 def sentences(text: str | None) -> list[frozenset[str]]:
     """Distinct lower-cased words of each sentence; words spelled out in single
     letters count as one."""
-    if not text:
-        return []
-    low = _SPELLED.sub(lambda m: _ALIEN.sub("", m.group()), text.lower())
     out = []
-    for line in _END.split(low):
+    for line in split_lines(text):
         words = line.split()
         out += [frozenset(words[k : k + WORDS]) for k in range(0, len(words), WORDS)]
     return out
@@ -87,10 +90,12 @@ def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         at, weight = _triples(int(n))
         for lo in range(0, len(here), 2048):
             own = here[lo : lo + 2048]
-            c = np.array([list(map(ord, words[k])) for k in own], dtype=np.int64)
+            c = np.frombuffer("".join([words[k] for k in own]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64).reshape(len(own), n)
             code = (c[:, at[:, 0]] << 42) | (c[:, at[:, 1]] << 21) | c[:, at[:, 2]]
-            order = np.argsort(code, axis=1)
-            sorted_code, w = np.take_along_axis(code, order, 1), weight[order]
+            # equal subsequences of a word beside each other: places of its characters among all, and the triple below
+            small = np.unique(c, return_inverse=True)[1].reshape(c.shape)
+            key = np.sort((small[:, at[:, 0]] << 42) | (small[:, at[:, 1]] << 26) | (small[:, at[:, 2]] << 10) | np.arange(len(at)), axis=1)
+            sorted_code, w = key >> 10, weight[key & 1023]
             new = np.c_[np.ones(len(own), dtype=bool), sorted_code[:, 1:] != sorted_code[:, :-1]]
             first = np.flatnonzero(new)
             squares = np.add.reduceat(w.ravel(), first) ** 2
@@ -118,24 +123,50 @@ class Model:
         if not parts or not len(self.codes):
             return out
         value = np.empty(len(parts))
+        letter, table, n = self._dense()
         for own, code, weight, norm in subsequences(parts):
-            place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            value[own] = (np.where(self.codes[place] == code, self.weights[place], 0.0) @ weight) / norm
+            if table is None:
+                place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+                found = np.where(self.codes[place] == code, self.weights[place], 0.0)
+            else:
+                found = table[(letter[code >> 42] * n + letter[code >> 21 & 0x1FFFFF]) * n + letter[code & 0x1FFFFF]]
+            value[own] = (found @ weight) / norm
         np.add.at(out, np.array(of), value)
         return out
 
+    def _dense(self) -> tuple[np.ndarray, np.ndarray | None, int]:
+        """The weights as a table by three letters, if the subsequences have few letters:
+        places of characters (0: in none), the table, its side."""
+        if "_held" not in self.__dict__:
+            parts = [self.codes >> 42, self.codes >> 21 & 0x1FFFFF, self.codes & 0x1FFFFF]
+            known = np.unique(np.concatenate(parts))
+            n, letter, table = len(known) + 1, np.zeros(1 << 21, dtype=np.int32), None
+            letter[known] = np.arange(1, n)
+            if n <= 128:
+                table = np.zeros(n**3)
+                table[(letter[parts[0]] * n + letter[parts[1]]) * n + letter[parts[2]]] = self.weights
+            self.__dict__["_held"] = letter, table, n
+        return self.__dict__["_held"]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_held"}
+
     def words(self, tokens: list[str]) -> np.ndarray:
         """The machine's decision for each token as a sentence of its own."""
         return self.weigh(tokens) + self.bias
 
-    def decisions(self, texts: list[str | None], known: dict[str, float]) -> Iterator[tuple[list[frozenset[str]], np.ndarray]]:
-        """Sentences of each text and the machine's decisions for them."""
-        found = [sentences(t) for t in texts]
-        new = list(set().union(*(s for own in found for s in own)).difference(known))
+    def _meet(self, words: set[str], known: dict[str, float]) -> None:
+        """known with all of words."""
+        new = list(words.difference(known))
         if len(known) + len(new) > 400_000:  # only a cache: forgotten words are scored again
             known.clear()
-            new = list(set().union(*(s for own in found for s in own)))
+            new = list(words)
         known.update(zip(new, self.weigh(new).tolist(), strict=True))
+
+    def decisions(self, texts: list[str | None], known: dict[str, float]) -> Iterator[tuple[list[frozenset[str]], np.ndarray]]:
+        """Sentences of each text and the machine's decisions for them."""
+        found = [sentences(t) for t in texts]
+        self._meet(set().union(*(s for own in found for s in own)), known)
         for own in found:
             yield own, np.array([sum(map(known.__getitem__, s)) for s in own]) + self.bias
 
@@ -147,8 +178,41 @@ class Model:
         return float(value.max(initial=self.bias)), float(np.log1p(np.count_nonzero(value > 0))), float(alone.max(initial=self.bias)), float(np.log1p(np.count_nonzero(alone > 0)))
 
     def features(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
-        """summary() of each text."""
-        return np.array([self.summary(own, value, known) for own, value in self.decisions(texts, known)]).reshape(-1, 4)
+        """summary() of each text, all texts together."""
+        flat, lines, owner = [], [], []
+        for k, text in enumerate(texts):
+            for line in split_lines(text):
+                if words := line.split():
+                    flat += words
+                    lines.append(len(words))
+                    owner.append(k)
+        out = np.zeros((len(texts), 4))
+        out[:, 0] = out[:, 2] = self.bias
+        if not flat:
+            return out
+        self._meet(set(flat), known)
+        value = np.fromiter(map(known.__getitem__, flat), dtype=np.float64, count=len(flat))
+        n, line = np.array(lines), np.array(owner)
+        # sentences: at most WORDS words of a line each, without repeats
+        many = -(-n // WORDS)
+        own, first = np.repeat(line, many), np.repeat(np.cumsum(n) - n, many)
+        first = first + WORDS * (np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many))
+        end = np.minimum(first + WORDS, np.repeat(np.cumsum(n), many))
+        place = first[:, None] + np.arange(WORDS)
+        each = np.where(place < end[:, None], value[np.minimum(place, len(value) - 1)], 0.0)
+        total = each.sum(axis=1)
+        pairs = [(a, b) for b in range(WORDS) for a in range(b)]
+        for k in np.flatnonzero(np.any([(each[:, a] == each[:, b]) & (each[:, a] != 0) for a, b in pairs], axis=0)).tolist():
+            total[k] = sum(map(known.__getitem__, frozenset(flat[first[k] : end[k]])))
+        total += self.bias
+        np.maximum.at(out[:, 0], own, total)
+        out[:, 1] = np.log1p(np.bincount(own[total > 0], minlength=len(texts)))
+        text, alone = np.repeat(line, n), value + self.bias
+        np.maximum.at(out[:, 2], text, alone)
+        toxic = np.flatnonzero(alone > 0).tolist()
+        distinct = {(int(text[k]), flat[k]) for k in toxic}
+        out[:, 3] = np.log1p(np.bincount([k for k, _ in distinct], minlength=len(texts)) if distinct else 0)
+        return out
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         x = np.c_[np.ones(len(features)), features] @ self.logistic

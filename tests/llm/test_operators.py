@@ -733,3 +733,18 @@ def test_labels_given_twice_or_missing(spark, docs):
     labels = spark.createDataFrame([(k, 0) for k in range(40)] + [(3, 1), (3, 1), (5, None), (None, 1), (9, 1)], "doc_id long, toxic int")
     r = toxicity.op8(docs, labels).collect()
     assert len(r) == docs.count() and all(0 <= x["score"] <= 1 for x in r)
+
+
+def test_texts_are_scored_together_as_one_by_one():
+    m = toxicity.fit_words(["idiot", "moron", "stupid", "trash"], ["table", "window", "garden", "river", "little", "people"])
+    texts = [None, "", " \n ", "You idiot! idiot idiot, you idiot. Idiot", "a river\nand the river the river the river the garden the", "i d i o t s and m-o-r-o-n everywhere: table", "ünï çødé \U0001f600\U0001f600x idi\U0001f600ot", "x" * 60 + " idiot" * 7]
+    known = {}
+    want = [m.summary(own, value, known) for own, value in m.decisions(texts, known)]
+    assert np.allclose(m.features(texts, {}), want, atol=1e-12) and len({tuple(x) for x in want}) > 4
+    assert m.features([], {}).shape == (0, 4) and m.features([None], {}).tolist() == [[m.bias, 0, m.bias, 0]]
+    # a table by letters gives what the search among subsequences does
+    assert m._dense()[1] is not None
+    plain = toxicity.Model(m.codes, m.weights, m.bias)
+    plain.__dict__["_held"] = (None, None, 0)
+    words = ["idiots", "gardener", "aaaaab", "çødé", "m"]
+    assert np.allclose(m.weigh(words), plain.weigh(words), atol=1e-12)
