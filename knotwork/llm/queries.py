@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmltext, iblt, langid, mixing, packing, simhash, substrings, toxicity, urlfilter
+from . import centroids, decontam, htmltext, iblt, langid, mixing, packing, periods, ring, simhash, substrings, toxicity, urlfilter
 from .common import table
 
 
@@ -28,6 +28,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": lambda s, d: toxicity.op8(table(s, d, "documents"), table(s, d, "labels")),
         "op9_sketch_fingerprints": lambda s, d: iblt.op9(table(s, d, "documents")),
         "op10_main_text": lambda s, d: htmltext.op10(table(s, d, "pages")),
+        "op11_centroid_clusters": lambda s, d: centroids.op11(table(s, d, "embeddings")),
+        "op12_periodic_runs": lambda s, d: periods.op12(table(s, d, "documents")),
+        "op13_ring_shards": lambda s, d: ring.op13(table(s, d, "documents")),
         "pipeline": _pipeline,
     }
 
@@ -50,7 +53,27 @@ FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1
 """
 
 
+def _op11(rounds: int = 10) -> str:
+    """Every distance in every round, without screening; a round is two tables."""
+    far = "CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (SELECT sha256('3:' || vec_id) AS h, q FROM v ORDER BY h, q LIMIT 8))",
+    ]
+    for t in range(rounds + 1):
+        parts.append(f"a{t} AS MATERIALIZED (SELECT v.r, min({{'d': {far}, 'c': c.c}}) AS m FROM v CROSS JOIN c{t} c GROUP BY v.r)")
+        if t < rounds:
+            whole = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+            parts.append(f"""c{t + 1} AS MATERIALIZED (SELECT c.c, coalesce(x.q, c.q) AS q FROM c{t} c LEFT JOIN (
+  SELECT c, list({whole} ORDER BY k) AS q FROM (SELECT m.c AS c, k, COUNT(*) AS n, SUM(q[k]) AS s FROM a{t} JOIN v USING (r) CROSS JOIN (SELECT unnest(range(1, 65)) AS k) GROUP BY 1, 2) GROUP BY c) x ON x.c = c.c)""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(SUM(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(SUM(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} c ON c.c = m.c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """The other operators learn, draw or hash as SQL cannot; tests hold them
-    against brute force, exact round trips or held-out accuracy."""
-    return {"op3_url_rules": _OP3}
+    """The other operators learn, draw or hash as SQL cannot, or compare what only
+    brute force over every text would; tests hold them against brute force,
+    exact round trips or held-out accuracy."""
+    return {"op3_url_rules": _OP3, "op11_centroid_clusters": _op11()}
