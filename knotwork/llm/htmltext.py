@@ -39,15 +39,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noembed iframe noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINER = frozenset("article body div main section td blockquote".split())
-DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form head iframe input map menu meter nav noembed noframes noscript object optgroup option output progress script select style svg template textarea title video math".split())
+DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form head iframe input map menu meter nav noembed noframes noscript object optgroup option progress script select style svg template textarea title video".split())
 #: Boxes that may be furniture; headings, paragraphs, quotations, code and the like are not.
 BOX = frozenset("div section ul ol dl table header details figure".split())
 CLOSES_P = BLOCK - {"html", "body"}
 #: Roles of page furniture in the ARIA standard.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
-#: Words in class or id that make a box a suspect, and those of them that settle it where a host has a single page.
-SUSPECT = frozenset("banner header masthead search related recommended social teaser copyright disclaimer menu menus notice notices alert promo promotion widget rail login signup subscribe toolbar".split())
-CLEAR = frozenset("ad ads advert adverts advertisement advertising sponsored nav navbar breadcrumb breadcrumbs sidebar cookie cookies gdpr popup modal newsletter share sharing comments comment replies disqus pagination pager footer".split())
+#: Words in class or id that make a box a suspect, which goes if it is template of its host, and those that settle it on any host.
+SUSPECT = frozenset("header search related recommended social teaser copyright disclaimer widget rail".split())
+CLEAR = frozenset("ad ads advert adverts advertisement advertising sponsored promo promotion nav navbar menu menus toolbar banner masthead breadcrumb breadcrumbs sidebar notice notices alert cookie cookies gdpr popup modal newsletter subscribe login signup share sharing comments comment replies disqus pagination pager footer".split())
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 _DIGITS = re.compile(r"\d+")
 #: Share of link text from which a box counts as links, and share of a host's pages from which a suspect is template.
@@ -57,12 +57,14 @@ MANY = 200_000
 
 
 class Node:
-    __slots__ = ("tag", "mark", "path", "drop", "suspect", "children", "parent", "stop", "text", "link")
+    __slots__ = ("tag", "mark", "path", "drop", "suspect", "links", "children", "parent", "stop", "text", "link")
 
     def __init__(self, tag: str, mark: str, parent: Node | None, drop: bool, suspect: int = 0):
         self.tag, self.parent, self.drop, self.suspect = tag, parent, drop, suspect
         # a digest of the path, so that depth costs nothing
         self.path = xxhash.xxh64_intdigest(mark, parent.path if parent else 0) >> 1
+        #: A box of links, such as a menu or an article's sources.
+        self.links = False
         self.children: list[Node | str] = []
         #: The nearest node, itself included, that ends the search for an open p.
         self.stop = self if parent is None or tag in CONTAINER or tag == "p" else parent.stop
@@ -209,7 +211,8 @@ def containers(root: Node) -> list[tuple[Node, float]]:
 
     Square roots favour many blocks over one; article and main elements weigh
     more than body and div. Added up from the leaves, and so are the lengths of
-    text and link text by which boxes of links are dropped first.
+    text and link text by which boxes of links are found first, whose text counts
+    for nothing.
     """
     nodes = ordered(root)
     for node, linked in reversed(nodes):
@@ -218,13 +221,13 @@ def containers(root: Node) -> list[tuple[Node, float]]:
         node.text = own + sum(c.text for c in inner)
         node.link = node.text if linked else sum(c.link for c in inner)
         if node.tag in BOX and node.text and node.link >= LINKS * node.text and sum(c.tag == "li" or c.tag == "a" for c in inner) > 1:
-            node.drop = True
+            node.links, node.suspect = True, max(1, node.suspect)
     score: dict[int, float] = {}
     found = []
-    nodes = ordered(root)
     for node, linked in reversed(nodes):
         text = 0 if linked else sum(len(c.strip()) for c in node.children if isinstance(c, str))
         got = math.sqrt(text) + sum(score.pop(id(c)) for c in node.children if not isinstance(c, str) and not c.drop)
+        got *= not node.links
         if node.tag in CONTAINER:
             if got:
                 found.append((node, got * (1.5 if node.tag in ("article", "main") else 0.6 if node.tag == "body" else 1.0)))
@@ -233,12 +236,16 @@ def containers(root: Node) -> list[tuple[Node, float]]:
     return found[::-1]
 
 
-def suspects(own: list[Node]) -> Iterator[Node]:
-    """Boxes within the containers that may be furniture, by their names and size."""
+def suspects(own: list[Node]) -> Iterator[tuple[Node, bool]]:
+    """Boxes within the containers that may be furniture, by their names, links and
+    size, and whether they are part of an article or main element."""
     for top in own:
+        inside: set[int] = set()
         for node, _ in ordered(top):
-            if node.suspect and node is not top and 2 * node.text <= top.text:
-                yield node
+            if node.tag in ("article", "main") or id(node.parent) in inside:
+                inside.add(id(node))
+            if node.suspect and node is not top and (node.links or 2 * node.text <= top.text):
+                yield node, id(node) in inside
 
 
 def chosen(root: Node, winner: int | None) -> list[Node]:
@@ -259,15 +266,18 @@ def chosen(root: Node, winner: int | None) -> list[Node]:
 
 
 def extract(source: str, winner: int | None, template: frozenset[int] | None) -> str:
-    """Text of the containers with the winning path, or else of the best one,
-    without the suspects whose path is in the host's template, or the clear
-    ones where nothing is known of other pages (None)."""
+    """Text of the containers with the winning path, or else of the best one.
+
+    Clear suspects go, on whatever host. The others go if their path is in the
+    host's template; where nothing is known of other pages (None), boxes of links
+    go that no article or main element holds.
+    """
     root = parse(source)
     own = chosen(root, winner)
     if not own:
         return "\n".join(blocks(root))
-    for node in suspects(own):
-        node.drop = node.suspect == 2 if template is None else node.path in template
+    for node, inside in suspects(own):
+        node.drop = node.suspect == 2 or (node.links and not inside if template is None else node.path in template)
     return "\n".join(b for node in own for b in blocks(node))
 
 

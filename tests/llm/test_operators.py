@@ -1,7 +1,9 @@
 """The ten operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import html
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -655,12 +657,47 @@ def test_main_text_keeps_titles_and_paragraphs(spark):
 def test_main_text_drops_the_template_of_a_host(spark):
     """A suspect box on most pages of a host goes, one on a single page of many stays."""
     page = "<body><article><p>{}</p><div class='related'><p>see {}</p></div>{}</article></body>"
-    rows = [(k, "http://t.org/x", page.format(f"the text of page {k} as it is", k, "<section class='notice'><p>only here</p></section>" if k == 3 else "")) for k in range(6)]
+    rows = [(k, "http://t.org/x", page.format(f"the text of page {k} as it is", k, "<section class='search'><p>only here</p></section>" if k == 3 else "")) for k in range(6)]
     d = clashing(spark.createDataFrame(rows, "page_id long, url string, html string")).withColumn("host", F.lit(1)).withColumn("winner", F.lit(2))
     got = {r["page_id"]: r["text"] for r in htmltext.op10(d.union(d.where("page_id = 0"))).collect()}
     assert got == {k: f"the text of page {k} as it is" + ("\nonly here" if k == 3 else "") for k in range(6)}
 
 
+@pytest.mark.parametrize("pages", [1, 2, 10])
+def test_main_text_without_clear_furniture(spark, pages):
+    """Comments, notices and adverts go on hosts of any size, however few of its pages have them."""
+    extra = ["<div class='comments'><p>nice one</p><p>me too</p></div>", "<section class='cookie-notice'><p>we use some</p></section>", "<div id='advert'>buy it</div>", "<ul class='menu'><li><a href='/'>home</a></li><li><a href='/b'>b</a></li></ul>", "<div class='promo'><p>join</p></div>"]
+    rows = [(k, "http://c.org/x", f"<body><article><h1>Title {k}</h1><p>the first block of page {k}</p>{extra[k % 5] if k % 3 == 0 else ''}<p>and its last one</p></article></body>") for k in range(pages)]
+    got = {r["page_id"]: r["text"] for r in htmltext.op10(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\nthe first block of page {k}\nand its last one" for k in range(pages)}
+
+
+def test_main_text_keeps_formulas_and_lists_of_links(spark):
+    """An article's own list of links stays; the host's menu in the same container goes."""
+    page = "<body><main><ul class='top'><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul><h1>Paper {0}</h1><p>as <math><mi>x</mi></math> holds, it is <output>{0}</output>.</p>{1}</main></body>"
+    sources = "<h2>Sources</h2><ul class='refs'><li><a href='/1'>Paper one</a></li><li><a href='/2'>Paper two</a></li></ul>"
+    rows = [(k, "http://p.org/", page.format(k, sources if k < 2 else "")) for k in range(5)]
+    rows += [(9, "http://single.org/", "<body><div><a href='/'>a</a> <a href='/b'>b</a></div><article><p>the article</p>" + sources + "</article></body>")]
+    got = {r["page_id"]: r["text"] for r in htmltext.op10(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    tail = "\nSources\nPaper one\nPaper two"
+    assert got == {k: f"Paper {k}\nas x holds, it is {k}." + (tail if k < 2 else "") for k in range(5)} | {9: "the article" + tail}
+
+
+PIECES = re.compile(r"<!--.*?-->|<script>.*?</script>|<style>.*?</style>|<nav>.*?</nav>|<div class=\"ad\">.*?</div>|<footer>.*?</footer>|<head>.*?</head>", re.S)
+
+
+def test_main_text_by_a_plain_extractor(spark):
+    """The given pages: what furniture leaves, cut at the tags of blocks."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        source = re.sub(r"<br>", " ", PIECES.sub("", r["html"] or ""))
+        parts = re.split(r"</?(?:article|body|html|h1|p|ul|li|div)[^>]*>", source)
+        lines = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in parts]
+        want[r["page_id"]] = "\n".join(x for x in lines if x and x != "<!DOCTYPE html>")
+    assert {r["page_id"]: r["text"] for r in htmltext.op10(pages).collect()} == want
+
+
 def test_main_text_of_deep_and_long_pages(spark):
     import time
 
