@@ -399,6 +399,7 @@ def op7(docs: DataFrame) -> DataFrame:
     Null counts as empty. Texts are read whole, in pieces, however long. Repeated
     rows count each as a document, so both lose all that fills 400 bytes; rows
     without doc_id are told apart by their texts. There are no ties: all copies
-    go. An empty table gives no rows; other columns aren't looked at.
+    go. An empty table gives no rows; other columns aren't looked at. ``repeated``
+    marks documents that lose anything.
     """
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"))
