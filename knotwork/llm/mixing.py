@@ -3,11 +3,18 @@
 Each document of a source is wanted target / source_size times. The whole part
 is taken at once; the fractions are rounded in pairs: two documents trade
 words until one of their fractions is 0 or 1, at odds that keep every
-document's expectation, and the other goes on. A bucket of about ``fan``
-documents is folded in one task to one residual; the residuals of ``fan``
-buckets are folded the same way, and so on up to one for each source. Words
-are conserved by each trade, so a source misses its target by less than one
-document; large documents trade first, which leaves a small one as a rule.
+document's expectation, and the other goes on. Words are conserved by each trade.
+
+A document larger than its partners can't be decided by one of them. So those
+that hold more than 1 / ``LARGE`` of their source, fewer than ``LARGE``, go first,
+the largest first, and each trades with all the smaller documents of the source
+at once: these have one fraction in common, so they are one partner of all their
+words, and the trade changes their common fraction. The others are folded in
+buckets of about ``fan`` documents, one task each, to one residual; the residuals
+of ``fan`` buckets are folded the same way, and so on up to one for each source,
+which is drawn. So a source misses its target by less than 1 / ``LARGE`` of its
+size, or by less than its smallest document if all are large, unless one document
+outweighs what all others can give.
 
 Rows equal in doc_id, source and text are a unit of n rows: of n fractions p,
 the whole part of n * p is taken at once, and what is left is one fraction that
@@ -25,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import materialize, quoted, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Inverse of the share of a source from which a document is large.
+LARGE = 1024
 #: Number of sources up to which their table (24 bytes each) is broadcast.
 FEW_SOURCES = 200_000
 
@@ -88,6 +97,26 @@ def _fold(units: str, seed: int) -> str:
     return f"aggregate({units}, {start}, (s, x) -> cast(if(s.has, {step}, named_struct('has', true, 'c', x, 'out', s.out)) as {_STATE}))"
 
 
+def _settle(units: str, seed: int) -> str:
+    """SQL that lets each of an array of large units trade with all smaller ones:
+    {mass, p: words of the small ones and their common fraction, out: the large
+    ones as they end}. Those with a fraction of their own (u is false) come first."""
+    state = "struct<mass:double,p:double,out:array<struct<w:double,doc_id:bigint,tie:bigint,p:double>>>"
+    at = "transform(array(named_struct('m', if(x.u, s.mass - x.w, s.mass), 'q', if(x.u, s.p, x.p))), y -> named_struct('m', y.m, 'q', y.q, 'a', least(x.w * (1 - y.q), y.m * s.p), 'b', least(y.m * (1 - s.p), x.w * y.q)))"
+    draw = f"(pmod(xxhash64(x.doc_id, x.tie, {seed}, 'large'), 4503599627370496) / 4503599627370496D)"
+    step = (
+        f"transform(transform({at}, z -> named_struct('z', z, 'up', {draw} * (z.a + z.b) < z.b)), t -> named_struct("
+        "'mass', t.z.m, 'p', if(t.z.m > 0, greatest(0D, least(1D, if(t.up, s.p - t.z.a / t.z.m, s.p + t.z.b / t.z.m))), s.p), "
+        "'out', concat(s.out, array(named_struct('w', x.w, 'doc_id', x.doc_id, 'tie', x.tie, 'p', if(t.up, t.z.q + t.z.a / x.w, t.z.q - t.z.b / x.w))))))[0]"
+    )
+    return f"aggregate({units}, cast(named_struct('mass', mass, 'p', p, 'out', array()) as {state}), (s, x) -> cast({step} as {state}))"
+
+
+def _known(sources: DataFrame) -> DataFrame:
+    """A row for each source, broadcast where these are few."""
+    return F.broadcast(sources) if sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else sources
+
+
 def decide(units: DataFrame, seed: int = 0, fan: int = 128) -> DataFrame:
     """units(doc_id, tie, source, size, rows, source_size, target) with copies: how
     often the mix takes the rows of a unit, all together. Reruns agree; seed
@@ -104,16 +133,25 @@ def decide(units: DataFrame, seed: int = 0, fan: int = 128) -> DataFrame:
     shut = units.where(~open_).select(*keys, F.when(F.col("size") > 0, F.col("whole")).otherwise(F.floor(factor) * F.col("rows")).cast("long").alias("copies"))
 
     wide = units.where(open_)
-    n = wide.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("n"))
+    even = F.col("rows") == 1
+    n = wide.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.coalesce(F.sum(F.when(even, F.col("size"))), F.lit(0)).cast("double").alias("mass"), F.coalesce(F.max(F.when(even, F.col("p"))), F.lit(0.0)).alias("common"))
     most = n.agg(F.max("n")).first()[0]
     if not most:
         return shut
-    if n.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
-        n = F.broadcast(n)
     same = F.col("source").eqNullSafe(F.col("_source"))
-    bucket = F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.ceil(F.col("n") / fan))
-    level = wide.join(n, same).select("source", bucket.alias("bucket"), F.struct(F.col("size").cast("double").alias("w"), "doc_id", "tie", "p").alias("unit"))
-    decided = []
+    beside = wide.join(_known(n), same)
+    large = F.col("size") * LARGE > F.col("all")
+    first = F.sort_array(F.collect_list(F.struct(even.alias("u"), (-F.col("size")).alias("less"), "doc_id", "tie", F.col("size").cast("double").alias("w"), "p")))
+    settled = beside.where(large).groupBy("source").agg(first.alias("units"), F.max("mass").alias("mass"), F.max("common").alias("p"))
+    settled = materialize(settled.select("source", F.expr(_settle("units", seed)).alias("f")))
+    rest = beside.where(~large).drop("_source").join(_known(settled.select(F.col("source").alias("_source"), F.col("f.p").alias("after"))), same, "left")
+    rest = rest.select("source", "n", F.struct(F.col("size").cast("double").alias("w"), "doc_id", "tie", F.when(even, F.coalesce("after", "p")).otherwise(F.col("p")).alias("p")).alias("unit"))
+    rest = rest.unionByName(settled.select("source", F.explode("f.out").alias("unit")).join(_known(n.select("_source", "n")), same).select("source", "n", "unit"))
+    loose = F.col("unit.p").between(float(_EPS), 1 - float(_EPS))
+    rest = materialize(rest)
+    bucket = F.pmod(F.xxhash64("unit.doc_id", "unit.tie", F.lit(seed)), F.ceil(F.col("n") / fan))
+    level = rest.where(loose).select("source", bucket.alias("bucket"), "unit")
+    decided = [rest.where(~loose).select("source", "unit")]
     for depth in range(1 + max(0, math.ceil(math.log(max(1, math.ceil(most / fan)), fan) - 1e-9))):
         folded = level.groupBy("source", "bucket").agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units"))
         folded = materialize(folded.select("source", "bucket", F.expr(_fold("units", seed + depth)).alias("f")))

@@ -253,3 +253,25 @@ def test_shards_odd_rows(spark, odd, empty):
     assert len(r) == odd.count() and {x["law"] for x in r} == {"rows"} and all(x["grown_shard"] is None for x in r)
     assert {(x["doc_id"], x["size"], x["text_crc32"]) for x in r} >= {(1, 8, 0), (2, 8, 0), (9, 9, zlib.crc32(b"x"))}
     assert ring.op13(empty).count() == 0
+
+
+def test_mix_with_one_long_document_a_source(spark):
+    """Targets are met whatever one long document does, and it keeps its expectation."""
+    from knotwork.llm import mixing
+
+    random.seed(8)
+    sizes = [20_000] + [random.randrange(200, 1_000) for _ in range(140)]
+    rows = [(s * 1000 + k, f"s{s:03d}", n) for s in range(90) for k, n in enumerate(sizes)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, n long").withColumn("text", F.expr("repeat('w ', int(n))"))
+    got = [r.asDict() for r in mixing.op6(d).join(d.select("doc_id", "source"), "doc_id").collect()]
+    by = defaultdict(list)
+    for r in got:
+        by[r["source"]].append(r)
+    assert all(abs(sum(r["taken"] for r in x) - x[0]["target"]) < 0.01 * x[0]["target"] for x in by.values())
+    for w in range(3):  # sources of equal weight have equal targets
+        same = [x for k, x in enumerate(v for _, v in sorted(by.items())) if k % 3 == w]
+        factor = same[0][0]["target"] / same[0][0]["source_size"]
+        for long in (True, False):
+            taken = [r["taken"] / r["size"] for x in same for r in x if (r["size"] == 20_000) == long]
+            assert abs(np.mean(taken) - factor) < 5 * (0.5 / len(taken) ** 0.5 if long else 0.02)
+    assert all(r["taken"] <= 3 * r["size"] for r in got)
