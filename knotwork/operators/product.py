@@ -165,18 +165,3 @@ def spmm(a: SparseMatrix, b: DataFrame, alpha: float = 1.0, beta: float = 0.0, c
     if c is not None and beta:
         got = got.unionByName(c.select("i", "k", (beta * F.col("v")).alias("v"))).groupBy("i", "k").agg(F.sum("v").alias("v"))
     return got
-
-
-def set_similarity(a: SparseMatrix, overlap: int = 1, jaccard: float | None = None) -> DataFrame:
-    """(i, j, overlap, jaccard) of row pairs i < j that share at least so many
-    columns and reach the similarity (an extension; the pattern counts)."""
-    p = a.pattern()
-    both = _joined(p, p.transpose(), None).where("i < j").groupBy("i", "j").agg(F.count("*").alias("overlap"))
-    if jaccard is None:
-        both = both.where(F.col("overlap") >= overlap)
-    size = p.df.groupBy("i").agg(F.count("*").alias("n"))
-    both = both.join(size.withColumnRenamed("n", "ni"), "i").join(size.select(F.col("i").alias("j"), F.col("n").alias("nj")), "j")
-    both = both.withColumn("jaccard", F.col("overlap") / (F.col("ni") + F.col("nj") - F.col("overlap")))
-    if jaccard is not None:
-        both = both.where((F.col("overlap") >= overlap) & (F.col("jaccard") >= jaccard))
-    return both.select("i", "j", "overlap", "jaccard")

@@ -24,6 +24,16 @@ def nnz_per_row(a: SparseMatrix, b: SparseMatrix, exact: bool = True) -> DataFra
     return pairs.groupBy("i").agg((F.count_distinct("j") if exact else F.approx_count_distinct("j")).alias("nnz"))
 
 
+def nnz_per_row_sketch(a: SparseMatrix, b: SparseMatrix, lg_k: int = 12) -> DataFrame:
+    """(i, nnz) of the product's non-empty rows, estimated without making the product:
+    one sketch of the columns of each row of b, merged along the rows of a. The work
+    is that of a's entries, not of the products. The relative standard error is
+    1.04 / sqrt(2^lg_k), 1.6 % by default; few columns are counted exactly."""
+    rows = b.df.groupBy(F.col("i").alias("k")).agg(F.hll_sketch_agg("j", F.lit(lg_k)).alias("s"))
+    met = a.df.select("i", F.col("j").alias("k")).join(rows, "k")
+    return met.groupBy("i").agg(F.hll_sketch_estimate(F.hll_union_agg("s", F.lit(False))).alias("nnz"))
+
+
 def compression_factor(a: SparseMatrix, b: SparseMatrix) -> DataFrame:
     """(i, flop, nnz, cf) for all rows of a; cf is flop / nnz, 0 for empty rows.
     One join gives both numbers: its rows, and its places."""

@@ -19,12 +19,13 @@ from .. import matrix as M
 from ..functions import text as T
 from ..matrix import Extent, SparseMatrix, larger
 from ..operators import graph as G
+from ..operators import grid as R
 from ..operators import layout as L
 from ..operators import metapath as H
 from ..operators import product as P
+from ..operators import similarity as J
 from ..operators import stats as S
 from ..sources import files, hin as B, mtx
-from ..sources import generators as N
 from ..storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,10 +83,10 @@ def hin(s: SparkSession, d: str) -> H.TypedGraph:
 
 
 def papers(s: SparkSession, d: str) -> DataFrame:
-    """Documents as publication records: the text's first 100 characters are the
-    title, the language and the source the authors, and the source the venue."""
+    """Documents as publication records: the text is the title, the language and the
+    source are the authors, and the source is the venue."""
     docs = _t(s, d, "documents")
-    return docs.select(F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 100).alias("title"), F.array("lang", "source", "lang").alias("authors"), F.col("source").alias("venue"), F.col("doc_id").alias("_line"))
+    return docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("title"), F.array("lang", "source", "lang").alias("authors"), F.col("source").alias("venue"), F.col("doc_id").alias("_line"))
 
 
 def _folder(s: SparkSession) -> str:
@@ -111,6 +112,7 @@ _FLOP = f"{_SP}, {_ROWS}, nb AS (SELECT j, COUNT(*) AS n FROM sp GROUP BY j), fl
 _CF = f"{_FLOP}, nz AS (SELECT a.i, COUNT(DISTINCT b.i) AS nnz FROM sp a JOIN sp b USING (j) GROUP BY a.i), cf AS (SELECT fr.i, flop, COALESCE(nnz, 0) AS nnz FROM fr LEFT JOIN nz USING (i))"
 _SYM = f"{_PP}, nv AS (SELECT max(greatest(i, j)) + 1 AS n FROM pp), vs AS (SELECT unnest(range(0, (SELECT n FROM nv))) AS i), dg AS (SELECT vs.i, COUNT(pp.i) AS degree FROM vs LEFT JOIN pp USING (i) GROUP BY vs.i), rk AS (SELECT i, degree, row_number() OVER (ORDER BY degree, i) - 1 AS rank FROM dg), sy AS (SELECT i, j FROM pp UNION SELECT j, i FROM pp), pe AS (SELECT x.rank AS i, y.rank AS j FROM sy JOIN rk x ON sy.i = x.i JOIN rk y ON sy.j = y.i)"
 _PATH = "WITH {0}, d AS (SELECT i, SUM(v * v) AS d FROM ml GROUP BY i), q AS (SELECT j, v FROM ml WHERE i = {1}) SELECT ml.i AS id, round(2 * SUM(ml.v * q.v) / (any_value(d.d) + (SELECT d FROM d WHERE i = {1})), 9) AS score FROM ml JOIN q USING (j) JOIN d ON d.i = ml.i GROUP BY ml.i ORDER BY 2 DESC, 1 LIMIT {2}"
+_SEARCH = "WITH {0}, d AS (SELECT i, SUM(v * v) AS d FROM ml GROUP BY i), m AS (SELECT q.i AS query, ml.i AS id, SUM(ml.v * q.v) AS m FROM ml q JOIN ml USING (j) WHERE q.i % 20 = 0 GROUP BY 1, 2), r AS (SELECT query, id, 2 * m / (x.d + y.d) AS score FROM m JOIN d x ON x.i = query JOIN d y ON y.i = id), p AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS place, id, score FROM r) SELECT query, place, id, round(score, 9) AS score FROM p WHERE place <= {1}"
 _WORK = f"{_FLOP}, s AS (SELECT COUNT(*) AS n, SUM(flop) AS total FROM fr), c AS (SELECT flop, row_number() OVER (ORDER BY flop DESC, i) AS k, SUM(flop) OVER (ORDER BY flop DESC, i ROWS UNBOUNDED PRECEDING) AS c, row_number() OVER (ORDER BY flop, i) AS up FROM fr)"
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _TERMS = f"w AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '([a-z]+)', 1)) AS term FROM documents), tf AS (SELECT term, COUNT(*) AS df FROM w WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2)"
@@ -126,6 +128,12 @@ def _score(df: DataFrame) -> DataFrame:
     return df.select("id", F.round("score", 9).alias("score"))
 
 
+def _search(ml: SparseMatrix, k: int, names: DataFrame | None = None) -> DataFrame:
+    """The search of every id divisible by 20."""
+    got = R.pathsim_search(ml, ml.df.where("i % 20 = 0").select(F.col("i").alias("id")), k, names)
+    return got.withColumn("score", F.round("score", 9))
+
+
 def _chain3(s: SparkSession, d: str) -> DataFrame:
     return _score(H.pathsim_topk(H.metapath_product(hin(s, d), H.left_half("COPOC")), 1, 10))
 
@@ -201,6 +209,24 @@ def _subset_matrices(s: SparkSession, d: str) -> DataFrame:
     return matrices["pt"].df.groupBy("i").agg(F.count("*").alias("n"), F.sum("j").alias("terms"))
 
 
+def _paper_search(s: SparkSession, d: str) -> DataFrame:
+    """Papers most similar by their terms, with their names, over the built graph."""
+    p = B.build(papers(s, d))
+    pt = SparseMatrix.of(p.pt, "pid", "tid")
+    return _search(pt, 5, p.papers.select(F.col("pid").alias("id"), F.col("id").alias("name")))
+
+
+def _author_search(s: SparkSession, d: str) -> DataFrame:
+    """The path author, paper, term, paper, author for every author, with names."""
+    p = B.build(papers(s, d))
+    a, t = SparseMatrix.of(p.ap, "aid", "pid"), SparseMatrix.of(p.pt, "pid", "tid")
+    n = larger(a.cols, t.rows)
+    g = H.TypedGraph({("A", "P"): SparseMatrix(a.df, a.rows, n), ("P", "T"): SparseMatrix(t.df, n, t.cols)})
+    names = p.authors.select(F.col("aid").alias("id"), "name")
+    ml = H.metapath_product(g, H.left_half("APTPA"), most=None)
+    return R.pathsim_search(ml, p.authors.select(F.col("aid").alias("id")), 3, names).withColumn("score", F.round("score", 9))
+
+
 def _subset(s: SparkSession, d: str) -> DataFrame:
     o, li = _t(s, d, "orders"), _t(s, d, "lineitem")
     ap = o.select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("p"))
@@ -238,6 +264,7 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "flop_total": (lambda s, d: s.createDataFrame([(P.flop_total(*sq(s, d)),)], "flop long"), f"WITH {_FLOP} SELECT CAST(SUM(flop) AS BIGINT) AS flop FROM fr"),
         "flop_outer": (lambda s, d: (lambda a: a.df.groupBy("j").count().agg(F.sum(F.col("count") * F.col("count")).alias("flop")))(cp(s, d)), f"WITH {_CP} SELECT CAST(SUM(n * n) AS BIGINT) AS flop FROM (SELECT COUNT(*) AS n FROM cp GROUP BY j)"),
         "nnz_c_per_row": (lambda s, d: S.nnz_per_row(*sq(s, d)), f"WITH {_SP} SELECT a.i, COUNT(DISTINCT b.i) AS nnz FROM sp a JOIN sp b USING (j) GROUP BY a.i"),
+        "nnz_c_sketch": (lambda s, d: S.nnz_per_row(*sq(s, d)).join(S.nnz_per_row_sketch(*sq(s, d)).withColumnRenamed("nnz", "near"), "i").select("i", "nnz", (F.abs(F.col("near") - F.col("nnz")) <= 0.08 * F.col("nnz")).alias("within")), f"WITH {_SP} SELECT a.i, COUNT(DISTINCT b.i) AS nnz, TRUE AS within FROM sp a JOIN sp b USING (j) GROUP BY a.i"),
         "compression_factor": (lambda s, d: S.compression_factor(*sq(s, d)).select("i", "flop", "nnz", F.round("cf", 9).alias("cf")), f"WITH {_CF} SELECT i, flop, nnz, round(CASE WHEN nnz = 0 THEN 0.0 ELSE CAST(flop AS DOUBLE) / nnz END, 9) AS cf FROM cf"),
         "bound_check": (lambda s, d: S.bound_check(*sq(s, d)), f'WITH {_CF}, m AS (SELECT max(i) + 1 AS nc FROM sp) SELECT COUNT(*) FILTER (least(flop, nc) > nnz) AS "over", COUNT(*) FILTER (least(flop, nc) < nnz) AS under FROM cf, m'),
         "bin_id": (lambda s, d: S.row_bins(*sq(s, d)), f"WITH {_FLOP}, m AS (SELECT max(i) + 1 AS nc FROM sp) SELECT i, flop, CAST(CASE WHEN flop = 0 THEN 0 ELSE greatest(0, ceil(log2(least(flop, nc) / 8.0))) + 1 END AS INTEGER) AS bin FROM fr, m"),
@@ -245,8 +272,11 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "balanced_ranges": (lambda s, d: L.balanced_ranges(S.flop_per_row(*sq(s, d)), 8).groupBy("part").agg(F.min("i").alias("first"), F.count("*").alias("n")), f'WITH {_FLOP}, x AS (SELECT i, COALESCE(SUM(flop) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix, ceil(SUM(flop) OVER () / 8.0) AS share FROM fr) SELECT CAST(least(floor(prefix / share), 7) AS BIGINT) AS part, MIN(i) AS "first", COUNT(*) AS n FROM x GROUP BY 1'),
         "row_hotness": (lambda s, d: (lambda a: S.row_hotness(a, a.transpose()).select("k", "refs", F.round("freq", 12).alias("freq"), "nnz"))(sp(s, d)), f"WITH {_SP} SELECT j AS k, COUNT(*) AS refs, round(COUNT(*) / (SELECT COUNT(*) FROM sp), 12) AS freq, COUNT(*) AS nnz FROM sp GROUP BY j HAVING COUNT(*) / (SELECT COUNT(*) FROM sp) > 1e-4"),
         "matrix_stats": (lambda s, d: S.matrix_stats(*sq(s, d)).withColumn("flop_per_nnz", F.round("flop_per_nnz", 9)), f"WITH {_CF} SELECT (SELECT max(i) + 1 FROM sp) AS n_rows, (SELECT max(j) + 1 FROM sp) AS n_cols, (SELECT COUNT(*) FROM sp) AS nnz_a, CAST(SUM(nnz) AS BIGINT) AS nnz_c, CAST(SUM(flop) AS BIGINT) AS flop, round(CAST(SUM(flop) AS DOUBLE) / SUM(nnz), 9) AS flop_per_nnz FROM cf"),
-        "checksum": (lambda s, d: P.spgemm(*sq(s, d)).checksum(), f"WITH {_SP}, {_SPP} SELECT COUNT(*) AS nnz, CAST(SUM(j) AS BIGINT) AS sum_col, SUM(v) AS sum_val FROM spgemm"),
-        "spgemm_supp_part": (lambda s, d: P.spgemm(*sq(s, d)).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm"),
+        "checksum": (lambda s, d: R.grid_spgemm(*sq(s, d)).checksum(), f"WITH {_SP}, {_SPP} SELECT COUNT(*) AS nnz, CAST(SUM(j) AS BIGINT) AS sum_col, SUM(v) AS sum_val FROM spgemm"),
+        "spgemm_supp_part": (lambda s, d: R.grid_spgemm(*sq(s, d)).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm"),
+        "spgemm_join": (lambda s, d: P.spgemm(*sq(s, d)).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm"),
+        "spgemm_balanced": (lambda s, d: R.balanced_spgemm(*sq(s, d)).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm"),
+        "balanced_cells": (lambda s, d: R.cell_work(*sq(s, d), 4, 4).agg(F.sum("flop").alias("flop"), (F.max("flop") <= 2 * F.median("flop")).alias("even")), f"WITH {_FLOP} SELECT CAST(SUM(flop) AS BIGINT) AS flop, TRUE AS even FROM fr"),
         "spgemm_salted": (lambda s, d: (lambda a: P.salted_spgemm(a, a.transpose()).df)(ue(s, d)), f"WITH {_UE} SELECT a.i, b.i AS j, CAST(COUNT(*) AS DOUBLE) AS v FROM ue a JOIN ue b USING (j) GROUP BY 1, 2"),
         "spgemm_minplus": (_minplus, f"WITH {_SP} SELECT a.i, b.i AS j, MIN(a.v + b.v) AS v FROM sp a JOIN sp b USING (j) GROUP BY 1, 2"),
         "spgemm_maxmin": (lambda s, d: P.spgemm(*sq(s, d), mul=F.least, add=F.max).df, f"WITH {_SP} SELECT a.i, b.i AS j, MAX(least(a.v, b.v)) AS v FROM sp a JOIN sp b USING (j) GROUP BY 1, 2"),
@@ -260,13 +290,17 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "spmv_const": (lambda s, d: P.spmv(sp(s, d), 3.0, dense=True), f"WITH {_SP}, {_ROWS} SELECT r.i, COALESCE(3.0 * SUM(v), 0.0) AS v FROM r LEFT JOIN sp USING (i) GROUP BY r.i"),
         "spmv_part_size": (lambda s, d: P.spmv(sp(s, d), _t(s, d, "part").selectExpr("p_partkey as j", "cast(p_size as double) as v")), f"WITH {_SP} SELECT i, SUM(v * p_size) AS v FROM sp JOIN part ON j = p_partkey GROUP BY i"),
         "spmm_k": (lambda s, d: P.spmm(sp(s, d), _t(s, d, "part").select(F.col("p_partkey").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), (F.col("p_size") % 5).cast("double").alias("v")).withColumn("v", F.col("v") + F.col("k"))), f"WITH {_SP}, k AS (SELECT unnest([0, 1, 2, 3]) AS k) SELECT i, k, SUM(v * (p_size % 5 + k)) AS v FROM sp JOIN part ON j = p_partkey CROSS JOIN k GROUP BY i, k"),
-        "set_similarity_overlap": (lambda s, d: P.set_similarity(cp(s, d), overlap=4).select("i", "j", "overlap"), f"WITH {_CP} SELECT a.i, b.i AS j, COUNT(*) AS overlap FROM cp a JOIN cp b ON a.j = b.j AND a.i < b.i GROUP BY 1, 2 HAVING COUNT(*) >= 4"),
-        "set_similarity_jaccard": (lambda s, d: P.set_similarity(op(s, d), 2, 0.3).select("i", "j", "overlap", F.round("jaccard", 9).alias("jaccard")), f"WITH {_OP}, n AS (SELECT i, COUNT(*) AS n FROM op GROUP BY i), o AS (SELECT a.i, b.i AS j, COUNT(*) AS overlap FROM op a JOIN op b ON a.j = b.j AND a.i < b.i GROUP BY 1, 2 HAVING COUNT(*) >= 2) SELECT o.i, o.j, overlap, round(CAST(overlap AS DOUBLE) / (x.n + y.n - overlap), 9) AS jaccard FROM o JOIN n x ON o.i = x.i JOIN n y ON o.j = y.i WHERE CAST(overlap AS DOUBLE) / (x.n + y.n - overlap) >= 0.3"),
+        "set_similarity_overlap": (lambda s, d: J.set_similarity(cp(s, d), overlap=4).select("i", "j", "overlap"), f"WITH {_CP} SELECT a.i, b.i AS j, COUNT(*) AS overlap FROM cp a JOIN cp b ON a.j = b.j AND a.i < b.i GROUP BY 1, 2 HAVING COUNT(*) >= 4"),
+        "set_similarity_jaccard": (lambda s, d: J.set_similarity(op(s, d), 2, 0.3).select("i", "j", "overlap", F.round("jaccard", 9).alias("jaccard")), f"WITH {_OP}, n AS (SELECT i, COUNT(*) AS n FROM op GROUP BY i), o AS (SELECT a.i, b.i AS j, COUNT(*) AS overlap FROM op a JOIN op b ON a.j = b.j AND a.i < b.i GROUP BY 1, 2 HAVING COUNT(*) >= 2) SELECT o.i, o.j, overlap, round(CAST(overlap AS DOUBLE) / (x.n + y.n - overlap), 9) AS jaccard FROM o JOIN n x ON o.i = x.i JOIN n y ON o.j = y.i WHERE CAST(overlap AS DOUBLE) / (x.n + y.n - overlap) >= 0.3"),
+        "set_similarity_links": (lambda s, d: J.similarity_links(op(s, d), 2, 0.3), f"WITH {_OP}, n AS (SELECT i, COUNT(*) AS n, list(j ORDER BY j) AS ks FROM op GROUP BY i), o AS (SELECT a.i, b.i AS j, COUNT(*) AS overlap FROM op a JOIN op b ON a.j = b.j AND a.i <> b.i GROUP BY 1, 2 HAVING COUNT(*) >= 2), l AS (SELECT o.i, COUNT(*) AS links FROM o JOIN n x ON o.i = x.i JOIN n y ON o.j = y.i WHERE CAST(overlap AS DOUBLE) / (x.n + y.n - overlap) >= 0.3 GROUP BY o.i) SELECT n.i, MIN(n.i) OVER (PARTITION BY ks) AS c, COALESCE(links, 0) AS links FROM n LEFT JOIN l USING (i)"),
         "pathsim_sps_topk": (lambda s, d: _score(H.pathsim_topk(H.metapath_product(hin(s, d), "SP"), 0, 10)), _PATH.format("ml AS (SELECT DISTINCT l_suppkey AS i, l_partkey AS j, CAST(1 AS DOUBLE) AS v FROM lineitem)", 0, 10)),
         "pathsim_cpc": (lambda s, d: _score(H.pathsim_topk(H.metapath_product(hin(s, d), "CP"), 1, 10)), _PATH.format(f"{_CP}, ml AS (SELECT i, j, CAST(1 AS DOUBLE) AS v FROM cp)", 1, 10)),
         "pathsim_chain3": (_chain3, _PATH.format(f"{_OP}, ml AS (SELECT o_custkey AS i, j, CAST(COUNT(*) AS DOUBLE) AS v FROM orders JOIN op ON o_orderkey = op.i GROUP BY 1, 2)", 1, 10)),
+        "pathsim_sps_search": (lambda s, d: _search(H.metapath_product(hin(s, d), "SP"), 5), _SEARCH.format("ml AS (SELECT DISTINCT l_suppkey AS i, l_partkey AS j, CAST(1 AS DOUBLE) AS v FROM lineitem)", 5)),
+        "pathsim_cpc_search": (lambda s, d: _search(H.metapath_product(hin(s, d), "CP"), 5), _SEARCH.format(f"{_CP}, ml AS (SELECT i, j, CAST(1 AS DOUBLE) AS v FROM cp)", 5)),
+        "pathsim_chain3_search": (lambda s, d: _search(H.metapath_product(hin(s, d), H.left_half("COPOC")), 5), _SEARCH.format(f"{_OP}, ml AS (SELECT o_custkey AS i, j, CAST(COUNT(*) AS DOUBLE) AS v FROM orders JOIN op ON o_orderkey = op.i GROUP BY 1, 2)", 5)),
         "pathsim_diag": (lambda s, d: H.diagonal(sp(s, d)), f"WITH {_SP} SELECT i, SUM(v * v) AS d FROM sp GROUP BY i"),
-        "pathsim_all_topk": (lambda s, d: H.pathsim_all(sp(s, d), 3).withColumn("score", F.round("score", 9)), f"WITH {_SP}, {_SPP}, d AS (SELECT i, SUM(v * v) AS d FROM sp GROUP BY i), x AS (SELECT m.i, m.j, 2 * m.v / (a.d + b.d) AS score FROM spgemm m JOIN d a ON m.i = a.i JOIN d b ON m.j = b.i WHERE m.i <> m.j), y AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS k FROM x) SELECT i, j, round(score, 9) AS score FROM y WHERE k <= 3"),
+        "pathsim_all_topk": (lambda s, d: R.pathsim_all(sp(s, d), 3).withColumn("score", F.round("score", 9)), f"WITH {_SP}, {_SPP}, d AS (SELECT i, SUM(v * v) AS d FROM sp GROUP BY i), x AS (SELECT m.i, m.j, 2 * m.v / (a.d + b.d) AS score FROM spgemm m JOIN d a ON m.i = a.i JOIN d b ON m.j = b.i WHERE m.i <> m.j), y AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS k FROM x) SELECT i, j, round(score, 9) AS score FROM y WHERE k <= 3"),
         "triangle_count": (lambda s, d: G.triangle_count(pp(s, d, once=False)), f"WITH {_PP} SELECT COUNT(*) AS triangles FROM pp a JOIN pp b ON a.j = b.i JOIN pp c ON c.i = a.i AND c.j = b.j"),
         "masked_edge_count": (lambda s, d: G.masked_edge_count(pp(s, d)), f"WITH {_SYM}, lo AS (SELECT i, j FROM pe WHERE i > j), h AS (SELECT DISTINCT a.i, b.i AS j FROM lo a JOIN lo b ON a.j = b.j AND a.i > b.i JOIN lo m ON m.i = a.i AND m.j = b.i) SELECT COUNT(*) AS l, COUNT(*) AS u, 2 * COUNT(*) AS total FROM h"),
         "wedge_count": (lambda s, d: s.createDataFrame([(G.wedge_count(pp(s, d)),)], "wedges long"), f"WITH {_SYM} SELECT COUNT(*) AS wedges FROM pe a JOIN pe b ON a.j = b.i WHERE a.i > a.j AND b.i < b.j"),
@@ -286,7 +320,7 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "hin_subset": (_subset, "WITH ap AS (SELECT o_custkey AS a, o_orderkey AS p FROM orders), cp AS (SELECT DISTINCT l_suppkey AS c, l_orderkey AS p FROM lineitem), pt AS (SELECT DISTINCT l_orderkey AS p, l_partkey AS t FROM lineitem), v AS (SELECT c FROM cp GROUP BY c ORDER BY COUNT(*) DESC, c LIMIT 5), a1 AS (SELECT * FROM ap WHERE p IN (SELECT p FROM cp WHERE c IN (SELECT c FROM v))), a2 AS (SELECT * FROM a1 WHERE a IN (SELECT a FROM a1 GROUP BY a HAVING COUNT(*) >= 2)), t1 AS (SELECT * FROM pt WHERE p IN (SELECT p FROM a2)) SELECT t, COUNT(*) AS n FROM t1 GROUP BY t HAVING COUNT(*) >= 2"),
         "tokenize_df": (lambda s, d: T.document_frequency(_t(s, d, "documents"), "text"), f"WITH {_TERMS} SELECT term, df FROM tf"),
         "vocab_ids": (lambda s, d: T.vocabulary(_t(s, d, "documents"), "text"), f"WITH {_TERMS} SELECT term, row_number() OVER (ORDER BY term) AS term_id FROM tf"),
-        "doc_term_edges": (lambda s, d: T.document_terms(_t(s, d, "documents"), "doc_id", "text"), f"WITH {_TERMS}, ids AS (SELECT term, row_number() OVER (ORDER BY term) AS term_id FROM tf) SELECT doc_id, term_id FROM w JOIN ids USING (term)"),
+        "doc_term_edges": (lambda s, d: T.document_terms(_t(s, d, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("term_id").alias("sum_id")), f"WITH {_TERMS}, ids AS (SELECT term, row_number() OVER (ORDER BY term) AS term_id FROM tf) SELECT doc_id, COUNT(*) AS terms, CAST(SUM(term_id) AS BIGINT) AS sum_id FROM w JOIN ids USING (term) GROUP BY doc_id"),
         "sanitize": (lambda s, d: _t(s, d, "documents").select("doc_id", T.sanitize(F.col("text")).alias("clean")), r"SELECT doc_id, trim(translate(text, chr(9) || chr(10) || chr(13), '   '), ' ') AS clean FROM documents"),
         "sample_top_users": (lambda s, d: T.sample_top(_t(s, d, "events").select("user_id", "event_id"), "user_id", 20), "SELECT user_id, event_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id ORDER BY COUNT(*) DESC, user_id LIMIT 20)"),
         "sample_uniform": (lambda s, d: T.sample_uniform(_t(s, d, "events").select("user_id", "event_id"), "user_id", 20), None),
@@ -305,14 +339,12 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "edges_round_trip": (_round_trip("edges"), f"WITH {_PP} SELECT i, j, CAST(1 AS DOUBLE) AS v FROM pp UNION ALL SELECT j, i, CAST(1 AS DOUBLE) FROM pp"),
         "hin_from_json": (_json, "WITH x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pid, lang, source FROM documents) SELECT name, doc_id AS id, pid FROM (SELECT DISTINCT doc_id, pid, unnest([lang, source]) AS name FROM x) WHERE name <> ''"),
         "hin_author_ids": (lambda s, d: B.build(papers(s, d)).authors, "WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, lang, source FROM documents), w AS (SELECT 2 * pid AS place, lang AS name FROM x UNION ALL SELECT 2 * pid + 1, source FROM x) SELECT row_number() OVER (ORDER BY MIN(place)) AS aid, name FROM w WHERE name <> '' GROUP BY name"),
-        "hin_terms": (lambda s, d: B.build(papers(s, d)).pt, f"WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, lower(substr(text, 1, 100)) AS t FROM documents), w AS MATERIALIZED (SELECT DISTINCT pid, unnest(regexp_extract_all(t, '([a-z]+)', 1)) AS term FROM x), tf AS (SELECT term FROM w WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2), ids AS (SELECT term, row_number() OVER (ORDER BY term) AS tid FROM tf) SELECT pid, tid FROM w JOIN ids USING (term)"),
-        "hin_subset_matrices": (_subset_matrices, f"WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, lang, source, lower(substr(text, 1, 100)) AS t FROM documents), v AS (SELECT source FROM x GROUP BY source ORDER BY COUNT(*) DESC, MIN(pid) LIMIT 5), kp AS (SELECT * FROM x WHERE source IN (SELECT source FROM v)), ap AS (SELECT DISTINCT pid, unnest([lang, source]) AS name FROM kp), ka AS (SELECT pid FROM ap WHERE name IN (SELECT name FROM ap GROUP BY name HAVING COUNT(*) >= 2)), w0 AS MATERIALIZED (SELECT DISTINCT pid, unnest(regexp_extract_all(t, '([a-z]+)', 1)) AS term FROM x), tf AS (SELECT term FROM w0 WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2), w1 AS (SELECT pid, term FROM w0 JOIN tf USING (term) WHERE pid IN (SELECT pid FROM ka)), w AS (SELECT pid, term FROM w1 WHERE term IN (SELECT term FROM w1 GROUP BY term HAVING COUNT(*) >= 3)), ps AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS i FROM (SELECT DISTINCT pid FROM ka)), ts AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS j FROM (SELECT DISTINCT term FROM w)) SELECT i, COUNT(*) AS n, CAST(SUM(j) AS BIGINT) AS terms FROM w JOIN ps USING (pid) JOIN ts USING (term) GROUP BY i"),
+        "hin_terms": (lambda s, d: B.build(papers(s, d)).pt, f"WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, lower(text) AS t FROM documents), w AS MATERIALIZED (SELECT DISTINCT pid, unnest(regexp_extract_all(t, '([a-z]+)', 1)) AS term FROM x), tf AS (SELECT term FROM w WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2), ids AS (SELECT term, row_number() OVER (ORDER BY term) AS tid FROM tf) SELECT pid, tid FROM w JOIN ids USING (term)"),
+        "hin_paper_search": (_paper_search, f"WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, doc_id, lang, source, lower(text) AS t FROM documents), w AS MATERIALIZED (SELECT DISTINCT pid, unnest(regexp_extract_all(t, '([a-z]+)', 1)) AS term FROM x), tf AS (SELECT term FROM w WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2), pt AS MATERIALIZED (SELECT pid, term FROM w JOIN tf USING (term)), d AS (SELECT pid, COUNT(*) AS d FROM pt GROUP BY pid), m AS (SELECT q.pid AS query, y.pid AS id, COUNT(*) AS m FROM pt q JOIN pt y USING (term) WHERE q.pid % 20 = 0 GROUP BY 1, 2), r AS (SELECT query, id, 2.0 * m / (a.d + b.d) AS score FROM m JOIN d a ON a.pid = query JOIN d b ON b.pid = id), p AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS place, id, score FROM r) SELECT query, place, id, CAST(doc_id AS VARCHAR) AS name, round(CAST(score AS DOUBLE), 9) AS score FROM p JOIN x ON x.pid = p.id WHERE place <= 5"),
+        "hin_author_search": (_author_search, f"WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, doc_id, lang, source, lower(text) AS t FROM documents), w AS MATERIALIZED (SELECT DISTINCT pid, unnest(regexp_extract_all(t, '([a-z]+)', 1)) AS term FROM x), tf AS (SELECT term FROM w WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2), pt AS MATERIALIZED (SELECT pid, term FROM w JOIN tf USING (term)), n AS (SELECT 2 * pid AS place, pid, lang AS name FROM x UNION ALL SELECT 2 * pid + 1, pid, source FROM x), au AS (SELECT row_number() OVER (ORDER BY MIN(place)) AS aid, name FROM n WHERE name <> '' GROUP BY name), ml AS (SELECT aid, term, COUNT(*) AS v FROM (SELECT DISTINCT aid, pid FROM n JOIN au USING (name)) JOIN pt USING (pid) GROUP BY 1, 2), d AS (SELECT aid, SUM(v * v) AS d FROM ml GROUP BY aid), m AS (SELECT a.aid AS query, b.aid AS id, SUM(a.v * b.v) AS m FROM ml a JOIN ml b USING (term) GROUP BY 1, 2), r AS (SELECT query, id, CAST(2 * m AS DOUBLE) / CAST(a.d + b.d AS DOUBLE) AS score FROM m JOIN d a ON a.aid = query JOIN d b ON b.aid = id), p AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS place, id, score FROM r) SELECT query, place, id, name, round(score, 9) AS score FROM p JOIN au ON au.aid = p.id WHERE place <= 3"),
+        "hin_subset_matrices": (_subset_matrices, f"WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, lang, source, lower(text) AS t FROM documents), v AS (SELECT source FROM x GROUP BY source ORDER BY COUNT(*) DESC, MIN(pid) LIMIT 5), kp AS (SELECT * FROM x WHERE source IN (SELECT source FROM v)), ap AS (SELECT DISTINCT pid, unnest([lang, source]) AS name FROM kp), ka AS (SELECT pid FROM ap WHERE name IN (SELECT name FROM ap GROUP BY name HAVING COUNT(*) >= 2)), w0 AS MATERIALIZED (SELECT DISTINCT pid, unnest(regexp_extract_all(t, '([a-z]+)', 1)) AS term FROM x), tf AS (SELECT term FROM w0 WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2), w1 AS (SELECT pid, term FROM w0 JOIN tf USING (term) WHERE pid IN (SELECT pid FROM ka)), w AS (SELECT pid, term FROM w1 WHERE term IN (SELECT term FROM w1 GROUP BY term HAVING COUNT(*) >= 3)), ps AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS i FROM (SELECT DISTINCT pid FROM ka)), ts AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS j FROM (SELECT DISTINCT term FROM w)) SELECT i, COUNT(*) AS n, CAST(SUM(j) AS BIGINT) AS terms FROM w JOIN ps USING (pid) JOIN ts USING (term) GROUP BY i"),
         "sort_dedup": (lambda s, d: (lambda r: r[0].withColumn("dropped", F.lit(r[1]).cast("long")))(L.sort_dedup(_t(s, d, "lineitem"), "l_suppkey", "l_partkey")), "SELECT DISTINCT l_suppkey, l_partkey, (SELECT COUNT(*) FROM lineitem) - (SELECT COUNT(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) AS dropped FROM lineitem"),
         "geomean": (lambda s, d: _t(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(S.geomean(F.col("l_quantity")), 6).alias("g")), "SELECT l_returnflag, round(exp(avg(ln(l_quantity))), 6) AS g FROM lineitem GROUP BY 1"),
-        "rmat": (lambda s, d: N.rmat(s, 10, 4000, "g500", seed=1).df, None),
-        "gnm": (lambda s, d: N.gnm(s, 1000, 5000, seed=1).df, None),
-        "gnp": (lambda s, d: N.gnp(s, 1000, 0.01, seed=1).df, None),
-        "ssca2": (lambda s, d: N.ssca2(s, 9, seed=1).df, None),
     }
 
 

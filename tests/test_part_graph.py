@@ -1,19 +1,11 @@
 """The part graph over all orders against brute force, with order ids far apart and a hot part."""
 
-import glob
-import os
 import random
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
-from knotwork.matrix import SparseMatrix
-from knotwork.operators import graph as G
 from knotwork.plans import queries as catalogue
-from knotwork.storage import materialize
 
 
 @pytest.fixture(scope="module")
@@ -44,69 +36,3 @@ def test_part_graph_of_all_orders(spark, tables):
     assert run("wedge_count")[0]["wedges"] == sum(j == j2 for _, j in low for _, j2 in low)
     hit = {(a, b) for a, b in low if any((a, k) in low and (b, k) in low for k in rank)}
     assert tuple(run("masked_edge_count")[0]) == (len(hit), len(hit), 2 * len(hit))
-
-
-def test_wedges_by_passes(spark, monkeypatch):
-    """Counts of triangles and masked edges don't depend on how many passes take the
-    edges or how many wedges go together, and no stage gets a row for each wedge."""
-    rng = random.Random(7)
-    edges = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(250)} | {(0, k) for k in range(1, 40)})
-    a = SparseMatrix.from_entries(spark, [*edges, *((j, i) for i, j in edges[:50]), (3, 3), *edges[:9]], 40, 40)
-    known = set(edges)
-    want = sum((x, y) in known and (y, z) in known and (x, z) in known for x, y, z in combinations(range(40), 3))
-    hit = {(x, y) for x, y in known if any((k, x) in known and (k, y) in known for k in range(x))}
-    for most, chunk in ((1 << 23, 1 << 15), (60, 5), (25, 1)):
-        monkeypatch.setattr(G, "CHUNK", chunk)
-        assert G.closed_wedges(G.ordered_lists(a, "both"), False, most) == want
-        assert G.closed_wedges(G.ordered_lists(a, None), True, most) == len(hit)
-        if most == 60:
-            monkeypatch.setattr(G, "VERTICES", 3)
-    assert G.masked_edge_count(a, order=False).first()["l"] == len(hit)
-    none = SparseMatrix.from_entries(spark, [(1, 1)], 3, 3)
-    assert G.triangle_count(none).first()[0] == 0 == G.masked_edge_count(none).first()["l"]
-
-
-def test_triangles_without_joined_wedges(spark, monkeypatch):
-    """A row for each wedge is too much to shuffle, so none is made."""
-    monkeypatch.setattr(G, "_wedges", lambda edges: pytest.fail("wedges are joined"))
-    full = SparseMatrix.from_entries(spark, list(combinations(range(20), 2)), 20, 20)
-    assert G.triangle_count(full).first()["triangles"] == 20 * 19 * 18 // 6
-
-
-def test_edges_are_written_and_shuffled_packed(spark):
-    """From making the edges to the count, disk takes at most 10 bytes of each edge."""
-    rng = np.random.default_rng(3)
-    known = np.triu(rng.random((1000, 1000)) < 0.2, 1)
-    edges = spark.createDataFrame(pa.table(dict(zip("ij", np.nonzero(known), strict=True)))).withColumn("v", F.lit(1.0))
-    a = SparseMatrix(materialize(edges), 1000, 1000)
-    sc = spark.sparkContext._jsc.sc()
-
-    def written() -> int:
-        sc.listenerBus().waitUntilEmpty()
-        folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
-        return sc.statusStore().executorSummary("driver").totalShuffleWrite() + sum(os.path.getsize(f) for f in glob.glob(f"{folder}/**", recursive=True) if os.path.isfile(f))
-
-    before = written()
-    got = G.triangle_count(a).first()["triangles"]
-    whole = known.astype(np.int64)
-    assert got == ((whole @ whole) * whole).sum()
-    assert written() - before < 10 * known.sum()
-
-
-@pytest.mark.parametrize("stretch", [1, (1 << 40) + 3])
-def test_packed_lists(spark, stretch):
-    """Each edge is once in the lists, from whichever rows it came, a hub's edges
-    point to it, and triangles don't depend on the lists' rows or the ids' size."""
-    rng = random.Random(9)
-    edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(300)} | {(5, k) for k in range(6, 300)}
-    entries = [(i * stretch, j * stretch) for i, j in [*sorted(edges) * 3, *((j, i) for i, j in edges), (7, 7)]]
-    rng.shuffle(entries)
-    a = SparseMatrix.from_entries(spark, entries, 300 * stretch, 300 * stretch)
-    want = sum((x, y) in edges and (y, z) in edges and (x, z) in edges for x, y, z in combinations(range(60), 3))
-    for most in (1 << 20, 40):
-        lists = G.packed_lists(a.df, most)
-        got = [(r["low"], h) for r in lists.collect() for h in r["highs"]]
-        assert len(got) == len({tuple(sorted(e)) for e in got}) == len(edges)
-        assert stretch > 1 or {tuple(sorted(e)) for e in got} == edges
-        assert stretch > 1 or [low for low, _ in got].count(5) == 0
-        assert want and G.closed_wedges(lists, False, 200) == want

@@ -277,33 +277,6 @@ def test_a_right_side_too_large_to_broadcast(spark, monkeypatch):
     assert entries(P.join_aggregate(a, a.transpose(), partitioned=False)) == want
 
 
-def test_all_pairs_by_passes(spark, monkeypatch):
-    """The best of all pairs against the product, however many passes take its rows
-    and however few multiplications go together; ids far apart, repeats and nulls."""
-    import random
-
-    rng = random.Random(3)
-    rows = [(rng.choice([0, 1, 2, 5, 9, 1 << 40]), rng.randrange(8), float(rng.randint(1, 5))) for _ in range(60)]
-    rows += [(7, 100, None), (8, 100, 2.0), (8, None, 3.0), (9, 3, None), (None, 3, 1.0)]
-    a = SparseMatrix(spark.createDataFrame(rows, "i long, j long, v double"), 1 << 41, 200)
-    d, dot = {}, {}
-    for i, j, v in rows:
-        if i is not None:
-            d[i] = d.get(i, 0) + (v or 0) ** 2
-            for i2, j2, v2 in rows:
-                if i2 is not None and i != i2 and j is not None and j == j2:
-                    dot.setdefault(i, {}).setdefault(i2, []).append(None if v is None or v2 is None else v * v2)
-    want = []
-    for i, others in dot.items():
-        score = {j: 2 * sum(got) / (d[i] + d[j]) if (got := [x for x in p if x is not None]) else None for j, p in others.items()}
-        want += [(i, j, score[j] and round(score[j], 9)) for j in sorted(score, key=lambda j: (score[j] is None, -(score[j] or 0), j))[:3]]
-    for most, flop in ((1 << 22, 1 << 18), (20, 3), (7, 1)):
-        monkeypatch.setattr(H, "FLOP", flop)
-        got = H.pathsim_all(a, 3, most).collect()
-        assert sorted((r["i"], r["j"], r["score"] and round(r["score"], 9)) for r in got) == sorted(want)
-    assert H.pathsim_all(SparseMatrix.from_entries(spark, [], 3, 3), 3).collect() == []
-
-
 def test_salted_product_of_rows_that_are_alike(spark, monkeypatch):
     """Rows with the same entries are multiplied once and stand for all of them, whatever
     the semiring; entries that repeat, without value or id included."""
