@@ -61,11 +61,29 @@ def magnitude_scan(hist: DataFrame, x: str, descending: bool, **sums: Column) ->
     return hist.withColumns({k: F.col(f"_i_{k}") + F.col(f"_t_{k}") for k in sums}).drop(*drop)
 
 
+def range_search(scanned: DataFrame, order: str, value: str, thresholds: DataFrame, above: bool = False) -> DataFrame:
+    """(t, at): for each different one of thresholds(t) the first place whose value is
+    at least t, or above it; null if there is none. The values ascend with order.
+
+    Values and thresholds are put in one order and dealt by ranges of it. The first
+    value after a threshold is in its range, or is the first of a later range that
+    has any; of these there is one for each range.
+    """
+    points = scanned.select(F.col(value).alias("x"), F.lit(1 if not above else 0).alias("kind"), F.col(order).alias("at"))
+    asked = thresholds.select(F.col("t").alias("x")).where("x is not null").distinct().select("x", F.lit(0 if not above else 1).alias("kind"), F.lit(None).cast(scanned.schema[order].dataType).alias("at"))
+    held = _ordered_parts(points.unionByName(asked), [F.col("x"), F.col("kind"), F.col("at")])
+    after = Window.partitionBy("_part").orderBy("x", "kind", "at").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    later = held.groupBy("_part").agg(F.min("at").alias("_own")).select("_part", F.min("_own").over(Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    found = held.withColumn("_in", F.min("at").over(after)).where(F.col("kind") == (0 if not above else 1)).join(F.broadcast(later), "_part")
+    return found.select(F.col("x").alias("t"), F.coalesce("_in", "_later").alias("at"))
+
+
 def lower_bound(scanned: DataFrame, order: str, value: str, thresholds: DataFrame) -> DataFrame:
-    """(t, at): for each of few thresholds(t) the first place whose value is at
-    least t, null if there is none. The values ascend with order."""
+    """(t, at): for each of thresholds(t) the first place whose value is at least t,
+    null if there is none. The values ascend with order. Few thresholds are
+    broadcast, many are searched in ranges."""
     if thresholds.limit(FEW + 1).count() > FEW:
-        raise ValueError(f"more than {FEW} thresholds; join them as ranges instead")
+        return thresholds.join(range_search(scanned, order, value, thresholds), "t", "left")
     hit = scanned.join(F.broadcast(thresholds), F.col(value) >= F.col("t"))
     return thresholds.join(hit.groupBy("t").agg(F.min(order).alias("at")), "t", "left")
 
@@ -80,21 +98,42 @@ def balanced_ranges(work: DataFrame, parts: int, weight: str = "flop") -> DataFr
     return scanned.withColumn("part", F.least(F.floor(F.col("prefix") / F.lit(share)), F.lit(parts - 1)).cast("long"))
 
 
+def orbit(nexts: DataFrame, first: int) -> DataFrame:
+    """(i): the places reached from first by nexts(i, to), first included, by pointer
+    doubling: a pass doubles both the steps that a place knows and the places
+    reached, so passes are the logarithm of their number. Places only go up."""
+    spark = nexts.sparkSession
+    steps = materialize(nexts.where("to is not null").select("i", "to"))
+    reached = spark.range(first, first + 1).toDF("i")
+    n = 1
+    while True:
+        more = reached.join(steps, "i").select(F.col("to").alias("i"))
+        reached = materialize(reached.unionByName(more))
+        found = reached.count()
+        if found < 2 * n:
+            return reached
+        n = found
+        steps = materialize(steps.join(steps.select(F.col("i").alias("to"), F.col("to").alias("_to")), "to").select("i", F.col("_to").alias("to")))
+
+
 def greedy_blocks(work: DataFrame, blocks: int, weight: str = "flop") -> DataFrame:
     """work(i, weight) with the block that each row falls in: a block takes rows in
     order until its weight is more than the whole part of an even share, and the
-    row that does it is its last. Each block's end is found by one pass over the
-    running sums; at most ``blocks`` rows reach the driver."""
-    held = materialize(exclusive_scan(work, "i", weight, "prefix").withColumn("upto", F.col("prefix") + F.col(weight)))
-    total = held.agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]
-    share, ends, start = total // blocks, [], 0
-    while (last := held.where(F.col("upto") > start + share).agg(F.min(F.struct("i", "upto"))).first()[0]) is not None:
-        ends.append(last["i"])
-        start = last["upto"]
-    block = F.lit(0)
-    if ends:
-        block = F.size(F.filter(F.lit(ends), lambda e: e < F.col("i")))
-    return held.withColumn("block", block.cast("long")).drop("prefix", "upto")
+    row that does it is its last.
+
+    A block that starts with some row is followed by the first row that has more
+    than a share and that row's own prefix before it; this is found for all rows
+    at once, and the starts that follow from the first row by pointer doubling.
+    """
+    held = materialize(exclusive_scan(work, "i", weight, "prefix"))
+    first, total = held.agg(F.min("i"), F.max(F.col("prefix") + F.col(weight))).first()
+    if first is None:
+        return held.withColumn("block", F.lit(0).cast("long")).drop("prefix")
+    rows = held.withColumn("t", F.col("prefix") + F.lit(total // blocks))
+    nexts = rows.join(range_search(held, "i", "prefix", rows.select("t"), above=True), "t").select("i", F.col("at").alias("to"))
+    starts = orbit(nexts, first).select("i", F.lit(1).cast("long").alias("_start"))
+    marked = held.join(starts, "i", "left").fillna(0, ["_start"])
+    return exclusive_scan(marked, "i", "_start", "_starts").withColumn("block", F.col("_starts") + F.col("_start") - 1).drop("prefix", "_start", "_starts")
 
 
 def bin_id(flop: Column, n_cols: int, smallest: int = 8) -> Column:

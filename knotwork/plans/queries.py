@@ -6,11 +6,11 @@ order). All take their whole tables."""
 from __future__ import annotations
 
 import atexit
-import glob
-import os
-import shutil
+import contextlib
+import re
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ from ..operators import metapath as H
 from ..operators import product as P
 from ..operators import similarity as J
 from ..operators import stats as S
-from ..sources import files, hin as B, mtx
+from ..sources import files, hin as B, mtx, store
 from ..storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,13 +90,16 @@ def papers(s: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(s: SparkSession) -> str:
-    """A new path in the shared folder, as the system's files see it. What lies there
-    is read when the result is, so it goes when the driver ends."""
-    path = f"{shared_folder(s).removeprefix('file://')}/round-trip-{uuid.uuid4().hex}"
+    """A new path in the shared folder, without the scheme of local files. What lies
+    there is read when the result is, so it goes when the driver ends."""
+    path = f"{re.sub('^file:(//)?(?=/)', '', shared_folder(s))}/round-trip-{uuid.uuid4().hex}"
+    conf, kind = s.sparkContext._jsc.hadoopConfiguration(), s.sparkContext._jvm.org.apache.hadoop.fs.Path
 
     def remove() -> None:
-        for x in glob.glob(f"{path}*"):
-            shutil.rmtree(x) if os.path.isdir(x) else os.remove(x)
+        with contextlib.suppress(Exception):  # the JVM may have ended before
+            system = kind(path).getFileSystem(conf)
+            for x in system.globStatus(kind(f"{path}*")) or []:
+                system.delete(x.getPath(), True)
 
     atexit.register(remove)
     return path
@@ -196,6 +199,41 @@ def _round_trip(kind: str) -> Query:
     return run
 
 
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """The product of a stored matrix and its transpose, joined bucket by bucket."""
+    path = _folder(s)
+    name = f"stored_{path.rsplit('-', 1)[1]}"
+    store.save(sp(s, d), name, path, 8)
+    a = store.load(s, name)
+    return store.stored_spgemm(a, a.transpose()).df
+
+
+def _guarded(s: SparkSession, d: str) -> DataFrame:
+    """What each product of a path takes, and whether the guard lets it pass."""
+    steps = hin(s, d).steps("SPO")
+    n = P.flop_total(*steps)
+    refused = False
+    try:
+        P.spgemm(*steps, most=n - 1)
+    except ValueError:
+        refused = True
+    return s.range(1).select(F.lit(n).cast("long").alias("flop"), F.lit(refused).alias("refused"))
+
+
+def _step_report(s: SparkSession, d: str) -> DataFrame:
+    """Skew of the work of each step of customer, order, part, supplier."""
+    rows = [S.concentration(df).select(F.lit(k).alias("step"), "crossover", F.round("gini", 9).alias("gini")) for k, df in enumerate(H.step_work(hin(s, d), "COPSPOC"))]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _ordered(df: DataFrame, *columns: str, descending: bool = False) -> DataFrame:
+    """Rows in order with their places, as a reader of the written order sees them."""
+    held = L.ordered(df, *columns, descending=descending)
+    way = F.desc if descending else F.asc
+    order = [*(way(c) for c in columns), *(c for c in df.columns if c not in columns)]
+    return L.global_rank(held, [o if not isinstance(o, str) else F.asc(o) for o in order], "place")
+
+
 def _json(s: SparkSession, d: str) -> DataFrame:
     """Author edges of the graph read from JSON lines."""
     path = _folder(s)
@@ -275,6 +313,7 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "checksum": (lambda s, d: R.grid_spgemm(*sq(s, d)).checksum(), f"WITH {_SP}, {_SPP} SELECT COUNT(*) AS nnz, CAST(SUM(j) AS BIGINT) AS sum_col, SUM(v) AS sum_val FROM spgemm"),
         "spgemm_supp_part": (lambda s, d: R.grid_spgemm(*sq(s, d)).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm"),
         "spgemm_join": (lambda s, d: P.spgemm(*sq(s, d)).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm"),
+        "spgemm_stored": (_stored, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm"),
         "spgemm_balanced": (lambda s, d: R.balanced_spgemm(*sq(s, d)).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm"),
         "balanced_cells": (lambda s, d: R.cell_work(*sq(s, d), 4, 4).agg(F.sum("flop").alias("flop"), (F.max("flop") <= 2 * F.median("flop")).alias("even")), f"WITH {_FLOP} SELECT CAST(SUM(flop) AS BIGINT) AS flop, TRUE AS even FROM fr"),
         "spgemm_salted": (lambda s, d: (lambda a: P.salted_spgemm(a, a.transpose()).df)(ue(s, d)), f"WITH {_UE} SELECT a.i, b.i AS j, CAST(COUNT(*) AS DOUBLE) AS v FROM ue a JOIN ue b USING (j) GROUP BY 1, 2"),
@@ -299,6 +338,13 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "pathsim_sps_search": (lambda s, d: _search(H.metapath_product(hin(s, d), "SP"), 5), _SEARCH.format("ml AS (SELECT DISTINCT l_suppkey AS i, l_partkey AS j, CAST(1 AS DOUBLE) AS v FROM lineitem)", 5)),
         "pathsim_cpc_search": (lambda s, d: _search(H.metapath_product(hin(s, d), "CP"), 5), _SEARCH.format(f"{_CP}, ml AS (SELECT i, j, CAST(1 AS DOUBLE) AS v FROM cp)", 5)),
         "pathsim_chain3_search": (lambda s, d: _search(H.metapath_product(hin(s, d), H.left_half("COPOC")), 5), _SEARCH.format(f"{_OP}, ml AS (SELECT o_custkey AS i, j, CAST(COUNT(*) AS DOUBLE) AS v FROM orders JOIN op ON o_orderkey = op.i GROUP BY 1, 2)", 5)),
+        "metapath_cheapest": (lambda s, d: H.metapath_product(hin(s, d), "SPOCP", cheapest=True).df.groupBy("i").agg(F.count("*").alias("nnz"), F.sum("v").alias("total")), f"WITH {_OP}, s AS (SELECT DISTINCT l_suppkey AS i, l_partkey AS j FROM lineitem), a AS (SELECT s.i, op.i AS o, COUNT(*) AS v FROM s JOIN op USING (j) GROUP BY 1, 2), b AS (SELECT a.i, o_custkey AS c, SUM(v) AS v FROM a JOIN orders ON o_orderkey = o GROUP BY 1, 2), {_CP}, e AS (SELECT b.i, cp.j, SUM(b.v) AS v FROM b JOIN cp ON cp.i = b.c GROUP BY 1, 2) SELECT i, COUNT(*) AS nnz, CAST(SUM(v) AS DOUBLE) AS total FROM e GROUP BY i"),
+        "product_guard": (_guarded, f"WITH {_OP}, s AS (SELECT DISTINCT l_suppkey AS i, l_partkey AS j FROM lineitem) SELECT COUNT(*) AS flop, TRUE AS refused FROM s JOIN op USING (j)"),
+        "step_work_report": (_step_report, f"WITH {_OP}, co AS (SELECT o_custkey AS i, o_orderkey AS j FROM orders), ps AS (SELECT l_partkey AS i, COUNT(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1), oc AS (SELECT i, COUNT(*) AS n FROM op GROUP BY i), r AS (SELECT unnest(range(0, (SELECT max(o_custkey) + 1 FROM orders))) AS i), w0 AS (SELECT co.i, SUM(n) AS flop FROM co JOIN oc ON co.j = oc.i GROUP BY 1), cpo AS (SELECT co.i, op.j FROM co JOIN op ON op.i = co.j GROUP BY 1, 2), w1 AS (SELECT cpo.i, SUM(n) AS flop FROM cpo JOIN ps ON cpo.j = ps.i GROUP BY 1), f AS (SELECT 0 AS step, r.i, COALESCE(flop, 0) AS flop FROM r LEFT JOIN w0 USING (i) UNION ALL SELECT 1, r.i, COALESCE(flop, 0) FROM r LEFT JOIN w1 USING (i)), s AS (SELECT step, COUNT(*) AS n, SUM(flop) AS total FROM f GROUP BY step), c AS (SELECT step, flop, SUM(flop) OVER (PARTITION BY step ORDER BY flop DESC, i ROWS UNBOUNDED PRECEDING) AS c, row_number() OVER (PARTITION BY step ORDER BY flop, i) AS up FROM f) SELECT CAST(step AS INTEGER) AS step, CAST(COUNT(*) FILTER (c <= total / 2.0) + 1 AS BIGINT) AS crossover, round(2.0 * SUM(up * flop) / (any_value(n) * CAST(any_value(total) AS DOUBLE)) - (any_value(n) + 1.0) / any_value(n), 9) AS gini FROM c JOIN s USING (step) GROUP BY step"),
+        "sort_triples": (lambda s, d: _ordered(sp(s, d).df, "i", "j"), f"WITH {_SP} SELECT i, j, v, row_number() OVER (ORDER BY i, j, v) - 1 AS place FROM sp"),
+        "sort_pairs_by_value": (lambda s, d: _ordered(sp(s, d).df.select(F.col("j").alias("key"), F.col("v").alias("value")), "value", descending=True), f"WITH {_SP} SELECT j AS key, v AS value, row_number() OVER (ORDER BY v DESC, j) - 1 AS place FROM sp"),
+        "range_search": (lambda s, d: (lambda w: L.range_search(L.exclusive_scan(w, "i", "flop"), "i", "prefix", w.select((F.col("i") * 1000).alias("t"))))(S.flop_per_row(*sq(s, d))), f"WITH {_FLOP}, x AS (SELECT i, COALESCE(SUM(flop) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix FROM fr) SELECT t.i * 1000 AS t, MIN(x.i) AS at FROM fr t LEFT JOIN x ON x.prefix >= t.i * 1000 GROUP BY 1"),
+        "spmm_alpha_beta": (lambda s, d: (lambda b: P.spmm(sp(s, d), b, 2.0, 0.5, P.spmm(sp(s, d), b)))(_t(s, d, "part").select(F.col("p_partkey").alias("j"), F.lit(0).alias("k"), F.col("p_size").cast("double").alias("v"))), f"WITH {_SP} SELECT i, 0 AS k, 2.5 * SUM(v * p_size) AS v FROM sp JOIN part ON j = p_partkey GROUP BY i"),
         "pathsim_diag": (lambda s, d: H.diagonal(sp(s, d)), f"WITH {_SP} SELECT i, SUM(v * v) AS d FROM sp GROUP BY i"),
         "pathsim_all_topk": (lambda s, d: R.pathsim_all(sp(s, d), 3).withColumn("score", F.round("score", 9)), f"WITH {_SP}, {_SPP}, d AS (SELECT i, SUM(v * v) AS d FROM sp GROUP BY i), x AS (SELECT m.i, m.j, 2 * m.v / (a.d + b.d) AS score FROM spgemm m JOIN d a ON m.i = a.i JOIN d b ON m.j = b.i WHERE m.i <> m.j), y AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS k FROM x) SELECT i, j, round(score, 9) AS score FROM y WHERE k <= 3"),
         "triangle_count": (lambda s, d: G.triangle_count(pp(s, d, once=False)), f"WITH {_PP} SELECT COUNT(*) AS triangles FROM pp a JOIN pp b ON a.j = b.i JOIN pp c ON c.i = a.i AND c.j = b.j"),
@@ -339,7 +385,7 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "edges_round_trip": (_round_trip("edges"), f"WITH {_PP} SELECT i, j, CAST(1 AS DOUBLE) AS v FROM pp UNION ALL SELECT j, i, CAST(1 AS DOUBLE) FROM pp"),
         "hin_from_json": (_json, "WITH x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pid, lang, source FROM documents) SELECT name, doc_id AS id, pid FROM (SELECT DISTINCT doc_id, pid, unnest([lang, source]) AS name FROM x) WHERE name <> ''"),
         "hin_author_ids": (lambda s, d: B.build(papers(s, d)).authors, "WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, lang, source FROM documents), w AS (SELECT 2 * pid AS place, lang AS name FROM x UNION ALL SELECT 2 * pid + 1, source FROM x) SELECT row_number() OVER (ORDER BY MIN(place)) AS aid, name FROM w WHERE name <> '' GROUP BY name"),
-        "hin_terms": (lambda s, d: B.build(papers(s, d)).pt, f"WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, lower(text) AS t FROM documents), w AS MATERIALIZED (SELECT DISTINCT pid, unnest(regexp_extract_all(t, '([a-z]+)', 1)) AS term FROM x), tf AS (SELECT term FROM w WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2), ids AS (SELECT term, row_number() OVER (ORDER BY term) AS tid FROM tf) SELECT pid, tid FROM w JOIN ids USING (term)"),
+        "hin_terms": (lambda s, d: B.build(papers(s, d)).pt.groupBy("pid").agg(F.count("*").alias("terms"), F.sum("tid").alias("sum_tid")), f"WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, lower(text) AS t FROM documents), w AS MATERIALIZED (SELECT DISTINCT pid, unnest(regexp_extract_all(t, '([a-z]+)', 1)) AS term FROM x), tf AS (SELECT term FROM w WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2), ids AS (SELECT term, row_number() OVER (ORDER BY term) AS tid FROM tf) SELECT pid, COUNT(*) AS terms, CAST(SUM(tid) AS BIGINT) AS sum_tid FROM w JOIN ids USING (term) GROUP BY pid"),
         "hin_paper_search": (_paper_search, f"WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, doc_id, lang, source, lower(text) AS t FROM documents), w AS MATERIALIZED (SELECT DISTINCT pid, unnest(regexp_extract_all(t, '([a-z]+)', 1)) AS term FROM x), tf AS (SELECT term FROM w WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2), pt AS MATERIALIZED (SELECT pid, term FROM w JOIN tf USING (term)), d AS (SELECT pid, COUNT(*) AS d FROM pt GROUP BY pid), m AS (SELECT q.pid AS query, y.pid AS id, COUNT(*) AS m FROM pt q JOIN pt y USING (term) WHERE q.pid % 20 = 0 GROUP BY 1, 2), r AS (SELECT query, id, 2.0 * m / (a.d + b.d) AS score FROM m JOIN d a ON a.pid = query JOIN d b ON b.pid = id), p AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS place, id, score FROM r) SELECT query, place, id, CAST(doc_id AS VARCHAR) AS name, round(CAST(score AS DOUBLE), 9) AS score FROM p JOIN x ON x.pid = p.id WHERE place <= 5"),
         "hin_author_search": (_author_search, f"WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, doc_id, lang, source, lower(text) AS t FROM documents), w AS MATERIALIZED (SELECT DISTINCT pid, unnest(regexp_extract_all(t, '([a-z]+)', 1)) AS term FROM x), tf AS (SELECT term FROM w WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2), pt AS MATERIALIZED (SELECT pid, term FROM w JOIN tf USING (term)), n AS (SELECT 2 * pid AS place, pid, lang AS name FROM x UNION ALL SELECT 2 * pid + 1, pid, source FROM x), au AS (SELECT row_number() OVER (ORDER BY MIN(place)) AS aid, name FROM n WHERE name <> '' GROUP BY name), ml AS (SELECT aid, term, COUNT(*) AS v FROM (SELECT DISTINCT aid, pid FROM n JOIN au USING (name)) JOIN pt USING (pid) GROUP BY 1, 2), d AS (SELECT aid, SUM(v * v) AS d FROM ml GROUP BY aid), m AS (SELECT a.aid AS query, b.aid AS id, SUM(a.v * b.v) AS m FROM ml a JOIN ml b USING (term) GROUP BY 1, 2), r AS (SELECT query, id, CAST(2 * m AS DOUBLE) / CAST(a.d + b.d AS DOUBLE) AS score FROM m JOIN d a ON a.aid = query JOIN d b ON b.aid = id), p AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS place, id, score FROM r) SELECT query, place, id, name, round(score, 9) AS score FROM p JOIN au ON au.aid = p.id WHERE place <= 3"),
         "hin_subset_matrices": (_subset_matrices, f"WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, lang, source, lower(text) AS t FROM documents), v AS (SELECT source FROM x GROUP BY source ORDER BY COUNT(*) DESC, MIN(pid) LIMIT 5), kp AS (SELECT * FROM x WHERE source IN (SELECT source FROM v)), ap AS (SELECT DISTINCT pid, unnest([lang, source]) AS name FROM kp), ka AS (SELECT pid FROM ap WHERE name IN (SELECT name FROM ap GROUP BY name HAVING COUNT(*) >= 2)), w0 AS MATERIALIZED (SELECT DISTINCT pid, unnest(regexp_extract_all(t, '([a-z]+)', 1)) AS term FROM x), tf AS (SELECT term FROM w0 WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2), w1 AS (SELECT pid, term FROM w0 JOIN tf USING (term) WHERE pid IN (SELECT pid FROM ka)), w AS (SELECT pid, term FROM w1 WHERE term IN (SELECT term FROM w1 GROUP BY term HAVING COUNT(*) >= 3)), ps AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS i FROM (SELECT DISTINCT pid FROM ka)), ts AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS j FROM (SELECT DISTINCT term FROM w)) SELECT i, COUNT(*) AS n, CAST(SUM(j) AS BIGINT) AS terms FROM w JOIN ps USING (pid) JOIN ts USING (term) GROUP BY i"),

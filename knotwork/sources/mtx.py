@@ -1,8 +1,9 @@
 """Matrix Market text and binary coordinate files.
 
-Both readers plan byte (or record) ranges on the driver from the file's size
-and leave the parsing to the executors; paths must be readable by all
-machines.
+Readers of local files plan byte (or record) ranges on the driver from the file's
+size and leave the parsing to the executors; paths must be readable by all
+machines. Matrix Market goes to any other file system, too, by Spark's own text
+splits: a path with a scheme is a file, or a folder of a header and parts.
 """
 
 from __future__ import annotations
@@ -134,14 +135,60 @@ class BinSource(DataSource):
         return BinReader(dict(self.options))
 
 
+def _elsewhere(path: str) -> bool:
+    return "://" in path and not path.startswith("file://")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _banner(lines: list[str]) -> tuple[Header, str] | None:
+    """The header and its size line, if they are among a file's first lines."""
+    words = lines[0].lower().split() if lines and lines[0].startswith("%%MatrixMarket") else []
+    if {"skew-symmetric", "hermitian"} & set(words):
+        raise ValueError("only general and symmetric matrices can be read")
+    for line in lines:
+        if line.strip() and not line.startswith("%"):
+            a, b, n = (int(x) for x in line.split()[:3])
+            return Header(a, b, n, "symmetric" in words, "general" in words, 0), line
+    return None
+
+
+def _read_lines(spark: SparkSession, path: str) -> tuple[Header, DataFrame]:
+    """Header and entries of a file or folder anywhere, split as Spark splits text."""
+    if _exists(spark, f"{path}/header"):
+        head = _banner([r["value"] for r in spark.read.text(f"{path}/header").coalesce(1).collect()])
+        lines = spark.read.text(f"{path}/entries")
+    else:
+        lines, n, head = spark.read.text(path), 64, None
+        while head is None:
+            first = [r["value"] for r in lines.head(n)]
+            head = _banner(first)
+            if head is None and len(first) < n:
+                raise ValueError(f"{path} has no size line")
+            n *= 8
+        # the size line goes once; entries that read the same stay
+        again = lines.where(F.col("value") == head[1]).groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+        again = again.select("value", F.explode(F.sequence(F.lit(2).cast("long"), "n"))).select("value")
+        lines = lines.where(F.col("value") != head[1]).unionByName(again)
+    w = F.split(F.trim("value"), r"\s+")
+    rows = lines.where(~F.startswith("value", F.lit("%"))).select(w.alias("w")).where(F.size("w") >= 2)
+    value = F.when(F.size("w") > 2, F.get("w", F.lit(2)).cast("double")).otherwise(1.0)
+    return head[0], rows.select((F.col("w")[0].cast("long") - 1).alias("i"), (F.col("w")[1].cast("long") - 1).alias("j"), value.alias("v"))
+
+
 def read_mtx(spark: SparkSession, path: str, values: str = "keep", range_bytes: int = RANGE_BYTES, unless_general: bool = False) -> SparseMatrix:
     """values: keep, or ones for a pattern. Zeros are dropped, repeats kept, a
     symmetric file's entries off the diagonal mirrored. unless_general mirrors
     all files whose banner doesn't say general, those without one included."""
-    spark.dataSource.register(MtxSource)
-    h = read_header(path)
-    mirror = unless_general and not h.general
-    df = spark.read.format("mtx").option("path", path).option("rangeBytes", str(range_bytes)).load().where("v <> 0")
+    if _elsewhere(path):
+        h, df = _read_lines(spark, path)
+    else:
+        spark.dataSource.register(MtxSource)
+        h, df = read_header(path), spark.read.format("mtx").option("path", path).option("rangeBytes", str(range_bytes)).load()
+    df, mirror = df.where("v <> 0"), unless_general and not h.general
     if h.symmetric or mirror:
         df = df.unionByName(df.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
     m = SparseMatrix(df, h.n_rows, h.n_cols)
@@ -200,7 +247,8 @@ def load_pair(spark: SparkSession, name: str, folder: str = ".") -> tuple[Sparse
     """Operands of a dataset: name.org and name.trs, or name.org and its transpose."""
     a = read_mtx(spark, os.path.join(folder, f"{name}.org"))
     other = os.path.join(folder, f"{name}.trs")
-    return a, (read_mtx(spark, other) if os.path.exists(other) else a.transpose())
+    there = _exists(spark, other) if _elsewhere(other) else os.path.exists(other)
+    return a, (read_mtx(spark, other) if there else a.transpose())
 
 
 def _write_ranges(rows: DataFrame, size: Column, render: Callable[[pa.RecordBatch], bytes], path: str, head: bytes) -> None:
@@ -237,13 +285,19 @@ def _write_ranges(rows: DataFrame, size: Column, render: Callable[[pa.RecordBatc
 def write_mtx(m: SparseMatrix, path: str, values: str = "keep", symmetric: bool = False, dedup: bool = False) -> None:
     """One file, ordered, 1-based, written by all tasks at their places. values:
     keep, ones or none (pattern); symmetric writes i <= j only; dedup keeps the
-    smallest value of each place."""
+    smallest value of each place. On a path with a scheme, a folder of a header
+    and of parts in order."""
     df = m.df.where("i <= j") if symmetric else m.df
     df = df.groupBy("i", "j").agg(F.min("v").alias("v")) if dedup else df
     tail = {"keep": [F.col("v").cast("string")], "ones": [F.lit("1.000000")], "none": []}[values]
     lines = df.select("i", "j", F.concat(F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, *tail), F.lit("\n")).alias("value"))
     kind, shape = "pattern" if values == "none" else "real", "symmetric" if symmetric else "general"
     head = f"%%MatrixMarket matrix coordinate {kind} {shape}\n{m.n_rows} {m.n_cols} {df.count()}\n"
+    if _elsewhere(path):
+        lines = lines.orderBy("i", "j").select(F.rtrim(F.col("value"), F.lit("\n")).alias("value"))
+        lines.write.mode("overwrite").text(f"{path}/entries")
+        df.sparkSession.range(1).select(F.lit(head.rstrip("\n")).alias("value")).write.mode("overwrite").text(f"{path}/header")
+        return
     _write_ranges(lines, F.octet_length("value"), lambda b: "".join(b.column("value").to_pylist()).encode(), path, head.encode())
 
 

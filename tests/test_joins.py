@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from knotwork.matrix import SparseMatrix
 from knotwork.operators import graph as G
 from knotwork.operators import grid as R
+from knotwork.operators import layout as L
 from knotwork.operators import metapath as H
 from knotwork.operators import product as P
 from knotwork.operators import similarity as J
 from knotwork.operators import stats as S
+from knotwork.sources import mtx, store
 
 
 def test_triangles_and_masked_edges_by_colours(spark):
@@ -176,3 +178,109 @@ def test_a_column_of_all_rows_is_not_expanded(spark):
     assert found.count() == 0
     # by the prefix of an overlap of 2, which leaves the last column out
     assert sets.select(F.explode(F.slice("ks", F.lit(1), F.col("n") - 1)).alias("k")).where("k = 0").count() == 0
+
+
+def test_cheapest_order_of_a_chain(spark):
+    """Estimates equal the true multiplications of every part, and the order found is
+    the best of all orders."""
+    rng = random.Random(13)
+    shapes = [30, 4, 25, 3, 40]
+    dense = [[(i, j) for i in range(shapes[k]) for j in range(shapes[k + 1]) if rng.random() < 0.4] for k in range(4)]
+    mats = [SparseMatrix.from_entries(spark, x, shapes[k], shapes[k + 1]) for k, x in enumerate(dense)]
+    work = H.chain_work(mats)
+
+    def pattern(i, j):
+        got = set(dense[i])
+        for k in range(i + 1, j + 1):
+            right = {}
+            for a, b in dense[k]:
+                right.setdefault(a, []).append(b)
+            got = {(a, c) for a, b in got for c in right.get(b, [])}
+        return got
+
+    def flop(i, k, j):
+        right = {}
+        for a, _ in pattern(k + 1, j):
+            right[a] = right.get(a, 0) + 1
+        return sum(right.get(b, 0) for _, b in pattern(i, k))
+
+    assert {k: round(v) for k, v in work.items()} == {(i, k, j): flop(i, k, j) for i in range(4) for j in range(i + 1, 4) for k in range(i, j)}
+
+    def every(i, j):
+        return [0] if i == j else [x + y + flop(i, k, j) for k in range(i, j) for x in every(i, k) for y in every(k + 1, j)]
+
+    cost, cut = H.cheapest_order(4, work)
+    assert round(cost) == min(every(0, 3)) < flop(0, 0, 1) + flop(0, 1, 2) + flop(0, 2, 3)
+    g = H.TypedGraph({pair: m for pair, m in zip(["AB", "BC", "CD", "DE"], mats, strict=True)})
+    g.edges = {tuple(k): v for k, v in g.edges.items()}
+    key = lambda m: sorted(map(tuple, m.df.collect()))
+    assert key(H.metapath_product(g, "ABCDE", cheapest=True)) == key(H.metapath_product(g, "ABCDE"))
+
+
+def test_range_search_and_many_thresholds(spark, monkeypatch):
+    values = [0, 0, 3, 3, 3, 7, 20, 20, 21]
+    scanned = spark.createDataFrame(list(enumerate(values)), "at long, x long")
+    asked = [-5, 0, 1, 3, 4, 7, 8, 20, 21, 22, 3, None]
+    t = spark.createDataFrame([(x,) for x in asked], "t long")
+    for above in (False, True):
+        want = {x: next((k for k, v in enumerate(values) if (v > x if above else v >= x)), None) for x in asked if x is not None}
+        assert {r["t"]: r["at"] for r in L.range_search(scanned, "at", "x", t, above).collect()} == want
+    few = sorted(map(repr, L.lower_bound(scanned, "at", "x", t.where("t is not null")).collect()))
+    monkeypatch.setattr(L, "FEW", 3)
+    assert sorted(map(repr, L.lower_bound(scanned, "at", "x", t.where("t is not null")).collect())) == few
+
+
+def test_ten_thousand_blocks_in_few_passes(spark, monkeypatch):
+    """Blocks as a walk over the rows makes them; passes are the logarithm of their number."""
+    rng = random.Random(3)
+    for n, blocks in ((40, 7), (300, 250), (11_000, 10_000)):
+        flop = [rng.choice([0, 0, 1, 2, 3, 50]) if n < 1000 else 1 + (k % 3 == 0) for k in range(n)]
+        work = spark.createDataFrame(list(enumerate(flop)), "i long, flop long")
+        want, block, cur = [], 0, 0
+        for k, w in enumerate(flop):
+            if k and cur > sum(flop) // blocks:
+                block, cur = block + 1, 0
+            cur += w
+            want.append((k, w, block))
+        passes = []
+        kept = L.materialize
+        monkeypatch.setattr(L, "materialize", lambda df: passes.append(1) or kept(df))
+        assert sorted(map(tuple, L.greedy_blocks(work, blocks).select("i", "flop", "block").collect())) == want
+        monkeypatch.setattr(L, "materialize", kept)
+        assert len(passes) < 2 * 15 + 6
+    none = spark.createDataFrame([], "i long, flop long")
+    assert L.greedy_blocks(none, 3).collect() == []
+
+
+def test_stored_products_join_without_exchange(spark, tmp_path):
+    rng = random.Random(1)
+    a = SparseMatrix.from_entries(spark, [(rng.randrange(20), rng.randrange(9), float(k % 4)) for k in range(90)], 20, 9)
+    store.save(a, "stored_test", str(tmp_path), 4)
+    held = store.load(spark, "stored_test")
+    assert (held.n_rows, held.n_cols) == (20, 9)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(held.matrix.df) == key(a.df) == key(held.transpose().transpose().by_col)
+    got = store.stored_spgemm(held, held.transpose())
+    assert key(got.df) == key(P.spgemm(a, a.transpose()).df)
+    plan = store.stored_spgemm(held, held.transpose()).df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange" not in plan[plan.index("SortMergeJoin") :]
+    store.remove(spark, "stored_test")
+
+
+def test_mtx_on_another_file_system(spark, tmp_path):
+    """A round trip, a pair, and a plain file with comments and an entry that reads like
+    the size line, all through a mounted scheme."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.box.link./data", f"file://{tmp_path}")
+    a = SparseMatrix.from_entries(spark, [(0, 1, 2.5), (3, 0, 1.0), (2, 2, -4.0)], 5, 4)
+    key = lambda m: sorted(map(tuple, m.df.collect()))
+    for path in ("viewfs://box/data/a.mtx", "viewfs://box/data/b.mtx"):
+        mtx.write_mtx(a, path, symmetric=path.endswith("b.mtx"))
+        got = mtx.read_mtx(spark, path)
+        assert (got.n_rows, got.n_cols) == (5, 4)
+        assert key(got) == (key(a) if path.endswith("a.mtx") else [(0, 1, 2.5), (1, 0, 2.5), (2, 2, -4.0)])
+    mtx.write_mtx(a, "viewfs://box/data/p.org", "ones")
+    org, trs = mtx.load_pair(spark, "p", "viewfs://box/data")
+    assert key(trs) == sorted((j, i, v) for i, j, v in key(org))
+    with open(tmp_path / "plain.mtx", "w") as f:
+        f.write("%%MatrixMarket matrix coordinate real general\n" + "% note\n" * 100 + "3 3 5\n3 3 5\n 1 2\n1 1 0\n3 3 5\n2 2 1e1")
+    assert key(mtx.read_mtx(spark, "viewfs://box/data/plain.mtx")) == [(0, 1, 1.0), (1, 1, 10.0), (2, 2, 5.0), (2, 2, 5.0)]
