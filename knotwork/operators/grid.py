@@ -77,6 +77,48 @@ def grid_spgemm(a: SparseMatrix, b: SparseMatrix, rows: int | None = None, cols:
     return SparseMatrix(both.groupBy("cell", "i", "j").agg(add(mul(F.col("x"), F.col("y"))).cast("double").alias("v")).drop("cell"), a.rows, b.cols)
 
 
+def _places(a: SparseMatrix, b: SparseMatrix) -> DataFrame:
+    """(cell, i, j, n): the places of a * b with their products, in a square grid."""
+    left, right = _sides(a, b)
+    rows, cols = shape_of(2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = grid_join(left.select("i", "k", F.lit(1).alias("x")), right.select("k", "j", F.lit(1).alias("y")), hashed("i", rows), hashed("j", cols), rows, cols)
+    return both.groupBy("cell", "i", "j").agg(F.count("*").alias("n"))
+
+
+def grid_project(a: SparseMatrix, b: SparseMatrix) -> DataFrame:
+    """(cell, i, j): the distinct places that the join of a and b reaches, each in one
+    cell. An aggregation by i takes a row for each cell and i."""
+    return _places(a, b).select("cell", "i", "j")
+
+
+def grid_nnz_per_row(a: SparseMatrix, b: SparseMatrix) -> DataFrame:
+    """(i, flop, nnz) of the product's non-empty rows, counted where the places are."""
+    return _places(a, b).groupBy("cell", "i").agg(F.sum("n").alias("flop"), F.count("*").alias("nnz")).groupBy("i").agg(F.sum("flop").alias("flop"), F.sum("nnz").alias("nnz"))
+
+
+def grid_gram(a: SparseMatrix, upper_only: bool = False, blocks: int | None = None, mul: Callable = times, add: Callable = F.sum) -> SparseMatrix:
+    """a * transpose(a) for a mul that doesn't care for sides, in the cells of blocks
+    r <= c: half of the products, mirrored where they are made unless upper_only."""
+    left, right = _sides(a, a.transpose())
+    n = blocks or max(1, round(math.sqrt(4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))) - 1)
+    cells = n * (n + 1) // 2
+    own = left.withColumn("_own", hashed("i", n)).withColumn("_other", F.explode(F.sequence("_own", F.lit(n - 1))))
+    own = own.select((F.col("_other") * (F.col("_other") + 1) / 2 + F.col("_own")).cast("int").alias("cell"), "i", "k", "x")
+    other = right.withColumn("_own", hashed("j", n)).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_own"))))
+    other = other.select((F.col("_own") * (F.col("_own") + 1) / 2 + F.col("_other")).cast("int").alias("cell"), "k", "j", "y")
+    both = own.repartitionById(cells, F.col("cell")).join(other.repartitionById(cells, F.col("cell")).hint("shuffle_hash"), ["cell", "k"])
+    # in a cell of one block each pair comes from both sides
+    single = F.array(*(F.lit(k in {c * (c + 1) // 2 + c for c in range(n)}) for k in range(cells)))
+    both = both.where(~F.get(single, F.col("cell")) | (F.col("i") <= F.col("j")))
+    df = both.groupBy("cell", "i", "j").agg(add(mul(F.col("x"), F.col("y"))).cast("double").alias("v"))
+    if upper_only:
+        df = df.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "v")
+    else:
+        mirror = F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+        df = df.select(F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), mirror))).alias("p"), "v").select("p.*", "v")
+    return SparseMatrix(df, a.rows, a.rows)
+
+
 def work_ranges(entries: DataFrame, own: str, inner: str, weight: DataFrame, parts: int) -> list[int]:
     """First ids of at most ``parts`` ranges of ``own`` of about equal work: each entry
     weighs as many products as weight(inner, n) says. An id heavier than a range

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
 from ..storage import materialize
+from .grid import grid_nnz_per_row
 from .layout import bin_id, global_rank, magnitude_scan
 
 
@@ -18,10 +19,9 @@ def flop_per_row(a: SparseMatrix, b: SparseMatrix) -> DataFrame:
     return every.join(work, "i", "left").select("i", F.coalesce("flop", F.lit(0)).alias("flop"))
 
 
-def nnz_per_row(a: SparseMatrix, b: SparseMatrix, exact: bool = True) -> DataFrame:
-    """(i, nnz) of the product's non-empty rows."""
-    pairs = a.df.select("i", F.col("j").alias("k")).join(b.df.select(F.col("i").alias("k"), "j"), "k")
-    return pairs.groupBy("i").agg((F.count_distinct("j") if exact else F.approx_count_distinct("j")).alias("nnz"))
+def nnz_per_row(a: SparseMatrix, b: SparseMatrix) -> DataFrame:
+    """(i, nnz) of the product's non-empty rows, without a shuffle of its places."""
+    return grid_nnz_per_row(a, b).select("i", "nnz")
 
 
 def nnz_per_row_sketch(a: SparseMatrix, b: SparseMatrix, lg_k: int = 12) -> DataFrame:
@@ -37,8 +37,7 @@ def nnz_per_row_sketch(a: SparseMatrix, b: SparseMatrix, lg_k: int = 12) -> Data
 def compression_factor(a: SparseMatrix, b: SparseMatrix) -> DataFrame:
     """(i, flop, nnz, cf) for all rows of a; cf is flop / nnz, 0 for empty rows.
     One join gives both numbers: its rows, and its places."""
-    pairs = a.df.select("i", F.col("j").alias("k")).join(b.df.select(F.col("i").alias("k"), "j"), "k")
-    row = pairs.groupBy("i", "j").agg(F.count("*").alias("n")).groupBy("i").agg(F.sum("n").alias("flop"), F.count("*").alias("nnz"))
+    row = grid_nnz_per_row(a, b)
     every = a.df.sparkSession.range(a.n_rows).select(F.col("id").alias("i"))
     both = every.join(row, "i", "left").fillna(0, ["flop", "nnz"])
     return both.withColumn("cf", F.coalesce(F.try_divide("flop", "nnz"), F.lit(0.0)))

@@ -320,9 +320,10 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "spgemm_minplus": (_minplus, f"WITH {_SP} SELECT a.i, b.i AS j, MIN(a.v + b.v) AS v FROM sp a JOIN sp b USING (j) GROUP BY 1, 2"),
         "spgemm_maxmin": (lambda s, d: P.spgemm(*sq(s, d), mul=F.least, add=F.max).df, f"WITH {_SP} SELECT a.i, b.i AS j, MAX(least(a.v, b.v)) AS v FROM sp a JOIN sp b USING (j) GROUP BY 1, 2"),
         "spgemm_bool": (lambda s, d: P.spgemm(*sq(s, d), mul=lambda x, y: F.lit(1.0), add=F.max).df, f"WITH {_SP} SELECT DISTINCT a.i, b.i AS j, CAST(1 AS DOUBLE) AS v FROM sp a JOIN sp b USING (j)"),
-        "gram_upper": (lambda s, d: P.gram(sp(s, d), True).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm WHERE i <= j"),
-        "gram": (lambda s, d: P.gram(sp(s, d)).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm"),
-        "join_project": (lambda s, d: (lambda a: P.join_project(a, a.transpose()))(cp(s, d)).groupBy("i").agg(F.count("*").alias("n"), F.sum("j").alias("sum_j")), f"WITH {_CP} SELECT a.i, COUNT(DISTINCT b.i) AS n, CAST(SUM(DISTINCT b.i) AS BIGINT) AS sum_j FROM cp a JOIN cp b USING (j) GROUP BY a.i"),
+        "gram_upper": (lambda s, d: R.grid_gram(sp(s, d), True).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm WHERE i <= j"),
+        "gram": (lambda s, d: R.grid_gram(sp(s, d)).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm"),
+        "join_project": (lambda s, d: (lambda a: R.grid_project(a, a.transpose()))(cp(s, d)).groupBy("cell", "i").agg(F.count("*").alias("n"), F.sum("j").alias("sum_j")).groupBy("i").agg(F.sum("n").alias("n"), F.sum("sum_j").alias("sum_j")), f"WITH {_CP} SELECT a.i, COUNT(DISTINCT b.i) AS n, CAST(SUM(DISTINCT b.i) AS BIGINT) AS sum_j FROM cp a JOIN cp b USING (j) GROUP BY a.i"),
+        "join_project_rows": (lambda s, d: (lambda a: P.join_project(a, a.transpose()))(sp(s, d)), f"WITH {_SP} SELECT DISTINCT a.i, b.i AS j FROM sp a JOIN sp b USING (j)"),
         "join_aggregate_partitioned": (lambda s, d: P.join_aggregate(*sq(s, d)).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm"),
         "join_aggregate_broadcast": (lambda s, d: P.join_aggregate(*sq(s, d), partitioned=False).df, f"WITH {_SP}, {_SPP} SELECT i, j, v FROM spgemm"),
         "masked_product": (lambda s, d: (lambda a: P.masked_product(a, a.transpose(), SparseMatrix(s.range(a.n_rows).select(F.col("id").alias("i"), ((F.col("id") * 7 + 3) % a.n_rows).alias("j"), F.lit(1.0).alias("v")), a.n_rows, a.n_rows)).df)(sp(s, d)), f"WITH {_SP}, {_SPP}, n AS (SELECT max(i) + 1 AS n FROM sp) SELECT i, j, v FROM spgemm, n WHERE j = (i * 7 + 3) % n"),

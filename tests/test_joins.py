@@ -284,3 +284,14 @@ def test_mtx_on_another_file_system(spark, tmp_path):
     with open(tmp_path / "plain.mtx", "w") as f:
         f.write("%%MatrixMarket matrix coordinate real general\n" + "% note\n" * 100 + "3 3 5\n3 3 5\n 1 2\n1 1 0\n3 3 5\n2 2 1e1")
     assert key(mtx.read_mtx(spark, "viewfs://box/data/plain.mtx")) == [(0, 1, 1.0), (1, 1, 10.0), (2, 2, 5.0), (2, 2, 5.0)]
+
+
+def test_gram_in_half_the_cells(spark):
+    rng = random.Random(21)
+    rows = [(rng.randrange(25), rng.randrange(12), float(rng.randint(1, 5))) for _ in range(120)] + [(4, k, 1.0) for k in range(12)]
+    a = SparseMatrix.from_entries(spark, rows, 25, 12)
+    key = lambda m: sorted(map(tuple, m.df.collect()))
+    for blocks in (None, 1, 2, 7):
+        assert key(R.grid_gram(a, blocks=blocks)) == key(P.gram(a)) == key(P.spgemm(a, a.transpose()))
+        assert key(R.grid_gram(a, True, blocks)) == key(P.gram(a, True))
+    assert sorted((r["i"], r["j"]) for r in R.grid_project(a, a.transpose()).collect()) == sorted((r["i"], r["j"]) for r in P.join_project(a, a.transpose()).collect())
