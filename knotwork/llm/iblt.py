@@ -22,6 +22,8 @@ that grows as n log n with its digests, and leaves nothing on disk.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ ROWS, COLUMNS = 3, 16
 CELLS = ROWS * COLUMNS
 #: Digests a part should hold; tries, each twice as large, before the exact difference; most bits of a part's number.
 LOAD, TRIES, BITS = 16, 8, 24
-#: Most ranges that rows are dealt over to find the next document.
-RANGES = 20_000
+#: Most ranges that rows are dealt over to find the next document, and equal rows that one task writes out.
+RANGES, PIECE = 20_000, 10_000
 _CHECK = (1 << 24) - 1
 
 
@@ -108,21 +110,53 @@ def fingerprint(digests: str, cells: str) -> Column:
     return F.concat(F.size(digests), F.lit(":"), F.translate(F.col(cells).cast("string"), "[] ", ""))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and key and tie, which put rows in order: a null doc_id last,
+    rows of one doc_id by a hash of their texts."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("tie", F.xxhash64("text"))
+
+
+def _marks(keyed: DataFrame) -> tuple[list[int], int, int]:
+    """Approximate quantiles of key, in how many parts they cut the rows, and the rows."""
+    n = min(RANGES, 4 * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    marks, rows = keyed.select(F.percentile_approx("key", [k / n for k in range(1, n)], F.lit(20 * n)), F.count("*")).first()
+    return marks or [], n, rows
+
+
+def heavy_rows(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """keyed(doc_id, text, key, tie) with one row of each that is repeated for more than
+    a range's share, and (doc_id, text, copies): those rows with the number of their
+    others, each of which has a copy as next; None if there are none. A row repeated
+    for two shares has a key that two quantiles fall on; only such keys are counted."""
+    marks, parts, rows = _marks(keyed)
+    keys = [k for k, n in Counter(marks).items() if n > 1]
+    if not keys:
+        return keyed, None
+    often = keyed.where(F.col("key").isin(keys)).groupBy("key", "tie").agg(F.count("*").alias("n")).where(F.col("n") > rows / parts)
+    often = materialize(often)  # fewer than the parts
+    if often.isEmpty():
+        return keyed, None
+    one = keyed.join(F.broadcast(often), ["key", "tie"]).groupBy("key", "tie").agg(*(F.any_value(c).alias(c) for c in ("doc_id", "text", "n")))
+    one = materialize(one)
+    rest = keyed.join(F.broadcast(often.select("key", "tie")), ["key", "tie"], "left_anti").select(*keyed.columns)
+    return rest.unionByName(one.select(*keyed.columns)), one.select("doc_id", "text", (F.col("n") - 1).alias("copies"))
+
+
 def beside_next(docs: DataFrame) -> DataFrame:
     """(range, doc_id, text, next_text): next is the next lower doc_id, after the last
     the first. Rows with equal doc_id are ordered by a hash of their texts; a
-    null doc_id comes last. Equal rows have each other or the next as next.
+    null doc_id comes last. Equal rows have each other or the next as next."""
+    return _beside(_keyed(docs))
+
 
-    Rows are dealt by ranges of doc_id taken from approximate quantiles, so
+def _beside(docs: DataFrame) -> DataFrame:
+    """Rows are dealt by ranges of doc_id taken from approximate quantiles, so
     neighbours meet in one shuffle of the texts; a doc_id that several quantiles
     fall on has so many ranges, by the hashes. The first row of every range
     follows the last of the range before.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("tie", F.xxhash64("text"))
-    n = min(RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    marks = docs.select(F.percentile_approx("key", [k / n for k in range(1, n)], F.lit(20 * n))).first()[0] or []
+    marks, _, _ = _marks(docs)
     cuts = sorted(set(marks))
     if cuts:
         # one literal each, and the number of cuts below key by halving
@@ -158,15 +192,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both fingerprints, the likeness to the edited and to the next text, and
     edited_digests, the paragraph digests in which text and edited text differ.
     Null texts count as empty."""
-    both = beside_next(docs).withColumn("n", F.length("text"))
+    rows, heavy = heavy_rows(_keyed(docs))
+    found = _compared(_beside(rows))
+    if heavy is None:
+        return found
+    # what a row is beside its copy is found once, and written by several tasks
+    piece = F.lit(PIECE).cast("long")
+    parts = _compared(heavy.withColumn("next_text", F.col("text")), "copies").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, piece)))
+    parts = parts.repartition("doc_id", "fingerprint", "part")
+    return found.unionByName(parts.withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), F.least(piece, F.col("copies") - F.col("part"))))).drop("copies", "part"))
+
+
+def _compared(both: DataFrame, *more: str) -> DataFrame:
+    """What fingerprints() returns for rows (doc_id, text, next_text), and the columns ``more``."""
+    both = both.withColumn("n", F.length("text"))
     k = F.floor(F.col("n") / 3).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - k), F.substring("next_text", F.lit(1), k)))
-    sets = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(F.expr(paragraphs(c)).alias(a) for c, a in (("text", "_a"), ("edited", "_e"), ("next_text", "_x"))))
+    sets = both.select("doc_id", *more, F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(F.expr(paragraphs(c)).alias(a) for c, a in (("text", "_a"), ("edited", "_e"), ("next_text", "_x"))))
     held = sets.select("*", *(F.expr(sketch(c, bits_of(c))).alias(f"_s{c}") for c in ("_a", "_e", "_x")))
     found = held.select("*", *(F.expr(differing("_a", c, "_s_a", f"_s{c}")).alias(f"_d{c}") for c in ("_e", "_x")))
     return found.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint("_a", "_s_a").alias("fingerprint"), fingerprint("_e", "_s_e").alias("edited_fingerprint"),
-        likeness("_a", "_e", "_d_e").alias("near_edited"), likeness("_a", "_x", "_d_x").alias("near_next"), F.col("_d_e").alias("edited_digests"),
+        likeness("_a", "_e", "_d_e").alias("near_edited"), likeness("_a", "_x", "_d_x").alias("near_next"), F.col("_d_e").alias("edited_digests"), *more,
     )
 
 

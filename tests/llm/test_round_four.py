@@ -275,3 +275,68 @@ def test_mix_with_one_long_document_a_source(spark):
             taken = [r["taken"] / r["size"] for x in same for r in x if (r["size"] == 20_000) == long]
             assert abs(np.mean(taken) - factor) < 5 * (0.5 / len(taken) ** 0.5 if long else 0.02)
     assert all(r["taken"] <= 3 * r["size"] for r in got)
+
+
+def test_heavily_repeated_rows_of_fingerprints(spark, monkeypatch):
+    """A row that makes up a third of the table, and empty texts without id, are written
+    by several tasks, with the rows that a walk over all rows gives."""
+    from knotwork.llm import iblt
+
+    monkeypatch.setattr(iblt, "PIECE", 7)
+    rows = [(k, f"line {k}\n" * 9) for k in range(60)] + [(30, "the row\nof many copies\n" * 5)] * 50 + [(None, "")] * 40 + [(None, None)] * 3
+    got = iblt.op9(spark.createDataFrame(rows, "doc_id long, text string"))
+    key = lambda r: (r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_next"], 9), r["fingerprint"])
+    out = Counter(key(r) for r in got.collect())
+    monkeypatch.setattr(iblt, "heavy_rows", lambda keyed: (keyed, None))
+    assert out == Counter(key(r) for r in iblt.op9(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sum(out.values()) == len(rows)
+
+
+def test_mixture_by_a_plain_version(docs):
+    """Proportions and the set of languages against expectation-maximisation written
+    trigram by trigram."""
+    from math import log
+
+    from knotwork.llm import langid
+
+    m = langid.learn(docs)
+    some = [r["text"] for r in docs.where("length(text) between 200 and 700").limit(12).collect()]
+    texts = [*some[:6], *(a[:300] + " " + b[:200] for a, b in zip(some, some[6:], strict=False))]
+    _, _, share, _ = m.infer(texts)
+    for text, got in zip(texts, share, strict=True):
+        _, bucket, n = langid.grams([text])
+        p = np.exp(m.logp[bucket].astype(np.float64) - m.logp[bucket].max(1, keepdims=True).astype(np.float64))
+
+        def fit(active):
+            pi = [1 / len(active) if k in active else 0.0 for k in range(len(m.langs))]
+            for _ in range(m.rounds):
+                new = [m.prior / len(active) if k in active else 0.0 for k in range(len(m.langs))]
+                for row, times in zip(p, n, strict=True):
+                    whole = sum(pi[k] * row[k] for k in active)
+                    for k in active:
+                        new[k] += times * pi[k] * row[k] / whole
+                pi = [x / (n.sum() + m.prior) for x in new]
+            return pi, sum(t * log(sum(pi[k] * row[k] for k in active)) for row, t in zip(p, n, strict=True))
+
+        active = set(range(len(m.langs)))
+        best, value = None, -np.inf
+        while active:
+            pi, ll = fit(active)
+            penalised = ll - m.penalty * np.log(n.sum() + 1) * len(active)
+            if penalised > value:
+                best, value = pi, penalised
+            active = active - {min(active, key=lambda k: pi[k])}
+        assert np.allclose(best, got, atol=1e-3)
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """With few toxic documents to learn from: ranks are far better than chance, and
+    hardly a clean document is flagged."""
+    from knotwork.llm import toxicity
+
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    r = toxicity.op8(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id").where("held_out and toxic is not null").toPandas()
+    toxic, clean = r[r["toxic"] == 1]["score"].to_numpy(), r[r["toxic"] == 0]["score"].to_numpy()
+    assert len(toxic) > 5 and (toxic[:, None] > clean[None]).mean() > 0.8
+    assert (clean >= 0.3).mean() < 0.05 and (toxic >= 0.3).mean() > 0.3
