@@ -18,7 +18,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents that no learned language explains.
 
     Null, empty and letterless texts go. Repeated rows, rows without doc_id,
-    extra columns of any name: see langid.stage. An empty table stays empty, here
+    extra columns of any name: see langid.stage. Long texts are read whole, in
+    pieces; languages equally likely go by name. An empty table stays empty, here
     and in all stages.
     """
     return langid.stage(docs)
@@ -36,8 +37,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out documents that hold a passage of the benchmark. Null and empty
-    texts hold none; rows alike in everything are judged alike."""
+    """Leave out documents that hold a passage of the benchmark.
+
+    Null and empty texts hold none; long texts are read whole, in pieces. There are
+    no ties: any item found is enough, and rows alike in everything are judged
+    alike. Extra columns of any name stay as they are.
+    """
     return decontam.stage(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -49,7 +54,13 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids packed into rows; a null or empty text is its end id alone."""
+    """Token ids packed into rows; a null or empty text is its end id alone.
+
+    Long texts are split into segments without loss. Of packs with equal room the
+    first takes a segment, segments equally long go by their order in the
+    partition; repeated rows get a place each. Of docs only doc_id and text are
+    looked at, whatever other columns are named.
+    """
     return packing.pack(docs)
 
 
