@@ -128,6 +128,12 @@ def work_ranges(entries: DataFrame, own: str, inner: str, weight: DataFrame, par
     return [r["first"] for r in got]
 
 
+def needed(entries: DataFrame, block: Column, others: DataFrame, other_block: Column) -> DataFrame:
+    """entries(k, ...) once for each block of the other side that has k, as _own and _other."""
+    met = others.select("k", other_block.alias("_other")).groupBy("k").agg(F.collect_set("_other").alias("_others"))
+    return entries.withColumn("_own", block).join(met, "k").withColumn("_other", F.explode("_others")).drop("_others")
+
+
 def range_of(column: str, firsts: list[int]) -> Column:
     """Number of the range of ascending firsts that a value is in; by halving."""
     if len(firsts) < 2:
@@ -142,13 +148,19 @@ def balanced_spgemm(a: SparseMatrix, b: SparseMatrix, rows: int | None = None, c
     columns of b of about equal work, from degrees alone: a row's work is the sum
     of the sizes of b's rows that it meets, a column's that of a's columns. A row
     that is heavier than a block is split over the columns of the grid, and a
-    column over its rows, so what one cell can't share is a single place."""
+    column over its rows, so what one cell can't share is a single place. An entry
+    is copied only to blocks of the other side that have its inner id, so where ids
+    that meet are near each other most entries are sent once or twice."""
     left, right = _sides(a, b)
     if not rows or not cols:
-        rows, cols = shape_of(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        rows, cols = shape_of(2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     size = lambda df: df.groupBy("k").agg(F.count("*").alias("n"))
     by_row, by_col = work_ranges(left, "i", "k", size(right), rows), work_ranges(right, "j", "k", size(left), cols)
-    both = grid_join(left, right, range_of("i", by_row), range_of("j", by_col), max(1, len(by_row)), max(1, len(by_col)))
+    r, c, cells = range_of("i", by_row), range_of("j", by_col), max(1, len(by_row)) * max(1, len(by_col))
+    own = needed(left, r, right, c).withColumn("cell", (F.col("_own") * max(1, len(by_col)) + F.col("_other")).cast("int"))
+    other = needed(right, c, left, r).withColumn("cell", (F.col("_other") * max(1, len(by_col)) + F.col("_own")).cast("int"))
+    own, other = own.select("cell", "i", "k", "x").repartitionById(cells, F.col("cell")), other.select("cell", "k", "j", "y").repartitionById(cells, F.col("cell"))
+    both = own.join(other.hint("shuffle_hash"), ["cell", "k"])
     return SparseMatrix(both.groupBy("cell", "i", "j").agg(add(mul(F.col("x"), F.col("y"))).cast("double").alias("v")).drop("cell"), a.rows, b.cols)
 
 
