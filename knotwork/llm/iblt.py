@@ -133,7 +133,7 @@ def heavy_rows(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     keys = [k for k, n in Counter(marks).items() if n > 1]
     if not keys:
         return keyed, None
-    often = keyed.where(F.col("key").isin(keys)).groupBy("key", "tie").agg(F.count("*").alias("n")).where(F.col("n") > rows / parts)
+    often = keyed.where(F.col("key").isin(keys)).groupBy("key", "tie").agg(F.count("*").alias("n")).where(F.col("n") > max(1.0, rows / parts))
     often = materialize(often)  # fewer than the parts
     if often.isEmpty():
         return keyed, None
