@@ -3,10 +3,12 @@
 A row's columns are a set. Columns are ordered by how many rows have them, rare
 ones first. Two rows that must share ``least`` columns have one in common among the
 first n - least + 1 of each, and two among the first n - least + 2: so only these
-prefixes are indexed, by single columns or by pairs of columns, whichever is
-expected to meet less often, and a column that very many rows have is last in
-all of them and stays out. Pairs that meet are looked at once more by length and by
-what can follow the place at which they met, and counted by their arrays.
+prefixes are indexed, by single columns (of the longer prefixes, where a pair has to
+meet twice, unless that meets much more often) or by pairs of columns, whichever is
+expected to meet less often, and a column that very many rows have is last in all
+of them and stays out. Pairs that
+meet often enough are looked at once more by length and by what can follow the
+place at which they first met, and counted by their arrays.
 
 Rows with the same columns are one class from the start, so copies are never
 joined with each other.
@@ -46,31 +48,41 @@ def similar_classes(sets: DataFrame, overlap: int = 1, jaccard: float | None = N
     least = _least(F.col("n"), overlap, jaccard)
     sets = sets.where(F.col("n") >= least)
     # rest: columns of the row from the place of the key on
-    single = sets.select("c", "n", "ks", F.posexplode(F.slice("ks", F.lit(1), F.col("n") - least + 1)).alias("at", "key")).withColumn("rest", F.col("n") - F.col("at"))
-    if keys is None:
-        keys = 1
-        if overlap >= 2:
-            # pairs that meet by a single column, against rows of an index of pairs
-            meets = single.groupBy("key").agg(F.count("*").alias("f")).agg(F.sum(F.col("f") * (F.col("f") - 1) / 2)).first()[0] or 0
-            size = F.least(F.col("n"), F.col("n") - least + 2).cast("double")
-            rows = sets.agg(F.sum(size * (size - 1) / 2)).first()[0] or 0
-            keys = 2 if rows < meets else 1
-    index = single.select("key", "c", "rest", "n")
+    prefix = lambda times: F.least(F.col("n"), F.col("n") - least + times)
+    times = 2 if overlap >= 2 else 1
+    index = sets.select("c", "n", F.posexplode(F.slice("ks", F.lit(1), prefix(times))).alias("at", "key"))
+    if times == 2:
+        # pairs that meet by a single column of the shorter and of the longer prefixes, against rows of an index of pairs
+        pairs = lambda f: F.coalesce(F.sum(F.col(f) * (F.col(f) - 1) / 2), F.lit(0))
+        counted = index.groupBy("key").agg(F.count("*").alias("f"), F.count_if(F.col("at") < prefix(1)).alias("g"))
+        twice, once = counted.agg(pairs("f"), pairs("g")).first()
+        if twice > 2 * once:  # a frequent column stands at the end of the longer ones
+            times, index = 1, index.where(F.col("at") < prefix(1))
+        if keys is None:
+            rows = sets.agg(F.coalesce(F.sum(prefix(2).cast("double") * (prefix(2) - 1) / 2), F.lit(0.0))).first()[0]
+            keys = 2 if rows < (once if times == 1 else twice) else 1
+    keys = keys or 1
+    index = index.select("key", "c", (F.col("n") - F.col("at")).alias("rest"), "n")
     if keys == 2:
-        first = sets.withColumn("p", F.slice("ks", F.lit(1), F.least(F.col("n"), F.col("n") - least + 2))).select("c", "n", "p", F.posexplode("p").alias("at", "one"))
+        first = sets.withColumn("p", F.slice("ks", F.lit(1), prefix(2))).select("c", "n", "p", F.posexplode("p").alias("at", "one"))
         both = first.where(F.col("at") + 1 < F.size("p")).select("c", "n", "at", "one", F.posexplode(F.slice("p", F.col("at") + 2, F.size("p"))).alias("more", "two"))
         index = both.select(F.xxhash64("one", "two").alias("key"), "c", (F.col("n") - F.col("at") - F.col("more") - 1).alias("rest"), "n")
+        times = 1
     if jaccard is None:
-        index = index.drop("n")
+        index = index.drop("rest", "n")  # enough follows wherever a prefix is met
     x, y = index, index.withColumnsRenamed({"c": "d", "rest": "left", "n": "m"})
     met = x.join(y, "key").where("c < d")
-    # at the first place where they meet, what follows must be enough
-    most = F.lit(keys - 1) + F.least("rest", "left")
-    need = F.lit(max(1, overlap))
-    if jaccard is not None:
-        need = F.greatest(need, F.ceil(F.lit(jaccard / (1 + jaccard)) * (F.col("n") + F.col("m")) - 1e-9).cast("int"))
+    if jaccard is None:
+        found = met.groupBy("c", "d").agg(F.count("*").alias("met")) if times > 1 else met.select("c", "d").distinct()
+    else:
+        # where they first met, what follows must be enough
         met = met.where((F.col("n") >= F.col("m") * F.lit(jaccard) - 1e-9) & (F.col("m") >= F.col("n") * F.lit(jaccard) - 1e-9))
-    found = met.where(most >= need).select("c", "d").distinct()
+        need = F.greatest(F.lit(max(1, overlap)), F.ceil(F.lit(jaccard / (1 + jaccard)) * (F.col("n") + F.col("m")) - 1e-9).cast("int"))
+        spare = F.lit(keys - 1) + F.least("rest", "left") - need
+        found = met.groupBy("c", "d").agg(F.count("*").alias("met"), F.max(spare).alias("spare")).where("spare >= 0")
+    if times > 1:
+        found = found.where(F.col("met") >= times)
+    found = found.select("c", "d")
     own = sets.select("c", F.col("ks").alias("kc"))
     other = sets.select(F.col("c").alias("d"), F.col("ks").alias("kd"))
     both = found.join(own, "c").join(other, "d").select("c", "d", F.size(F.array_intersect("kc", "kd")).cast("long").alias("overlap"), (F.size("kc") + F.size("kd")).alias("all"))

@@ -52,6 +52,12 @@ def test_lists_meet_without_shuffling_wedges(spark):
     plan = G.triangle_count(a)._jdf.queryExecution().executedPlan().toString()
     by_block = plan[: plan.index("REPARTITION_BY_NUM")]
     assert by_block.count("Exchange") == 2 and "SinglePartition" in by_block
+    # the lists are dealt once and used three times
+    counted = G.triangle_count(a)
+    counted.collect()
+    final = counted._jdf.queryExecution().executedPlan().toString()
+    final = final[final.index("Final Plan") : final.index("Initial Plan")]
+    assert final.count("ReusedExchange") >= 2
 
 
 def test_all_pairs_by_cells(spark):
@@ -176,6 +182,9 @@ def test_a_column_of_all_rows_is_not_expanded(spark):
     sets, _ = J.classes(a)
     found = J.similar_classes(sets, 2, None, 1)
     assert found.count() == 0
+    # what one column meets stays small where others decide
+    met = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "met" not in met
     # by the prefix of an overlap of 2, which leaves the last column out
     assert sets.select(F.explode(F.slice("ks", F.lit(1), F.col("n") - 1)).alias("k")).where("k = 0").count() == 0
 
