@@ -242,6 +242,75 @@ def _json(s: SparkSession, d: str) -> DataFrame:
     return p.ap.join(p.authors, "aid").join(p.papers, "pid").select(F.col("name"), F.col("id").cast("long").alias("id"), "pid")
 
 
+def _dimacs(s: SparkSession, d: str) -> DataFrame:
+    """Weighted arcs from suppliers to parts, written as a graph and read again."""
+    path, a = _folder(s), sp(s, d)
+    n = larger(a.rows, a.cols)
+    files.write_dimacs(SparseMatrix(a.df, n, n), path)
+    return files.read_dimacs(s, path).df
+
+
+def _sorted_csv(s: SparkSession, d: str) -> DataFrame:
+    """Lines of the sorted table of a matrix."""
+    path = _folder(s)
+    files.write_sorted_csv(sp(s, d), path)
+    return s.read.text(path).withColumnRenamed("value", "line")
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s)
+    files.write_edges(op(s, d), path)
+    return files.read_pairs(s, path)
+
+
+def _names(s: SparkSession, d: str) -> DataFrame:
+    """The vocabulary as a table of names, written and read again."""
+    path = _folder(s)
+    files.write_names(T.vocabulary(_t(s, d, "documents"), "text").select(F.col("term_id").alias("id"), F.col("term").alias("name")), path)
+    return files.read_names(s, path)
+
+
+def _ratings(s: SparkSession, d: str) -> DataFrame:
+    """How often each user had each type of event, as ratings with a fourth column."""
+    path = _folder(s)
+    rated = _t(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("rating"), F.lit("x").alias("more"))
+    rated.write.csv(path, header=True)
+    got = files.read_ratings(s, path)
+    return got.select(F.col("user").cast("long").alias("user_id"), F.col("item"), F.col("rating").cast("long").alias("rating"))
+
+
+def _principals(s: SparkSession, d: str) -> DataFrame:
+    """Orders as titles and their lines as principals, in gzipped tables."""
+    path = _folder(s)
+    coded = lambda kind, c: F.concat(F.lit(kind), F.lpad(F.col(c).cast("string"), 9, "0"))
+    titles = _t(s, d, "orders").select(coded("tt", "o_orderkey").alias("tconst"), F.col("o_orderstatus").alias("titleType"))
+    people = _t(s, d, "lineitem").select(coded("tt", "l_orderkey").alias("tconst"), coded("nm", "l_suppkey").alias("nconst"), F.col("l_returnflag").alias("category"))
+    for df, kind in ((titles, "titles"), (people, "people")):
+        df.write.csv(f"{path}-{kind}", sep="\t", header=True, quote="", compression="gzip")
+    wanted = files.read_title_types(s, f"{path}-titles", ["F", "P"])
+    return files.read_principals(s, f"{path}-people", ["A"], wanted)
+
+
+def _split_json(s: SparkSession, d: str) -> DataFrame:
+    """Fields of JSON lines by pattern, and how many lines there are."""
+    path = _folder(s)
+    papers(s, d).drop("_line").write.json(path)
+    return files.split_json(s, path, ["id", "venue"]).withColumn("lines", F.lit(files.count_lines(s, path)).cast("long"))
+
+
+def _written_once(s: SparkSession, d: str) -> DataFrame:
+    """Lines as entries that repeat, written without repeats and read again."""
+    path = f"{_folder(s)}.mtx"
+    mtx.write_mtx(SparseMatrix.of(_t(s, d, "lineitem"), "l_suppkey", "l_partkey", "l_quantity"), path, dedup=True)
+    return mtx.read_matrix(s, path).df
+
+
+def _log(s: SparkSession, d: str) -> DataFrame:
+    """Figures of a log with terminal colours, one line for each order."""
+    lines = _t(s, d, "orders").select(F.format_string("\x1b[31m%s: order %d\x1b[0m", "o_orderpriority", "o_orderkey").alias("value"))
+    return T.parse_log(lines)
+
+
 def _subset_matrices(s: SparkSession, d: str) -> DataFrame:
     matrices, _, _ = B.subset(B.build(papers(s, d)), 5, 2, None, 3)
     return matrices["pt"].df.groupBy("i").agg(F.count("*").alias("n"), F.sum("j").alias("terms"))
@@ -384,6 +453,16 @@ def _table() -> dict[str, tuple[Query, str | None]]:
         "bin_round_trip": (_round_trip("bin"), f"WITH {_SP} SELECT i, j, v FROM sp"),
         "org_trs_pair": (_round_trip("pair"), f"WITH {_SP} SELECT j AS i, i AS j, CAST(1 AS DOUBLE) AS v FROM sp"),
         "edges_round_trip": (_round_trip("edges"), f"WITH {_PP} SELECT i, j, CAST(1 AS DOUBLE) AS v FROM pp UNION ALL SELECT j, i, CAST(1 AS DOUBLE) FROM pp"),
+        "dimacs_round_trip": (_dimacs, f"WITH {_SP} SELECT i, j, v FROM sp"),
+        "sorted_csv_lines": (_sorted_csv, f"WITH {_SP} SELECT concat(i + 1, ',', j + 1, ',', v) AS line FROM sp UNION ALL SELECT concat(max(i) + 1, ',', max(j) + 1, ',', COUNT(*)) FROM sp"),
+        "pairs_round_trip": (_pairs, f"WITH {_OP} SELECT i AS a, j AS b FROM op"),
+        "names_round_trip": (_names, f"WITH {_TERMS} SELECT row_number() OVER (ORDER BY term) AS id, term AS name FROM tf"),
+        "ratings_round_trip": (_ratings, "SELECT user_id, event_type AS item, COUNT(*) AS rating FROM events GROUP BY 1, 2"),
+        "principals_from_gzip": (_principals, "SELECT l_orderkey AS title, l_suppkey AS person FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P'))"),
+        "json_fields": (_split_json, "SELECT CAST(doc_id AS VARCHAR) AS id, source AS venue, (SELECT COUNT(*) FROM documents) AS lines FROM documents"),
+        "mtx_without_repeats": (_written_once, "SELECT l_suppkey AS i, l_partkey AS j, MIN(l_quantity) AS v FROM lineitem GROUP BY 1, 2"),
+        "log_figures": (_log, "SELECT o_orderpriority AS key, concat('order ', o_orderkey) AS value FROM orders"),
+        "row_pow2": (lambda s, d: S.flop_per_row(*sq(s, d)).select("i", L.next_pow2(F.col("flop")).alias("size")), f"WITH {_FLOP} SELECT i, CAST(CASE WHEN flop <= 1 THEN 1 ELSE pow(2, ceil(log2(flop))) END AS BIGINT) AS size FROM fr"),
         "hin_from_json": (_json, "WITH x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pid, lang, source FROM documents) SELECT name, doc_id AS id, pid FROM (SELECT DISTINCT doc_id, pid, unnest([lang, source]) AS name FROM x) WHERE name <> ''"),
         "hin_author_ids": (lambda s, d: B.build(papers(s, d)).authors, "WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, lang, source FROM documents), w AS (SELECT 2 * pid AS place, lang AS name FROM x UNION ALL SELECT 2 * pid + 1, source FROM x) SELECT row_number() OVER (ORDER BY MIN(place)) AS aid, name FROM w WHERE name <> '' GROUP BY name"),
         "hin_terms": (lambda s, d: B.build(papers(s, d)).pt.groupBy("pid").agg(F.count("*").alias("terms"), F.sum("tid").alias("sum_tid")), f"WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) AS pid, lower(text) AS t FROM documents), w AS MATERIALIZED (SELECT DISTINCT pid, unnest(regexp_extract_all(t, '([a-z]+)', 1)) AS term FROM x), tf AS (SELECT term FROM w WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY term HAVING COUNT(*) >= 2), ids AS (SELECT term, row_number() OVER (ORDER BY term) AS tid FROM tf) SELECT pid, COUNT(*) AS terms, CAST(SUM(tid) AS BIGINT) AS sum_tid FROM w JOIN ids USING (term) GROUP BY pid"),

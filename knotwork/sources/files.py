@@ -93,3 +93,13 @@ def write_dimacs(m: SparseMatrix, path: str) -> None:
     head = m.df.agg(F.format_string("p sp %d %d", F.lit(m.n_rows), F.count("*")).alias("value")).withColumn("k", F.lit(0))
     arcs = m.df.select(F.format_string("a %d %d %d", F.col("i") + 1, F.col("j") + 1, F.col("v").cast("long")).alias("value")).withColumn("k", F.lit(1))
     head.unionByName(arcs).orderBy("k").select("value").write.text(path)
+
+
+def read_dimacs(spark: SparkSession, path: str) -> SparseMatrix:
+    """The arcs of a p sp file, 0-based; comments are skipped, n is that of the p line."""
+    lines = spark.read.csv(path, sep=" ", schema="kind string, i string, j long, v long")
+    sizes = [r["j"] for r in lines.where("kind = 'p'").select("j").take(2)]
+    if len(sizes) != 1:
+        raise ValueError(f"{len(sizes) or 'no'} p lines in {path}")
+    arcs = lines.where("kind = 'a'").select((F.col("i").cast("long") - 1).alias("i"), (F.col("j") - 1).alias("j"), F.col("v").cast("double").alias("v"))
+    return SparseMatrix(arcs, sizes[0], sizes[0])

@@ -182,6 +182,13 @@ def test_other_formats(spark, tmp_path):
     files.write_dimacs(m, str(tmp_path / "gr"))
     lines = [r[0] for r in spark.read.text(str(tmp_path / "gr")).collect()]
     assert "p sp 2 3" in lines and "a 2 1 3" in lines and len(lines) == 4
+    with open(tmp_path / "gr" / "part-more.txt", "w") as f:
+        f.write("c a comment of some words\nc\n")
+    back = files.read_dimacs(spark, str(tmp_path / "gr"))
+    assert entries(back) == entries(m) and back.n_rows == 2
+    (tmp_path / "headless.gr").write_text("a 1 2 3\n")
+    with pytest.raises(ValueError):
+        files.read_dimacs(spark, str(tmp_path / "headless.gr"))
     files.write_sorted_csv(m, str(tmp_path / "csv"))
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "csv")).collect()) == sorted(["2,2,3", "1,2,2.0", "1,2,5.0", "2,1,3.0"])
     (tmp_path / "r.csv").write_text("u,i,r,x\na,b,3,9\n")
