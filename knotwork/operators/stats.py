@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..matrix import SparseMatrix
 from ..storage import materialize
 from .grid import grid_nnz_per_row
-from .layout import bin_id, global_rank, magnitude_scan
+from .layout import bin_id, global_rank, magnitude_scan, range_of
+from .product import CHUNK, lists, row_blocks, sides
 
 
 def flop_per_row(a: SparseMatrix, b: SparseMatrix) -> DataFrame:
@@ -28,10 +29,14 @@ def nnz_per_row_sketch(a: SparseMatrix, b: SparseMatrix, lg_k: int = 12) -> Data
     """(i, nnz) of the product's non-empty rows, estimated without making the product:
     one sketch of the columns of each row of b, merged along the rows of a. The work
     is that of a's entries, not of the products. The relative standard error is
-    1.04 / sqrt(2^lg_k), 1.6 % by default; few columns are counted exactly."""
-    rows = b.df.groupBy(F.col("i").alias("k")).agg(F.hll_sketch_agg("j", F.lit(lg_k)).alias("s"))
-    met = a.df.select("i", F.col("j").alias("k")).join(rows, "k")
-    return met.groupBy("i").agg(F.hll_sketch_estimate(F.hll_union_agg("s", F.lit(False))).alias("nnz"))
+    1.04 / sqrt(2^lg_k), 1.6 % by default; few columns are counted exactly. Sketches go to
+    blocks of rows, one for each inner id of a block, and are merged there."""
+    left, right = sides(a, b, False)
+    blocks = row_blocks(left, right)
+    rows = right.groupBy("k").agg(F.hll_sketch_agg("j", F.lit(lg_k)).alias("s"))
+    held = lists(left.withColumn("cell", range_of("i", blocks.firsts).cast("int")), ["k", "cell"], blocks.widest > CHUNK, ["i"]).join(rows, "k")
+    met = held.select("cell", "i", "s").repartitionById(len(blocks.pieces), F.col("cell")).select("cell", "s", F.explode("i").alias("i"))
+    return met.groupBy("cell", "i").agg(F.hll_sketch_estimate(F.hll_union_agg("s", F.lit(False))).alias("nnz")).drop("cell")
 
 
 def compression_factor(a: SparseMatrix, b: SparseMatrix) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
-from ..operators.product import times
+from ..operators.product import added, met, row_blocks, times
 
 
 @dataclass(frozen=True)
@@ -62,6 +62,5 @@ def stored_spgemm(a: StoredMatrix, b: StoredMatrix, mul: Callable = times, add:
     if a.n_cols != b.n_rows:
         raise ValueError(f"shapes {a.n_rows}x{a.n_cols} and {b.n_rows}x{b.n_cols} don't fit")
     left = a.by_col.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
-    right = b.by_row.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-    both = left.join(right.hint("merge"), "k")
-    return SparseMatrix(both.groupBy("i", "j").agg(add(mul(F.col("x"), F.col("y"))).cast("double").alias("v")), a.n_rows, b.n_cols)
+    right = b.by_row.select("j", F.col("i").alias("k"), F.col("v").alias("y"))
+    return SparseMatrix(added(met(left, right, row_blocks(left, right), "merge"), mul, add), a.n_rows, b.n_cols)
