@@ -89,10 +89,11 @@ def write_sorted_csv(m: SparseMatrix, path: str) -> None:
 
 
 def write_dimacs(m: SparseMatrix, path: str) -> None:
-    """p sp n m, then a u v w lines, 1-based."""
-    head = m.df.agg(F.format_string("p sp %d %d", F.lit(m.n_rows), F.count("*")).alias("value")).withColumn("k", F.lit(0))
-    arcs = m.df.select(F.format_string("a %d %d %d", F.col("i") + 1, F.col("j") + 1, F.col("v").cast("long")).alias("value")).withColumn("k", F.lit(1))
-    head.unionByName(arcs).orderBy("k").select("value").write.text(path)
+    """p sp n m, then a u v w lines, 1-based, in order."""
+    head = m.df.agg(F.format_string("p sp %d %d", F.lit(m.n_rows), F.count("*")).alias("value")).select("value", F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))
+    arcs = m.df.select(F.format_string("a %d %d %d", F.col("i") + 1, F.col("j") + 1, F.col("v").cast("long")).alias("value"), "i", "j")
+    # by the ends of arcs, so that they are dealt over tasks
+    head.unionByName(arcs).orderBy("i", "j").select("value").write.text(path)
 
 
 def read_dimacs(spark: SparkSession, path: str) -> SparseMatrix:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from knotwork.matrix import SparseMatrix
 from knotwork.operators import grid as R
+from knotwork.operators import metapath as H
 from knotwork.operators import product as P
 from knotwork.operators import stats as S
 from knotwork.plans import queries as catalogue
@@ -59,3 +60,13 @@ def test_products_are_made_in_blocks_of_rows(spark, monkeypatch):
     assert {r["i"]: r["nnz"] for r in S.nnz_per_row_sketch(a, a.transpose()).collect()} == Counter(i for i, _ in places)
     for df in (P.spgemm(a, a.transpose()).df, P.join_project(a, a.transpose()), R.grid_gram(a).df, S.nnz_per_row_sketch(a, a.transpose())):
         assert "hashpartitioning(i" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paths_in_steps_and_without_the_guard(spark, monkeypatch):
+    """The registered path is multiplied whatever its steps take."""
+    monkeypatch.setattr(H, "guard_flop", lambda a, b, most: (_ for _ in ()).throw(ValueError("refused")))
+    got = {r["i"]: (r["nnz"], r["total"]) for r in catalogue.queries()["metapath_cheapest"](spark, D).collect()}
+    c = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
+    assert got == {i: (n, v) for i, n, v in c.execute(catalogue.oracle_sql()["metapath_cheapest"]).fetchall()}
