@@ -4,6 +4,7 @@ from itertools import groupby
 
 from knotwork.matrix import SparseMatrix
 from knotwork.operators import product as P
+from knotwork.plans import queries as catalogue
 
 
 def test_places_of_rows_that_are_alike_come_in_tiles(spark, monkeypatch):
@@ -20,3 +21,12 @@ def test_places_of_rows_that_are_alike_come_in_tiles(spark, monkeypatch):
     runs = [tuple(x[1] for x in g) for p in parts for _, g in groupby(p, key=lambda x: x[0])]
     assert max(map(len, runs)) < 40 and len(set(runs)) < 20
     assert "Coalesce " in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_added_up_in_the_given_number_of_tasks(spark):
+    """Adaptive execution doesn't merge the tasks that add up a supplier's lines of a part."""
+    m = catalogue.sp(spark, "/root/testdata/sf0.01")
+    assert m.df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert "AQEShuffleRead" not in m.df._jdf.queryExecution().executedPlan().toString()
+    places = m.df.select("i", "j").collect()
+    assert len(places) == len(set(places)) == spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().count()
