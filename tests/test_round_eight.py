@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from knotwork.operators import arrays as A
 from knotwork.operators import metapath as H
 from knotwork.operators import product as P
 from knotwork.plans import queries as catalogue
+from knotwork.storage import materialize
 
 
 def _random(spark, rows, cols, n, seed, odd=False):
@@ -50,3 +52,14 @@ def test_paths_are_multiplied_in_arrays(spark, monkeypatch):
     monkeypatch.setattr(H, "materialize", lambda df: kept.append(df) or df)
     mats = [_random(spark, 9, 9, 20, k) for k in range(4)]
     assert len(H.chain_work(mats)) == 10 and len(kept) == 12
+
+
+def test_author_search_makes_its_inputs_once(spark, monkeypatch):
+    """Both factors and the product are written before they are read again; the rows are the SQL's."""
+    d, kept = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(catalogue, "materialize", lambda df: kept.append(tuple(df.columns)) or materialize(df))
+    got = sorted(map(tuple, catalogue.queries()["hin_author_search"](spark, d).collect()))
+    assert kept == [("i", "j", "v")] * 3
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    assert got == sorted(c.execute(catalogue.oracle_sql()["hin_author_search"]).fetchall()) and got
